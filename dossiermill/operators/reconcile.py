@@ -18,6 +18,7 @@ from .. import rules
 from ..functions.similarity import name_similarity
 from ..functions.text import canonical_code, canonical_code_or_raw, normalize_group_name, normalize_key
 from ..plans.near_names import near_name_pairs
+from ..plans.staging import stage
 
 JOB = "job_id"
 HINT = [JOB, "code_hint", "name_key"]
@@ -33,6 +34,11 @@ def official_groups(groups: DataFrame) -> DataFrame:
     )
 
 
+def distinct_hints(blocks: DataFrame) -> DataFrame:
+    """The distinct hints of blocks or media, stored: everything else is worked out on them."""
+    return stage(blocks.select(*HINT).distinct(), "hints")
+
+
 def with_hints(blocks: DataFrame, code: str = "source_code", name: str = "source_name") -> DataFrame:
     """Blocks with ``code_hint`` and ``name_key``; both are empty texts when absent."""
     return blocks.withColumn("code_hint", F.coalesce(canonical_code(code), F.lit(""))).withColumn(
@@ -51,14 +57,13 @@ def similarity_floor() -> float:
     return steps / 10_000 if steps >= raw * 10_000 else (steps + 1) / 10_000
 
 
-def candidates(blocks: DataFrame, groups: DataFrame, mode: str = "sequence") -> DataFrame:
+def candidates(hints: DataFrame, groups: DataFrame, mode: str = "sequence") -> DataFrame:
     """Scored candidates of every distinct hint.
 
     ``job_id, code_hint, name_key, official_code, official_ord, same_code,
-    similarity, score, reasons``. Blocks need ``with_hints``, groups
+    similarity, score, reasons``. Needs ``distinct_hints`` of the blocks and
     ``official_groups``.
     """
-    hints = blocks.select(*HINT).distinct()
     official = groups.select(
         JOB, F.col("code").alias("official_code"), F.col("ord").alias("official_ord"), F.col("name_key").alias("off_key")
     )
@@ -118,7 +123,7 @@ def rank_candidates(cands: DataFrame) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
-def hint_plans(blocks: DataFrame, cands: DataFrame) -> DataFrame:
+def hint_plans(hints: DataFrame, cands: DataFrame) -> DataFrame:
     """Proposed status, target and warning of every distinct hint."""
     exact = F.col("same_code") & ((F.col("similarity") == 1.0) | (F.col("name_key") == ""))
     best = F.struct(F.col("score"), -F.col("official_ord"))
@@ -131,9 +136,7 @@ def hint_plans(blocks: DataFrame, cands: DataFrame) -> DataFrame:
     )
     matched = F.col("n_exact") == 1
     return (
-        blocks.select(*HINT)
-        .distinct()
-        .join(facts, HINT, "left")
+        hints.join(facts, HINT, "left")
         .select(
             *HINT,
             F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
@@ -150,9 +153,11 @@ def hint_plans(blocks: DataFrame, cands: DataFrame) -> DataFrame:
     )
 
 
-def build_plan(blocks: DataFrame, cands: DataFrame) -> DataFrame:
+def build_plan(blocks: DataFrame, groups: DataFrame, mode: str = "sequence") -> DataFrame:
     """One plan row per block; blocks without candidates are kept."""
-    return blocks.join(hint_plans(blocks, cands), HINT)
+    hints = distinct_hints(blocks)
+    plans = stage(hint_plans(hints, candidates(hints, groups, mode)), "plans")
+    return blocks.join(plans, HINT)
 
 
 def apply_decisions(plan: DataFrame, decisions: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,12 +262,10 @@ def _best_names(names: DataFrame, groups: DataFrame, floor: float, mode: str) ->
     official = groups.groupBy(JOB, F.col("name_key").alias("right_key")).agg(
         F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("code", "ord"), "ord").alias("_first")
     )
-    scored = pairs.join(official, [JOB, "right_key"])
+    scored = stage(pairs.join(official, [JOB, "right_key"]), "scored")
     tops = scored.groupBy(JOB, F.col("left_key").alias("name_key")).agg(
         F.max("similarity").alias("best_score"),
         F.max_by("_first.code", F.struct(F.col("similarity"), -F.col("_first.ord"))).alias("best_code"),
-        F.max(F.struct("similarity", "_n")).alias("_top"),
-        F.count(F.lit(1)).alias("_names"),
     )
     ties = (
         scored.join(tops.select(JOB, F.col("name_key").alias("left_key"), "best_score"), [JOB, "left_key"])
@@ -284,7 +287,7 @@ def associate_media(media: DataFrame, groups: DataFrame, mode: str = "sequence")
     ``media``: ``job_id, image_id, …`` and ``with_hints`` on its hints. Worked out per
     distinct hint, like candidates.
     """
-    hints = media.select(*HINT).distinct()
+    hints = distinct_hints(media)
     official = groups.select(JOB, F.col("code").alias("code_hint"), F.col("name_key").alias("off_key"), F.lit(True).alias("_is"))
     named = top1_with_margin(hints, groups, rules.MEDIA_NAME_FLOOR, mode).select(
         JOB, "name_key", F.col("best_code").alias("name_code")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import (
-    any_of,
     cells_key,
     classify_heading,
     clean_text,
@@ -24,7 +23,8 @@ from ..functions.text import (
     parse_reference,
     starts_any,
 )
-from ..plans.ordered import Running, first_rows, ordinal, running
+from ..plans.ordered import Running, asof_last, first_rows, ordinal, running
+from ..plans.staging import stage
 
 _NO_ROWS = "array<array<string>>"
 
@@ -50,43 +50,34 @@ def segment_blocks(units: DataFrame, keys: list[str]) -> DataFrame:
     A unit opens a block when its first value is a group heading whose code and
     name were not seen before in the document; a repeated heading stays inside
     the block that is open.
+
+    The openings are found in one pass over the texts and stored: they are few.
+    Units then take the last opening before them.
     """
-    columns = units.columns
-    ref = parse_reference(F.col("_first"))
-    structural = F.col("structural") if "structural" in columns else F.lit(False)
-    flagged = (
+    structural = F.col("structural") if "structural" in units.columns else F.lit(False)
+    titled = (
         _with_rows(units)
-        .withColumn("_first", F.coalesce(F.try_element_at(value_array(), F.lit(1)), F.lit("")))
-        .withColumn("_ref", ref)
-        .withColumn("_titled", is_group_heading(F.col("_first"), structural))
+        .select(*keys, "ord", F.coalesce(F.try_element_at(value_array(), F.lit(1)), F.lit("")).alias("block_title"), structural.alias("_s"))
+        .where(is_group_heading(F.col("block_title"), F.col("_s")))
+        .select(*keys, "ord", "block_title", parse_reference("block_title").alias("_ref"))
     )
-    opening = (
-        flagged.where("_titled")
-        .groupBy(*keys, F.col("_ref.code").alias("_code"), normalize_key(F.col("_ref.name")).alias("_name"))
-        .agg(F.min("ord").alias("ord"))
-        .select(*keys, "ord", F.lit(True).alias("opens"))
+    firsts = titled.groupBy(
+        *keys, F.col("_ref.code").alias("block_code"), normalize_key(F.col("_ref.name")).alias("_name")
+    ).agg(F.min_by(F.struct("ord", "block_title", F.col("_ref.name").alias("block_name")), "ord").alias("_o"))
+    openings = stage(
+        ordinal(firsts.select(*keys, "block_code", "_o.*"), keys, ["ord"], "block_no").withColumn("_at", F.col("ord")),
+        "openings",
     )
-    marked = flagged.join(opening, [*keys, "ord"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
-    title = F.when(
-        F.col("opens"),
-        F.struct(F.col("_first").alias("title"), F.col("_ref.code").alias("code"), F.col("_ref.name").alias("name")),
+    carried = asof_last(
+        units, openings, keys, "ord", ["block_no", "_at", "block_title", "block_code", "block_name"]
     )
-    numbered = running(
-        marked.select(*columns, "opens", title.alias("_title")),
-        keys,
-        ["ord"],
-        {
-            "block_no": Running("sum", F.col("opens").cast("bigint")),
-            "_open": Running("last", F.col("_title")),
-        },
-    )
-    return numbered.select(
-        *columns,
-        "opens",
-        "block_no",
-        F.col("_open.title").alias("block_title"),
-        F.col("_open.code").alias("block_code"),
-        F.col("_open.name").alias("block_name"),
+    return carried.select(
+        *units.columns,
+        F.coalesce(F.col("_at") == F.col("ord"), F.lit(False)).alias("opens"),
+        F.coalesce("block_no", F.lit(0)).alias("block_no"),
+        "block_title",
+        "block_code",
+        "block_name",
     )
 
 
@@ -130,44 +121,50 @@ def segment_sections(units: DataFrame, keys: list[str]) -> DataFrame:
     Headings open sections; what comes before the first one is section 0. The
     group of a section is the one named by the last heading with a code; a
     numbered heading without a code ends it.
+
+    Headings are found in one pass over the texts, numbered among themselves and
+    stored; units then take the last heading before them.
     """
     columns = units.columns
     style = F.col("style") if "style" in columns else None
     textual = F.size(F.coalesce(F.col("rows"), F.array().cast(_NO_ROWS))) == 0 if "rows" in columns else F.lit(True)
-    ref = parse_reference("text")
-    flagged = (
-        units.withColumn("is_heading", textual & (clean_text("text") != "") & is_section_heading(F.col("text"), style))
-        .withColumn("_ref", ref)
-        .withColumn(
-            "_state",
-            F.when(F.col("is_heading") & (F.col("_ref.code").isNotNull() | is_numbered_heading("text")), F.col("_ref")),
-        )
-        .withColumn(
-            "_head",
-            F.when(
-                F.col("is_heading"),
-                F.struct(F.col("text").alias("title"), classify_heading("text").alias("category")),
-            ),
-        )
+    found = stage(
+        units.where(textual & (clean_text("text") != "") & is_section_heading(F.col("text"), style)).select(
+            *keys,
+            "ord",
+            F.col("text").alias("section_title"),
+            classify_heading("text").alias("category"),
+            parse_reference("text").alias("_ref"),
+            is_numbered_heading("text").alias("_numbered"),
+        ),
+        "headings",
     )
+    changes = F.when(F.col("_ref.code").isNotNull() | F.col("_numbered"), F.col("_ref"))
     numbered = running(
-        flagged,
+        found,
         keys,
         ["ord"],
-        {
-            "section_no": Running("sum", F.col("is_heading").cast("bigint")),
-            "_group": Running("last", F.col("_state")),
-            "_section": Running("last", F.col("_head")),
-        },
+        {"section_no": Running("sum", F.lit(1).cast("bigint")), "_group": Running("last", changes)},
+    )
+    headings = stage(
+        numbered.select(
+            *keys, "ord", F.col("ord").alias("_at"), "section_no", "section_title", "category",
+            F.col("_group.code").alias("group_code"),
+            F.when(F.col("_group.code").isNotNull(), F.col("_group.name")).alias("group_name"),
+        ),
+        "sections",
+    )
+    carried = asof_last(
+        units, headings, keys, "ord", ["_at", "section_no", "section_title", "category", "group_code", "group_name"]
     )
-    return numbered.select(
+    return carried.select(
         *columns,
-        "is_heading",
-        "section_no",
-        F.coalesce("_section.title", F.lit("")).alias("section_title"),
-        F.coalesce("_section.category", F.lit(rules.OTHER_CATEGORY)).alias("category"),
-        F.col("_group.code").alias("group_code"),
-        F.when(F.col("_group.code").isNotNull(), F.col("_group.name")).alias("group_name"),
+        F.coalesce(F.col("_at") == F.col("ord"), F.lit(False)).alias("is_heading"),
+        F.coalesce("section_no", F.lit(0)).alias("section_no"),
+        F.coalesce("section_title", F.lit("")).alias("section_title"),
+        F.coalesce("category", F.lit(rules.OTHER_CATEGORY)).alias("category"),
+        "group_code",
+        "group_name",
     )
 
 
@@ -175,28 +172,18 @@ def sections_of(
     segmented: DataFrame, keys: list[str], prefix: str = "technical-section-", width: int = 4
 ) -> DataFrame:
     """One row per section; the untitled opening section counts when it has units."""
-    first = segmented.groupBy(*keys).agg(
-        F.min_by(F.col("is_heading"), F.col("ord")).alias("_starts_titled")
+    described = F.struct("section_title", "category", "group_code", "group_name")
+    sections = stage(
+        segmented.groupBy(*keys, "section_no").agg(F.min_by(described, "ord").alias("_d")).select(*keys, "section_no", "_d.*"),
+        "sections",
     )
-    titled = segmented.where("is_heading").select(
-        *keys, "section_no", "section_title", "category", "group_code", "group_name", "ord"
-    )
-    untitled = first_rows(
-        segmented.where("section_no = 0").withColumn("_o", F.col("ord")),
-        keys,
-        ["ord"],
-        "section_no", "section_title", "category", "group_code", "group_name", "_o",
-    ).withColumnRenamed("_o", "ord")
-    position = F.col("section_no") - F.when(F.col("_starts_titled"), 1).otherwise(0)
-    return (
-        titled.unionByName(untitled)
-        .join(first, keys)
-        .select(
-            *keys,
-            ordinal_id(position, prefix, width).alias("section_id"),
-            position.alias("section_ord"),
-            "section_no", "section_title", "category", "group_code", "group_name",
-        )
+    untitled = sections.where("section_no = 0").select(*keys, F.lit(0).alias("_shift"))
+    position = F.col("section_no") - F.coalesce("_shift", F.lit(1))
+    return sections.join(untitled, keys, "left").select(
+        *keys,
+        ordinal_id(position, prefix, width).alias("section_id"),
+        position.alias("section_ord"),
+        "section_no", "section_title", "category", "group_code", "group_name",
     )
 
 
@@ -211,19 +198,12 @@ def body_regions(units: DataFrame, keys: list[str]) -> DataFrame:
     for heading, name in rules.REGION_HEADINGS.items():
         category = F.when(key == heading, name).otherwise(category)
     boundary = category.isNotNull() | starts_any(key, rules.REGION_BOUNDARIES)
-    marked = units.select(*keys, "ord", "text", category.alias("_cat"), boundary.alias("_edge"))
-    inside = running(
-        marked,
-        keys,
-        ["ord"],
-        {
-            "region_no": Running("sum", F.col("_edge").cast("bigint")),
-            "_open": Running("last", F.when(F.col("_edge"), F.struct(F.col("_cat").alias("category")))),
-        },
-    )
-    body = inside.where(~F.col("_edge") & F.col("_open.category").isNotNull() & (clean_text("text") != "")).select(
-        *keys, "ord", "text", "region_no", F.col("_open.category").alias("category")
-    )
+    edges = units.where(boundary).select(*keys, "ord", F.col("ord").alias("_at"), category.alias("category"))
+    numbered = stage(ordinal(edges, keys, ["ord"], "region_no"), "regions")
+    inside = asof_last(units.select(*keys, "ord", "text"), numbered, keys, "ord", ["_at", "region_no", "category"])
+    body = inside.where(
+        (F.col("ord") != F.col("_at")) & F.col("category").isNotNull() & (clean_text("text") != "")
+    ).select(*keys, "ord", "text", "region_no", "category")
     return ordinal(body, [*keys, "region_no"], ["ord"], "slot_no")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.similarity import jaccard_of_tokens, key_tokens, name_similarity
+from .staging import stage
 
 _ROUNDING = 0.00005  # scores are compared after rounding to four digits
 _EPS = 1e-9
@@ -36,12 +37,13 @@ def _rarest_first(names: DataFrame, scope: list[str]) -> DataFrame:
     """Words of each name, rarest first within the scope; ties by the word itself."""
     words = names.select(*scope, "side", "key", F.explode(key_tokens(F.col("key"))).alias("word"))
     counts = words.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("n"))
-    return (
+    ranked = (
         words.join(counts, [*scope, "word"])
         .groupBy(*scope, "side", "key")
         .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
         .select(*scope, "side", "key", F.transform("ranked", lambda x: x["word"]).alias("words"))
     )
+    return stage(ranked, "words")
 
 
 def _word_pairs(names: DataFrame, scope: list[str], floor: float) -> DataFrame:
@@ -126,13 +128,16 @@ def near_name_pairs(
 
     ``left`` and ``right`` hold ``scope`` and ``key``. Empty keys match nothing.
     """
-    lefts = left.where("key <> ''").select(*scope, "key").distinct()
-    rights = right.where("key <> ''").select(*scope, "key").distinct()
+    sides = left.select(*scope, "key", F.lit("l").alias("side")).unionByName(
+        right.select(*scope, "key", F.lit("r").alias("side"))
+    )
+    names = stage(sides.where("key <> ''").distinct(), "names")
+    lefts = names.where("side = 'l'").drop("side")
+    rights = names.where("side = 'r'").drop("side")
     equal = lefts.join(rights, [*scope, "key"]).select(
         *scope, F.col("key").alias("left_key"), F.col("key").alias("right_key"),
         F.lit(1.0).alias("similarity"),
     )
-    names = lefts.withColumn("side", F.lit("l")).unionByName(rights.withColumn("side", F.lit("r")))
     pairs = _word_pairs(names, scope, floor - _ROUNDING)
     if mode == "sequence":
         ratio = (floor - _ROUNDING) / rules.SEQUENCE_WEIGHT
@@ -144,4 +149,4 @@ def near_name_pairs(
         .withColumn("similarity", name_similarity(F.col("left_key"), F.col("right_key"), mode))
         .where(F.col("similarity") >= floor)
     )
-    return equal.unionByName(near)
+    return stage(equal.unionByName(near), "pairs")

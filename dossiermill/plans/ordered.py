@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 STRETCH = 8192
 _S = "_stretch"
@@ -116,3 +117,54 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str], *columns: str)
     return df.groupBy(*keys).agg(
         F.min_by(F.struct(*columns), position).alias("_first")
     ).select(*keys, "_first.*")
+
+
+def asof_last(
+    df: DataFrame, events: DataFrame, keys: list[str], ord_col: str, columns: list[str]
+) -> DataFrame:
+    """Give every row the ``columns`` of the last event at or before its position.
+
+    ``events`` holds ``keys``, ``ord_col`` and ``columns``; it is read twice and
+    should be a small or stored table. The rows of ``df`` are shuffled once. What a
+    stretch inherits is found from the events and from the bare positions of
+    ``df``, a scan that needs none of its other columns.
+    """
+    parts = [*keys, _S]
+    value = F.struct(*columns)
+    at = stretch_of(ord_col)
+    ends = events.withColumn(_S, at).groupBy(*parts).agg(F.max_by(value, F.col(ord_col)).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
+    inherited = (
+        df.select(*keys, at.alias(_S))
+        .distinct()
+        .join(ends, parts, "left")
+        .select(*parts, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    )
+    empty = events.schema
+    fields = {f.name: f.dataType for f in empty.fields}
+    rows = df.withColumn("_event", F.lit(None).cast(_struct_type(fields, columns))).withColumn("_tag", F.lit(1))
+    marks = events.select(
+        *[F.col(c) if c in {*keys, ord_col} else F.lit(None).cast(t).alias(c) for c, t in _types(df)],
+        value.cast(_struct_type(fields, columns)).alias("_event"),
+        F.lit(0).alias("_tag"),
+    )
+    inside = (
+        Window.partitionBy(*parts).orderBy(ord_col, "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.unionByName(marks)
+        .withColumn(_S, at)
+        .withColumn("_here", F.last("_event", ignorenulls=True).over(inside))
+        .where("_tag = 1")
+        .join(inherited, parts, "left")
+        .withColumn("_last", F.coalesce("_here", "_carried"))
+        .select(*df.columns, *[F.col(f"_last.{c}").alias(c) for c in columns])
+    )
+
+
+def _types(df: DataFrame):
+    return [(f.name, f.dataType) for f in df.schema.fields]
+
+
+def _struct_type(fields, columns: list[str]) -> StructType:
+    return StructType([StructField(c, fields[c], True) for c in columns])

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from ..operators import analyses as AN
 from ..operators import media as M
 from ..operators import reconcile as R
+from ..plans.staging import stage
 from . import sqltext as Q
 from .inputs import cte, derive, load
 from .registry import query
 
 
 def prepared(spark, sf):
-    groups = R.official_groups(derive(spark, sf, "groups"))
+    groups = stage(R.official_groups(derive(spark, sf, "groups")), "registry")
     blocks = R.with_hints(derive(spark, sf, "blocks"))
     return blocks, groups
 
 
 def planned(spark, sf, mode="jaccard"):
     blocks, groups = prepared(spark, sf)
-    return blocks, groups, R.build_plan(blocks, R.candidates(blocks, groups, mode))
+    return blocks, groups, R.build_plan(blocks, groups, mode)
 
 
 _PREP = f"""{cte('groups', 'blocks')}, g AS (SELECT job_id, ord, code, name, {Q.group_name('name')} AS nk FROM groups),
@@ -50,14 +51,14 @@ def reconcile_summary(spark, sf):
 )
 def jn_candidates(spark, sf):
     blocks, groups = prepared(spark, sf)
-    return R.candidates(blocks, groups, "jaccard").drop("official_ord")
+    return R.candidates(R.distinct_hints(blocks), groups, "jaccard").drop("official_ord")
 
 
 @query("jn_candidates_sequence")
 def jn_candidates_sequence(spark, sf):
     """With the sequence ratio; compared with brute force in the tests."""
     blocks, groups = prepared(spark, sf)
-    return R.candidates(blocks, groups, "sequence").drop("official_ord")
+    return R.candidates(R.distinct_hints(blocks), groups, "sequence").drop("official_ord")
 
 
 @query(
@@ -66,7 +67,7 @@ def jn_candidates_sequence(spark, sf):
 )
 def so_rank_candidates(spark, sf):
     blocks, groups = prepared(spark, sf)
-    return R.rank_candidates(R.candidates(blocks, groups, "jaccard")).select(
+    return R.rank_candidates(R.candidates(R.distinct_hints(blocks), groups, "jaccard")).select(
         "job_id", "code_hint", "name_key", "official_code", "rank"
     )
 
@@ -88,6 +89,7 @@ _DECIDE = f"""{_PLAN}, d AS (SELECT job_id, source_id, CASE WHEN source_id % 3 =
 
 def decided(spark, sf):
     blocks, groups, plan = planned(spark, sf)
+    plan = stage(plan, "plan")
     open_items = plan.where("status = 'needs_review' and source_id % 3 < 2")
     follower = F.concat(F.lit("GHE "), (F.col("p_size") % 50 + 1).cast("string"))
     decisions = open_items.select(
@@ -211,7 +213,7 @@ _MEDIA = f"""{cte('groups', 'media')}, g AS (SELECT job_id, ord, code, name, {Q.
 
 
 def associated(spark, sf):
-    groups = R.official_groups(derive(spark, sf, "groups"))
+    groups = stage(R.official_groups(derive(spark, sf, "groups")), "registry")
     media = R.with_hints(derive(spark, sf, "media").withColumnRenamed("code_hint", "raw_code"), "raw_code", "name_hint")
     return R.associate_media(media, groups, "jaccard"), groups
 
@@ -226,7 +228,7 @@ def jn_associate_media(spark, sf):
     f"{_MEDIA} SELECT DISTINCT job_id, nk AS name_key, name_code AS best_code FROM best WHERE name_code IS NOT NULL",
 )
 def so_top1_with_margin(spark, sf):
-    groups = R.official_groups(derive(spark, sf, "groups"))
+    groups = stage(R.official_groups(derive(spark, sf, "groups")), "registry")
     media = R.with_hints(derive(spark, sf, "media").withColumnRenamed("code_hint", "raw_code"), "raw_code", "name_hint")
     return R.top1_with_margin(media, groups, 0.82, "jaccard").select("job_id", "name_key", "best_code")
 

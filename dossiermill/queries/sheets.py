@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import registry as R
 from ..plans.ordered import ordinal
+from ..plans.staging import stage
 from .inputs import load
 from .registry import query
 
@@ -70,9 +71,10 @@ def sheet(spark, sf):
             )
         ).alias("r"),
     ).select("job_id", "r.*")
-    return body.unionByName(extra).select(
+    rows = body.unionByName(extra).select(
         "job_id", F.lit("GHEs").alias("sheet"), F.lit(1).alias("sheet_ord"), "row_no", "cells"
     )
+    return stage(rows, "sheet")  # a sheet is a stored table wherever it comes from
 
 
 _ROWS_SQL = f"""WITH li AS ({_LINE} lineitem), rn AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {', '.join(_ORDER)}) AS rn FROM li),
@@ -97,7 +99,7 @@ def wn_detect_header(spark, sf):
 
 def _rows(spark, sf):
     rows = sheet(spark, sf)
-    return R.data_rows(rows, R.detect_header(rows))
+    return stage(R.data_rows(rows, R.detect_header(rows)), "sheet-rows")
 
 
 @query("wn_forward_fill", f"{_ROWS_SQL} SELECT job_id, row_no, own AS own_code, code AS group_code FROM w WHERE code IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import analyses as AN
 from ..operators import segments as G
+from ..plans.staging import stage
 from ..sources.html import html_units
 from . import sqltext as Q
 from .inputs import cte, derive, load, text_lines
@@ -276,7 +277,10 @@ def ag_pivot_sections(spark, sf):
 )
 def st_union_sources(spark, sf):
     """The same report as both sources: twice the sections, numbered on."""
-    sections = G.sections_of(G.segment_sections(report_units(spark, sf), ["job_id"]), ["job_id"]).select(
-        "job_id", "section_ord", "section_title"
+    sections = stage(
+        G.sections_of(G.segment_sections(report_units(spark, sf), ["job_id"]), ["job_id"]).select(
+            "job_id", "section_ord", "section_title"
+        ),
+        "sections",
     )
     return AN.union_sources([("psychosocial_agent", sections), ("ergonomic_agent", sections)])
