@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import CHECKS, QUERIES, Query
 
-_MODULES = ["scalars", "sources", "units", "sheets", "matching"]
+_MODULES = ["scalars", "sources", "units", "sheets", "matching", "checks", "lineage"]
 
 
 def _load() -> None:
