@@ -74,8 +74,8 @@ def names(rng, n):
     while len(out) < n:
         base = " ".join(rng.choice(words) for _ in range(rng.randint(1, 8)))
         for _ in range(rng.randint(0, 3)):
-            i = rng.randint(0, len(base) - 1)
-            base = base[:i] + rng.choice(["", "x", base[i] * 2]) + base[i + 1:]
+            i = rng.randint(0, max(len(base) - 1, 0))
+            base = base[:i] + rng.choice(["", "x", base[i:i + 1] * 2]) + base[i + 1:]
         base = " ".join(base.split())
         if base:
             out.add(base)
