@@ -37,7 +37,7 @@ def folding_tables() -> tuple[str, str, dict[str, str]]:
         if 0xD800 <= number <= 0xDFFF:
             continue
         ch = chr(number)
-        folded = fold_code_point(ch)
+        folded = "" if ch == "\0" else fold_code_point(ch)
         if folded == "":
             dropped.append(ch)
         elif len(folded) > 1 and folded.strip():

@@ -6,6 +6,7 @@ scan, these projections and a partial aggregate stay in one stage.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -15,7 +16,9 @@ from .. import rules
 from .folding import digit_tables, folding_tables
 
 # The whitespace that text cleaning collapses (Java syntax).
-WHITESPACE = r"[\s\x0B\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITESPACE = (
+    r"[[^\x21-\x7e]&&[\t\n\x0B\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]+"
+)
 # The reference pattern, with group 1 the number, group 2 the name.
 _CODE = r"\b%s\s*(?:N[º°o.]?\s*)?[-_:./]?\s*0*(\d{1,4})\b"
 _CODE_AND_NAME = _CODE + r"(?:\s*[-–—:|]\s*([^\r\n]+))?"
@@ -31,19 +34,17 @@ def _col(c) -> Column:
 
 
 def any_of(key: Column, words: Iterable[str]) -> Column:
-    """True when ``key`` contains one of ``words``."""
-    test = F.lit(False)
-    for word in words:
-        test = test | key.contains(word)
-    return test
+    """True when ``key`` contains one of ``words``.
+
+    One pattern rather than a chain of tests: filters do not share subexpressions,
+    so a chain would make the key anew for every word.
+    """
+    return key.rlike("|".join(re.escape(w) for w in words))
 
 
 def starts_any(key: Column, prefixes: Iterable[str]) -> Column:
     """True when ``key`` starts with one of ``prefixes``."""
-    test = F.lit(False)
-    for prefix in prefixes:
-        test = test | key.startswith(prefix)
-    return test
+    return key.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
 
 
 def clean_text(c) -> Column:
@@ -79,9 +80,12 @@ def normalize_key(c) -> Column:
     """Accent-, case- and punctuation-insensitive comparison key."""
     source, target, multi = folding_tables()
     rest = {ch: text for ch, text in multi.items() if ch != "ß"}
-    text = F.replace(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit("ß"), F.lit("ss"))
-    text = F.translate(_fold_multi(text, rest), source, target)
-    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+    text = F.replace(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit("\0"), F.lit(""))
+    # as many bytes as characters: plain ASCII, where lower case is all there is to fold
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(_fold_multi(F.replace(text, F.lit("ß"), F.lit("ss")), rest), source, target)
+    )
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def _digits(c: Column) -> Column:
@@ -184,7 +188,7 @@ def looks_like_heading(text, style=None) -> Column:
     )
     medium = (F.length(body) <= 160) & (
         _code_of_clean(body, rules.CODE_PREFIX).isNotNull()
-        | (classify_heading(body) != rules.OTHER_CATEGORY)
+        | any_of(normalize_key(body), [p for _, phrases in rules.HEADING_CATEGORIES for p in phrases])
     )
     return (body != "") & (starts_any(style_key, rules.HEADING_STYLES) | medium | short)
 
@@ -321,26 +325,25 @@ def label_kind(c) -> Column:
 
 def cells_key(cells) -> Column:
     """Comparison key of a whole row of cells."""
-    return normalize_key(F.array_join(F.transform(_col(cells), clean_text), " "))
+    return normalize_key(F.array_join(_col(cells), " "))
 
 
 def question_row(cells) -> Column:
     """``struct(question, answer, note)`` of a question-table row, NULL when it is none."""
-    values = F.transform(_col(cells), clean_text)
-    first = F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(""))
-    second = F.coalesce(F.try_element_at(values, F.lit(2)), F.lit(""))
-    third = F.coalesce(F.try_element_at(values, F.lit(3)), F.lit(""))
+    values = _col(cells)
+    first, second, third = (clean_text(F.try_element_at(values, F.lit(i))) for i in (1, 2, 3))
     answer_pattern = r"(?i)(?:[✅☑✓❌✗]\s*)?(Sim|Não|Nao)\s*$"
     answer = F.regexp_extract(second, answer_pattern, 1)
     numbered = (F.size(values) == 2) & first.rlike(r"(?U)^\d+$") & (answer != "")
     plain = (F.size(values) >= 2) & (
         first.rlike(r"(?U)^\d+(?:[.) -]|$)") | normalize_key(second).isin(rules.QUESTION_ANSWERS)
     )
-    skipped = ~F.exists(values, lambda x: x != "") | starts_any(
-        cells_key(values), rules.QUESTION_SKIP_PREFIXES
-    )
+    # a skipped opening needs letters, so the key is only made for rows that could count
+    skipped = starts_any(cells_key(values), rules.QUESTION_SKIP_PREFIXES)
+    possible = numbered | plain
     return (
-        F.when(skipped, None)
+        F.when(~possible, None)
+        .when(skipped, None)
         .when(
             numbered,
             F.struct(

@@ -45,14 +45,39 @@ def header_score(columns: Column) -> Column:
     return score
 
 
+def may_be_header(cells: Column) -> Column:
+    """Cheap test that no row with an identity column, or with all four detail columns, fails.
+
+    One key is made per row instead of one per cell; ``zqz`` stands for the borders
+    between cells.
+    """
+    key = normalize_key(F.concat(F.lit("zqz "), F.array_join(cells, " zqz ", ""), F.lit(" zqz")))
+    # one pattern, because a filter makes the key anew for every test in it
+    def words(values: list[str]) -> str:
+        return "(?:" + "|".join(values) + ")"
+
+    exact = "zqz " + words(rules.COMBINED_HEADERS) + " zqz"
+    named = "(?=.*ghe).*" + words([*rules.COMBINED_WORDS, *rules.CODE_WORDS])
+    details = "".join(
+        f"(?=.*{words(w)})"
+        for w in (
+            rules.SECTOR_WORDS, rules.ROLE_WORDS, [*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES],
+            rules.PERSON_HEADERS,
+        )
+    )
+    return key.rlike(f"{exact}|^{named}|^{details}")
+
+
 def detect_header(rows: DataFrame) -> DataFrame:
     """The header row of each job: ``job_id, sheet, sheet_ord, row_no, score, columns``.
 
     Among the first 60 rows of every sheet, the first perfect one wins, else the
     best score, earliest on ties. Jobs whose best row is not usable give no row.
+    Rows that can neither be usable nor reach a usable row's score are left out
+    by one cheap test first.
     """
     scored = (
-        rows.where(F.col("row_no") <= rules.HEADER_SCAN_ROWS)
+        rows.where((F.col("row_no") <= rules.HEADER_SCAN_ROWS) & may_be_header(F.col("cells")))
         .withColumn("columns", header_columns(F.col("cells")))
         .withColumn("score", header_score(F.col("columns")))
         .withColumn(
