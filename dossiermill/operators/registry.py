@@ -27,15 +27,26 @@ from ..plans.ordered import Running, running, stretch_of
 JOB = "job_id"
 
 
-def header_columns(cells: Column) -> Column:
-    """Position (from 1) of the first column of each kind, and all person columns."""
-    keys = F.transform(cells, normalize_key)
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later expressions read many times.
+
+    Projections are merged, which would copy the expression into each of its
+    readers; a generator of one row is a border they do not cross.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_header_columns(rows: DataFrame) -> DataFrame:
+    """Add ``columns``: place (from 1) of the first column of each kind, and all person columns."""
+    keys = F.transform("cells", normalize_key)
     kinds = F.transform(keys, lambda k: F.coalesce(column_kind_of_key(k), F.lit("")))
-    first = [F.nullif(F.array_position(kinds, kind), F.lit(0)).cast("int").alias(kind) for kind in rules.COLUMN_KINDS]
+    first = [
+        F.nullif(F.array_position("_kinds", kind), F.lit(0)).cast("int").alias(kind) for kind in rules.COLUMN_KINDS
+    ]
     persons = F.filter(
-        F.transform(kinds, lambda k, i: F.when(k == "person", i + 1)), lambda i: i.isNotNull()
+        F.transform("_kinds", lambda k, i: F.when(k == "person", i + 1)), lambda i: i.isNotNull()
     ).alias("person")
-    return F.struct(*first, persons)
+    return _once(_once(rows, "_kinds", kinds), "columns", F.struct(*first, persons)).drop("_kinds")
 
 
 def header_score(columns: Column) -> Column:
@@ -76,9 +87,9 @@ def detect_header(rows: DataFrame) -> DataFrame:
     Rows that can neither be usable nor reach a usable row's score are left out
     by one cheap test first.
     """
+    possible = rows.where((F.col("row_no") <= rules.HEADER_SCAN_ROWS) & may_be_header(F.col("cells")))
     scored = (
-        rows.where((F.col("row_no") <= rules.HEADER_SCAN_ROWS) & may_be_header(F.col("cells")))
-        .withColumn("columns", header_columns(F.col("cells")))
+        with_header_columns(possible)
         .withColumn("score", header_score(F.col("columns")))
         .withColumn(
             "usable",
@@ -283,8 +294,7 @@ def detail_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
     named = rows.withColumn("code", canonical_code("sheet")).where("code is not null")
     known = named.join(groups.select(JOB, "code").distinct(), [JOB, "code"], "left_semi")
     heads = (
-        known.where(F.col("row_no") <= rules.DETAIL_SCAN_ROWS)
-        .withColumn("columns", header_columns(F.col("cells")))
+        with_header_columns(known.where(F.col("row_no") <= rules.DETAIL_SCAN_ROWS))
         .where("columns.sector is not null and columns.role is not null")
         .groupBy(JOB, "sheet_ord")
         .agg(F.min_by(F.struct("row_no", "columns"), "row_no").alias("_h"))
