@@ -1,44 +1,52 @@
 """Intermediate tables that several branches of a plan read.
 
-A small table that is costly to make and read more than once (distinct names,
-headings, candidates) is written once to the shared folder named by
-``spark.checkpoint.dir`` and read back: it survives lost executors, cuts the
-lineage, and gives the optimizer a real size to choose joins by.
+A table that is costly to make and read more than once (distinct names, headings,
+candidates, the edges of a round) is written once to shared storage and read back:
+it survives lost executors, cuts the lineage, and gives the optimizer a real size
+to choose joins by. Shared storage is the folder that the cluster names in
+``spark.checkpoint.dir``; where that is unset it is the session's warehouse. A
+folder of one machine is never used.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: list[str] = []
+_staged: list[str] = []
 
 
-def staging_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; in local mode without one, a temporary folder."""
+def staging_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="spark-stage-"))
-    return "file://" + _local_folder[0]
+    return (shared or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/dossiermill"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
 
-    On a cluster without a shared folder it is kept on the executors instead and
-    recomputed where one is lost.
-    """
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back; the executors that made it may go."""
     spark = df.sparkSession
-    folder = staging_folder(spark)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder}/dossiermill/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one staged table through Hadoop's file system, whatever the storage is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _staged:
+        _staged.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has staged; call it when no DataFrame over it is needed any more."""
+    for path in list(_staged):
+        remove(spark, path)
