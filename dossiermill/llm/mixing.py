@@ -107,17 +107,22 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MA
         ),
         "mix-order",
     )
-    certain = ordered.groupBy("_key").agg(
-        F.greatest(F.lit(0.0), F.first("target") - F.sum(F.col("_sure") * F.col("size"))).alias("_rest")
+    # tables of one row per source are written, so that their joins leave the rows of a hot source where they are
+    certain = stage(
+        ordered.groupBy("_key").agg(F.greatest(F.lit(0.0), F.first("target") - F.sum(F.col("_sure") * F.col("size"))).alias("_rest")),
+        "mix-certain",
     )
     open_rows = ordered.join(certain, "_key")
     fits = (F.col("_size") > 0) & (F.col("_before") + F.col("_size") <= F.col("_rest"))
     # what the whole head leaves open, and the later document that comes nearest to it
-    gaps = open_rows.groupBy("_key").agg((F.first("_rest") - F.coalesce(F.sum(F.when(fits, F.col("_size"))), F.lit(0))).alias("_gap"))
+    gaps = stage(
+        open_rows.groupBy("_key").agg((F.first("_rest") - F.coalesce(F.sum(F.when(fits, F.col("_size"))), F.lit(0))).alias("_gap")),
+        "mix-gaps",
+    )
     beyond = open_rows.where(~fits & (F.col("_size") > 0)).join(gaps, "_key")
     off = F.abs(F.col("_size") - F.col("_gap"))
     closing = beyond.where(off < F.col("_gap")).groupBy("_key").agg(F.min(F.struct(off.alias("off"), F.col("_before").alias("at"))).alias("_close"))
-    last = certain.join(closing, "_key", "left").select("_key", "_rest", F.col("_close.at").alias("_at"))
+    last = stage(certain.join(closing, "_key", "left").select("_key", "_rest", F.col("_close.at").alias("_at")), "mix-last")
     extra = (fits | ((F.col("_size") > 0) & (F.col("_before") == F.col("_at")))).cast("bigint")
     return ordered.join(last, "_key").select(
         "doc_id", "source", "size", "source_size", "target", (F.col("_sure") + F.coalesce(extra, F.lit(0))).alias("copies")
