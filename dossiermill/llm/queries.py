@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_rules, sharding, simhash
+from . import language_id, mixing, pieces, quality_rules, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +98,23 @@ def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "text")
+    coded = pieces.encode(docs, vocabulary("piece_bpe_32k.model"), keep=("doc_id", "n_bytes"))
+    ids_text = F.array_join(F.col("piece_ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", "n_bytes", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.md5(ids_text).alias("ids_md5"), "parity", "round_trip"
+    )
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
