@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, pieces, quality_rules, sharding, simhash, token_counts, url_filters
+from ..plans.staging import stage
+from . import language_id, media, mixing, pieces, quality_model, quality_rules, sharding, simhash, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +40,23 @@ def llm_checks() -> dict[str, str]:
 SQL_UNIT = "((CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT))::DOUBLE + 0.5) / 4503599627370496.0"
 
 
+@query("op1_media_columns")
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, index, folder = media.media_columns(table(spark, sf_dir, "documents"))
+    facts = stage(media.with_facts(index, folder), "media-facts")
+    return rows.join(facts, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256",
+        "feature", "width", "height", "digest", "shard", "offset",
+    )
+
+
+@query("op2_quality_trees")
+def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language_id.remainder("doc_id", 3) == 1
+    scored = quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query(
     "op4_mix_sources",
     f"""
