@@ -131,3 +131,22 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MA
 
 def sized_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
+
+
+def _same(key: Column, source: Column, size: Column) -> Column:
+    parts = [F.coalesce(key.cast("string"), F.lit("")), F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)), size.cast("string")]
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def repeat(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with every document as often as the mix takes it, and all its columns.
+
+    Documents are known by id, source and size; rows that share all three, which have
+    equal draws, each get the larger of their counts.
+    """
+    mixed = mix(sized_documents(docs, key, text, source), weights, max_copies).where("copies > 0")
+    taken = stage(
+        mixed.groupBy(_same(F.col("doc_id"), F.col("source"), F.col("size")).alias("own")).agg(F.max("copies").cast("int").alias("copies")), "mix-taken"
+    )
+    rows = docs.select(F.struct("*").alias("row"), _same(F.col(key), F.col(source), count_words(F.col(text))).alias("own"))
+    return rows.join(taken, "own").select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "row").select("row.*")
