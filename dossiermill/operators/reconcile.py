@@ -385,13 +385,19 @@ def select_blocks_for_output(
     return by_list.unionByName(blocks.join(placed, [JOB, "source_id"]))
 
 
+UNMATCHED = 1 << 40
+
+
 def official_order(plan: DataFrame, groups: DataFrame) -> DataFrame:
-    """Place of each item: the registry position, or behind all of it by block order."""
+    """Place of each item: the registry position, or behind all of it by block order.
+
+    Unmatched items start at ``UNMATCHED``, above any registry position.
+    """
     official = groups.select(JOB, F.col("code").alias("_c"), F.col("ord").alias("_o"))
     return (
         plan.withColumn("_c", F.coalesce(canonical_code("official_code"), F.lit("")))
         .join(official, [JOB, "_c"], "left")
-        .withColumn("place", F.coalesce("_o", F.lit(10_000) + F.col("ord")).cast("bigint"))
+        .withColumn("place", F.coalesce("_o", F.lit(UNMATCHED) + F.col("ord")).cast("bigint"))
         .drop("_c", "_o")
     )
 

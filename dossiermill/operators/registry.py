@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import (
+    any_of,
     canonical_code,
     cells_key,
     clean_text,
@@ -23,6 +24,7 @@ from ..functions.text import (
     starts_any,
 )
 from ..plans.ordered import Running, running, stretch_of
+from ..plans.staging import stage
 
 JOB = "job_id"
 
@@ -57,37 +59,43 @@ def header_score(columns: Column) -> Column:
 
 
 def may_be_header(cells: Column) -> Column:
-    """Cheap test that no row with an identity column, or with all four detail columns, fails.
+    """Cheap test that every row with a usable row's score passes.
 
-    One key is made per row instead of one per cell; ``zqz`` stands for the borders
-    between cells.
+    One key is made per row instead of one per cell, and the words of each column
+    kind are looked for anywhere in it: their weights together are never below the
+    row's score, and a row below ``HEADER_USABLE`` cannot keep a usable row from
+    winning.
     """
-    key = normalize_key(F.concat(F.lit("zqz "), F.array_join(cells, " zqz ", ""), F.lit(" zqz")))
-    # one pattern, because a filter makes the key anew for every test in it
-    def words(values: list[str]) -> str:
-        return "(?:" + "|".join(values) + ")"
-
-    exact = "zqz " + words(rules.COMBINED_HEADERS) + " zqz"
-    named = "(?=.*ghe).*" + words([*rules.COMBINED_WORDS, *rules.CODE_WORDS])
-    details = "".join(
-        f"(?=.*{words(w)})"
-        for w in (
-            rules.SECTOR_WORDS, rules.ROLE_WORDS, [*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES],
-            rules.PERSON_HEADERS,
-        )
-    )
-    return key.rlike(f"{exact}|^{named}|^{details}")
-
 
-def detect_header(rows: DataFrame) -> DataFrame:
+    def most(key: Column) -> Column:
+        ghe = key.contains("ghe")
+        found = {
+            "combined": ghe | any_of(key, [h for h in rules.COMBINED_HEADERS if "ghe" not in h]),
+            "code": ghe & any_of(key, rules.CODE_WORDS),
+            "name": ghe & any_of(key, rules.NAME_WORDS),
+            "sector": any_of(key, rules.SECTOR_WORDS),
+            "role": any_of(key, rules.ROLE_WORDS),
+            "population": any_of(key, [*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
+        }
+        score = any_of(key, rules.PERSON_HEADERS).cast("int")
+        for kind, words in found.items():
+            score = score + words.cast("int") * rules.HEADER_WEIGHTS[kind]
+        return score
+
+    key = normalize_key(F.array_join(cells, " zqz ", ""))
+    return F.exists(F.array(key), lambda k: most(k) >= rules.HEADER_USABLE)
+
+
+def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """The header row of each job: ``job_id, sheet, sheet_ord, row_no, score, columns``.
 
-    Among the first 60 rows of every sheet, the first perfect one wins, else the
-    best score, earliest on ties. Jobs whose best row is not usable give no row.
-    Rows that can neither be usable nor reach a usable row's score are left out
-    by one cheap test first.
+    The first perfect row wins, else the best score, earliest on ties. Jobs whose
+    best row is not usable give no row. All rows of every sheet are looked at;
+    ``scan_rows`` limits that to the first ones where a caller wants it. Rows that
+    cannot reach a usable row's score are left out by one cheap test first.
     """
-    possible = rows.where((F.col("row_no") <= rules.HEADER_SCAN_ROWS) & may_be_header(F.col("cells")))
+    near = rows if scan_rows is None else rows.where(F.col("row_no") <= scan_rows)
+    possible = near.where(may_be_header(F.col("cells")))
     scored = (
         with_header_columns(possible)
         .withColumn("score", header_score(F.col("columns")))
@@ -184,8 +192,8 @@ def forward_fill(df: DataFrame, keys: list[str], ord_col: str, column: str, stre
 
 def group_rows(rows: DataFrame) -> DataFrame:
     """Data rows under the group code that is in force; rows before the first code are out."""
-    ref = parse_reference("combined")
-    coded = rows.withColumn("_ref", ref).withColumn("own_code", F.coalesce(F.col("_ref.code"), coerce_code("code")))
+    read = _once(rows, "_ref", parse_reference("combined"))
+    coded = _once(read, "own_code", F.coalesce(F.col("_ref.code"), coerce_code("code")))
     named = coded.select(
         JOB,
         "row_no",
@@ -201,6 +209,7 @@ def group_rows(rows: DataFrame) -> DataFrame:
         F.col("person_present"),
         F.col("has_population"),
     )
+    named = stage(named, "group-rows")  # read twice below, and narrow
     return forward_fill(named, [JOB], "row_no", "group_code").where("group_code is not null")
 
 
@@ -286,15 +295,16 @@ def with_total(groups: DataFrame) -> DataFrame:
     )
 
 
-def detail_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def detail_rows(rows: DataFrame, groups: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Sector and role cells of sheets named after an official group.
 
-    The header of such a sheet is its first row, of 40, with a sector and a role.
+    The header of such a sheet is its first row with a sector and a role, among the
+    first ``scan_rows`` where that is given.
     """
     named = rows.withColumn("code", canonical_code("sheet")).where("code is not null")
     known = named.join(groups.select(JOB, "code").distinct(), [JOB, "code"], "left_semi")
     heads = (
-        with_header_columns(known.where(F.col("row_no") <= rules.DETAIL_SCAN_ROWS))
+        with_header_columns(known if scan_rows is None else known.where(F.col("row_no") <= scan_rows))
         .where("columns.sector is not null and columns.role is not null")
         .groupBy(JOB, "sheet_ord")
         .agg(F.min_by(F.struct("row_no", "columns"), "row_no").alias("_h"))

@@ -21,7 +21,7 @@ from .ordered import ordinal
 from .staging import stage
 
 JOB = "job_id"
-_SOURCE_STEP = 1_000_000_000
+_SOURCE_STEP = 1 << 40
 
 
 @dataclass

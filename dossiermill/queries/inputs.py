@@ -295,9 +295,9 @@ def cte(*names: str) -> str:
 
 
 def text_lines(df: DataFrame, key: str, ord_base, text: str) -> DataFrame:
-    """Non-blank lines of texts as units: ``key, ord, text``; a text has below 100,000 lines."""
+    """Non-blank lines of texts as units: ``key, ord, text``; a text can have 2**32 lines."""
     return (
         df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "text"), ord_base.alias("_base"))
-        .select(key, (F.col("_base") * 100_000 + F.col("_pos")).cast("bigint").alias("ord"), "text")
+        .select(key, (F.col("_base") * (1 << 32) + F.col("_pos")).cast("bigint").alias("ord"), "text")
         .where(F.trim("text") != "")
     )

@@ -154,7 +154,7 @@ def st_select_blocks(spark, sf):
 @query(
     "st_select_for_output",
     f"""{_DECIDE}, e AS ({_EXC}) SELECT b.job_id, b.source_id, e.ordinal AS place FROM b JOIN e ON e.job_id = b.job_id AND e.source_id = b.source_id AND e.action = 'include'
-    UNION ALL SELECT np.job_id, np.source_id, coalesce(g.ord, 10000 + np.ord) FROM np LEFT JOIN g ON g.job_id = np.job_id AND g.code = np.official_code
+    UNION ALL SELECT np.job_id, np.source_id, coalesce(g.ord, 1099511627776 + np.ord) FROM np LEFT JOIN g ON g.job_id = np.job_id AND g.code = np.official_code
     WHERE np.status IN ('auto_matched', 'confirmed') AND np.job_id NOT IN (SELECT job_id FROM e WHERE action = 'include')""",
 )
 def st_select_for_output(spark, sf):
@@ -164,7 +164,7 @@ def st_select_for_output(spark, sf):
 
 @query(
     "so_official_order",
-    f"{_DECIDE} SELECT np.job_id, np.source_id, coalesce(g.ord, 10000 + np.ord) AS place FROM np LEFT JOIN g ON g.job_id = np.job_id AND g.code = np.official_code",
+    f"{_DECIDE} SELECT np.job_id, np.source_id, coalesce(g.ord, 1099511627776 + np.ord) AS place FROM np LEFT JOIN g ON g.job_id = np.job_id AND g.code = np.official_code",
 )
 def so_official_order(spark, sf):
     _, groups, plan, _ = decided(spark, sf)

@@ -18,7 +18,7 @@ _BREAK = r"E'\n'"
 
 def _lines_sql(column: str, source: str = "turns") -> str:
     return (
-        f"SELECT job_id, turn * 100000 + pos AS ord, line AS text FROM (SELECT job_id, turn, unnest(string_split({column}, chr(10))) AS line, "
+        f"SELECT job_id, turn * 4294967296 + pos AS ord, line AS text FROM (SELECT job_id, turn, unnest(string_split({column}, chr(10))) AS line, "
         f"generate_subscripts(string_split({column}, chr(10)), 1) - 1 AS pos FROM {source}) AS t WHERE trim(line) <> ''"
     )
 

@@ -69,8 +69,6 @@ POPULATION_PHRASES = [
 ]
 COLUMN_KINDS = ["code", "name", "combined", "sector", "role", "population"]
 HEADER_WEIGHTS = {"combined": 3, "code": 2, "name": 1, "sector": 1, "role": 1, "population": 1}
-HEADER_SCAN_ROWS = 60
-DETAIL_SCAN_ROWS = 40
 HEADER_PERFECT = 7
 HEADER_USABLE = 4
 TOTAL_ROW_PREFIXES = ["total ", "total geral", "subtotal "]

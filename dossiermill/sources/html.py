@@ -1,131 +1,202 @@
-"""Web pages as ordered semantic units, row by row and without a parser library.
+"""Web pages as ordered semantic units.
 
-Covered: headings, paragraphs, list items, flat tables and images in document
-order. Block elements nested inside a list item end it; a table inside a table
-is read as part of the outer one.
+Headings, paragraphs and list items give one unit each with all the text inside
+them, whatever is nested there; a table gives its rows, rows of tables inside it
+included; images follow the unit they stand in. Tag soup is read as browsers do
+where it matters here: a block ends an open paragraph, and items, rows and cells end
+their predecessors.
+
+Markup nests, which column functions cannot follow, so one small parser runs per
+page in Arrow batches. It only takes pages apart; cleaning and classifying the
+texts stay column expressions.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_text, is_group_heading
 
-_BLOCKS = (
-    "h1|h2|h3|h4|h5|h6|p|li|div|ul|ol|nav|article|section|footer|header|main|aside|form|hr|pre|"
-    "blockquote|dl|dt|dd|body|html|tr|td|th|tbody|thead|figure|figcaption|address"
+_TITLES = {f"h{i}" for i in range(1, 7)}
+_UNITS = _TITLES | {"p", "li"}
+_IMAGES = {"img", "v:imagedata"}
+_SKIPPED = {"script", "style", "head"}
+_BLOCKS = _TITLES | set(
+    "p div ul ol nav article section footer header main aside form hr pre blockquote dl dt dd table figure figcaption address".split()
 )
-_SPLIT = rf"(?i)(?=</?(?:{_BLOCKS})\b)"
-_TABLES = r"(?i)(?=<table\b)|(?<=</table>)"
-_IMAGES = r"(?is)(<(?:img|v:imagedata)\b[^>]*>)"
-
-
-def unescape(c: Column) -> Column:
-    """Character references to characters, by the standard entity names and by number."""
-    packed = "\x02".join(f"{name}\x01{chr(code)}" for name, code in sorted(name2codepoint.items()))
-    table = F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x01"))
-
-    def of_number(digits: Column, base: int) -> Column:
-        code = F.lpad(F.conv(digits, base, 16), 8, "0")
-        return F.when(digits != "", F.decode(F.unhex(code), "UTF-32"))
-
-    def piece(p: Column) -> Column:
-        body = F.regexp_extract(p, r"^&(#?[A-Za-z0-9]+);?", 1)
-        whole = F.regexp_extract(p, r"^(&#?[A-Za-z0-9]+;?)", 1)
-        value = F.coalesce(
-            F.try_element_at(table, body),
-            of_number(F.regexp_extract(body, r"^#(\d{1,6})$", 1), 10),
-            of_number(F.regexp_extract(body, r"^#[xX]([0-9A-Fa-f]{1,5})$", 1), 16),
-        )
-        return F.when(
-            p.startswith("&") & value.isNotNull(),
-            F.concat(value, F.substring(p, F.length(whole) + 1, F.length(p))),
-        ).otherwise(p)
-
-    decoded = F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")
-    return F.when(c.contains("&"), decoded).otherwise(c)
-
-
-def _inner_text(markup: Column) -> Column:
-    return clean_text(unescape(F.regexp_replace(markup, r"(?s)<[^>]*>", " ")))
-
-
-def _after_tag(piece: Column) -> Column:
-    return F.regexp_replace(piece, r"(?s)^<[^>]*>", "")
-
-
-def _images(piece: Column) -> Column:
-    source = r"(?is)\b(?:src|o:href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
-    return F.transform(
-        F.regexp_extract_all(piece, F.lit(_IMAGES), F.lit(1)),
-        lambda tag: _unit(
-            "image",
-            clean_text(unescape(F.concat(*[F.regexp_extract(tag, source, i) for i in (1, 2, 3)]))),
-        ),
-    )
-
-
-def _unit(kind, text: Column, rows: Column | None = None, structural: Column | None = None) -> Column:
-    return F.struct(
-        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
-        text.alias("text"),
-        (F.array().cast("array<array<string>>") if rows is None else rows).alias("rows"),
-        (F.lit(False) if structural is None else structural).alias("structural"),
-    )
-
-
-def _table_units(table: Column) -> Column:
-    rows = F.filter(
-        F.transform(
-            F.filter(F.split(table, r"(?i)(?=<tr\b)"), lambda r: r.rlike(r"(?i)^<tr\b")),
-            lambda r: F.transform(
-                F.filter(F.split(r, r"(?i)(?=<t[hd]\b)"), lambda c: c.rlike(r"(?i)^<t[hd]\b")),
-                lambda c: _inner_text(_after_tag(c)),
-            ),
-        ),
-        lambda cells: F.exists(cells, lambda x: x != ""),
-    )
-    titles = F.filter(F.flatten(F.slice(rows, 1, 3)), lambda c: is_group_heading(c, True))
-    heading = F.when(
-        F.size(titles) > 0, F.array(_unit("heading", F.try_element_at(titles, F.lit(1)), None, F.lit(True)))
-    ).otherwise(F.array().cast("array<struct<kind:string,text:string,rows:array<array<string>>,structural:boolean>>"))
-    body = F.when(F.size(rows) > 0, F.array(_unit("table", F.lit(""), rows))).otherwise(
-        F.array().cast("array<struct<kind:string,text:string,rows:array<array<string>>,structural:boolean>>")
-    )
-    return F.concat(heading, body, _images(table))
-
-
-def _text_units(piece: Column) -> Column:
-    tag = F.lower(F.regexp_extract(piece, r"(?i)^<(h[1-6]|p|li)\b", 1))
-    text = _inner_text(_after_tag(piece))
-    titled = tag.startswith("h")
-    unit = _unit(F.when(titled | is_group_heading(text), "heading").otherwise("text"), text, None, titled)
-    empty = F.array().cast("array<struct<kind:string,text:string,rows:array<array<string>>,structural:boolean>>")
-    return F.concat(F.when((tag != "") & (text != ""), F.array(unit)).otherwise(empty), _images(piece))
-
-
-def page_units(html: Column) -> Column:
-    """Array of ``struct(kind, text, rows, structural)`` in document order."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "head"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    segments = F.split(bare, _TABLES)
-    return F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.when(s.rlike(r"(?i)^<table\b"), _table_units(s)).otherwise(
-                F.flatten(F.transform(F.split(s, _SPLIT), _text_units))
-            ),
-        )
-    )
+# an opening tag ends open tags of its own kind, up to a tag that holds them
+_ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr", "v:imagedata"}
+
+
+class _Table:
+    def __init__(self) -> None:
+        self.rows: list[list[list[str]]] = []
+        self.open_rows: list[int] = []
+        self.open_cells: list[list[str]] = []
+        self.images: list[str] = []
+
+
+class _Pages(HTMLParser):
+    """Units of one page: (kind, text, rows, structural), with kind heading, text, table or image."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.units: list[tuple[str, str, list[list[str]], bool]] = []
+        self.stack: list[str] = []
+        self.unit: tuple[int, str, list[str], list[str]] | None = None
+        self.table: tuple[int, _Table] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _BLOCKS and "p" in self.stack:
+            at = len(self.stack) - 1 - self.stack[::-1].index("p")
+            if not {"table", "td", "th"} & set(self.stack[at:]):
+                self._close(at)
+        ended, holders = _ENDS.get(tag, (set(), set()))
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at] in holders:
+                break
+            if self.stack[at] in ended:
+                self._close(at)
+                if tag != "tr":
+                    break
+        if tag in _IMAGES:
+            given = dict(attrs)
+            self._image(given.get("src") or given.get("o:href") or "")
+        if tag in _VOID:
+            self._text(" ")
+            return
+        self.stack.append(tag)
+        depth = len(self.stack)
+        if self.unit is None and self.table is None and not self._skipped():
+            if tag in _UNITS:
+                self.unit = (depth, tag, [], [])
+            elif tag == "table":
+                self.table = (depth, _Table())
+        elif self.table is not None:
+            t = self.table[1]
+            if tag == "tr":
+                t.open_rows.append(len(t.rows))
+                t.rows.append([])
+            elif tag in ("td", "th") and t.open_rows:
+                cell: list[str] = []
+                t.rows[t.open_rows[-1]].append(cell)
+                t.open_cells.append(cell)
+        self._text(" ")
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.stack:
+            self._close(len(self.stack) - 1 - self.stack[::-1].index(tag))
+
+    def handle_data(self, data: str) -> None:
+        if not self._skipped():
+            self._text(data)
+
+    def finish(self) -> list[tuple[str, str, list[list[str]], bool]]:
+        self.close()
+        self._close(0)
+        return self.units
+
+    def _skipped(self) -> bool:
+        return any(t in _SKIPPED for t in self.stack)
+
+    def _text(self, data: str) -> None:
+        if self.unit is not None:
+            self.unit[2].append(data)
+        elif self.table is not None:
+            for cell in self.table[1].open_cells:
+                cell.append(data)
+
+    def _image(self, source: str) -> None:
+        if self._skipped():
+            return
+        if self.unit is not None:
+            self.unit[3].append(source)
+        elif self.table is not None:
+            self.table[1].images.append(source)
+        else:
+            self.units.append(("image", source, [], False))
+
+    def _close(self, at: int) -> None:
+        """End the tags of the stack from place ``at`` on."""
+        while len(self.stack) > at:
+            depth, tag = len(self.stack), self.stack.pop()
+            if self.unit is not None and self.unit[0] == depth:
+                _, name, text, images = self.unit
+                self.unit = None
+                self.units.append(("heading" if name in _TITLES else "text", "".join(text), [], name in _TITLES))
+                self.units += [("image", s, [], False) for s in images]
+            elif self.table is not None and self.unit is None:
+                t = self.table[1]
+                if tag == "tr" and t.open_rows:
+                    t.open_rows.pop()
+                elif tag in ("td", "th") and t.open_cells:
+                    t.open_cells.pop()
+                if self.table[0] == depth:
+                    self.table = None
+                    self.units.append(("table", "", [["".join(c) for c in row] for row in t.rows], False))
+                    self.units += [("image", s, [], False) for s in t.images]
+            self._text(" ")
+
+
+def parse_page(html: str) -> list[tuple[str, str, list[list[str]], bool]]:
+    """The units of a page in document order, texts as they stand."""
+    pages = _Pages()
+    pages.feed(html)
+    return pages.finish()
+
+
+_UNIT = pa.struct([("kind", pa.string()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("structural", pa.bool_())])
+_TYPE = "array<struct<kind:string,text:string,rows:array<array<string>>,structural:boolean>>"
+
+
+def raw_units(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key`` and ``units``: the parsed units of each page; a null page has none."""
+    schema = T.StructType([pages.schema[key], T.StructField("units", T.ArrayType(T.StructType.fromDDL("kind string, text string, rows array<array<string>>, structural boolean")))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [[dict(zip(("kind", "text", "rows", "structural"), u, strict=True)) for u in parse_page(h.as_py() or "")] for h in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(_UNIT))], names=[key, "units"])
+
+    return pages.select(key, html).mapInArrow(run, schema)
+
+
+def _finished(u: Column) -> Column:
+    """Cleaned units of a parsed one: none if it shows nothing, and a heading before a table that starts with one."""
+
+    def unit(kind: Column, text: Column, rows: Column, structural: Column) -> Column:
+        return F.struct(kind.alias("kind"), text.alias("text"), rows.alias("rows"), structural.alias("structural"))
+
+    no_rows, none = F.array().cast("array<array<string>>"), F.array().cast(_TYPE)
+    rows = F.filter(F.transform(u["rows"], lambda r: F.transform(r, clean_text)), lambda cells: F.exists(cells, lambda c: c != ""))
+
+    def of_table(rows: Column) -> Column:
+        titles = F.filter(F.flatten(F.slice(rows, 1, 3)), lambda c: is_group_heading(c, True))
+        title = F.when(F.size(titles) > 0, F.array(unit(F.lit("heading"), F.try_element_at(titles, F.lit(1)), no_rows, F.lit(True)))).otherwise(none)
+        return F.concat(title, F.when(F.size(rows) > 0, F.array(unit(F.lit("table"), F.lit(""), rows, F.lit(False)))).otherwise(none))
+
+    def of_text(text: Column) -> Column:
+        kind = F.when((u["kind"] == "text") & is_group_heading(text), "heading").otherwise(u["kind"])
+        return F.when((text != "") | (u["kind"] == "image"), F.array(unit(kind, text, no_rows, u["structural"]))).otherwise(none)
+
+    table = F.get(F.transform(F.array(rows), of_table), F.lit(0))
+    text = F.get(F.transform(F.array(clean_text(u["text"])), of_text), F.lit(0))
+    return F.when(u["kind"] == "table", table).otherwise(text)
 
 
 def html_units(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key, ord, kind, text, rows, structural``: one row per unit of each page."""
-    return (
-        pages.select(key, F.posexplode(page_units(F.col(html))).alias("ord", "unit"))
-        .select(key, F.col("ord").cast("bigint").alias("ord"), "unit.*")
-    )
+    units = raw_units(pages, key, html).select(key, F.flatten(F.transform("units", _finished)).alias("units"))
+    return units.select(key, F.posexplode("units").alias("ord", "unit")).select(key, F.col("ord").cast("bigint").alias("ord"), "unit.*")
