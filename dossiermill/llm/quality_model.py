@@ -159,10 +159,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 
 
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
-    """Trees from a bounded, hashed sample of the labelled rows of ``stats``."""
+    """Trees from a sample, about ``rows`` by the hash of their ids, of the labelled rows of ``stats``."""
     marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull())
-    sample = stats.join(marked, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"))
-    got = sample.orderBy("h").limit(rows).select("x", "y").toArrow()
+    sample = stage(stats.join(marked, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")), "labelled")
+    share = int((1 << 30) * rows / max(rows, sample.count()))
+    got = sample.where(F.col("h") < share).select("x", "y").toArrow()
     x = np.array(got.column(0).to_pylist(), dtype=np.float32).reshape(-1, len(STATISTICS))
     return fit(x.astype(np.float64), np.array(got.column(1).to_pylist(), dtype=np.float64))
 

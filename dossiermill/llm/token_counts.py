@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import stage
+from .common import most_frequent
 
 HEAD = 200_000
 _HELD = 300_000
@@ -127,7 +128,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         file_text = f.read()
     spark = docs.sparkSession
     known = stage(pretoken_counts(docs, file_text, text), "pretokens")
-    frequent = known.orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").toArrow()
+    frequent = most_frequent(known, "n", "token", head).select("token", "pieces").toArrow()
     shared = spark.sparkContext.broadcast((frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), file_text))
 
     narrow = docs.select(
