@@ -219,40 +219,40 @@ INPUTS: dict[str, str] = {
             min(p_name) AS name, CASE WHEN p_size % 9 = 0 THEN 0 ELSE count(*) END AS population
         FROM part GROUP BY p_brand, p_size""",
     "dq_blocks": """
-        SELECT p_brand AS job_id, CAST(p_partkey AS STRING) AS source_id FROM part WHERE p_partkey % 4 <> 1""",
+        SELECT CASE WHEN p_partkey % 4 <> 1 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CAST(p_partkey AS STRING) AS source_id FROM part""",
     "dq_plan": """
-        SELECT p_brand AS job_id, CAST(p_partkey AS STRING) AS source_id,
+        SELECT CASE WHEN p_partkey % 4 <> 1 OR p_partkey % 100 = 1 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CAST(p_partkey AS STRING) AS source_id,
             CASE p_partkey % 6 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'not_applicable' WHEN 2 THEN 'confirmed' ELSE 'auto_matched' END AS status,
             CASE WHEN p_partkey % 6 <= 1 THEN NULL WHEN p_partkey % 11 = 0 THEN 'GHE 77' ELSE 'GHE ' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size END AS official_code,
             CASE WHEN p_partkey % 6 IN (1, 2) AND p_partkey % 5 <> 0 THEN 'motivo' END AS decision_reason
-        FROM part WHERE p_partkey % 4 <> 1 OR p_partkey % 100 = 1""",
+        FROM part""",
     "dq_media": """
-        SELECT p_brand AS job_id, CASE WHEN p_partkey % 50 = 0 THEN 'general_panel' ELSE 'chart' END AS role,
+        SELECT CASE WHEN p_size % 10 <> 3 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CASE WHEN p_partkey % 50 = 0 THEN 'general_panel' ELSE 'chart' END AS role,
             CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'GHE ' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size END AS official_code
-        FROM part WHERE p_size % 10 <> 3""",
+        FROM part""",
     "dq_sections": """
-        SELECT p_brand AS job_id, CASE p_size % 12 WHEN 0 THEN 'prioritization' WHEN 1 THEN 'action_plan' WHEN 2 THEN 'conclusion' ELSE 'overview' END AS category
-        FROM part WHERE p_partkey % 8 = 0""",
+        SELECT CASE WHEN p_partkey % 8 = 0 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CASE p_size % 12 WHEN 0 THEN 'prioritization' WHEN 1 THEN 'action_plan' WHEN 2 THEN 'conclusion' ELSE 'overview' END AS category
+        FROM part""",
     "dq_sources": """
         SELECT p_brand AS job_id, CASE WHEN min(p_partkey) % 2 = 0 THEN 'integrated' ELSE 'psychosocial_agent' END AS source_role
         FROM part GROUP BY p_brand
         UNION ALL SELECT p_brand AS job_id, 'ergonomic_agent' AS source_role FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 1""",
     "dq_analyses": """
-        SELECT p_brand AS job_id, 'an-' || p_partkey AS analysis_id, p_partkey AS ord,
+        SELECT CASE WHEN p_size % 5 <> 2 THEN p_brand ELSE p_brand || ' outro' END AS job_id, 'an-' || p_partkey AS analysis_id, p_partkey AS ord,
             CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'GHE ' || p_size END AS group_code,
             'setor ' || p_name || ' ' || p_type AS group_name, p_partkey % 4 AS n_content
-        FROM part WHERE p_size % 5 <> 2""",
-    "dq_priorities": "SELECT p_brand AS job_id FROM part WHERE p_size % 12 = 0 AND p_partkey % 2 = 0",
-    "dq_actions": "SELECT p_brand AS job_id FROM part WHERE p_size % 24 = 1",
-    "dq_conclusions": "SELECT p_brand AS job_id FROM part WHERE p_size % 24 = 2",
+        FROM part""",
+    "dq_priorities": "SELECT CASE WHEN p_size % 12 = 0 AND p_partkey % 2 = 0 THEN p_brand ELSE p_brand || ' outro' END AS job_id FROM part",
+    "dq_actions": "SELECT CASE WHEN p_size % 24 = 1 THEN p_brand ELSE p_brand || ' outro' END AS job_id FROM part",
+    "dq_conclusions": "SELECT CASE WHEN p_size % 24 = 2 THEN p_brand ELSE p_brand || ' outro' END AS job_id FROM part",
     "dq_exceptions": """
-        SELECT p_brand AS job_id, CASE WHEN p_partkey % 500 = 7 THEN 'missing-block' ELSE CAST(p_partkey AS STRING) END AS source_id,
+        SELECT CASE WHEN p_partkey % 20 = 7 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CASE WHEN p_partkey % 500 = 7 THEN 'missing-block' ELSE CAST(p_partkey AS STRING) END AS source_id,
             CASE WHEN p_partkey % 2 = 0 THEN 'include' ELSE 'omit' END AS action, p_partkey % 40 <> 7 AS acknowledged
-        FROM part WHERE p_partkey % 20 = 7""",
+        FROM part""",
     "dq_warnings": """
-        SELECT p_brand AS job_id, CASE WHEN p_size % 2 = 0 THEN 'ergo_extraction' ELSE 'technical_extraction' END AS origin,
+        SELECT CASE WHEN p_partkey % 30 = 11 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CASE WHEN p_size % 2 = 0 THEN 'ergo_extraction' ELSE 'technical_extraction' END AS origin,
             CAST(p_partkey AS BIGINT) AS ord, 'aviso ' || p_name AS message
-        FROM part WHERE p_partkey % 30 = 11""",
+        FROM part""",
     # stored files: one per order
     "artifacts": """
         SELECT o_custkey AS job_id, CASE o_orderkey % 8 WHEN 0 THEN 'ghe' WHEN 1 THEN 'psychosocial' WHEN 2 THEN 'ergo'

@@ -46,10 +46,10 @@ def hx_job_fingerprint(spark, sf):
     return _fingerprints(spark, sf)
 
 
-@query("hx_fingerprint_gate", f"{_FP} SELECT job_id, fingerprint IS NOT NULL AND job_id % 3 <> 0 AS applies FROM f WHERE job_id % 5 < 4")
+@query("hx_fingerprint_gate", f"{_FP} SELECT job_id, fingerprint IS NOT NULL AND job_id % 3 <> 0 AS applies FROM f")
 def hx_fingerprint_gate(spark, sf):
     prints = stage(_fingerprints(spark, sf), "fingerprints")
-    profiles = prints.where("job_id % 5 < 4").select(
+    profiles = prints.select(
         "job_id", F.when(F.col("job_id") % 3 == 0, F.repeat(F.lit("0"), 64)).otherwise(F.upper("fingerprint")).alias("input_fingerprint")
     )
     return LN.fingerprint_gate(prints, profiles)
@@ -96,7 +96,7 @@ def st_inventory_equal(spark, sf):
 )
 def hx_integrity_check(spark, sf):
     docs = load(spark, sf, "documents")
-    actual = docs.where("doc_id % 13 <> 0").select("doc_id", F.octet_length("text").alias("size_bytes"), content_sha256("text").alias("sha256"))
+    actual = docs.select(F.when(F.col("doc_id") % 13 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.octet_length("text").alias("size_bytes"), content_sha256("text").alias("sha256"))
     declared = docs.select(
         "doc_id", (F.octet_length("text") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size_bytes"),
         F.when(F.col("doc_id") % 7 == 0, F.md5(F.col("text").cast("binary"))).otherwise(F.upper(content_sha256("text"))).alias("sha256"),
@@ -190,7 +190,7 @@ def cp_text_ratio(spark, sf):
 
 @query(
     "cp_structure_diff",
-    """WITH a AS (SELECT conv_id AS job_id, turn AS ord, role, length(text) AS n FROM conversations WHERE turn % 7 <> 5), b AS (SELECT conv_id AS job_id, turn AS ord, CASE WHEN conv_id % 4 = 0 AND turn % 3 = 0 THEN 'x' ELSE role END AS role, length(text) AS n FROM conversations WHERE conv_id % 6 <> 1 OR turn % 2 = 0)
+    """WITH a AS (SELECT conv_id AS job_id, CASE WHEN turn % 7 = 5 THEN turn + 1000000 ELSE turn END AS ord, role, length(text) AS n FROM conversations), b AS (SELECT conv_id AS job_id, CASE WHEN conv_id % 6 = 1 AND turn % 2 = 1 THEN turn + 2000000 ELSE turn END AS ord, CASE WHEN conv_id % 4 = 0 AND turn % 3 = 0 THEN 'x' ELSE role END AS role, length(text) AS n FROM conversations)
     SELECT coalesce(a.job_id, b.job_id) AS job_id, coalesce(a.ord, b.ord) AS ord, CASE WHEN a.job_id IS NULL THEN 'only_right' WHEN b.job_id IS NULL THEN 'only_left' ELSE 'changed' END AS state
     FROM a FULL JOIN b ON a.job_id = b.job_id AND a.ord = b.ord WHERE a.role IS DISTINCT FROM b.role OR a.n IS DISTINCT FROM b.n""",
 )
@@ -198,19 +198,21 @@ def cp_structure_diff(spark, sf):
     base = load(spark, sf, "conversations").select(
         F.col("conv_id").alias("job_id"), F.col("turn").alias("ord"), "role", F.length("text").alias("n")
     )
-    right = base.where("job_id % 6 <> 1 or ord % 2 = 0").withColumn(
-        "role", F.when((F.col("job_id") % 4 == 0) & (F.col("ord") % 3 == 0), "x").otherwise(F.col("role"))
+    at = F.col("ord")
+    left = base.withColumn("ord", F.when(at % 7 == 5, at + 1_000_000).otherwise(at))
+    right = base.withColumn("role", F.when((F.col("job_id") % 4 == 0) & (at % 3 == 0), "x").otherwise(F.col("role"))).withColumn(
+        "ord", F.when((F.col("job_id") % 6 == 1) & (at % 2 == 1), at + 2_000_000).otherwise(at)
     )
-    return CP.structure_diff(base.where("ord % 7 <> 5"), right, ["job_id"], "ord", ["role", "n"])
+    return CP.structure_diff(left, right, ["job_id"], "ord", ["role", "n"])
 
 
 @query(
     "jn_align_by_ordinal",
-    "SELECT a.conv_id, a.turn, length(a.text) AS left_n, length(b.text) AS right_n FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn WHERE a.conv_id % 3 > 0 AND (b.turn < 3 OR b.conv_id % 2 = 0)",
+    "SELECT a.conv_id, a.turn, length(a.text) AS left_n, length(b.text) AS right_n FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + b.conv_id % 2 = a.turn",
 )
 def jn_align_by_ordinal(spark, sf):
     base = load(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("n"))
-    return CP.align_by_ordinal(base.where("conv_id % 3 > 0"), base.where("turn < 3 or conv_id % 2 = 0"), ["conv_id"], "turn")
+    return CP.align_by_ordinal(base, base.withColumn("turn", F.col("turn") + F.col("conv_id") % 2), ["conv_id"], "turn")
 
 
 @query(

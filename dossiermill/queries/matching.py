@@ -135,7 +135,7 @@ def fl_select_status(spark, sf):
     return R.select_status(decided(spark, sf)[2], "auto_matched", "confirmed").select("job_id", "source_id", "status")
 
 
-_EXC = "SELECT p_type AS job_id, p_partkey AS source_id, CASE WHEN p_partkey % 2 = 0 THEN 'include' ELSE 'omit' END AS action, CAST(p_size AS BIGINT) * 1000000 + p_partkey AS ordinal FROM part WHERE p_partkey % 15 = 4 AND p_type IN ('PROMO', 'SMALL')"
+_EXC = "SELECT p_type AS job_id, p_partkey AS source_id, CASE WHEN p_partkey % 15 <> 4 OR p_type NOT IN ('PROMO', 'SMALL') THEN 'none' WHEN p_partkey % 2 = 0 THEN 'include' ELSE 'omit' END AS action, CAST(p_size AS BIGINT) * 1000000 + p_partkey AS ordinal FROM part"
 
 
 def _exceptions(spark, sf):
@@ -173,20 +173,22 @@ def so_official_order(spark, sf):
 
 @query(
     "jn_unknown_targets",
-    f"{_DECIDE} SELECT np.job_id, np.source_id FROM np WHERE official_code IS NOT NULL AND (job_id, official_code) NOT IN (SELECT (job_id, code) FROM g WHERE ord % 2 = 0)",
+    f"{_DECIDE} SELECT np.job_id, np.source_id FROM np WHERE official_code IS NOT NULL AND (job_id, official_code) NOT IN (SELECT (job_id, CASE WHEN ord % 2 = 0 THEN code ELSE code || ' B' END) FROM g)",
 )
 def jn_unknown_targets(spark, sf):
     _, groups, plan, _ = decided(spark, sf)
-    return R.unknown_targets(plan, groups.where("ord % 2 = 0")).select("job_id", "source_id")
+    return R.unknown_targets(plan, groups.withColumn("code", F.when(F.col("ord") % 2 == 0, F.col("code")).otherwise(F.concat("code", F.lit(" B"))))).select("job_id", "source_id")
 
 
 @query(
     "jn_scope_mismatch",
-    """SELECT job_id, source_id, CASE WHEN a THEN 'left' ELSE 'right' END AS only_in FROM (SELECT p_type AS job_id, p_partkey AS source_id, p_partkey % 3 <> 0 AS a, p_partkey % 5 <> 0 AS b FROM part) AS t WHERE a <> b""",
+    """WITH a AS (SELECT p_type AS job_id, CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END AS source_id FROM part), b AS (SELECT p_type AS job_id, CASE WHEN p_partkey % 5 = 0 THEN -p_partkey ELSE p_partkey END AS source_id FROM part)
+    SELECT job_id, source_id, 'left' AS only_in FROM (FROM a EXCEPT FROM b) UNION ALL SELECT job_id, source_id, 'right' FROM (FROM b EXCEPT FROM a)""",
 )
 def jn_scope_mismatch(spark, sf):
     parts = load(spark, sf, "part").select(F.col("p_type").alias("job_id"), F.col("p_partkey").alias("source_id"))
-    return R.scope_mismatch(parts.where("source_id % 3 <> 0"), parts.where("source_id % 5 <> 0"), ["job_id", "source_id"])
+    sides = [parts.withColumn("source_id", F.when(F.col("source_id") % n == 0, -F.col("source_id")).otherwise(F.col("source_id"))) for n in (3, 5)]
+    return R.scope_mismatch(*sides, ["job_id", "source_id"])
 
 
 @query(
@@ -250,7 +252,7 @@ def ag_media_coverage(spark, sf):
 @query("jn_coverage_gaps", f"{_MEDIA} SELECT job_id, code FROM g WHERE (job_id, code) NOT IN (SELECT (job_id, official_code) FROM am WHERE official_code IS NOT NULL AND ord % 3 = 0)")
 def jn_coverage_gaps(spark, sf):
     media, groups = associated(spark, sf)
-    return AN.coverage_gaps(groups, M.media_coverage(media.where("ord % 3 = 0")))
+    return AN.coverage_gaps(groups, M.media_coverage(media.withColumn("official_code", F.when(F.col("ord") % 3 == 0, F.col("official_code")))))
 
 
 _CTX = f"""{cte('context_units')}, u AS (SELECT *, {Q.code('text')} AS code, {Q.ref_name('text')} AS nm, {Q.contextual('text')} AS ctx FROM context_units),
@@ -331,17 +333,17 @@ def so_global_matrix(spark, sf):
     return M.pick_global_matrix(derive(spark, sf, "media").where("code_hint is null"))
 
 
-_AN = f"""{cte('groups', 'dq_analyses')}, g AS (SELECT job_id, code, {Q.key('name')} AS nk FROM groups WHERE ord % 2 = 0),
-  a AS (SELECT 'PROMO' AS job_id, analysis_id, ord, group_code, group_name FROM dq_analyses WHERE ord % 7 = 0 UNION ALL SELECT 'SMALL', analysis_id, ord, NULL, group_name FROM dq_analyses WHERE ord % 5 = 0),
+_AN = f"""{cte('groups', 'dq_analyses')}, g AS (SELECT job_id, code, {Q.key('name')} AS nk FROM groups),
+  a AS (SELECT CASE WHEN ord % 2 = 0 THEN 'PROMO' ELSE 'SMALL' END AS job_id, analysis_id, ord, CASE WHEN ord % 2 = 0 THEN group_code END AS group_code, group_name FROM dq_analyses),
   k AS (SELECT job_id, analysis_id, ord, {Q.code('group_code')} AS code, {Q.key('group_name')} AS hay FROM a),
   m AS (SELECT g.job_id, g.code, k.analysis_id, k.ord, coalesce(k.code = g.code, false) AS by_code, g.nk <> '' AND contains(k.hay, g.nk) AS by_name FROM g JOIN k ON k.job_id = g.job_id)"""
 
 
 def _analyses(spark, sf):
     base = derive(spark, sf, "dq_analyses").select("analysis_id", "ord", "group_code", "group_name")
-    promo = base.where("ord % 7 = 0").withColumn("job_id", F.lit("PROMO"))
-    small = base.where("ord % 5 = 0").withColumn("job_id", F.lit("SMALL")).withColumn("group_code", F.lit(None).cast("string"))
-    return derive(spark, sf, "groups").where("ord % 2 = 0"), promo.unionByName(small)
+    even = F.col("ord") % 2 == 0
+    dealt = base.withColumn("job_id", F.when(even, "PROMO").otherwise("SMALL")).withColumn("group_code", F.when(even, F.col("group_code")))
+    return derive(spark, sf, "groups"), dealt
 
 
 @query(
@@ -390,7 +392,7 @@ def ag_merge_analyses(spark, sf):
     return AN.merge_analyses(analyses)
 
 
-_PROFILE = "SELECT p_type AS job_id, CASE WHEN p_partkey % 4 = 0 THEN 'omit' ELSE 'include' END AS action, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) + CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS ordinal FROM part WHERE p_type <> 'LARGE' OR p_partkey % 3 = 0"
+_PROFILE = "SELECT p_type AS job_id, CASE WHEN p_partkey % 4 = 0 THEN 'omit' ELSE 'include' END AS action, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) + CASE WHEN p_type = 'PROMO' THEN 1 WHEN p_type = 'LARGE' AND p_partkey % 3 = 0 THEN -1 ELSE 0 END AS ordinal FROM part"
 
 
 @query(
@@ -403,10 +405,9 @@ def st_partition_check(spark, sf):
     from ..plans.ordered import ordinal
 
     part = load(spark, sf, "part").select(F.col("p_type").alias("job_id"), "p_partkey")
-    kept = part.where("job_id <> 'LARGE' or p_partkey % 3 = 0")
-    listed = ordinal(kept, ["job_id"], ["p_partkey"], "_no").select(
+    listed = ordinal(part, ["job_id"], ["p_partkey"], "_no").select(
         "job_id", F.when(F.col("p_partkey") % 4 == 0, "omit").otherwise("include").alias("action"),
-        (F.col("_no") + F.when(F.col("job_id") == "PROMO", 1).otherwise(0)).alias("ordinal"),
+        (F.col("_no") + F.when(F.col("job_id") == "PROMO", 1).when((F.col("job_id") == "LARGE") & (F.col("p_partkey") % 3 == 0), -1).otherwise(0)).alias("ordinal"),
     )
     return R.partition_check(listed, part.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")))
 
@@ -414,14 +415,14 @@ def st_partition_check(spark, sf):
 @query(
     "jn_profile_ids",
     """WITH b AS (SELECT o_custkey AS job_id, o_orderkey AS source_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders)
-    SELECT job_id, source_id, ordinal, CASE WHEN ordinal IN (1, 3) THEN 'include' ELSE 'omit' END AS action FROM b WHERE ordinal <= 3 AND job_id % 4 = 0""",
+    SELECT job_id, source_id, ordinal, CASE WHEN ordinal IN (1, 3) THEN 'include' ELSE 'omit' END AS action FROM b WHERE ordinal <= 3""",
 )
 def jn_profile_ids(spark, sf):
     from ..plans.ordered import ordinal
 
     orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("source_id"))
     blocks = ordinal(orders, ["job_id"], ["source_id"], "_no").withColumn("ord", F.col("_no") - 1)
-    profile = orders.select("job_id").distinct().where("job_id % 4 = 0").select(
+    profile = orders.select("job_id").distinct().select(
         "job_id", F.array(F.lit(1).cast("bigint"), F.lit(3).cast("bigint")).alias("included"), F.array(F.lit(2).cast("bigint")).alias("omitted")
     )
     return R.profile_ids(profile, blocks)

@@ -196,16 +196,16 @@ _DETAIL_GROUPS = "SELECT CAST(n_regionkey AS BIGINT) AS job_id, 'GHE ' || lpad(C
 def _detail_inputs(spark, sf):
     groups = spark.sql(_DETAIL_GROUPS.replace("FROM nation", "FROM {nation}"), nation=load(spark, sf, "nation"))
     nation = load(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("job_id"))
-    customers = load(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("n_nationkey % 5 <> 4")
+    customers = load(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = customers.select(
-        "job_id", F.concat(F.lit("GHE "), "n_nationkey").alias("sheet"), F.col("n_nationkey").alias("sheet_ord"),
+        "job_id", F.concat(F.when(F.col("n_nationkey") % 5 == 4, "Anexo ").otherwise("GHE "), "n_nationkey").alias("sheet"), F.col("n_nationkey").alias("sheet_ord"),
         (F.col("c_custkey") + 2).alias("row_no"),
         F.array(
             F.concat(F.lit("Setor "), F.col("c_mktsegment")), F.concat(F.lit("Cargo "), (F.col("c_custkey") % 9).cast("string"), F.lit("; apoio"))
         ).alias("cells"),
     )
-    heads = nation.where("n_nationkey % 5 <> 4").select(
-        "job_id", F.concat(F.lit("ghe-"), "n_nationkey").alias("sheet"), F.col("n_nationkey").alias("sheet_ord"),
+    heads = nation.select(
+        "job_id", F.concat(F.when(F.col("n_nationkey") % 5 == 4, "anexo-").otherwise("ghe-"), "n_nationkey").alias("sheet"), F.col("n_nationkey").alias("sheet_ord"),
         F.lit(1).cast("bigint").alias("row_no"), F.array(F.lit("Setor"), F.lit("Cargo")).alias("cells"),
     )
     return groups, rows.unionByName(heads)
