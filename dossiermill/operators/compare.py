@@ -34,6 +34,31 @@ def text_ratio(reference: Column, candidate: Column) -> Column:
     return F.round(F.when(different, ratio).otherwise(F.lit(1.0)), 5)
 
 
+def shingles(text: Column, size: int = 3) -> Column:
+    """Distinct runs of ``size`` words of a text; the whole text where it has fewer, none without words."""
+    found = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def of(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(
+            F.size(words) >= size, F.array_distinct(runs)
+        ).otherwise(F.array(F.array_join(words, " ")))
+
+    return F.get(F.transform(F.array(found), of), F.lit(0))
+
+
+def shingle_similarity(reference: Column, candidate: Column, size: int = 3) -> Column:
+    """Shared over all distinct word shingles of two texts, five digits; 1 for two texts without words."""
+
+    def of(pair: Column) -> Column:
+        shared = F.size(F.array_intersect(pair["a"], pair["b"]))
+        every = F.size(pair["a"]) + F.size(pair["b"]) - shared
+        return F.when(every == 0, F.lit(1.0)).otherwise(F.round(shared / every, 5))
+
+    both = F.struct(shingles(reference, size).alias("a"), shingles(candidate, size).alias("b"))
+    return F.get(F.transform(F.array(both), of), F.lit(0))
+
+
 def align_by_ordinal(left: DataFrame, right: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
     """Parts with the same number on both sides: as many as the shorter side has."""
     on = [*keys, ord_col]

@@ -222,7 +222,7 @@ def policy_check(artifacts: DataFrame, policy: DataFrame) -> DataFrame:
     fits = F.lit(False)
     for ext, kinds in rules.EXTENSION_KINDS.items():
         fits = fits | ((extension == ext) & kind.isin(kinds))
-    joined = artifacts.withColumn("extension", norm_ext("extension")).join(F.broadcast(policy), "role")
+    joined = artifacts.withColumn("extension", norm_ext("extension")).join(policy, "role")
     tests = {
         "extension_not_allowed": ~F.array_contains("extensions", extension),
         "empty_file": F.col("size_bytes") == 0,
@@ -377,7 +377,7 @@ def field_checks(forms: DataFrame) -> DataFrame:
 
 def upload_checks(uploads: DataFrame, aliases: DataFrame, jobs: DataFrame) -> DataFrame:
     """Unknown, repeated and missing file fields: ``job_id, code, field``."""
-    named = uploads.join(F.broadcast(aliases), uploads["field"] == aliases["alias"], "left")
+    named = uploads.join(aliases, uploads["field"] == aliases["alias"], "left")
     unknown = named.where("canonical is null").select(JOB, F.lit("unexpected_file").alias("code"), "field")
     sent = named.where("canonical is not null").groupBy(JOB, F.col("canonical").alias("role")).agg(
         F.count(F.lit(1)).alias("n")

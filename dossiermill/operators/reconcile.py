@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.similarity import name_similarity
-from ..functions.text import canonical_code, canonical_code_or_raw, normalize_group_name, normalize_key
+from ..functions.text import canonical_code, canonical_code_or_raw, clean_text, normalize_group_name, normalize_key
 from ..plans.near_names import near_name_pairs
 from ..plans.staging import stage
 
@@ -40,9 +40,14 @@ def distinct_hints(blocks: DataFrame) -> DataFrame:
 
 
 def with_hints(blocks: DataFrame, code: str = "source_code", name: str = "source_name") -> DataFrame:
-    """Blocks with ``code_hint`` and ``name_key``; both are empty texts when absent."""
-    return blocks.withColumn("code_hint", F.coalesce(canonical_code(code), F.lit(""))).withColumn(
-        "name_key", normalize_group_name(name)
+    """Blocks with ``code_hint`` and ``name_key``, both empty texts when absent, and ``has_name``.
+
+    A name without a letter or digit has an empty key and is still a name.
+    """
+    return (
+        blocks.withColumn("code_hint", F.coalesce(canonical_code(code), F.lit("")))
+        .withColumn("has_name", clean_text(name) != "")
+        .withColumn("name_key", normalize_group_name(name))
     )
 
 
@@ -308,7 +313,12 @@ def associate_media(media: DataFrame, groups: DataFrame, mode: str = "sequence")
         .when((F.col("code_hint") != "") & code.isNull(), "review_required")
         .alias("warning"),
     )
-    return media.join(decided, HINT)
+    nameless = F.col("has_name") & (F.col("name_key") == "")  # a name that says nothing backs no code
+    return (
+        media.join(decided, HINT)
+        .withColumn("warning", F.when(nameless, F.when(F.col("code_hint") != "", "review_required")).otherwise(F.col("warning")))
+        .withColumn("official_code", F.when(~nameless, F.col("official_code")))
+    )
 
 
 def unanimous_code(media: DataFrame, keys: list[str]) -> DataFrame:
@@ -357,10 +367,13 @@ def unknown_targets(plan: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def select_blocks(blocks: DataFrame, plan: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """(Reconciled ∪ included) − omitted, for jobs whose exceptions are acknowledged.
+    """(Reconciled ∪ included) − omitted.
 
-    ``exceptions``: ``job_id, source_id, action`` with include or omit.
+    ``exceptions``: ``job_id, source_id, action`` with include or omit. Where they have
+    a column ``acknowledged``, those without it count as not given.
     """
+    if "acknowledged" in exceptions.columns:
+        exceptions = exceptions.where("acknowledged")
     chosen = plan.where("status <> 'not_applicable'").select(JOB, "source_id")
     included = exceptions.where("action = 'include'").select(JOB, "source_id")
     omitted = exceptions.where("action = 'omit'").select(JOB, "source_id")

@@ -208,7 +208,7 @@ _ALIASES = ", ".join(f"('{a}', '{name}')" for name, names in rules.UPLOAD_ALIASE
     SELECT job_id, role FROM form_jobs JOIN r ON r.mode = analysis_mode WHERE (job_id, role) NOT IN (SELECT (job_id, canonical) FROM uploads JOIN a ON a.alias = uploads.field)""",
 )
 def jn_missing_inputs(spark, sf):
-    sent = derive(spark, sf, "uploads").join(F.broadcast(alias_table(spark).withColumnRenamed("alias", "field")), "field")
+    sent = derive(spark, sf, "uploads").join(alias_table(spark).withColumnRenamed("alias", "field"), "field")
     return D.missing_inputs(derive(spark, sf, "form_jobs"), sent.select("job_id", F.col("canonical").alias("role")))
 
 

@@ -180,12 +180,25 @@ def cp_line_containment(spark, sf):
     return _pairs(spark, sf).select("pair_id", F.round(CP.line_containment(F.col("ref"), cand) * 100000).cast("bigint").alias("share"))
 
 
-@query("cp_text_ratio")
-def cp_text_ratio(spark, sf):
-    """Whole texts of benchmark passages against the next passage; checked in the tests."""
-    items = load(spark, sf, "benchmark").select("item_id", "text")
-    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
-    return items.join(after, "item_id").select("item_id", CP.text_ratio(F.col("text"), F.col("next")).alias("ratio"))
+def _words_of(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')"
+
+
+def _shingles_of(words: str) -> str:
+    return f"CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < 3 THEN [array_to_string({words}, ' ')] ELSE list_distinct(list_transform(range(1, len({words}) - 1), lambda i: {words}[i] || ' ' || {words}[i + 1] || ' ' || {words}[i + 2])) END"
+
+
+@query(
+    "cp_shingle_similarity",
+    f"""WITH p AS ({_PAIRS}), q AS (SELECT pair_id, ref, CASE WHEN pair_id % 4 = 0 THEN cand ELSE cand || chr(10) || substr(ref, 1, CAST(floor(length(ref) / 2) AS INT)) END AS cand FROM p),
+    w AS (SELECT pair_id, {_words_of('ref')} AS a, {_words_of('cand')} AS b FROM q), s AS (SELECT pair_id, {_shingles_of('a')} AS a, {_shingles_of('b')} AS b FROM w),
+    n AS (SELECT pair_id, len(list_intersect(a, b)) AS shared, len(a) + len(b) AS total FROM s)
+    SELECT pair_id, CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE round(shared / (total - shared), 5) END AS similarity FROM n""",
+)
+def cp_shingle_similarity(spark, sf):
+    half = F.substring(F.col("ref"), F.lit(1), F.floor(F.length("ref") / 2).cast("int"))
+    cand = F.when(F.col("pair_id") % 4 == 0, F.col("cand")).otherwise(F.concat("cand", F.lit("\n"), half))
+    return _pairs(spark, sf).select("pair_id", CP.shingle_similarity(F.col("ref"), cand).alias("similarity"))
 
 
 @query(

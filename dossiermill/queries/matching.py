@@ -203,7 +203,7 @@ def jn_nominal_decisions(spark, sf):
 
 _MEDIA = f"""{cte('groups', 'media')}, g AS (SELECT job_id, ord, code, name, {Q.group_name('name')} AS nk FROM groups),
   m AS (SELECT *, {Q.code('code_hint')} AS sc, {Q.group_name('name_hint')} AS nk FROM media), h AS (SELECT DISTINCT job_id, sc, nk FROM m),
-  p AS (SELECT h.job_id, h.sc, h.nk, g.code, g.ord, {Q.similarity('h.nk', 'g.nk')} AS sim FROM h JOIN g ON g.job_id = h.job_id),
+  p AS MATERIALIZED (SELECT h.job_id, h.sc, h.nk, g.code, g.ord, {Q.similarity('h.nk', 'g.nk')} AS sim FROM h JOIN g ON g.job_id = h.job_id),
   t AS (SELECT *, row_number() OVER w AS rn, lead(sim) OVER w AS runner FROM p WINDOW w AS (PARTITION BY job_id, sc, nk ORDER BY sim DESC, ord)),
   best AS (SELECT job_id, sc, nk, CASE WHEN nk <> '' AND sim >= 0.82 AND (runner IS NULL OR sim > runner) THEN code END AS name_code FROM t WHERE rn = 1),
   x AS (SELECT h.job_id, h.sc, h.nk, best.name_code, p.code AS code_match, p.sim AS code_sim FROM h LEFT JOIN best ON best.job_id = h.job_id AND best.sc IS NOT DISTINCT FROM h.sc AND best.nk = h.nk

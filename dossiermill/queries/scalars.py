@@ -84,15 +84,6 @@ def sc_token_jaccard(spark, sf):
     )
 
 
-@query("sc_sequence_similarity")
-def sc_sequence_similarity(spark, sf):
-    """Sequence ratio of each written reference to its clean name; checked in the tests."""
-    keyed = derive(spark, sf, "refs").select(
-        X.normalize_group_name("ref").alias("a"), X.normalize_key("nm").alias("b")
-    ).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return keyed.select("a", "b", "n", S.name_similarity(F.col("a"), F.col("b")).alias("similarity"))
-
-
 _NUM = r"replace(regexp_extract(c, '(?:^|[^0-9.,-])(-?\d+(?:[.,]\d+)?)', 1), ',', '.')"
 
 

@@ -6,11 +6,15 @@ finished data set visible at once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.staging import stage
+
 JOB = "job_id"
+BUCKETS = 64
 
 # Columns that may leave the system, per table. Runtime paths, file
 # contents and source row numbers are in none of the lists.
@@ -81,20 +85,40 @@ def report_rows(summary: DataFrame, issues: DataFrame, plan: DataFrame, exceptio
     )
 
 
-def write_reports(report: DataFrame, path: str, files_per_job: int = 1) -> None:
-    """One folder per job and section.
+def replace_jobs(rows: DataFrame, path: str, kind: str = "parquet", files: int = 1, buckets: int = BUCKETS) -> None:
+    """Write the rows of some jobs; what other jobs have at ``path`` stays.
 
-    Rows of one job go to ``files_per_job`` tasks, by a salt over their content; raise
-    it where single jobs are very large.
+    Rows lie in buckets of jobs, not in a folder per job, and inside a bucket in
+    ``files`` files by a hash of the row, so a large job is never one task's alone.
+    Only the buckets of the given jobs are written anew, together with what their
+    other jobs had there. One writer at a time.
     """
-    salt = F.pmod(F.xxhash64("body"), F.lit(files_per_job))
-    report.repartition(JOB, "section", salt).write.mode("overwrite").partitionBy(JOB, "section").json(path)
+    spark, columns = rows.sparkSession, rows.columns
+    bucket = F.pmod(F.xxhash64(JOB), F.lit(buckets)).cast("int")
+    new = stage(rows, "report")
+    jobs = new.select(JOB).distinct()
+    try:
+        there = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("bucket", T.IntegerType())])).format(kind).load(path)
+        touched = jobs.select(bucket.alias("bucket")).distinct()
+        kept = there.join(touched, "bucket", "left_semi").join(jobs, JOB, "left_anti").select(columns)
+        new = stage(new.unionByName(kept), "report")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spread = F.pmod(F.xxhash64(*columns), F.lit(files))
+    placed = new.withColumn("bucket", bucket).repartition("bucket", spread)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(kind).save(path)
+
+
+def write_reports(report: DataFrame, path: str, files_per_bucket: int = 1) -> None:
+    """Report lines as JSON; the reports of other jobs at ``path`` stay."""
+    replace_jobs(report, path, "json", files_per_bucket)
 
 
 def write_compiled(tables: dict[str, DataFrame], path: str) -> None:
-    """Every result table as Parquet below ``path``."""
+    """Every result table as Parquet below ``path``; the rows of other jobs there stay."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        replace_jobs(table, f"{path}/{name}")
 
 
 def write_comparison(metrics: DataFrame, path: str) -> None:

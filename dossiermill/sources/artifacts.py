@@ -224,7 +224,7 @@ def alias_table(spark: SparkSession, aliases: dict[str, list[str]] = rules.UPLOA
 def resolve_roles(files: DataFrame, aliases: DataFrame, keys: list[str], field: str, value: str) -> DataFrame:
     """The first non-empty alias of each role, in declared order, per ``keys``."""
     known = files.where(F.col(value).isNotNull() & (F.col(value) != "")).join(
-        F.broadcast(aliases.withColumnRenamed("alias", field)), field
+        aliases.withColumnRenamed("alias", field), field
     )
     return known.groupBy(*keys, "canonical").agg(
         F.min_by(F.col(value), F.struct("priority", value)).alias(value),

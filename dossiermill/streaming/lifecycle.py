@@ -14,12 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .. import rules
 
 JOB = "job_id"
-COMPLETION_SCHEMA = "job_id bigint, ts timestamp, event_id bigint, token bigint, verdict string"
+
+
+def _with_job(events: DataFrame, rest: str) -> StructType:
+    """An output schema whose job ids are of the events' own type."""
+    return StructType([StructField(JOB, events.schema[JOB].dataType), *StructType.fromDDL(rest).fields])
 
 
 def read_events(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -57,8 +61,13 @@ def stream_idle_sessions(events: DataFrame, ttl_seconds: int = rules.JOB_TTL_SEC
 
 
 def stream_first_claim(events: DataFrame) -> DataFrame:
-    """First start per job and validation; repeats within the watermark are refused."""
-    return events.where("kind = 'start'").dropDuplicatesWithinWatermark([JOB, "epoch"])
+    """First start per job and validation; repeats within the watermark are refused.
+
+    ``epoch`` counts a job's validations and comes with the events; without it, a job
+    has one validation within the watermark.
+    """
+    keys = [JOB, "epoch"] if "epoch" in events.columns else [JOB]
+    return events.where("kind = 'start'").dropDuplicatesWithinWatermark(keys)
 
 
 class CompletionJudge(StatefulProcessor):
@@ -110,7 +119,7 @@ def stream_valid_completions(events: DataFrame, stale_seconds: int = rules.GENER
     """
     return events.select(JOB, "ts", "event_id", "kind", "token").groupBy(JOB).transformWithStateInPandas(
         statefulProcessor=CompletionJudge(stale_seconds),
-        outputStructType=COMPLETION_SCHEMA,
+        outputStructType=_with_job(events, "ts timestamp, event_id bigint, token bigint, verdict string"),
         outputMode="append",
         timeMode="None",
     )
@@ -137,12 +146,12 @@ class ExpiryTimer(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.ttl_millis)
-        yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "status": pd.Series(dtype="object")})
+        yield pd.DataFrame({"job_id": pd.Series(dtype="object"), "status": pd.Series(dtype="object")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status = self.state.get()[0] if self.state.exists() else None
         if status in rules.ACTIVE_STATUSES:
-            yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "status": pd.Series(dtype="object")})
+            yield pd.DataFrame({"job_id": pd.Series(dtype="object"), "status": pd.Series(dtype="object")})
         else:
             self.state.clear()
             yield pd.DataFrame({"job_id": [key[0]], "status": [status]})
@@ -155,7 +164,7 @@ def stream_expired(events: DataFrame, ttl_seconds: int = rules.JOB_TTL_SECONDS)
     """Jobs that expire while the stream runs. Needs a watermark and the RocksDB state store."""
     return events.select(JOB, "ts", "event_id", "status").groupBy(JOB).transformWithStateInPandas(
         statefulProcessor=ExpiryTimer(ttl_seconds),
-        outputStructType="job_id bigint, status string",
+        outputStructType=_with_job(events, "status string"),
         outputMode="append",
         timeMode="EventTime",
     )

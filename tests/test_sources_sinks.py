@@ -101,10 +101,27 @@ def test_reports_round_trip(spark, tmp_path):
     issues = spark.createDataFrame([("a", "error", "x"), ("a", "warning", "y")], "job_id string, severity string, code string")
     plan = spark.createDataFrame([("a", "s", "auto_matched")], "job_id string, source_id string, status string")
     exc = spark.createDataFrame([], "job_id string, source_id string")
-    SN.write_reports(SN.report_rows(summary, issues, plan, exc), str(tmp_path / "r"), files_per_job=2)
+    SN.write_reports(SN.report_rows(summary, issues, plan, exc), str(tmp_path / "r"), files_per_bucket=2)
     back = spark.read.json(str(tmp_path / "r"))
     assert {(r.section, r["count"]) for r in back.groupBy("section").count().collect()} == {("summary", 1), ("errors", 1), ("warnings", 1), ("reconciliation", 1)}
     SN.write_compiled({"t": summary}, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c/t")).count() == 1
+
+
+def test_writers_keep_other_jobs(spark, tmp_path):
+    path = str(tmp_path / "r")
+    lines = lambda job, n: spark.range(n).select(F.lit(job).alias("job_id"), F.lit("errors").alias("section"), F.col("id").cast("string").alias("body"))
+    for job, n in (("a", 3), ("b", 500), ("a", 2), ("c", 1)):
+        SN.write_reports(lines(job, n), path, files_per_bucket=3)
+    counts = lambda p: {r.job_id: r["count"] for r in spark.read.json(p).groupBy("job_id").count().collect()}
+    assert counts(path) == {"a": 2, "b": 500, "c": 1}
+    one = str(tmp_path / "one")
+    for job, n in (("a", 3), ("b", 5), ("a", 1)):
+        SN.replace_jobs(lines(job, n), one, "json", buckets=1)
+    assert counts(one) == {"a": 1, "b": 5}
+
+
+def test_comparison_is_written(spark, tmp_path):
+    summary = spark.createDataFrame([("a", 1)], "job_id string, n int")
     SN.write_comparison(summary.withColumn("ratio", F.lit(0.5)), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().ratio == 0.5

@@ -45,6 +45,17 @@ def test_completions_agree(spark, log, tmp_path):
     assert want.select("verdict").distinct().count() == 4
 
 
+def test_jobs_may_have_hex_ids(spark, log, tmp_path):
+    batch, path = log
+    named = F.md5(F.col("job_id").cast("string"))
+    want = LC.valid_completions(batch.withColumn("job_id", named), 1000).select("job_id", "event_id", "verdict")
+    stream = ST.timed(ST.read_events(spark, path, batch.schema)).withColumn("job_id", named)
+    got = drain(ST.stream_valid_completions(stream, 1000), "hex_completions", "append", tmp_path).select("job_id", "event_id", "verdict")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    expired = drain(ST.stream_expired(stream, 900), "hex_expired", "append", tmp_path)
+    assert dict(expired.dtypes)["job_id"] == "string"
+
+
 def test_latest_state_agrees(spark, log, tmp_path):
     batch, path = log
     stream = ST.timed(ST.read_events(spark, path, batch.schema))

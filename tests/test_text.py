@@ -139,3 +139,22 @@ def test_marker_and_label_helpers(spark):
         X.fill_markers(F.lit("{{A_X}}-{{A_Y}}"), {"{{A_X}}": "1"}).alias("m"), X.count_label(F.lit(1), "um", "uns").alias("c"),
     )
     assert row == ("GHE 1", "1-{{A_Y}}", "1 um")
+
+
+def test_sequence_ratios_equal_difflib(spark):
+    from difflib import SequenceMatcher
+
+    from dossiermill.functions.similarity import name_similarity
+    from dossiermill.operators.compare import shingle_similarity, text_ratio
+
+    pairs = [("setor de apoio", "setor apoio"), ("abc", "abd"), ("", "x"), ("mesmo", "mesmo"), ("um dois tres", "tres dois um")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for r in df.select("a", "b", name_similarity(a, b).alias("n"), text_ratio(a, b).alias("t"), shingle_similarity(a, b, 2).alias("s")).collect():
+        ratio = SequenceMatcher(None, r.a, r.b).ratio()
+        words, other = set(r.a.split()), set(r.b.split())
+        want = 0.0 if not (r.a and r.b) else 1.0 if r.a == r.b else round(max(len(words & other) / len(words | other), 0.9 * ratio), 4)
+        assert abs(r.n - want) < 1e-9 and abs(r.t - round(ratio, 5)) < 1e-9
+        pairs_of = lambda t: {tuple(t.split()[i : i + 2]) for i in range(max(1, len(t.split()) - 1))} - {()}
+        x, y = pairs_of(r.a), pairs_of(r.b)
+        assert abs(r.s - (round(len(x & y) / len(x | y), 5) if x | y else 1.0)) < 1e-9
