@@ -174,7 +174,46 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, carry=(held.alias("held_out"),))
 
 
-@query("op9_shard_tree")
+def _nodes(shards: int) -> str:
+    """Parent, child and weight of each edge of the even tree, as SQL values."""
+    edges = [("root", f"region{r}", min(8, shards - 8 * r)) for r in range(-(-shards // 8))]
+    edges += [(f"region{k // 2}", f"rack{k}", min(4, shards - 4 * k)) for k in range(-(-shards // 4))]
+    edges += [(f"rack{s // 4}", f"s{s}", 1) for s in range(shards)]
+    return ", ".join(f"('{a}', '{b}', {w})" for a, b, w in edges)
+
+
+def _levels(shards: int) -> str:
+    """One common table per level of the descent: the child with the least draw."""
+    draw = "-ln(" + SQL_UNIT.format("coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || n.node") + ") / n.weight"
+    texts = [f"n{shards}(parent, node, weight) AS (VALUES {_nodes(shards)})", f"l{shards}_0 AS (SELECT doc_id, 'root' AS node FROM documents)"]
+    for k in range(3):
+        texts.append(
+            f"l{shards}_{k + 1} AS (SELECT d.doc_id, arg_min(n.node, {draw}) AS node FROM l{shards}_{k} d JOIN n{shards} n ON n.parent = d.node GROUP BY d.doc_id)"
+        )
+    return ", ".join(texts)
+
+
+@query(
+    "op9_shard_tree",
+    f"""
+    WITH RECURSIVE steps AS (
+        SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+        UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+    bytes AS (
+        SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(list_filter(
+            string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ','), lambda h: h <> ''), lambda h: CAST('0x' || h AS BIGINT))) AS b
+        FROM documents),
+    sums AS (
+        SELECT doc_id, size, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM bytes, crc_table),
+    {_levels(16)}, {_levels(17)},
+    placed AS (
+        SELECT s.doc_id, s.size, s.crc, CAST(a.node[2:] AS INT) AS shard, CAST(b.node[2:] AS INT) AS grown_shard,
+            {SQL_UNIT.format("coalesce(CAST(s.doc_id AS VARCHAR), '') || ':slot'")} AS place
+        FROM sums s JOIN l16_3 a ON a.doc_id = s.doc_id JOIN l17_3 b ON b.doc_id = s.doc_id)
+    SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard,
+        row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, crc, size) - 1 AS slot, grown_shard FROM placed""",
+)
 def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 16)
 
