@@ -6,9 +6,9 @@ dummy prefix and the metaspace marker as a normaliser, unigram scores or, for
 merge models, the merges that the scores imply, and byte fallback for characters
 outside the vocabulary. Batches are encoded by the library's threads.
 
-Texts are cut before every run of markers that follows another character, which
-changes nothing as long as no piece has a marker there; the model is refused
-otherwise. ``encode`` compares all ids with the sentencepiece library's (part by part,
+Texts are cut before every run of markers that follows another character, and around
+characters that no longer piece contains. That changes nothing as long as no piece
+has a marker behind another character; the model is refused otherwise. ``encode`` compares all ids with the sentencepiece library's (part by part,
 each distinct part once per worker, or text by text where the normaliser does more
 than place markers) and takes those where they differ, for merges of equal rank may
 tie in another order. So its ids are the reference ids for every text, and it says
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+BREAK = "\n"
 THREADS = 2
 #: parts whose ids a worker remembers
 HELD = 400_000
 #: texts to the library at once: this many characters, or one text
 CHUNK = 1 << 20
-_PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # fixed values of the format: kinds of pieces and of models
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -111,6 +111,12 @@ def parse(message: bytes) -> Spec:
     return spec
 
 
+def lone_characters(spec: Spec) -> list[str]:
+    """Characters of ASCII that no longer piece contains: they are tokens of their own wherever they stand."""
+    joined = set("".join(p for p, _, kind in spec.pieces if kind in (NORMAL, USER) and len(p) > 1))
+    return [c for c in map(chr, range(128)) if c not in joined]
+
+
 def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     """The merges that a piece list implies: every split of a piece into two pieces, best score first."""
     score = {p: s for p, s, kind in pieces if kind in (NORMAL, USER)}
@@ -170,34 +176,54 @@ class Codec:
         self.spec = spec = parse(message)
         self.fast = backend(spec)
         # parts stand for themselves in both libraries where normalising only places markers
-        simple = spec.add_dummy_prefix and not spec.charsmap and not spec.remove_extra_whitespaces
-        whole = spec.model_type == BPE and any(p == MARK for p, _, _ in spec.pieces)
+        simple = spec.add_dummy_prefix and not spec.charsmap and not spec.remove_extra_whitespaces and spec.byte_fallback
+        self.alone = lone_characters(spec)
+        whole = spec.model_type == BPE and any(p == MARK for p, _, _ in spec.pieces) and BREAK in self.alone
         self.parts = Tokenizer(self.fast.model) if simple and whole else None
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        stop = re.escape("".join(self.alone)) + MARK
+        self.cut = re.compile(f"[{re.escape(''.join(self.alone))}]|{MARK}+[^{stop}]*|[^{stop}]+")
+        self.known: dict[str, tuple[list[int], str, bool]] = {}
         self.plain = SentencePieceProcessor(model_proto=message)
+        self.lead = len(self.plain.encode(BREAK))
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """Ids of each text, and whether the backend gave them itself."""
+    def encode(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
+        """Ids of each text, whether the backend gave them itself, and whether they decode to the text."""
         if self.parts:
             return self._by_parts(texts)
         mine = [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.plain.encode(texts, num_threads=1)
-        return [(b, a == b) for a, b in zip(mine, theirs, strict=True)]
-
-    def _by_parts(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """As ``encode``; each distinct part goes to both libraries once and is remembered."""
-        cut = [_PART.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        new = {p for parts in cut for p in parts if p not in self.known}
-        if len(self.known) + len(new) > HELD:
-            self.known.clear()
-            new = {p for parts in cut for p in parts}
-        asked = list(new)
-        mine = self.parts.encode_batch_fast(asked, add_special_tokens=False)
-        theirs = self.plain.encode([p[1:].replace(MARK, " ") for p in asked], num_threads=1)
-        for p, a, b in zip(asked, mine, theirs, strict=True):
-            self.known[p] = b, a.ids == b
-        found = [[self.known[p] for p in parts] for parts in cut]
-        return [(list(chain.from_iterable(ids for ids, _ in f)), all(same for _, same in f)) for f in found]
+        back = self.decode(theirs)
+        return [(b, a == b, t == u) for a, b, t, u in zip(mine, theirs, texts, back, strict=True)]
+
+    def _by_parts(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
+        """As ``encode``; each distinct part goes to the libraries once, and ``HELD`` of them are remembered."""
+        cut = [self.cut.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+        every = set(chain.from_iterable(cut))
+        new = self._learned([p for p in every if p not in self.known])
+        if len(self.known) + len(new) <= HELD:
+            self.known |= new  # the frequent parts come early; later ones are worked out again
+            new = {}
+        here = {p: self.known[p] if p in self.known else new[p] for p in every}
+        ids, shown = {p: x[0] for p, x in here.items()}, {p: x[1] for p, x in here.items()}
+        odd = {p for p, x in here.items() if not x[2]}
+        out = []
+        for text, parts in zip(texts, cut, strict=True):
+            back = "".join(map(shown.__getitem__, parts))
+            out.append((list(chain.from_iterable(map(ids.__getitem__, parts))), odd.isdisjoint(parts), back[1:] == text))
+        return out
+
+    def _learned(self, parts: list[str]) -> dict[str, tuple[list[int], str, bool]]:
+        """Ids by the sentencepiece library, the text that they decode to, and whether the backend gives the same ids.
+
+        The sentencepiece library gets parts behind a line break, which joins with
+        nothing, so that none is given a dummy prefix.
+        """
+        mine = self.parts.encode_batch_fast(parts, add_special_tokens=False)
+        found = [ids[self.lead :] for ids in self.plain.encode([BREAK + p.replace(MARK, " ") for p in parts], num_threads=1)]
+        # decoding drops one leading space, so each part is given one more
+        mark = self.fast.token_to_id(MARK)
+        back = self.decode([[mark, *ids] for ids in found])
+        return {p: (b, t, a.ids == b) for p, a, b, t in zip(parts, mine, found, back, strict=True)}
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -246,13 +272,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             for a, z in _chunks(texts):
                 part = texts[a:z]
                 got = codec.encode(part)
-                back = codec.decode([ids for ids, _ in got])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[c.slice(a, z - a) for c in b.columns[:-1]],
-                        pa.array([ids for ids, _ in got], pa.list_(pa.int32())),
-                        pa.array([same for _, same in got], pa.bool_()),
-                        pa.array([x == y for x, y in zip(part, back, strict=True)], pa.bool_()),
+                        pa.array([g[0] for g in got], pa.list_(pa.int32())),
+                        pa.array([g[1] for g in got], pa.bool_()),
+                        pa.array([g[2] for g in got], pa.bool_()),
                     ],
                     names=schema.names,
                 )
