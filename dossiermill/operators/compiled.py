@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_label, normalize_key
+from ..functions.text import count_label
 from ..plans.ordered import ordinal
 
 JOB = "job_id"
-CODES_PER_LINE = 1000
 
 
 def diagnostic_summary(jobs: DataFrame, groups: DataFrame) -> DataFrame:
     """Base dates, head-count and code list of each job: ``job_id, line, part, value``.
 
-    The code list is written in parts of a thousand codes. Ordinary registries fill
-    one part; a huge one gives more rows, never one huge value.
+    Every code is a row of line 4, numbered by ``part``, whatever the registry's size.
     """
     totals = groups.groupBy(JOB).agg(F.sum("population").alias("_total"))
     lines = jobs.join(totals, JOB, "left").select(
@@ -30,14 +28,7 @@ def diagnostic_summary(jobs: DataFrame, groups: DataFrame) -> DataFrame:
         ).alias("l"),
     ).select(JOB, "l.line", F.lit(1).cast("bigint").alias("part"), "l.value")
     numbered = ordinal(groups.select(JOB, "code", "ord"), [JOB], ["ord", "code"], "_no")
-    codes = (
-        numbered.groupBy(JOB, (F.floor((F.col("_no") - 1) / CODES_PER_LINE) + 1).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("_no", "code"))).alias("_codes"))
-        .select(
-            JOB, F.lit(4).alias("line"), "part",
-            F.array_join(F.transform("_codes", lambda c: c["code"]), ", ").alias("value"),
-        )
-    )
+    codes = numbered.select(JOB, F.lit(4).alias("line"), F.col("_no").alias("part"), F.col("code").alias("value"))
     return lines.unionByName(codes)
 
 
@@ -83,5 +74,3 @@ def run_summary(jobs: DataFrame, groups: DataFrame, plan: DataFrame, issues: Dat
         count_label(F.col("n_groups"), "grupo", "grupos").alias("groups_label"),
     )
 
-
-__all__ = ["diagnostic_summary", "priority_table", "action_table", "run_summary", "normalize_key"]

@@ -183,6 +183,20 @@ def validate(inputs: Inputs, mode: str = "sequence") -> dict[str, DataFrame]:
     }
 
 
+def _questions(segmented: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Questions of the chosen blocks: their recognised table rows, else their labelled texts paired by number."""
+    inside = segmented.where("block_no > 0").withColumn("block_ord", F.col("block_no") - 1).join(chosen, [JOB, "block_ord"])
+    block = [JOB, "block_ord", "source_id", "place"]
+    asked = stage(SG.question_rows_of(inside, block), "asked")
+    labelled = SG.labelled_values(inside, [JOB]).withColumn("block_ord", F.col("block_no") - 1)
+    paired = SG.zipped_questions(labelled, [JOB, "block_ord"]).join(asked.select(JOB, "block_ord").distinct(), [JOB, "block_ord"], "left_anti")
+    fallback = paired.join(chosen, [JOB, "block_ord"]).select(
+        *block, F.lit(None).cast(asked.schema["ord"].dataType).alias("ord"), F.col("item_no").cast(asked.schema["row_no"].dataType).alias("row_no"),
+        "question", "answer", "note",
+    )
+    return asked.unionByName(fallback)
+
+
 def generate(validated: dict[str, DataFrame], decisions: DataFrame) -> dict[str, DataFrame]:
     """Apply review decisions, check strictly, and compile the tables of jobs without errors."""
     plan, errors = RC.apply_decisions(validated["plan"], decisions, validated["official"])
@@ -197,9 +211,8 @@ def generate(validated: dict[str, DataFrame], decisions: DataFrame) -> dict[str,
     blocks = RC.select_blocks_for_output(
         validated["blocks"], plan, validated["official"], validated["exceptions"]
     )
-    questions = SG.question_rows_of(
-        validated["segmented"].where("block_no > 0").withColumn("block_ord", F.col("block_no") - 1), [JOB, "block_ord"]
-    )
+    chosen = stage(of_ready(blocks).select(JOB, F.col("ord").alias("block_ord"), "source_id", "place"), "chosen")
+    questions = stage(_questions(validated["segmented"], chosen), "questions")
     return {
         "plan": plan,
         "issues": issues,
@@ -208,7 +221,8 @@ def generate(validated: dict[str, DataFrame], decisions: DataFrame) -> dict[str,
         "groups": of_ready(RG.with_total(validated["groups"])),
         "diagnostics": C.diagnostic_summary(ready, of_ready(validated["groups"])),
         "blocks": of_ready(blocks),
-        "questions": of_ready(questions),
+        "questions": questions,
+        "answer_counts": SG.answer_counts(questions, [JOB, "block_ord", "source_id", "place"]),
         "texts": of_ready(AN.pivot_sections(validated["items"], [JOB])),
         "priorities": of_ready(C.priority_table(validated["priorities"])),
         "actions": of_ready(C.action_table(validated["actions"])),

@@ -7,21 +7,21 @@ from dossiermill.operators import reconcile as RC
 from dossiermill.plans.flows import Inputs, generate, registry, validate
 
 GROUPS = [
-    ("10", "Operacao Experimental", "Unidade Alfa", "Operador de bancada; Apoio de processo", 5, 72, "Atencao"),
-    ("20", "Atendimento Simulado", "Unidade Beta; Suporte remoto", "Analista de atendimento", 8, 58, "Prioritario"),
-    ("30", "Laboratorio Didatico", "Unidade Gama", "Tecnico de laboratorio", 3, 81, "Monitoramento"),
+    ("11", "Oficina de Bicicletas", "Galpao Norte", "Mecanico de rodas; Ajudante", 7, 64, "Moderado"),
+    ("24", "Cozinha Central", "Predio Sul; Entregas", "Cozinheira", 4, 39, "Elevado"),
+    ("37", "Viveiro de Mudas", "Estufa Leste", "Jardineiro", 9, 90, "Baixo"),
 ]
-EXTRA = ("99", "Bloco Extra Sem Correspondencia")
+EXTRA = ("88", "Deposito Antigo")
 
 
-def sheet(job, first=5):
+def sheet(job, first=7):
     rows = [
         (job, "Resumo", 0, 1, ["Indicador", "Valor"]),
         (job, "Resumo", 0, 2, ["Grupos", "3"]),
-        (job, "GHEs", 1, 1, ["Codigo GHE", "Nome GHE", "Setores", "Cargos", "Quantidade", "Aviso"]),
+        (job, "GHEs", 1, 1, ["Codigo GHE", "Nome GHE", "Setores", "Cargos", "Quantidade", "Nota"]),
     ]
     for i, (code, name, sectors, roles, n, _, _) in enumerate(GROUPS):
-        rows.append((job, "GHEs", 1, i + 2, [code, name, sectors, roles, str(first if i == 0 else n), "SEM VALIDADE"]))
+        rows.append((job, "GHEs", 1, i + 2, [code, name, sectors, roles, str(first if i == 0 else n), "-"]))
     return rows
 
 
@@ -66,7 +66,7 @@ def report_units(job, role="integrated", source=0, priorities=True):
     add("1. Encerramento")
     if priorities:
         add("Priorizacao", style="Heading 1")
-        add(rows=[["Ordem", "GHE", "Prioridade", "Fundamentacao aprovada"], ["1", "GHE 20", "Alta", "motivo"], ["2", "", "", "x"]])
+        add(rows=[["Ordem", "GHE", "Prioridade", "Fundamentacao aprovada"], ["1", "GHE 24", "Alta", "motivo"], ["2", "", "", "x"]])
     add("Plano de acao", style="Heading 1")
     add(rows=[["Acao", "Origem", "Prioridade", "Responsavel", "Prazo", "Indicador", "Evolucao/Registros"], ["Fazer", "o", "Alta", "RH", "30d", "i", "antigo"]])
     add("Conclusao", style="Heading 1")
@@ -84,7 +84,7 @@ def flow(spark):
     inputs = Inputs(
         jobs=spark.createDataFrame(jobs, JOBS),
         sheet_rows=spark.createDataFrame(
-            [r for j in ids for r in sheet(j, 6 if j == "six" else 5)],
+            [r for j in ids for r in sheet(j, 8 if j == "six" else 7)],
             "job_id string, sheet string, sheet_ord int, row_no bigint, cells array<string>",
         ),
         block_units=spark.createDataFrame(
@@ -104,18 +104,18 @@ def flow(spark):
 
 def test_groups_match_the_sample(flow):
     got = [tuple(r) for r in flow["groups"].where("job_id = 'base'").orderBy("ord").select("code", "name", "population").collect()]
-    assert got == [("GHE 10", "Operacao Experimental", 5), ("GHE 20", "Atendimento Simulado", 8), ("GHE 30", "Laboratorio Didatico", 3)]
-    values = [r.value for r in flow["group_values"].where("job_id = 'base' and code = 'GHE 20' and kind = 'sector'").orderBy("at").collect()]
-    assert values == ["Unidade Beta", "Suporte remoto"]
+    assert got == [("GHE 11", "Oficina de Bicicletas", 7), ("GHE 24", "Cozinha Central", 4), ("GHE 37", "Viveiro de Mudas", 9)]
+    values = [r.value for r in flow["group_values"].where("job_id = 'base' and code = 'GHE 24' and kind = 'sector'").orderBy("at").collect()]
+    assert values == ["Predio Sul", "Entregas"]
 
 
 def test_mutating_one_number_changes_only_its_group(flow):
     totals = {r.job_id: r.total_population for r in flow["totals"].collect()}
-    assert totals["base"] == 16 and totals["six"] == 17
+    assert totals["base"] == 20 and totals["six"] == 21
     changed = flow["groups"].where("job_id = 'six'").select("code", "population").exceptAll(
         flow["groups"].where("job_id = 'base'").select("code", "population")
     )
-    assert [tuple(r) for r in changed.collect()] == [("GHE 10", 6)]
+    assert [tuple(r) for r in changed.collect()] == [("GHE 11", 8)]
 
 
 def test_blocks_and_plan(flow):
@@ -129,16 +129,16 @@ def test_blocks_and_plan(flow):
 def test_media(flow):
     media = flow["media"].where("job_id = 'base'").orderBy("ord").collect()
     assert len(media) == 13
-    assert [m.official_code for m in media] == [None] + [c for c in ("GHE 10", "GHE 20", "GHE 30") for _ in range(4)]
+    assert [m.official_code for m in media] == [None] + [c for c in ("GHE 11", "GHE 24", "GHE 37") for _ in range(4)]
     assert [m.role for m in media[:5]] == ["general_panel", "ghe_panel", "domain_summary", "radar", "risk_matrix"]
 
 
 def test_analyses(flow):
     first = flow["analyses"].where("job_id = 'base'").orderBy("ord").first()
-    assert (first.group_code, first.favorable_percentage, first.classification, first.n_readings) == ("GHE 10", "72%", "Atencao", 1)
+    assert (first.group_code, first.favorable_percentage, first.classification, first.n_readings) == ("GHE 11", "64%", "Moderado", 1)
     actions = flow["actions"].where("job_id = 'base'").collect()
     assert [(a.action, a.responsible, a.deadline, a.evolution) for a in actions] == [("Fazer", "RH", "30d", "")]
-    assert [p.group_hint for p in flow["priorities"].where("job_id = 'base'").collect()] == ["GHE 20"]
+    assert [p.group_hint for p in flow["priorities"].where("job_id = 'base'").collect()] == ["GHE 24"]
 
 
 def test_issues_and_status(flow):
@@ -155,9 +155,10 @@ def test_generation_needs_decisions(spark, flow):
     assert [r.job_id for r in out["ready"].collect()] == ["base"]
     assert {(r.job_id, r.error) for r in out["decision_errors"].collect()} == {("six", "unknown_source")}
     assert [r.source_id for r in out["blocks"].orderBy("place").collect()] == ["ergo-001", "ergo-002", "ergo-003"]
-    assert [(r.label, r.population) for r in out["groups"].where("is_total").collect()] == [("TOTAL", 16)]
-    codes = out["diagnostics"].where("line = 4").first().value
-    assert codes == "GHE 10, GHE 20, GHE 30"
+    assert [(r.label, r.population) for r in out["groups"].where("is_total").collect()] == [("TOTAL", 20)]
+    codes = [r.value for r in out["diagnostics"].where("line = 4").orderBy("part").collect()]
+    assert codes == ["GHE 11", "GHE 24", "GHE 37"]
+    assert {r.block_ord for r in out["questions"].select("block_ord").distinct().collect()} == {0, 1, 2}
     q = out["questions"].where("block_ord = 0").orderBy("row_no").collect()
     assert [(r.question, r.answer) for r in q] == [("1. Postura boa?", "Sim"), ("2. Pausas?", "Não")]
     assert {r.code for r in out["issues"].where("job_id = 'six' and severity = 'error'").collect()} == {"reconciliation_pending"}
