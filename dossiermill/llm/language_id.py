@@ -2,8 +2,8 @@
 
 The counts come from all labelled texts: words per language, and the n-grams of
 those words weighted by the words' counts. The model keeps the most frequent words
-and n-grams, ``WORDS`` and ``GRAMS`` of them, which bounds what is broadcast; texts
-are scored word by word. A known word adds its log frequency in each language. An
+and n-grams, ``WORDS`` and ``GRAMS`` of them (fewer with very many languages), which
+bounds what is broadcast; texts are scored word by word. A known word adds its log frequency in each language. An
 unseen word falls back to those of its longest n-grams that are known, from
 ``ORDER`` letters down to one. Each vector is centred, so that only what sets the
 languages apart adds up, and the score is the softmax of the sums.
@@ -17,28 +17,31 @@ languages teach nothing; other columns are not looked at and not returned.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import stage
+from .common import most_frequent
 
-WORDS = 60_000
+WORDS = 200_000
 GRAMS = 60_000
+#: and no more items than this by the number of languages
+CELLS = 2_000_000
 ORDER = 5
 LONGEST = 32
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 _HELD = 200_000
-_CACHE = 100_000
+_CHUNK = 1 << 20
 
 
 def runs(text: str) -> list[str]:
@@ -65,56 +68,80 @@ class Model:
     grams: dict[str, int]
     vectors: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean over the longest n-grams of a word that are known."""
-        for order in range(ORDER, 0, -1):
-            rows = [i for g in grams(word, order) if (i := self.grams.get(g)) is not None]
-            if rows:
-                return self.vectors[rows].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        found = runs(text or "")
-        ids = list(map(self.words.get, found))
-        total, seen = np.zeros(len(self.langs)), False
-        if None in ids:
-            odd = [w for w, i in zip(found, ids, strict=True) if i is None]
-            ids = [i for i in ids if i is not None]
-            for run in odd:
-                for word in letters(run):
-                    seen = True
-                    if (v := cache.get(word)) is None:
-                        known = self.words.get(word)
-                        v = self.vectors[known] if known is not None else self.unseen(word)
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        cache[word] = v
-                    total += v
-        if ids:
-            total += self.vectors[ids].sum(axis=0, dtype=np.float64)
-        if not (seen or ids) or not self.langs:
-            return UNKNOWN, 0.0
-        odds = np.exp(total - total.max())
-        return self.langs[int(np.argmax(total + 1e-9 * self.prior))], float(odds.max() / odds.sum())
-
-
-def _counted(batches: Iterator[pa.RecordBatch], each) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, item, n) of what ``each`` adds to a Counter per batch; handed on when it grows."""
-    held: Counter = Counter()
+    def back_off(self, words: list[str]) -> np.ndarray:
+        """A vector per unseen word: the mean over the longest of its n-grams that are known, zero without any."""
+        flat, starts, counts = [], [], []
+        for word in words:
+            starts.append(len(flat))
+            for order in range(ORDER, 0, -1):
+                rows = [i for g in grams(word, order) if (i := self.grams.get(g)) is not None]
+                if rows:
+                    break
+            counts.append(len(rows))
+            flat.extend(rows or [0])
+        if not flat:
+            return np.zeros((0, len(self.langs)), dtype=np.float32)
+        n = np.array(counts, dtype=np.float32)[:, None]
+        return np.add.reduceat(self.vectors[flat], starts, axis=0) / np.maximum(n, 1) * (n > 0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        found = [runs(t) if t else [] for t in texts]
+        ids = [list(map(self.words.get, f)) for f in found]
+        odd: dict[str, list[str]] = {}
+        for f, i in zip(found, ids, strict=True):
+            if None in i:
+                odd.update((w, []) for w, k in zip(f, i, strict=True) if k is None)
+        for run in odd:
+            odd[run] = letters(run)
+        unseen = {w: None for parts in odd.values() for w in parts if w not in self.words}
+        base = len(self.vectors)
+        place = {w: base + k for k, w in enumerate(unseen)}
+        vectors = np.concatenate([self.vectors, self.back_off(list(unseen))]) if unseen else self.vectors
+        rows = {run: [place[w] if w in place else self.words[w] for w in parts] for run, parts in odd.items()}
+        out = []
+        for f, i in zip(found, ids, strict=True):
+            if None in i:
+                i = [k for w, known in zip(f, i, strict=True) for k in ((known,) if known is not None else rows[w])]
+            if not i or not self.langs:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = vectors[i].sum(axis=0, dtype=np.float64)
+            odds = np.exp(total - total.max())
+            out.append((self.langs[int(np.argmax(total + 1e-9 * self.prior))], float(odds.max() / odds.sum())))
+        return out
+
+
+def predictions(model: Model, texts: pa.Array) -> list[tuple[str, float]]:
+    """Of a column of texts, about ``_CHUNK`` characters at a time."""
+    out: list[tuple[str, float]] = []
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= _CHUNK:
+            out += model.predict(held)
+            held, size = [], 0
+    return out + model.predict(held)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], each: Callable[[dict[str, Counter], pa.RecordBatch, int], None]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, item, n) of what ``each`` adds to a language's Counter; handed on when they have grown."""
+    held: dict[str, Counter] = defaultdict(Counter)
 
     def out() -> pa.RecordBatch:
-        rows = list(held)
-        n = pa.array([held[k] for k in rows], type=pa.int64())
+        rows = [(lang, item, n) for lang, counts in held.items() for item, n in counts.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), n], names=["lang", "item", "n"])
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "item", "n"])
 
     for b in batches:
         for row in range(b.num_rows):
             each(held, b, row)
-            if len(held) > _HELD:
+            if row % 64 == 0 and sum(map(len, held.values())) > _HELD:
                 yield out()
-    if held:
-        yield out()
+    yield out()
 
 
 _COUNTS = "lang string, item string, n bigint"
@@ -123,35 +150,42 @@ _COUNTS = "lang string, item string, n bigint"
 def word_counts(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang, item, n``: every word of the labelled texts."""
 
-    def add(held: Counter, b: pa.RecordBatch, row: int) -> None:
-        language = b.column(0)[row].as_py()
-        for run, n in Counter(runs(b.column(1)[row].as_py())).items():
-            if len(run) <= LONGEST and run.isalpha():
-                held[language, run] += n
-            else:
-                for word in letters(run):
-                    held[language, word] += n
+    def add(held: dict[str, Counter], b: pa.RecordBatch, row: int) -> None:
+        held[b.column(0)[row].as_py()].update(runs(b.column(1)[row].as_py()))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (lang, word, n)
+                for lang, run, n in zip(*(c.to_pylist() for c in b.columns), strict=True)
+                for word in ((run,) if len(run) <= LONGEST and run.isalpha() else letters(run))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "item", "n"])
 
     rows = labelled.select(F.col(lang).cast("string"), F.col(text)).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return rows.mapInArrow(lambda batches: _counted(batches, add), _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lambda batches: tidy(_counted(batches, add)), _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
     """``lang, item, n``: n-grams of counted words."""
 
-    def add(held: Counter, b: pa.RecordBatch, row: int) -> None:
+    def add(held: dict[str, Counter], b: pa.RecordBatch, row: int) -> None:
         language, word, n = (c[row].as_py() for c in b.columns)
+        counts = held[language]
         for order in range(1, ORDER + 1):
             for g in grams(word, order):
-                held[language, g] += n
+                counts[g] = counts.get(g, 0) + n
 
     return words.mapInArrow(lambda batches: _counted(batches, add), _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, most: int) -> list:
-    """The items of the largest totals, with their counts by language."""
-    items = counts.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    return items.orderBy(F.desc("total"), "item").limit(most).collect()
+def _top(counts: DataFrame, langs: list[str], most: int, name: str) -> tuple[list[str], np.ndarray]:
+    """The items of the largest totals, and their counts by language."""
+    each = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)) for k in langs]
+    items = stage(counts.groupBy("item").agg(F.sum("n").alias("total"), F.array(*each).alias("by")), name)
+    top = most_frequent(items, "total", "item", min(most, CELLS // len(langs))).select("item", "by").toArrow()
+    by = top.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+    return top.column(0).to_pylist(), by.astype(np.float64)
 
 
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most_words: int = WORDS, most_grams: int = GRAMS) -> Model:
@@ -159,22 +193,18 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most_word
     words = stage(word_counts(labelled, lang, text), "language-words")
     sums = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(sums)
-    place = {k: i for i, k in enumerate(langs)}
+    if not langs:
+        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0), dtype=np.float32))
     size = np.array([sums[k] for k in langs], dtype=np.float64)
     vectors: list[np.ndarray] = []
     kept: list[dict[str, int]] = []
-    for top in (_top(words, most_words), _top(gram_counts(words), most_grams)):
-        counts = np.zeros((len(top), len(langs)))
-        for i, row in enumerate(top):
-            for by in row["by"]:
-                counts[i, place[by["lang"]]] = by["n"]
-        logs = np.log((counts + 0.5) / (size + 0.5 * max(1, len(top)))) if langs else counts
-        base = sum(len(v) for v in vectors)
-        vectors.append(logs - logs.mean(axis=1, keepdims=True) if langs else logs)
-        kept.append({row["item"]: base + i for i, row in enumerate(top)})
-    total = size.sum() if langs else 1.0
-    prior = np.array([math.log(n / total) for n in size])
-    return Model(langs, prior, kept[0], kept[1], np.concatenate(vectors).astype(np.float32))
+    for counts, most, name in ((words, most_words, "language-items"), (gram_counts(words), most_grams, "language-grams")):
+        items, by = _top(counts, langs, most, name)
+        logs = np.log((by + 0.5) / (size + 0.5 * max(1, len(items))))
+        base = sum(map(len, vectors))
+        vectors.append((logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
+        kept.append({item: base + i for i, item in enumerate(items)})
+    return Model(langs, np.log(size / size.sum()), kept[0], kept[1], np.concatenate(vectors))
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
@@ -184,9 +214,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
         for b in batches:
-            got = [m.predict(t.as_py(), cache) for t in b.columns[-1]]
+            got = predictions(shared.value, b.columns[-1])
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=schema.names,
@@ -206,11 +235,8 @@ def keep_known(docs: DataFrame, least: float = 0.5, lang: str = "lang", text: st
     model = docs.sparkSession.sparkContext.broadcast(shared)
 
     @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
-        cache: dict[str, np.ndarray] = {}
-        got = [model.value.predict(t, cache) for t in texts]
+    def known(texts: pd.Series) -> pd.Series:
+        got = predictions(model.value, pa.array(texts, pa.string()))
         return pd.Series([name != UNKNOWN and score >= least for name, score in got], dtype=bool)
 
     return docs.where(known(F.col(text)))

@@ -384,8 +384,9 @@ def test_pieces_of_awkward_texts():
     with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
         message = f.read()
     codec, plain = pieces.Codec(message), SentencePieceProcessor(model_proto=message)
-    texts = ["", " ", "a  b", "  lead", "trail  ", "\n\n x", "日本語🙂", "a▁b", "<s> hi </s>", "<unk>", "\x00\x01", "a" * 3000, "<0x41>", "▁▁ ▁"]
-    assert [ids for ids, _ in codec.encode(texts)] == plain.encode(texts)
+    texts = ["", " ", "a  b", "  lead", "trail  ", "\n\n x", "日本語🙂", "a▁b", "x\ny 12a\n\nb1\n", "\x7f\tq\r\nZ", "<s> hi </s>", "<unk>", "\x00\x01", "a" * 3000, "<0x41>", "▁▁ ▁"]
+    assert [g[0] for g in codec.encode(texts)] == plain.encode(texts)
+    assert [g[2] for g in codec.encode(texts)] == [a == b for a, b in zip(codec.decode(plain.encode(texts)), texts, strict=True)]
     whole = [e.ids for e in codec.fast.encode_batch(texts, add_special_tokens=False)]
     assert whole == plain.encode(texts)
 
@@ -422,7 +423,7 @@ def test_unigram_models():
     tool = pieces.backend(pieces.parse(message))
     texts = ["the other", "an antenna", "ther  rathe", "", "zebra the", "é"]
     assert [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)] == plain.encode(texts)
-    assert [ids for ids, _ in pieces.Codec(message).encode(texts)] == plain.encode(texts)
+    assert [g[0] for g in pieces.Codec(message).encode(texts)] == plain.encode(texts)
 
 
 # -- 7: url filters ----------------------------------------------------------
@@ -476,8 +477,8 @@ def test_languages_on_held_out_rows(spark):
 def test_language_backs_off_to_ngrams(spark):
     rows = [("en", "thing nothing something anything"), ("de", "zeitung heizung wohnung sitzung")] * 5
     model = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
-    assert model.predict("plaything", {})[0] == "en" and model.predict("Rechnung!", {})[0] == "de"
-    assert model.predict("123 ...", {}) == ("und", 0.0) and model.predict(None, {}) == ("und", 0.0)
+    got = model.predict(["plaything", "Rechnung!", "123 ...", None, "thing zeitung qqq", ""])
+    assert [g[0] for g in got[:2]] == ["en", "de"] and [got[i] for i in (2, 3, 5)] == [("und", 0.0)] * 3
     assert set(language_id.grams("ab", 3)) == {"_ab", "ab_"}
 
 
