@@ -277,20 +277,27 @@ def wn_nearest_context(spark, sf):
     return M.nearest_context(derive(spark, sf, "context_units")).drop("role")
 
 
-_GEO = f"""{cte('groups', 'media')}, g AS (SELECT job_id, code, row_number() OVER (PARTITION BY job_id ORDER BY ord) + 1 AS seg FROM groups WHERE ord <= 20),
+_GEO = f"""{cte('groups', 'media')}, g AS (SELECT job_id, code, row_number() OVER (PARTITION BY job_id ORDER BY ord) + 1 AS seg FROM (SELECT CASE WHEN ord <= 20 THEN job_id ELSE job_id || ' outro' END AS job_id, code, ord FROM groups) AS o),
   d AS (SELECT *, width / height AS r, width / height BETWEEN 2.5 AND 3.5 AND height BETWEEN 350 AND 700 AS dash FROM media),
   n AS (SELECT *, sum(CASE WHEN dash THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ord)::BIGINT AS seg, count(*) OVER (PARTITION BY job_id) AS nm, count(*) FILTER (WHERE dash) OVER (PARTITION BY job_id) AS nd FROM d),
   k AS (SELECT n.*, g.code FROM n LEFT JOIN g ON g.job_id = n.job_id AND g.seg = n.seg WHERE n.seg >= 1 AND nm >= 2 AND nd >= 2 AND (n.seg = 1 OR g.code IS NOT NULL)),
   q AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY ord) AS place FROM k)"""
 
 
+def _short_registry(spark, sf):
+    """All groups; those behind the twentieth belong to a job without media."""
+    return derive(spark, sf, "groups").withColumn(
+        "job_id", F.when(F.col("ord") <= 20, F.col("job_id")).otherwise(F.concat("job_id", F.lit(" outro")))
+    )
+
+
 @query(
     "wn_segment_by_geometry",
     f"""{_GEO} SELECT job_id, image_id, seg AS segment_no, code, CASE WHEN place = 1 THEN CASE WHEN seg = 1 THEN 'general_panel' ELSE 'ghe_panel' END WHEN place = 2 THEN 'chart' WHEN place = 3 THEN 'domain_summary'
       WHEN place IN (4, 5) AND r >= 3 THEN 'risk_matrix' ELSE 'other' END AS role FROM q""",
 )
 def wn_segment_by_geometry(spark, sf):
-    placed, _ = M.segment_by_geometry(derive(spark, sf, "media").drop("role"), derive(spark, sf, "groups").where("ord <= 20"))
+    placed, _ = M.segment_by_geometry(derive(spark, sf, "media").drop("role"), _short_registry(spark, sf))
     return placed.select("job_id", "image_id", "segment_no", "code", "role")
 
 
@@ -299,7 +306,7 @@ def wn_segment_by_geometry(spark, sf):
     f"{_GEO} SELECT job_id, 'segment_without_group' AS warning FROM (SELECT DISTINCT job_id, nd FROM n WHERE nd >= 2 AND nm >= 2) AS z WHERE nd > (SELECT max(seg) FROM g WHERE g.job_id = z.job_id)",
 )
 def wn_surplus_segments(spark, sf):
-    return M.segment_by_geometry(derive(spark, sf, "media").drop("role"), derive(spark, sf, "groups").where("ord <= 20"))[1]
+    return M.segment_by_geometry(derive(spark, sf, "media").drop("role"), _short_registry(spark, sf))[1]
 
 
 @query(

@@ -125,3 +125,36 @@ def test_comparison_is_written(spark, tmp_path):
     summary = spark.createDataFrame([("a", 1)], "job_id string, n int")
     SN.write_comparison(summary.withColumn("ratio", F.lit(0.5)), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().ratio == 0.5
+
+
+def test_html_nesting_loses_nothing(spark):
+    pages = {
+        1: "<table><tr><td>A<table><tr><td>in</td></tr></table></td></tr><tr><td>B</td><td>C</td></tr></table>",
+        2: "<li>alpha<div>beta</div> gamma<img src=i.png></li><p>&#x1F600;&apos;&check;&#128;",
+        3: "<ul><li>a<ul><li>b</ul><li>c</ul><p>x<table><tr><td>q<td>r<tr><td>s</table>tail<p>end",
+        4: None,
+    }
+    df = spark.createDataFrame(list(pages.items()), "id int, html string")
+    got = {}
+    for r in html_units(df, "id", "html").orderBy("id", "ord").collect():
+        got.setdefault(r.id, []).append((r.kind, r.text, [list(x) for x in r.rows]))
+    assert got == {
+        1: [("table", "", [["A in"], ["in"], ["B", "C"]])],
+        2: [("text", "alpha beta gamma", []), ("image", "i.png", []), ("text", "\U0001f600'✓€", [])],
+        3: [("text", "a b", []), ("text", "c", []), ("text", "x", []), ("table", "", [["q", "r"], ["s"]]), ("text", "end", [])],
+    }
+
+
+def test_headers_are_found_in_any_row(spark):
+    from dossiermill.operators.registry import detect_header
+
+    full = ["Código GHE", "Nome GHE", "Setor", "Cargo", "Quantidade"]
+    rows = [("late", "s", 1, i, ["Setor 1", "Cargo 2", "7"]) for i in range(1, 90)] + [("late", "s", 1, 90, full)]
+    # the first row scores as much as the usable one and stands before it: the job has no header
+    rows += [("blocked", "s", 1, 1, ["Nome GHE", "Setor", "Cargo", "QTD"]), ("blocked", "s", 1, 2, ["GHE", "Quantidade"])]
+    rows += [("second", "a", 1, 1, ["nada"]), ("second", "b", 2, 5, full), ("second", "c", 3, 1, full)]
+    rows += [("none", "s", 1, 1, ["Setor", "Cargo"])]
+    df = spark.createDataFrame(rows, "job_id string, sheet string, sheet_ord int, row_no bigint, cells array<string>")
+    got = {r.job_id: (r.sheet, r.row_no) for r in detect_header(df).collect()}
+    assert got == {"late": ("s", 90), "second": ("b", 5)}
+    assert "late" not in {r.job_id for r in detect_header(df, scan_rows=60).collect()}
