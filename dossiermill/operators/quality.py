@@ -37,6 +37,11 @@ def message_of(code: Column) -> Column:
     return result
 
 
+def with_messages(issues: DataFrame) -> DataFrame:
+    """Issues with the catalogue's ``message`` of their code; NULL for codes outside it."""
+    return issues.withColumn("message", message_of(F.col("code")))
+
+
 def issue_rows(df: DataFrame, code: str | Column, source: str | Column | None = None) -> DataFrame:
     """Rows of a rule as issues, severity still to be set."""
     code_col = F.lit(code) if isinstance(code, str) else code
@@ -143,6 +148,12 @@ def stage_rules(facts: DataFrame) -> DataFrame:
     )
 
 
+def all_issues(t: dict[str, DataFrame], strict: bool = False) -> DataFrame:
+    """Issues of the rules and of empty extractions, with messages."""
+    stops = stage_rules(job_facts(t)).select(JOB, F.lit("error").alias("severity"), "code", "source_id")
+    return with_messages(run_rules(t, strict).unionByName(stops))
+
+
 def propagated_warnings(warnings: DataFrame) -> DataFrame:
     """Warnings of extraction and reconciliation, ``source_id = <code>-<n>``.
 

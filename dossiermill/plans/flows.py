@@ -168,7 +168,7 @@ def validate(inputs: Inputs, mode: str = "sequence") -> dict[str, DataFrame]:
         "exceptions": inputs.exceptions,
         "warnings": numbered,
     }
-    issues = stage(Q.run_rules(tables, strict=False), "issues")
+    issues = stage(Q.all_issues(tables, strict=False), "issues")
     return {
         **tables,
         "official": official,
@@ -201,7 +201,7 @@ def generate(validated: dict[str, DataFrame], decisions: DataFrame) -> dict[str,
     """Apply review decisions, check strictly, and compile the tables of jobs without errors."""
     plan, errors = RC.apply_decisions(validated["plan"], decisions, validated["official"])
     plan = stage(plan, "decided")
-    issues = stage(Q.run_rules({**validated, "plan": plan}, strict=True), "strict-issues")
+    issues = stage(Q.all_issues({**validated, "plan": plan}, strict=True), "strict-issues")
     failed = issues.where("severity = 'error'").select(JOB).unionByName(errors.select(JOB)).distinct()
     ready = stage(validated["jobs"].join(failed, JOB, "left_anti"), "ready")
 

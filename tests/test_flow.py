@@ -144,6 +144,7 @@ def test_analyses(flow):
 def test_issues_and_status(flow):
     issues = {(r.job_id, r.code) for r in flow["issues"].where("severity = 'error'").collect()}
     assert issues == {("nocard", "registration_card_missing"), ("nocard", "prioritization_missing")}
+    assert all(r.message for r in flow["issues"].where("severity = 'error'").collect())
     status = {r.job_id: r.status for r in flow["summary"].collect()}
     assert status == {"base": "needs_reconciliation", "six": "needs_reconciliation", "nocard": "validation_failed"}
 
