@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ..plans.staging import stage
 
 DEFAULT = "allow"
-#: split keys: this many hashed rows are looked at for them, whatever the table's size
+#: split keys: about this many rows, chosen by hash, are looked at for them, whatever the table's size
 SAMPLE = 20_000
 
 
@@ -88,8 +88,8 @@ class Sweep:
 
 def _split_keys(urls: DataFrame, parts: int) -> list[str]:
     """Up to ``parts - 1`` keys that cut the URLs about evenly, from a bounded hashed sample."""
-    some = urls.select("sort").orderBy(F.xxhash64("sort")).limit(SAMPLE).collect()
-    keys = sorted(r["sort"] for r in some)
+    share = int((1 << 30) * SAMPLE / max(SAMPLE, urls.count()))
+    keys = sorted(r["sort"] for r in urls.where(F.pmod(F.xxhash64("sort"), F.lit(1 << 30)) < share).select("sort").collect())
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
