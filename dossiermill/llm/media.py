@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import new_path, stage
+from ..plans.staging import new_path, remove, stage
 
 WIDTH = 576
 FILLER = 255
@@ -127,13 +127,13 @@ class _Shard:
 
 
 def store(payloads: DataFrame, folder: str, payload: str = "payload", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write padded binary payloads to shards in ``folder``: ``digest, shard, offset, length``, one row per digest."""
+    """Write padded binary payloads to shards in ``folder``: ``digest`` (SHA-256, binary), ``shard, offset, length``, one row per digest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: _Shard | None = None
         seen: set[bytes] = set()
         for b in batches:
-            rows: list[tuple[str, str, int, int]] = []
+            rows: list[tuple[bytes, str, int, int]] = []
             for x in b.column(0):
                 data = padded(x.as_py() or b"")
                 digest = hashlib.sha256(data)
@@ -147,18 +147,22 @@ def store(payloads: DataFrame, folder: str, payload: str = "payload", shard_byte
                     shard.close()
                     shard = None
                 shard = shard or _Shard(folder)
-                rows.append((digest.hexdigest(), shard.name, shard.add(f"{digest.hexdigest()}.png", image), len(image)))
+                rows.append((digest.digest(), shard.name, shard.add(f"{digest.hexdigest()}.png", image), len(image)))
             yield pa.RecordBatch.from_pylist([dict(zip(("digest", "shard", "offset", "length"), r, strict=True)) for r in rows], schema=_INDEX)
         if shard is not None:
             shard.close()
 
     # written before anything reads it: the rows name files of the attempt that made them
-    written = stage(payloads.select(payload).mapInArrow(write, "digest string, shard string, offset bigint, length bigint"), "media-written")
+    spark, path = payloads.sparkSession, new_path(payloads.sparkSession, "media-written")
+    schema = "digest binary, shard string, offset bigint, length bigint"
+    payloads.select(payload).mapInArrow(write, schema).write.parquet(path)
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
-    return stage(written.groupBy("digest").agg(place).select("digest", "place.*"), "media-index")
+    index = stage(spark.read.schema(schema).parquet(path).groupBy("digest").agg(place).select("digest", "place.*"), "media-index")
+    remove(spark, path)
+    return index
 
 
-_INDEX = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_INDEX = pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
 def _reading(refs: DataFrame, folder: str, schema: str, size: Callable[[int], int], row: Callable[[bytes], dict]) -> DataFrame:
@@ -198,16 +202,16 @@ def facts(image: bytes) -> dict:
     feature = ",".join(map(str, [int(samples.sum(dtype=np.int64)), int(steps.sum(dtype=np.int64)), *shape.tolist()]))
     return {
         "payload_bytes": len(payload),
-        "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "payload_sha256": hashlib.sha256(payload).digest(),
         "tail_crc32": zlib.crc32(payload[-32:]),
-        "media_sha256": hashlib.sha256(image).hexdigest(),
+        "media_sha256": hashlib.sha256(image).digest(),
         "feature": feature,
     }
 
 
 def with_facts(refs: DataFrame, folder: str) -> DataFrame:
     """``refs`` with checksums and features of the images, read back whole."""
-    columns = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string"
+    columns = "payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_sha256 binary, feature string"
     return _reading(refs, folder, columns, lambda n: n, facts)
 
 
@@ -216,5 +220,5 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
     folder = folder or new_path(docs.sparkSession, "media")
     own = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")
     index = store(docs.select(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("payload")), folder)
-    rows = docs.select(F.col(key).alias("doc_id"), own.alias("n_bytes"), F.sha2(padded_column(F.col(text)), 256).alias("digest"))
+    rows = docs.select(F.col(key).alias("doc_id"), own.alias("n_bytes"), F.unhex(F.sha2(padded_column(F.col(text)), 256)).alias("digest"))
     return rows, with_headers(index, folder), folder

@@ -44,9 +44,10 @@ SQL_UNIT = "((CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT))::DOUBLE + 0.5) /
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, index, folder = media.media_columns(table(spark, sf_dir, "documents"))
     facts = stage(media.with_facts(index, folder), "media-facts")
+    payload, image = (F.lower(F.hex(c)).alias(c) for c in ("payload_sha256", "media_sha256"))
     return rows.join(facts, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256",
-        "feature", "width", "height", "digest", "shard", "offset",
+        "doc_id", "n_bytes", "payload_bytes", payload, "tail_crc32", F.col("length").alias("media_bytes"), image,
+        "feature", "width", "height", "shard", "offset",
     )
 
 
