@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,12 +230,12 @@ def remainder(key: str, modulus: int) -> Column:
 
 def keep_known(docs: DataFrame, least: float = 0.5, lang: str = "lang", text: str = "text") -> DataFrame:
     """The documents whose language is recognised with a score of ``least`` or more, with all their columns."""
-    shared = learn(docs, lang, text)
-    model = docs.sparkSession.sparkContext.broadcast(shared)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, lang, text))
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        got = predictions(model.value, pa.array(texts, pa.string()))
-        return pd.Series([name != UNKNOWN and score >= least for name, score in got], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = predictions(model.value, b.column(at))
+            yield b.filter(pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_()))
 
-    return docs.where(known(F.col(text)))
+    return docs.mapInArrow(run, docs.schema)

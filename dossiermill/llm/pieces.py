@@ -27,7 +27,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +38,9 @@ MARK = "▁"
 BREAK = "\n"
 THREADS = 2
 #: parts whose ids a worker remembers
-HELD = 400_000
+HELD = 100_000
+#: parts to the libraries in one text
+JOINED = 64
 #: texts to the library at once: this many characters, or one text
 CHUNK = 1 << 20
 # fixed values of the format: kinds of pieces and of models
@@ -182,9 +184,14 @@ class Codec:
         self.parts = Tokenizer(self.fast.model) if simple and whole else None
         stop = re.escape("".join(self.alone)) + MARK
         self.cut = re.compile(f"[{re.escape(''.join(self.alone))}]|{MARK}+[^{stop}]*|[^{stop}]+")
-        self.known: dict[str, tuple[list[int], str, bool]] = {}
         self.plain = SentencePieceProcessor(model_proto=message)
-        self.lead = len(self.plain.encode(BREAK))
+        self.lead = len(alone := self.plain.encode(BREAK))
+        self.line = alone[-1]
+        self.known: dict[str, tuple[list[int], str, bool]] = {}
+        if self.parts:
+            if self.parts.encode(BREAK, add_special_tokens=False).ids != [self.line]:
+                self.parts = None
+            self.known[BREAK] = [self.line], BREAK, True
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
         """Ids of each text, whether the backend gave them itself, and whether they decode to the text."""
@@ -215,15 +222,30 @@ class Codec:
     def _learned(self, parts: list[str]) -> dict[str, tuple[list[int], str, bool]]:
         """Ids by the sentencepiece library, the text that they decode to, and whether the backend gives the same ids.
 
-        The sentencepiece library gets parts behind a line break, which joins with
-        nothing, so that none is given a dummy prefix.
+        Parts go to the libraries ``JOINED`` at a time with line breaks between them,
+        which join with nothing, so that none is given a dummy prefix.
         """
-        mine = self.parts.encode_batch_fast(parts, add_special_tokens=False)
-        found = [ids[self.lead :] for ids in self.plain.encode([BREAK + p.replace(MARK, " ") for p in parts], num_threads=1)]
-        # decoding drops one leading space, so each part is given one more
+        out: dict[str, tuple[list[int], str, bool]] = {}
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        lines = [BREAK.join(g) for g in groups]
+        mine = self.parts.encode_batch_fast(lines, add_special_tokens=False)
+        theirs = [ids[self.lead :] for ids in self.plain.encode([BREAK + x.replace(MARK, " ") for x in lines], num_threads=1)]
+        # decoding drops one leading space, so it is given one more
         mark = self.fast.token_to_id(MARK)
-        back = self.decode([[mark, *ids] for ids in found])
-        return {p: (b, t, a.ids == b) for p, a, b, t in zip(parts, mine, found, back, strict=True)}
+        for group, fast, ids, back in zip(groups, mine, theirs, self.decode([[mark, *ids] for ids in theirs]), strict=True):
+            found = self._split(ids)
+            same = repeat(True) if fast.ids == ids else (a == b for a, b in zip(self._split(fast.ids), found, strict=True))
+            out.update(zip(group, zip(found, back.split(BREAK), same), strict=True))
+        return out
+
+    def _split(self, ids: list[int]) -> list[list[int]]:
+        """Ids between the line breaks."""
+        out, start = [], 0
+        for at, i in enumerate(ids):
+            if i == self.line:
+                out.append(ids[start:at])
+                start = at + 1
+        return [*out, ids[start:]]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -237,15 +259,17 @@ def codec_of(message: bytes, threads: int) -> Codec:
     return _codecs[message, threads]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """A column of texts in turns of about ``CHUNK`` characters, each with the place of its first one."""
+    start, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        size += len(t)
+        held.append(t.as_py() or "")
+        size += len(held[-1])
         if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield start, held
+            start, held, size = i + 1, [], 0
+    if held:
+        yield start, held
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threads: int = THREADS) -> DataFrame:
@@ -268,13 +292,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value, threads)
         for b in batches:
-            texts = [t or "" for t in b.columns[-1].to_pylist()]
-            for a, z in _chunks(texts):
-                part = texts[a:z]
+            for at, part in _chunks(b.columns[-1]):
                 got = codec.encode(part)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[c.slice(a, z - a) for c in b.columns[:-1]],
+                        *[c.slice(at, len(part)) for c in b.columns[:-1]],
                         pa.array([g[0] for g in got], pa.list_(pa.int32())),
                         pa.array([g[1] for g in got], pa.bool_()),
                         pa.array([g[2] for g in got], pa.bool_()),
