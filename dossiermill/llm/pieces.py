@@ -38,7 +38,7 @@ MARK = "▁"
 BREAK = "\n"
 THREADS = 2
 #: parts whose ids a worker remembers
-HELD = 100_000
+HELD = 250_000
 #: parts to the libraries in one text
 JOINED = 64
 #: texts to the library at once: this many characters, or one text
