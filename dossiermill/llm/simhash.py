@@ -23,6 +23,7 @@ stay; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +40,13 @@ RADIUS = 4
 PIVOTS = 32
 CELL = 2048
 SEED = 42
+#: what ``keep_one`` goes by: words a shingle, least Jaccard, and bands of least hashes by which texts meet
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 20
+ROWS = 4
+#: of the 80 least hashes, 64 agree at 0.8, with a deviation of 3.6
+AGREEING = 42
 _PAIRS = 1 << 20
 _VOTES = 1 << 15
 
@@ -204,12 +212,148 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns.
+@cache
+def _turns() -> tuple[np.ndarray, np.ndarray]:
+    """What the hashes are turned by, a row per least hash."""
+    turn, by = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+    return turn, by | np.uint64(1)
 
-    A document is its id and its text: rows that repeat both count as one.
+
+def _marks(data: bytes, shingle: int) -> tuple[str, bytes, bytes, list[int]]:
+    """Digest of the words, agreement bytes, distinct shingle hashes (sorted) and band values of one text."""
+    from xxhash import xxh3_128_hexdigest, xxh64_intdigest as xxh64
+
+    found = data.lower().split()
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(found) - shingle + 1)
+    first, last = starts[:n].tolist(), ends[min(shingle, max(1, len(found))) - 1 :].tolist() or [0]
+    hashes = np.unique(np.fromiter((xxh64(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype="<u8", count=n))
+    turn, by = _turns()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype="<u8")
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[None, i : i + 4096] ^ turn) * by).min(axis=1), out=least)
+    values = [xxh64(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return xxh3_128_hexdigest(joined), (least >> np.uint64(48)).astype("<u2").tobytes(), hashes.tobytes(), values
+
+
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """``own`` of each row with the marks of its ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_marks(x.as_buffer().to_pybytes(), shingle) for x in b.column(1)]
+            types = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["own", "body", "sig", "grams", "bands"])
+
+    narrow = docs.select("own", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("t"))
+    return narrow.mapInArrow(run, "own string, body string, sig binary, grams binary, bands array<bigint>")
+
+
+def _similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles have a Jaccard of ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), dtype="<u8") for z in (x, y))
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = grams.select(F.col("body").alias("a"), F.col("grams").alias("x"))
+    right = grams.select(F.col("body").alias("b"), F.col("grams").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+
+
+def _unlinked(rest: DataFrame, cell: int) -> DataFrame:
+    """Pairs ``a, b`` of rows (place, body, sig, label) that meet, have different labels and agree in enough of ``sig``."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        body = rows.column("body").combine_chunks()
+        place, side = (rows.column(c).to_numpy() for c in ("cell", "side"))
+        label = np.unique(rows.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+        sig = np.stack([np.frombuffer(x.as_buffer(), dtype="<u2") for x in rows.column("sig")])
+        stop = np.searchsorted(place, place, side="right")
+        for i in range(len(place)):
+            j = np.arange(i + 1, stop[i])
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREEING] if len(j) else j
+            if len(j):
+                one, two = body.take(pa.array(np.full(len(j), i))).to_pylist(), body.take(pa.array(j)).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two))), pa.array(list(map(max, one, two)))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            place = rows.column("cell").to_numpy()
+            # a cell may go on in the next batch: it waits; it has about 2 x cell rows at most
+            cut = int(np.searchsorted(place, place[-1], side="left")) if len(place) else 0
+            held = rows.slice(cut)
+            if cut:
+                yield from pairs(rows.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    sizes = stage(rest.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("chunks")), "near-sizes")
+    spread = (
+        rest.join(sizes, "place")
+        .withColumn("chunk", F.pmod(F.xxhash64("body", F.lit(SEED)), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    )
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    dealt = spread.select(
+        F.xxhash64("place", low, high).alias("cell"),
+        F.when(low == high, 0).when(F.col("chunk") == low, 1).otherwise(2).alias("side"),
+        "body", "label", "sig",
+    )
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a string, b string").distinct()
+
+
+def similar(marked: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """Links ``a, b`` between digests of words that join what is linked at ``similarity`` or more.
+
+    Texts meet where a band agrees. First every text is held against the least of
+    its place; only places that this leaves in several parts have the pairs
+    between the parts formed, in cells. Every link is verified.
+    """
+    bodies = stage(marked.groupBy("body").agg(F.min_by(F.struct("sig", "bands"), "own").alias("m")).select("body", "m.sig", "m.bands"), "near-bodies")
+    met = bodies.select("body", F.posexplode("bands").alias("no", "value")).select(F.xxhash64("no", "value").alias("place"), "body")
+    shared = met.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("hub"), F.sum(F.xxhash64("body").cast("decimal(20,0)")).alias("all")).where("n > 1")
+    # places of the same texts say the same
+    places = stage(shared.groupBy("all", "n", "hub").agg(F.min("place").alias("place")).select("place", "hub"), "near-places")
+    crowded = stage(met.join(places, "place"), "near-met")
+    wanted = crowded.select("body").distinct()
+    grams = stage(
+        marked.join(wanted, "body", "left_semi").groupBy("body").agg(F.min_by("grams", "own").alias("grams")),
+        "near-grams",
+    )
+    star = stage(crowded.where("body <> hub").select(F.col("hub").alias("a"), F.col("body").alias("b")).distinct(), "near-star")
+    found = stage(_similar(star, grams, similarity), "near-found")
+    labels = stage(components(found).select(F.col("node").alias("body"), "root"), "near-labels")
+    named = stage(crowded.join(labels, "body", "left").select("place", "body", F.coalesce("root", "body").alias("label")), "near-named")
+    parted = stage(named.groupBy("place").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("place"), "near-parted")
+    rest = stage(named.join(parted, "place").join(bodies.select("body", "sig"), "body").select("place", "body", "label", "sig"), "near-rest")
+    more = stage(_unlinked(rest, cell).join(star, ["a", "b"], "left_anti"), "near-more")
+    return found.union(_similar(more, grams, similarity))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group linked by a shingle Jaccard of ``similarity`` or more, with all its columns.
+
+    A document is its id and its text: rows that repeat both count as one. The
+    fingerprints of ``near_duplicates`` reach about 0.95 only, so texts meet by
+    bands of least hashes instead, and what meets is verified by its shingles.
+    A pair at 0.8 agrees in some band but for 3 in 100,000, closer pairs surely.
     """
     own = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
-    named = docs.select(own.alias("own"), F.col(text).alias("text"))
-    kept = near_duplicates(named, "own", "text").where("doc_id = component_id").select(F.col("doc_id").alias("own")).distinct()
+    marked = stage(_marked(docs.select(own.alias("own"), F.col(text).alias("text")), shingle), "near-marks")
+    roots = stage(components(similar(marked, similarity)).select(F.col("node").alias("body"), "root"), "near-roots")
+    grouped = marked.select("own", "body").join(roots, "body", "left").select("own", F.coalesce("root", "body").alias("head"))
+    kept = stage(grouped.groupBy("head").agg(F.min("own").alias("own")).select("own"), "near-kept")
     return docs.select(F.struct("*").alias("row"), own.alias("own")).join(kept, "own", "left_semi").dropDuplicates(["own"]).select("row.*")

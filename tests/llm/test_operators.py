@@ -564,3 +564,47 @@ def test_rules_leave_clean_documents(spark):
     out = quality_rules.verdicts(quality_rules.ledger(documents(spark)), "v2").join(documents(spark, "labels"), "doc_id").collect()
     assert all(r.kept or r.n_words < 50 or r.n_repeat_words * 2 > r.n_words for r in out if r.quality == 1)
     assert not any(r.kept for r in out if r.quality == 0)
+
+
+# -- near copies by shingles ---------------------------------------------------
+
+
+def brute_similar(texts, words=5, least=0.8):
+    """Pairs of places whose five-word shingle sets have a Jaccard of ``least`` or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    return {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("cell", [16, 2048])
+def test_keep_one_finds_copies_at_its_similarity(spark, cell):
+    """Near copies between 0.8 and 0.95, which differ in more bits than the fingerprints' radius, are linked; others stay."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        texts.append(" ".join(words))
+        for changes in (2, 5, 7, 8, 9, 14):
+            copy = list(words)
+            for at in rng.choice(400, changes, replace=False):
+                copy[at] = f"n{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    named = simhash._marked(df.select(F.col("doc_id").cast("string").alias("own"), "text"), simhash.WORDS).cache()
+    at = {r.body: int(r.own) for r in named.collect()}
+    got = {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.similar(named, cell=cell).collect()}
+    want = brute_similar(texts)
+    assert got <= want and len(want) > 200
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+        for i, j in sorted(pairs):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    assert groups(got) == groups(want)
+    kept = simhash.keep_one(df).collect()
+    assert sorted(groups(want)[r.doc_id] for r in kept) == sorted(set(groups(want)))
