@@ -37,6 +37,11 @@ GRAMS = 60_000
 CELLS = 2_000_000
 ORDER = 5
 LONGEST = 32
+#: what ``keep_known`` asks of a text: the share of its words that are known from others, for new words by n-grams of
+#: ``LONG`` letters, and the mean margin a word of its language over the second, in nats
+LONG = 4
+LEAST_SHARE = 0.5
+LEAST_MARGIN = 0.05
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 _HELD = 200_000
@@ -66,6 +71,8 @@ class Model:
     words: dict[str, int]
     grams: dict[str, int]
     vectors: np.ndarray
+    #: how often each item was counted, over all languages
+    totals: np.ndarray | None = None
 
     def back_off(self, words: list[str]) -> np.ndarray:
         """A vector per unseen word: the mean over the longest of its n-grams that are known, zero without any."""
@@ -85,6 +92,47 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
+        return [self.verdict(total) for total, _ in self.sums(texts)]
+
+    def verdict(self, total: np.ndarray | None) -> tuple[str, float]:
+        if total is None:
+            return UNKNOWN, 0.0
+        odds = np.exp(total - total.max())
+        return self.langs[int(np.argmax(total + 1e-9 * self.prior))], float(odds.max() / odds.sum())
+
+    def familiar(self, text: str, taught: bool) -> float:
+        """The share of a text's words that other texts make known, be it by half of their longer n-grams.
+
+        What a labelled text has itself ``taught`` does not count for it.
+        """
+        counts = Counter(w for run in runs(text) for w in letters(run))
+        own = counts if taught else Counter()
+        odd = [w for w in counts if (i := self.words.get(w)) is None or self.totals[i] <= own[w]]
+        # n-grams of words that others know are known from there too
+        parts: Counter = Counter()
+        for w in odd if taught else ():
+            for g in grams(w, LONG):
+                parts[g] += counts[w]
+        strange = 0
+        for w in odd:
+            each = grams(w, LONG)
+            met = sum((i := self.grams.get(g)) is not None and self.totals[i] > parts[g] for g in each)
+            strange += 0 if each and 2 * met >= len(each) else counts[w]
+        return 1 - strange / max(1, counts.total())
+
+    def recognised(self, texts: list[str | None], taught: list[bool], least: float, share: float, margin: float) -> list[bool]:
+        """Whether each text is in a learned language, by figures that do not grow with its length, and by its score."""
+        out = []
+        for text, own, (total, n) in zip(texts, taught, self.sums(texts), strict=True):
+            sure = total is not None and self.verdict(total)[1] >= least
+            if sure and len(total) > 1:
+                second, first = np.partition(total, -2)[-2:]
+                sure = first - second >= margin * n
+            out.append(bool(sure and self.familiar(text, own) >= share))
+        return out
+
+    def sums(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, int]]:
+        """The summed vectors of each text and its number of words; none without a letter or a language."""
         found = [runs(t) if t else [] for t in texts]
         ids = [list(map(self.words.get, f)) for f in found]
         odd: dict[str, list[str]] = {}
@@ -103,11 +151,9 @@ class Model:
             if None in i:
                 i = [k for w, known in zip(f, i, strict=True) for k in ((known,) if known is not None else rows[w])]
             if not i or not self.langs:
-                out.append((UNKNOWN, 0.0))
+                out.append((None, 0))
                 continue
-            total = vectors[i].sum(axis=0, dtype=np.float64)
-            odds = np.exp(total - total.max())
-            out.append((self.langs[int(np.argmax(total + 1e-9 * self.prior))], float(odds.max() / odds.sum())))
+            out.append((vectors[i].sum(axis=0, dtype=np.float64), len(i)))
         return out
 
 
@@ -193,17 +239,19 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most_word
     sums = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(sums)
     if not langs:
-        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0), dtype=np.float32))
+        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0), dtype=np.float32), np.zeros(0))
     size = np.array([sums[k] for k in langs], dtype=np.float64)
     vectors: list[np.ndarray] = []
     kept: list[dict[str, int]] = []
+    totals: list[np.ndarray] = []
     for counts, most, name in ((words, most_words, "language-items"), (gram_counts(words), most_grams, "language-grams")):
         items, by = _top(counts, langs, most, name)
         logs = np.log((by + 0.5) / (size + 0.5 * max(1, len(items))))
         base = sum(map(len, vectors))
         vectors.append((logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
+        totals.append(by.sum(axis=1))
         kept.append({item: base + i for i, item in enumerate(items)})
-    return Model(langs, np.log(size / size.sum()), kept[0], kept[1], np.concatenate(vectors))
+    return Model(langs, np.log(size / size.sum()), kept[0], kept[1], np.concatenate(vectors), np.concatenate(totals))
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
@@ -228,14 +276,30 @@ def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % modulus
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The documents whose language is recognised with a score of ``least`` or more, with all their columns."""
+def keep_known(
+    docs: DataFrame, least: float = 0.5, lang: str = "lang", text: str = "text", share: float = LEAST_SHARE, margin: float = LEAST_MARGIN
+) -> DataFrame:
+    """The documents in a language that labels teach, with all their columns.
+
+    The score runs to 1 for any long text, so a text must also be ``familiar`` by
+    ``share`` and have its language ahead of the second by ``margin`` a word.
+    """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, lang, text))
-    at = docs.columns.index(text)
+    at, by = docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = predictions(model.value, b.column(at))
-            yield b.filter(pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_()))
+            keep: list[bool] = []
+            held: list[str | None] = []
+            size = 0
+            taught = b.column(by).is_valid().to_pylist()
+            for t in b.column(at):
+                held.append(t.as_py())
+                size += len(held[-1] or "")
+                if size >= _CHUNK:
+                    keep += model.value.recognised(held, taught[len(keep) : len(keep) + len(held)], least, share, margin)
+                    held, size = [], 0
+            keep += model.value.recognised(held, taught[len(keep) :], least, share, margin)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

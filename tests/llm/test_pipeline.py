@@ -88,3 +88,25 @@ def test_pieces(stages):
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert Counter((r.doc_id, r.n_pieces) for r in rows) == Counter((r.doc_id, r.n_pieces) for r in stages["sentencepiece"][1])
+
+
+FINNISH = (
+    "tämä on suomenkielinen kertomus jossa kuvataan pitkästi metsän puita sekä järven rannalla asuvia lintuja joita kukaan "
+    "ei ole vielä nähnyt koska ne lentävät vain yöllä kun kuu paistaa pilvien takaa ja tuuli puhaltaa pohjoisesta"
+)
+
+
+def test_languages_reject_what_no_label_teaches(spark):
+    """Random letters, labelled or not, and an unlearned language go, however long; labelled clean documents stay."""
+    import random
+
+    rng = random.Random(3)
+    docs = corpus_pipeline.rules(spark, spark.read.parquet(f"{SF_DIR}/documents.parquet"), SF_DIR)
+    columns = list(corpus_pipeline.COLUMNS)
+    planted = [(-1, FINNISH, None), (-2, " ".join([FINNISH] * 30), None)]
+    for i, lang in enumerate(("en", "fr", None, None)):
+        text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(100 * (1 + i)))
+        planted.append((-3 - i, text, lang))
+    extra = spark.createDataFrame([(d, t, g, "planted", len(t)) for d, t, g in planted], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.languages(spark, docs.union(extra), SF_DIR).collect()}
+    assert columns == docs.columns and kept == {r.doc_id for r in docs.collect()}
