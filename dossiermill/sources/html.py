@@ -27,6 +27,9 @@ _TITLES = {f"h{i}" for i in range(1, 7)}
 _UNITS = _TITLES | {"p", "li"}
 _IMAGES = {"img", "v:imagedata"}
 _SKIPPED = {"script", "style", "head"}
+# what may stand in a head; any other tag ends one that is still open, unless it stands in one of the holders
+_IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "head", "html"}
+_HEAD_HOLDERS = {"noscript", "template"}
 _BLOCKS = _TITLES | set(
     "p div ul ol nav article section footer header main aside form hr pre blockquote dl dt dd table figure figcaption address".split()
 )
@@ -54,6 +57,10 @@ class _Pages(HTMLParser):
         self.table: tuple[int, _Table] | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if "head" in self.stack and tag not in _IN_HEAD:
+            at = self.stack.index("head")
+            if tag == "body" or not _HEAD_HOLDERS & set(self.stack[at:]):
+                self._close(at)
         if tag in _BLOCKS and "p" in self.stack:
             at = len(self.stack) - 1 - self.stack[::-1].index("p")
             if not {"table", "td", "th"} & set(self.stack[at:]):

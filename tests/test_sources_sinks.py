@@ -158,3 +158,14 @@ def test_headers_are_found_in_any_row(spark):
     got = {r.job_id: (r.sheet, r.row_no) for r in detect_header(df).collect()}
     assert got == {"late": ("s", 90), "second": ("b", 5)}
     assert "late" not in {r.job_id for r in detect_header(df, scan_rows=60).collect()}
+
+
+def test_html_head_left_open(spark):
+    pages = {
+        1: "<html><head><title>t</title><meta charset=utf-8><body><p>text</p></body></html>",
+        2: "<head><title>t</title><style>p{}</style><h1>A</h1><p>b",
+        3: "<head><noscript><img src=x.png></noscript><title>t</title></head><body><p>text",
+    }
+    df = spark.createDataFrame(list(pages.items()), "id int, html string")
+    got = [(r.id, r.kind, r.text) for r in html_units(df, "id", "html").orderBy("id", "ord").collect()]
+    assert got == [(1, "text", "text"), (2, "heading", "A"), (2, "text", "b"), (3, "text", "text")]
