@@ -125,7 +125,8 @@ def src_reassemble_chunks(spark, sf):
         .select("doc_id", "b64", F.explode(F.sequence(F.lit(1), n)).alias("part_no"))
         .select("doc_id", "part_no", F.substring(F.col("b64"), (F.col("part_no") - 1) * _CHUNK + 1, F.lit(_CHUNK)).alias("chunk"))
     )
-    return reassemble_chunks(parts, ["doc_id"], "part_no", "chunk").select(
+    whole = reassemble_chunks(parts, ["doc_id"], "part_no", "chunk", max_parts=None, max_part_chars=None, max_total_chars=None)
+    return whole.select(
         "doc_id", "n_parts", "status", content_sha256("content").alias("sha256")
     )
 

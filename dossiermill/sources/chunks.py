@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from .. import rules
 
+#: characters of Base64 that fit in one value, with room for its row
+_VALUE = (1 << 31) - (1 << 16)
+
 
 def reassemble_chunks(
     parts: DataFrame,
     keys: list[str],
     ord_col: str,
     chunk_col: str,
-    max_parts: int = rules.MAX_CHUNKS,
-    max_part_chars: int = 450 * 1024,
-    max_total_chars: int = 2 * 1024 * 1024,
+    max_parts: int | None = rules.MAX_CHUNKS,
+    max_part_chars: int | None = 450 * 1024,
+    max_total_chars: int | None = 2 * 1024 * 1024,
 ) -> DataFrame:
     """``keys, n_parts, status, content``; parts are joined before they are decoded.
 
     Counts and sizes are taken first, with a combinable aggregate. Only keys that
     keep the limits have their parts brought together, so no task ever holds more
     than ``max_total_chars`` of one key; the others are reported by their status.
+    A limit of None is none, but for the 2 GiB that one value can hold.
     """
+    max_parts, max_part_chars = max_parts or (1 << 63) - 1, max_part_chars or _VALUE
+    max_total_chars = max_total_chars or _VALUE
     text = F.regexp_replace(F.col(chunk_col), r"\s+", "")
     sized = parts.select(*keys, F.col(ord_col).alias("_ord"), text.alias("_chunk"))
     facts = sized.groupBy(*keys).agg(

@@ -169,3 +169,14 @@ def test_html_head_left_open(spark):
     df = spark.createDataFrame(list(pages.items()), "id int, html string")
     got = [(r.id, r.kind, r.text) for r in html_units(df, "id", "html").orderBy("id", "ord").collect()]
     assert got == [(1, "text", "text"), (2, "heading", "A"), (2, "text", "b"), (3, "text", "text")]
+
+
+def test_long_texts_come_back_whole(spark, tmp_path):
+    import hashlib
+
+    from dossiermill.queries.sources import src_reassemble_chunks
+
+    texts = {1: "kurz", 2: "lang é " * 300_000}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.status, r.sha256) for r in src_reassemble_chunks(spark, str(tmp_path)).collect()}
+    assert got == {k: ("ok", hashlib.sha256(t.encode()).hexdigest()) for k, t in texts.items()}
