@@ -64,10 +64,41 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_cop
     )
 
 
-def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, propensity=length_propensity) -> DataFrame:
+def _filled(taken: DataFrame) -> DataFrame:
+    """``taken`` (with ``_extra``) after the documents behind one that did not fit had their draw as well.
+
+    A round takes, of what is left and fits the gap at all, the head of the order
+    up to the gap; rounds end when nothing left fits. Then the one document is
+    added that comes nearer to the target from above, if there is one.
+    """
+    free = (F.col("_extra") == 0) & (F.col("_size") > 0)
+
+    def gaps(now: DataFrame) -> DataFrame:
+        return stage(now.groupBy("_key").agg((F.first("_rest") - F.sum(F.col("_extra") * F.col("_size"))).alias("_gap")), "mix-gaps")
+
+    while True:
+        gap = gaps(taken)
+        fitting = taken.join(gap, "_key").where(free & (F.col("_size") <= F.col("_gap")))
+        open_ = stage(fitting.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_low"), F.max("_place").alias("_high")), "mix-open")
+        if open_.isEmpty():
+            break
+        spread = F.coalesce((F.col("_place") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0))
+        ahead = running(fitting.join(open_, "_key").withColumn("_at", spread).drop("_before"), "_key", "_rows", "_at", ["doc_id", "size", "_id"], F.col("_size"))
+        more = stage(ahead.where(F.col("_before") + F.col("_size") <= F.col("_gap")).select("_id", F.lit(1).cast("bigint").alias("_more")), "mix-more")
+        taken = stage(taken.join(more, "_id", "left").withColumn("_extra", F.coalesce("_more", "_extra")).drop("_more"), "mix-taken")
+    over = taken.join(gap, "_key").where(free & (F.col("_size") < 2 * F.col("_gap")))
+    last = stage(over.groupBy("_key").agg(F.min_by("_id", F.struct("_size", "_place", "_id")).alias("_last")), "mix-over")
+    return taken.join(last, "_key", "left").withColumn("_extra", F.when(F.col("_id") == F.col("_last"), 1).otherwise(F.col("_extra")))
+
+
+def mix(
+    sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, propensity=length_propensity, fill: bool = False
+) -> DataFrame:
     """Copies per row of ``sized`` (doc_id, source, size): adds source_size, target, copies.
 
-    The rows of a hot source are dealt out in stretches of their order.
+    The rows of a hot source are dealt out in stretches of their order. The head
+    ends at the first document that does not fit, as the SQL of op4 has it; with
+    ``fill`` the documents behind it are drawn too, until none fits.
     """
     narrow = stage(
         sized.select(
@@ -103,7 +134,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MA
     )
     ordered = stage(
         running(drawn, "_key", "_rows", "_place", ["doc_id", "size"], F.col("_size")).select(
-            "_key", "doc_id", "source", "size", "source_size", "target", "_sure", "_size", "_before"
+            "_key", "doc_id", "source", "size", "source_size", "target", "_sure", "_size", "_before", "_place"
         ),
         "mix-order",
     )
@@ -124,6 +155,11 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MA
     closing = beyond.where(off < F.col("_gap")).groupBy("_key").agg(F.min(F.struct(off.alias("off"), F.col("_before").alias("at"))).alias("_close"))
     last = stage(certain.join(closing, "_key", "left").select("_key", "_rest", F.col("_close.at").alias("_at")), "mix-last")
     extra = (fits | ((F.col("_size") > 0) & (F.col("_before") == F.col("_at")))).cast("bigint")
+    if fill:
+        numbered = ordered.join(last, "_key").withColumn("_extra", F.coalesce(extra, F.lit(0)).cast("bigint")).withColumn("_id", F.monotonically_increasing_id())
+        return _filled(stage(numbered.drop("_at"), "mix-taken")).select(
+            "doc_id", "source", "size", "source_size", "target", (F.col("_sure") + F.col("_extra")).alias("copies")
+        )
     return ordered.join(last, "_key").select(
         "doc_id", "source", "size", "source_size", "target", (F.col("_sure") + F.coalesce(extra, F.lit(0))).alias("copies")
     )
@@ -144,7 +180,7 @@ def repeat(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int =
     Documents are known by id, source and size; rows that share all three, which have
     equal draws, each get the larger of their counts.
     """
-    mixed = mix(sized_documents(docs, key, text, source), weights, max_copies).where("copies > 0")
+    mixed = mix(sized_documents(docs, key, text, source), weights, max_copies, fill=True).where("copies > 0")
     taken = stage(
         mixed.groupBy(_same(F.col("doc_id"), F.col("source"), F.col("size")).alias("own")).agg(F.max("copies").cast("int").alias("copies")), "mix-taken"
     )

@@ -319,6 +319,18 @@ def test_unequal_inclusion_shows(spark):
     assert share[100_000] > 1.3 * share[10] > 0
 
 
+@pytest.mark.parametrize("giants, others, weight", [(1, 60_000, 9), (3, 40_000, 11)])
+def test_fill_draws_behind_a_giant(spark, giants, others, weight):
+    """Documents that can never fit do not end the draw: the target is met to half a short document."""
+    rows = [(i, "a", 1000) for i in range(100)] + [(1000 + i, "a", 200_000 + i) for i in range(giants)] + [(5000 + i, "b", 10) for i in range(others)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    out = mixing.mix(df, weights=(1, weight), fill=True).collect()
+    assert Counter((r.doc_id, r["size"]) for r in out) == Counter((d, n) for d, _, n in rows)
+    for source, step in (("a", 1000), ("b", 10)):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= step / 2
+
+
 # -- 5 and 6: tokens and pieces ----------------------------------------------
 
 
