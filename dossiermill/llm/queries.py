@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import language_id, media, mixing, pieces, quality_model, quality_rules, sharding, simhash, token_counts, url_filters
+from . import bpe, language_id, media, mixing, pieces, quality_model, quality_rules, sharding, simhash, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,3 +253,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept"
     )
+
+
+@query("op11_bpe")
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
