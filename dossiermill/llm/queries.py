@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import bpe, language_id, media, mixing, pieces, quality_model, quality_rules, sharding, simhash, token_counts, url_filters
+from . import bpe, collocations, language_id, media, mixing, pieces, quality_model, quality_rules, sharding, simhash, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,3 +258,40 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_bpe")
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op13_collocations",
+    """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    split_up AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+    totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM split_up GROUP BY lang),
+    grams AS (
+        SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (
+            SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split_up, (SELECT unnest([1, 2, 3, 4, 5]) AS k))),
+    counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    -- a longer phrase of equal count around a phrase holds one that is longer by a word and has that count too
+    inside AS (
+        SELECT lang, phrase, max(f) AS longer FROM (
+            SELECT lang, f, unnest([array_to_string(ws[1 : k - 1], ' '), array_to_string(ws[2 : k], ' ')]) AS phrase
+            FROM (SELECT *, string_split(phrase, ' ') AS ws FROM counted WHERE k > 2)) GROUP BY ALL),
+    kept AS (
+        SELECT c.lang, c.k, c.phrase, c.f AS a, string_split(c.phrase, ' ') AS ws FROM counted c
+        LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+        WHERE c.k > 1 AND (i.longer IS NULL OR 100 * i.longer < 100 * c.f)),
+    cuts AS (
+        SELECT lang, phrase, a, h, array_to_string(ws[1 : h], ' ') AS one, array_to_string(ws[h + 1 : k], ' ') AS two FROM (
+            SELECT *, unnest(range(1, k)) AS h FROM kept)),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, CAST(1000::HUGEINT * c.a * t.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score, c.h
+        FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.one JOIN counted y ON y.lang = c.lang AND y.phrase = c.two
+        JOIN totals t ON t.lang = c.lang),
+    lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) AS place FROM scored),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE place = 1)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
