@@ -199,6 +199,8 @@ def split(found: DataFrame, budget: int = BUDGET, longest: int = LONGEST) -> lis
     out: list[DataFrame] = []
     for depth in range(1, longest):
         below = _marked(found, out[-1], depth - 1, "left_semi") if out else found
+        # leaves that end before this word are no longer than the prefix above
+        below = below.where(F.size(_codes()) >= depth)
         sums = below.groupBy(*_prefix(depth)).agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("f"))
         many = stage(sums.where(F.col("leaves") > budget).select("w", "a", "b", "f"), f"phrase-split-{depth}")
         if many.isEmpty():
