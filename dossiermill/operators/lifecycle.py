@@ -1,9 +1,9 @@
 """Job lifecycle facts from an append-only event log.
 
 Events: ``job_id, ts, event_id, status`` and, where an operator says so, ``stage,
-progress, kind, token``. Position in a job is (ts, event_id). Windows run inside
-time stretches (see ``plans.ordered``), so one job with a third of the log is
-spread over as many tasks as it has hours.
+progress, kind, token``. Position in a job is (ts, event_id). State along a log is
+composed from stretches of equal row counts (see ``plans.stretches``), so one job with
+most of the log, be it in one second, is spread over as many tasks as it has stretches.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..plans.ordered import Running, running, time_stretch
+from ..plans.ordered import STRETCH
+from ..plans.stretches import AT, CUT, carried, counted, laid_out
 
 JOB = "job_id"
 POSITION = ["ts", "event_id"]
@@ -89,16 +90,13 @@ def orphans(
     )
 
 
-def transition_check(events: DataFrame) -> DataFrame:
+def transition_check(events: DataFrame, rows: int = STRETCH) -> DataFrame:
     """Generation requests (``kind = 'request'``) with the answer the job's status gives.
 
     A pending reconciliation needs decisions with the request (``has_decisions``).
     """
-    seen = running(
-        events, [JOB], POSITION,
-        {"before": Running("prev", F.when(F.col("kind") != "request", F.col("status")))},
-        time_stretch("ts"),
-    )
+    log = laid_out(events, [JOB], POSITION, rows)
+    seen = carried(log, {"before": F.when(F.col("kind") != "request", F.col("status"))})
     answer = F.lit(rules.GENERATION_DEFAULT_ANSWER)
     for status, code in rules.GENERATION_ANSWERS.items():
         answer = F.when(F.col("before") == status, code).otherwise(answer)
@@ -108,32 +106,42 @@ def transition_check(events: DataFrame) -> DataFrame:
     )
 
 
-def valid_completions(events: DataFrame, stale_seconds: int = rules.GENERATION_STALE_SECONDS) -> DataFrame:
+def valid_completions(events: DataFrame, stale_seconds: int = rules.GENERATION_STALE_SECONDS, rows: int = STRETCH) -> DataFrame:
     """Completions with a verdict: ``valid``, ``not_generating``, ``wrong_token`` or ``timed_out``.
 
     ``kind`` is start, progress, complete or fail. A completion counts if the last
     start is still open, carries the same token, and no silence of ``stale_seconds``
     came in between.
+
+    A stretch hands on its last moment, its last silence and its last opening or end.
+    The silence between two stretches is the later one's first event: known from the two
+    moments when summaries are composed.
     """
-    silent = running(events, [JOB], POSITION, {"_before": Running("prev", F.col("ts"))}, time_stretch("ts"))
-    gap = F.col("_before").isNotNull() & (idle_seconds(F.col("_before"), F.col("ts")) >= stale_seconds)
-    position = F.struct(*POSITION)
-    judged = running(
-        silent.withColumn("_gap", gap),
-        [JOB],
-        POSITION,
-        {
-            "_silence": Running("last", F.when(F.col("_gap"), position)),
-            "_open": Running(
-                "prev",
-                F.when(
-                    F.col("kind").isin("start", "complete", "fail"),
-                    F.struct("kind", "token", position.alias("at")),
-                ),
-            ),
-        },
-        time_stretch("ts"),
+    log = laid_out(events.select(JOB, *POSITION, "kind", "token"), [JOB], POSITION, rows)
+    turn = F.when(F.col("kind").isin("start", "complete", "fail"), F.struct("kind", "token", F.col(AT).alias("at")))
+    before = F.max("ts").over(log.earlier)
+    local = (
+        log.rows.withColumn("_quiet", F.when(idle_seconds(before, F.col("ts")) >= stale_seconds, F.col(AT)))
+        .withColumn("_silence", F.max("_quiet").over(log.upto))
+        .withColumn("_open", F.last(turn, ignorenulls=True).over(log.earlier))
+        .drop("_quiet")
+    )
+    ends = local.groupBy(JOB, CUT).agg(
+        F.min(AT).alias("_first_at"),
+        F.min("ts").alias("_first"),
+        F.max("ts").alias("_last"),
+        F.max("_silence").alias("_inside"),
+        F.max_by(turn, F.when(turn.isNotNull(), F.col(AT))).alias("_turn"),
     )
+    between = F.when(idle_seconds(log.previous("_last"), F.col("_first")) >= stale_seconds, F.col("_first_at"))
+    given = (
+        ends.withColumn("_between", between)
+        # the silence at its own start is given to a stretch as well
+        .withColumn("_given_silence", F.greatest("_between", F.max(F.greatest("_inside", "_between")).over(log.ahead)))
+        .select(JOB, CUT, "_given_silence", F.last("_turn", ignorenulls=True).over(log.ahead).alias("_given_turn"))
+    )
+    opened = F.coalesce("_open", "_given_turn")
+    judged = log.given(local, given).withColumn("_open", opened).withColumn("_silence", F.greatest("_silence", "_given_silence"))
     verdict = (
         F.when(~F.col("_open.kind").eqNullSafe(F.lit("start")), "not_generating")
         .when(~F.col("_open.token").eqNullSafe(F.col("token")), "wrong_token")
@@ -143,13 +151,10 @@ def valid_completions(events: DataFrame, stale_seconds: int = rules.GENERATION_S
     return judged.where("kind = 'complete'").select(JOB, *POSITION, "token", verdict.alias("verdict"))
 
 
-def first_claim(events: DataFrame) -> DataFrame:
+def first_claim(events: DataFrame, rows: int = STRETCH) -> DataFrame:
     """Per validation of a job, the first start that came after it, and how many were refused."""
-    epochs = running(
-        events, [JOB], POSITION,
-        {"epoch": Running("sum", F.when(F.col("status") == "validated", 1).otherwise(0).cast("bigint"))},
-        time_stretch("ts"),
-    )
+    log = laid_out(events.select(JOB, *POSITION, "kind", "status"), [JOB], POSITION, rows)
+    epochs = counted(log, {"epoch": F.when(F.col("status") == "validated", 1).otherwise(0).cast("bigint")})
     return (
         epochs.where("kind = 'start' and epoch > 0")
         .groupBy(JOB, "epoch")
@@ -160,18 +165,11 @@ def first_claim(events: DataFrame) -> DataFrame:
     )
 
 
-def active_downloads(events: DataFrame) -> DataFrame:
-    """Open downloads after each event; a close without an open leaves the count at zero.
-
-    With S the running sum of +1 and −1, the count that never falls below zero is
-    ``S − min(0, least S so far)``: two running values, no loop.
-    """
+def active_downloads(events: DataFrame, rows: int = STRETCH) -> DataFrame:
+    """Open downloads after each event; a close without an open leaves the count at zero."""
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0).cast("bigint")
-    summed = running(events, [JOB], POSITION, {"_sum": Running("sum", step)}, time_stretch("ts"))
-    lows = running(summed, [JOB], POSITION, {"_low": Running("min", F.col("_sum"))}, time_stretch("ts"))
-    return lows.withColumn(
-        "active_downloads", F.col("_sum") - F.least(F.lit(0).cast("bigint"), F.col("_low"))
-    ).drop("_sum", "_low")
+    log = laid_out(events, [JOB], POSITION, rows)
+    return counted(log, {"active_downloads": step}, ("active_downloads",)).drop(AT, CUT)
 
 
 def deletion_outcome(states: DataFrame, removed: DataFrame) -> DataFrame:
