@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Memory
+
 HELD = 150_000
-#: pre-tokens longer than this are not remembered, so that a generation stays small
-LONGEST = 64
 #: characters that Python and the library lower, split and leave composed alike: ASCII without the separators
 #: U+001C to U+001F, Latin letters up to U+017F without the dotted capital I, and common punctuation
 _PLAIN = "\x00-\x1b\x20-\x7f\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ſ‐-‧‰-⁞€"
@@ -114,21 +114,6 @@ class Merges:
         return [s for s in symbol if s >= 0]
 
 
-class Memory:
-    """What has been worked out, in two generations: the older one goes when the younger is full."""
-
-    def __init__(self, held: int) -> None:
-        self.held = held
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def keep(self, name: str, value) -> None:
-        if len(name) <= LONGEST:
-            if len(self.young) >= self.held:
-                self.old, self.young = self.young, {}
-            self.young[name] = value
-
-
 class Codec:
     """A tokenizer file in a worker."""
 
@@ -168,23 +153,21 @@ class Codec:
 
     def word(self, pretoken: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their strings with a space between them."""
-        got = self.words.young.get(pretoken)
+        got = self.words.get(pretoken)
         if got is None:
-            got = self.words.old.get(pretoken)
-            if got is None:
-                data = bytes(map(self.byte_of.__getitem__, pretoken[1:])) if pretoken[0] == " " else pretoken.encode()
-                ids = self.merges.encode(data)
-                got = packed(ids), self.decode(ids)
+            data = bytes(map(self.byte_of.__getitem__, pretoken[1:])) if pretoken[0] == " " else pretoken.encode()
+            ids = self.merges.encode(data)
+            got = packed(ids), self.decode(ids)
             self.words.keep(pretoken, got)
         return got
 
     def known(self, chunk: str) -> tuple[bytes, str]:
         """``word`` of all pre-tokens of a chunk, remembered."""
-        got = self.chunks.old.get(chunk)
+        got = self.chunks.get(chunk)
         if got is None:
             parts = [self.word(p) for p in self.pretokens(chunk)]
             got = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-        self.chunks.keep(chunk, got)
+            self.chunks.keep(chunk, got)
         return got
 
     def normal(self, text: str) -> str:

@@ -9,10 +9,12 @@ group is built by itself: its leaves arrive sorted, and the open path of the tre
 carried from batch to batch, so a task holds one batch and ``LONGEST`` nodes whatever
 the group holds. Counts of lengthened prefixes are those of the split.
 
-Only words that occur ``least`` times or more can stand in a phrase that does, so other
-words end a suffix as a piece's end does. The ``HEAD`` most frequent words are broadcast
-with their codes; where there are more, texts take the codes of their other words from a
-join. Equal leaves of a task are added up before they are shuffled.
+Only words and pairs of words that occur ``least`` times or more can stand in a phrase
+that does, so all others end a suffix as a piece's end does. The ``HEAD`` most frequent
+words are broadcast with their codes; where there are more, texts take the codes of their
+other words from a join. Frequent pairs are broadcast as a table of ``BITS`` bits, whose
+false positives lengthen a suffix and change no count. Equal leaves of a task are added
+up before they are shuffled.
 
 A phrase inside a longer one of equal count is inside one that is longer by one word and
 has that count too, so only the two phrases a word shorter are looked up to drop it.
@@ -26,7 +28,7 @@ columns are not looked at.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import numbered
 from ..plans.staging import stage
-from .common import most_frequent
+from .common import bit_table, in_table, most_frequent
 from .components import _drop
 
 LEAST = 100
@@ -46,6 +48,8 @@ TOP = 2000
 UNKNOWN = "und"
 #: words that are broadcast with their codes
 HEAD = 400_000
+#: bits of the table of frequent pairs, as a power of two
+BITS = 27
 #: leaves a group
 BUDGET = 500_000
 #: words that a task holds before it adds up equal leaves, and distinct words before it hands counts on
@@ -84,18 +88,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def leaves(codes: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct suffixes of two words or more with their counts; codes below 0 end a suffix.
+def pairs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two words stand together, and what they are, as one number; codes below 0 are no words."""
+    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    return at, codes[at] << 32 | codes[at + 1]
+
+
+def leaves(codes: np.ndarray, table: np.ndarray | None = None, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct suffixes of two words or more with their counts; codes below 0 and pairs that are not in ``table`` end a suffix.
 
     A suffix is its first code, and two numbers that hold one more than its second
     and third, fourth and fifth code; 0 stands behind its end.
     """
     n = len(codes)
+    at, pairs = pairs_of(codes)
+    if table is not None:
+        at = at[in_table(table, pairs)]
+    joined = np.zeros(n + LONGEST, dtype=bool)
+    joined[at] = True
     padded = np.concatenate([codes, np.full(LONGEST, -1, dtype=np.int64)])
-    at = np.flatnonzero((padded[:n] >= 0) & (padded[1 : n + 1] >= 0))
     rest, open_ = [], np.ones(len(at), dtype=bool)
     for k in range(1, LONGEST):
-        open_ = open_ & (padded[at + k] >= 0) & (k < longest)
+        open_ = open_ & joined[at + k - 1] & (k < longest)
         rest.append(np.where(open_, padded[at + k] + 1, 0))
     w, a, b = padded[at], rest[0] << 32 | rest[1], rest[2] << 32 | rest[3]
     order = np.lexsort((b, a, w))
@@ -132,8 +146,8 @@ def _by_lang(table: pa.Table) -> dict[str, dict[bytes, int]]:
     return dict(out)
 
 
-def suffixes(docs: DataFrame, words: DataFrame, longest: int = LONGEST, head: int = HEAD) -> DataFrame:
-    """``w, a, b, n``: leaves as ``leaves`` gives them, equal ones of a chunk added up."""
+def coded(docs: DataFrame, words: DataFrame, head: int = HEAD) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]]:
+    """A table to read, and what makes of its batches the codes of many texts at a time, -1 for what is no frequent word."""
     first = stage(most_frequent(words, "f", "word", head), "phrase-head")
     known = first.select("lang", "word", "code").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -141,16 +155,10 @@ def suffixes(docs: DataFrame, words: DataFrame, longest: int = LONGEST, head: in
     if known.num_rows < words.count():
         docs = _with_others(docs.drop("own"), words, first)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         codes = _by_lang(shared.value)
         held: list[np.ndarray] = []
         size = 0
-
-        def out() -> pa.RecordBatch:
-            found = leaves(np.concatenate(held), longest)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names=["w", "a", "b", "n"])
-
         for batch in batches:
             for lang, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 found = tokens(text.as_buffer().to_pybytes())
@@ -163,12 +171,37 @@ def suffixes(docs: DataFrame, words: DataFrame, longest: int = LONGEST, head: in
                 held += [got, np.array([-1])]
                 size += len(got)
                 if size >= _CHUNK:
-                    yield out()
-                    size = 0
+                    yield np.concatenate(held)
+                    held, size = [], 0
         if held:
-            yield out()
+            yield np.concatenate(held)
+
+    return docs.select("lang", "text", "own"), read
+
+
+def frequent_pairs(docs: DataFrame, read: Callable, least: int = LEAST, bits: int = BITS) -> np.ndarray:
+    """The table of pairs that occur ``least`` times: a bit for each; it has the same size for any corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes in read(batches):
+            pairs, n = np.unique(pairs_of(codes)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+
+    counted = docs.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return bit_table(counted.select("pair"), bits)
+
+
+def suffixes(docs: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, head: int = HEAD, bits: int = BITS) -> DataFrame:
+    """``w, a, b, n``: leaves as ``leaves`` gives them, equal ones of a chunk added up."""
+    docs, read = coded(docs, words, head)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, read, least, bits))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes in read(batches):
+            found = leaves(codes, shared.value, longest)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names=["w", "a", "b", "n"])
 
-    return docs.select("lang", "text", "own").mapInArrow(cut, "w bigint, a bigint, b bigint, n bigint")
+    return docs.mapInArrow(cut, "w bigint, a bigint, b bigint, n bigint")
 
 
 def _prefix(depth: int) -> list[Column]:
@@ -259,7 +292,7 @@ def phrases(found: DataFrame, least: int = LEAST, budget: int = BUDGET, longest:
 
 
 def collocations(
-    docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, top: int = TOP, head: int = HEAD, budget: int = BUDGET
+    docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, top: int = TOP, head: int = HEAD, budget: int = BUDGET, bits: int = BITS
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases."""
     narrow = docs.select(
@@ -268,7 +301,7 @@ def collocations(
     counts = stage(word_counts(narrow), "phrase-words")
     totals = stage(counts.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
     words = stage(numbered(counts.where(F.col("f") >= least), "code", "phrase-codes"), "phrase-coded")
-    found = stage(suffixes(narrow, words, LONGEST, head), "phrase-leaves")
+    found = stage(suffixes(narrow, words, least, LONGEST, head, bits), "phrase-leaves")
     counted = stage(phrases(found, least, budget), "phrase-counts")
     _drop(found)
 

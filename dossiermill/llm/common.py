@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +15,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+class Memory:
+    """What a worker has worked out, in two generations: the older one goes when the younger is full.
+
+    What keeps coming stays, memory is bounded, and it does not matter what came first.
+    """
+
+    def __init__(self, held: int, longest: int = 64) -> None:
+        self.held, self.longest = held, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, name: str):
+        got = self.young.get(name)
+        if got is None and (got := self.old.get(name)) is not None:
+            self.keep(name, got)
+        return got
+
+    def keep(self, name: str, value) -> None:
+        """Longer names are not remembered, so that a generation stays small."""
+        if len(name) <= self.longest:
+            if len(self.young) >= self.held:
+                self.old, self.young = self.young, {}
+            self.young[name] = value
+
+
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out a single time per row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -84,3 +111,40 @@ def most_frequent(items: DataFrame, total: str, name: str, most: int) -> DataFra
             return items.where((level > at) | ((level == at) & share))
         left -= sizes[at]
     return items
+
+
+#: bytes that Spark hands a Python worker at once; rows of long texts would else come 10,000 at a time
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session bound Arrow batches by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the bit of each key (a 64-bit integer) stands in a table of 2^``bits``."""
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table with the bit of each key of a one-column table set; it has the same size whatever the keys are."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = slots(b.column(0).to_numpy(), bits)
+            words, where = np.unique(at >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(value, where, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(value.view(np.int64))], names=["at", "bits"])
+
+    marked = keys.mapInArrow(mark, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[marked.column(0).to_numpy()] = marked.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return table
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set: true for every key of the table, and by chance for a few others."""
+    at = slots(keys, int(len(table) * 64).bit_length() - 1)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0

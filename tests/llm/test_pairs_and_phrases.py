@@ -193,8 +193,8 @@ def brute_phrases(rows, least, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("head", "budget"), [(collocations.HEAD, collocations.BUDGET), (3, 4), (0, 1)])
-def test_collocations(spark, head, budget):
+@pytest.mark.parametrize(("head", "budget", "bits"), [(collocations.HEAD, collocations.BUDGET, collocations.BITS), (3, 4, 8), (0, 1, 6)])
+def test_collocations(spark, head, budget, bits):
     rng = random.Random(13)
     words = ["the", "The", "of", "a", "é", "Ünd", "x\x00y", "b", "c", "d\x1c", "rare"]
     rows = []
@@ -204,7 +204,7 @@ def test_collocations(spark, head, budget):
     rows += [(1, "New York is big, new york is big", "en")] * 60 + [(None, None, "en"), (None, "", None), (2, "a " * 3000, "fr"), (3, None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
     df = df.select("*", *[F.lit("x").alias(c) for c in ("w", "a", "b", "n", "code", "codes", "word", "f", "rank", "own", "depth")])
-    got = collocations.collocations(df, least=5, head=head, budget=budget).collect()
+    got = collocations.collocations(df, least=5, head=head, budget=budget, bits=bits).collect()
     want = brute_phrases([(r[2], r[1]) for r in rows], 5)
     assert sorted(map(tuple, got)) == want and len(want) > 100
 
