@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import stage
-from .components import components
+from .common import bit_table, bounded_batches, in_table
+from .components import _drop, components
 
 SHINGLE = 4
 RADIUS = 4
@@ -47,6 +48,9 @@ BANDS = 20
 ROWS = 4
 #: of the 80 least hashes, 64 agree at 0.8, with a deviation of 3.6
 AGREEING = 42
+#: pivots of a cell's signatures, and bits of the table of texts whose shingles are wanted, as a power of two
+CELL_PIVOTS = 8
+BITS = 27
 _PAIRS = 1 << 20
 _VOTES = 1 << 15
 
@@ -219,8 +223,8 @@ def _turns() -> tuple[np.ndarray, np.ndarray]:
     return turn, by | np.uint64(1)
 
 
-def _marks(data: bytes, shingle: int) -> tuple[str, bytes, bytes, list[int]]:
-    """Digest of the words, agreement bytes, distinct shingle hashes (sorted) and band values of one text."""
+def _shingles(data: bytes, shingle: int) -> tuple[str, np.ndarray]:
+    """Digest of the words, and the distinct shingle hashes in order."""
     from xxhash import xxh3_128_hexdigest, xxh64_intdigest as xxh64
 
     found = data.lower().split()
@@ -230,58 +234,123 @@ def _marks(data: bytes, shingle: int) -> tuple[str, bytes, bytes, list[int]]:
     n = max(1, len(found) - shingle + 1)
     first, last = starts[:n].tolist(), ends[min(shingle, max(1, len(found))) - 1 :].tolist() or [0]
     hashes = np.unique(np.fromiter((xxh64(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype="<u8", count=n))
+    return xxh3_128_hexdigest(joined), hashes
+
+
+def _marks(data: bytes, shingle: int) -> tuple[str, bytes, list[int]]:
+    """Digest of the words, signature (16 bits of each least hash) and band values of one text."""
+    from xxhash import xxh64_intdigest as xxh64
+
+    body, hashes = _shingles(data, shingle)
     turn, by = _turns()
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype="<u8")
     for i in range(0, len(hashes), 4096):
         np.minimum(least, ((hashes[None, i : i + 4096] ^ turn) * by).min(axis=1), out=least)
     values = [xxh64(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return xxh3_128_hexdigest(joined), (least >> np.uint64(48)).astype("<u2").tobytes(), hashes.tobytes(), values
+    return body, (least >> np.uint64(48)).astype("<u2").tobytes(), values
 
 
-def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+def _marked(texts: DataFrame, shingle: int) -> DataFrame:
     """``own`` of each row with the marks of its ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [_marks(x.as_buffer().to_pybytes(), shingle) for x in b.column(1)]
-            types = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["own", "body", "sig", "grams", "bands"])
+            types = (pa.string(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["own", "body", "sig", "bands"])
 
-    narrow = docs.select("own", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("t"))
-    return narrow.mapInArrow(run, "own string, body string, sig binary, grams binary, bands array<bigint>")
+    narrow = texts.select("own", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("t"))
+    return narrow.mapInArrow(run, "own string, body string, sig binary, bands array<bigint>")
 
 
-def _similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose sets of shingles have a Jaccard of ``similarity`` or more."""
+def _grams(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``body, grams`` of the texts whose ``own`` is wanted, and by chance of a few others: shingles are kept for these only."""
+    key = F.xxhash64("own")
+    shared = texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select(key.alias("key")), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), dtype="<u8") for z in (x, y))
-                both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+            b = b.filter(pa.array(in_table(shared.value, b.column(0).to_numpy())))
+            for at in range(0, b.num_rows, 512):
+                got = [_shingles(x.as_buffer().to_pybytes(), shingle) for x in b.column(1).slice(at, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["body", "grams"])
+
+    narrow = texts.select(key.alias("key"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("t"))
+    return narrow.mapInArrow(run, "body string, grams binary")
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), dtype="<u2") for x in column]) if len(column) else np.zeros((0, BANDS * ROWS), dtype="<u2")
+
+
+def _agreeing(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose signatures agree in enough places to be worth their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            enough = (_signatures(b.column(2)) == _signatures(b.column(3))).sum(axis=1) >= AGREEING
+            yield b.select([0, 1]).filter(pa.array(enough))
+
+    left, right = (bodies.select(F.col("body").alias(n), F.col("sig").alias(f"sig_{n}")) for n in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a string, b string")
+
+
+def _similar(pairs: DataFrame, grams: DataFrame, similarity: float, chunk: int = CELL) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles have a Jaccard of ``similarity`` or more.
+
+    Each ``a`` comes once for every ``chunk`` of its partners, with them behind it in
+    order, so no set of shingles is copied for every pair and a hub's partners are dealt
+    out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, x = None, np.zeros(0, dtype="<u8")
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            for a, part, b, z in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                y = np.frombuffer(z.as_buffer(), dtype="<u8")
+                if b is None:
+                    name, x = (a, part), y
+                elif name == (a, part) and min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                        found.append((a, b))
+            columns = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["a", "b"])
 
-    left = grams.select(F.col("body").alias("a"), F.col("grams").alias("x"))
-    right = grams.select(F.col("body").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    sizes = stage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "near-partners")
+    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
+    partners = dealt.select("a", "part", "b").join(grams.withColumnRenamed("body", "b"), "b").select("a", "part", "b", "grams")
+    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+    heads = hubs.join(grams.withColumnRenamed("body", "a"), "a").select("a", "part", F.lit(None).cast("string").alias("b"), "grams")
+    return heads.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(run, "a string, b string")
 
 
 def _unlinked(rest: DataFrame, cell: int) -> DataFrame:
-    """Pairs ``a, b`` of rows (place, body, sig, label) that meet, have different labels and agree in enough of ``sig``."""
+    """Pairs ``a, b`` of rows (place, body, sig, label) that meet, have different labels and agree in enough of ``sig``.
+
+    The number of places in which two signatures differ is a distance, so a cell gets
+    a table of distances to pivots, some of its own signatures; pairs are discarded by
+    their largest coordinate difference, and those that are left are verified.
+    """
+    reach = BANDS * ROWS - AGREEING
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         body = rows.column("body").combine_chunks()
         place, side = (rows.column(c).to_numpy() for c in ("cell", "side"))
         label = np.unique(rows.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
-        sig = np.stack([np.frombuffer(x.as_buffer(), dtype="<u2") for x in rows.column("sig")])
+        sig = _signatures(rows.column("sig").combine_chunks())
         stop = np.searchsorted(place, place, side="right")
+        start = np.searchsorted(place, place, side="left")
+        table = np.zeros((len(place), CELL_PIVOTS), dtype=np.int16)
+        for first in np.unique(start):
+            last = stop[first]
+            for k, at in enumerate(np.linspace(first, last - 1, CELL_PIVOTS).astype(int)):
+                table[first:last, k] = (sig[first:last] != sig[at]).sum(axis=1)
         for i in range(len(place)):
             j = np.arange(i + 1, stop[i])
             j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+            j = j[np.abs(table[j] - table[i]).max(axis=1) <= reach] if len(j) else j
             j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREEING] if len(j) else j
             if len(j):
                 one, two = body.take(pa.array(np.full(len(j), i))).to_pylist(), body.take(pa.array(j)).to_pylist()
@@ -315,32 +384,41 @@ def _unlinked(rest: DataFrame, cell: int) -> DataFrame:
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a string, b string").distinct()
 
 
-def similar(marked: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+def similar(marked: DataFrame, texts: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Links ``a, b`` between digests of words that join what is linked at ``similarity`` or more.
 
     Texts meet where a band agrees. First every text is held against the least of
     its place; only places that this leaves in several parts have the pairs
-    between the parts formed, in cells. Every link is verified.
+    between the parts formed, in cells. Every link is verified by its shingles,
+    which are made anew from ``texts`` (own, text) for those that are needed.
     """
-    bodies = stage(marked.groupBy("body").agg(F.min_by(F.struct("sig", "bands"), "own").alias("m")).select("body", "m.sig", "m.bands"), "near-bodies")
+    bodies = stage(
+        marked.groupBy("body").agg(F.min(F.struct("own", "sig", "bands")).alias("m")).select("body", "m.own", "m.sig", "m.bands"), "near-bodies"
+    )
     met = bodies.select("body", F.posexplode("bands").alias("no", "value")).select(F.xxhash64("no", "value").alias("place"), "body")
     shared = met.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("hub"), F.sum(F.xxhash64("body").cast("decimal(20,0)")).alias("all")).where("n > 1")
     # places of the same texts say the same
     places = stage(shared.groupBy("all", "n", "hub").agg(F.min("place").alias("place")).select("place", "hub"), "near-places")
     crowded = stage(met.join(places, "place"), "near-met")
-    wanted = crowded.select("body").distinct()
-    grams = stage(
-        marked.join(wanted, "body", "left_semi").groupBy("body").agg(F.min_by("grams", "own").alias("grams")),
-        "near-grams",
-    )
-    star = stage(crowded.where("body <> hub").select(F.col("hub").alias("a"), F.col("body").alias("b")).distinct(), "near-star")
-    found = stage(_similar(star, grams, similarity), "near-found")
+    star = crowded.where("body <> hub").select(F.col("hub").alias("a"), F.col("body").alias("b")).distinct()
+    close = stage(_agreeing(star, bodies), "near-star")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("body")).union(pairs.select("b")).distinct().join(bodies.select("body", "own"), "body")
+        grams = stage(_grams(texts, wanted, shingle), f"{name}-grams")
+        out = stage(_similar(pairs, grams, similarity), name)
+        _drop(grams)
+        return out
+
+    found = checked(close, "near-found")
     labels = stage(components(found).select(F.col("node").alias("body"), "root"), "near-labels")
     named = stage(crowded.join(labels, "body", "left").select("place", "body", F.coalesce("root", "body").alias("label")), "near-named")
+    _drop(crowded, places)
     parted = stage(named.groupBy("place").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("place"), "near-parted")
     rest = stage(named.join(parted, "place").join(bodies.select("body", "sig"), "body").select("place", "body", "label", "sig"), "near-rest")
-    more = stage(_unlinked(rest, cell).join(star, ["a", "b"], "left_anti"), "near-more")
-    return found.union(_similar(more, grams, similarity))
+    more = stage(_unlinked(rest, cell).join(close, ["a", "b"], "left_anti"), "near-more")
+    _drop(named, parted, rest)
+    return found if more.isEmpty() else found.union(checked(more, "near-found-more"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -348,12 +426,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     A document is its id and its text: rows that repeat both count as one. The
     fingerprints of ``near_duplicates`` reach about 0.95 only, so texts meet by
-    bands of least hashes instead, and what meets is verified by its shingles.
-    A pair at 0.8 agrees in some band but for 3 in 100,000, closer pairs surely.
+    bands of least hashes instead, fall by the pivot tables of their signatures,
+    and what is left is verified by its shingles. A pair at 0.8 agrees in some
+    band but for 3 in 100,000, closer pairs surely.
     """
     own = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
-    marked = stage(_marked(docs.select(own.alias("own"), F.col(text).alias("text")), shingle), "near-marks")
-    roots = stage(components(similar(marked, similarity)).select(F.col("node").alias("body"), "root"), "near-roots")
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(own.alias("own"), F.col(text).alias("text"))
+    marked = stage(_marked(texts, shingle), "near-marks")
+    roots = stage(components(similar(marked, texts, shingle, similarity)).select(F.col("node").alias("body"), "root"), "near-roots")
     grouped = marked.select("own", "body").join(roots, "body", "left").select("own", F.coalesce("root", "body").alias("head"))
     kept = stage(grouped.groupBy("head").agg(F.min("own").alias("own")).select("own"), "near-kept")
     return docs.select(F.struct("*").alias("row"), own.alias("own")).join(kept, "own", "left_semi").dropDuplicates(["own"]).select("row.*")

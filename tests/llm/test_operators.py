@@ -604,9 +604,10 @@ def test_keep_one_finds_copies_at_its_similarity(spark, cell):
                 copy[at] = f"n{rng.integers(0, 1 << 40)}"
             texts.append(" ".join(copy))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    named = simhash._marked(df.select(F.col("doc_id").cast("string").alias("own"), "text"), simhash.WORDS).cache()
+    own = df.select(F.col("doc_id").cast("string").alias("own"), "text")
+    named = simhash._marked(own, simhash.WORDS).cache()
     at = {r.body: int(r.own) for r in named.collect()}
-    got = {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.similar(named, cell=cell).collect()}
+    got = {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.similar(named, own, cell=cell).collect()}
     want = brute_similar(texts)
     assert got <= want and len(want) > 200
 

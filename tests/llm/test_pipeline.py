@@ -10,7 +10,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from dossiermill.llm import quality_rules  # noqa: E402
 from dossiermill.llm.queries import vocabulary  # noqa: E402
 
-from test_operators import SF_DIR, WORD, brute_classes, brute_fingerprint, brute_measures, fill  # noqa: E402
+from test_operators import SF_DIR, WORD, brute_measures, brute_similar, fill  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
@@ -54,10 +54,12 @@ def test_languages(stages):
 
 def test_near_duplicates(stages):
     before, after = stages["simhash_near_dedup"]
-    ids = [r.doc_id for r in before]
-    classes = dict(zip(ids, brute_classes(ids, [brute_fingerprint(r.text) for r in before]), strict=True))
-    assert Counter(classes[r.doc_id] for r in after) == Counter(dict.fromkeys(classes.values(), 1))
-    assert set(after) <= set(before)
+    root = list(range(len(before)))
+    for i, j in sorted(brute_similar([r.text or "" for r in before])):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    classes = {r: root[i] for i, r in enumerate(before)}
+    assert Counter(classes[r] for r in after) == Counter(dict.fromkeys(root, 1))
 
 
 def test_mixture(stages):
