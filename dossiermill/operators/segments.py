@@ -23,8 +23,10 @@ from ..functions.text import (
     parse_reference,
     starts_any,
 )
-from ..plans.ordered import Running, asof_last, first_rows, ordinal, running
+from ..plans.numbering import dense
+from ..plans.ordered import Running, first_rows, ordinal, running
 from ..plans.staging import stage
+from ..plans.stretches import AT, CUT, laid_out, last_event
 
 _NO_ROWS = "array<array<string>>"
 
@@ -51,29 +53,27 @@ def segment_blocks(units: DataFrame, keys: list[str]) -> DataFrame:
     name were not seen before in the document; a repeated heading stays inside
     the block that is open.
 
-    The openings are found in one pass over the texts and stored: they are few.
-    Units then take the last opening before them.
+    Units are laid out in stretches of equal row counts, whatever the spacing of
+    ``ord``. The openings are found in one pass over the texts and stored: they
+    are few. Units then take the last opening before them.
     """
     structural = F.col("structural") if "structural" in units.columns else F.lit(False)
+    log = laid_out(units, keys, ["ord"])
     titled = (
-        _with_rows(units)
-        .select(*keys, "ord", F.coalesce(F.try_element_at(value_array(), F.lit(1)), F.lit("")).alias("block_title"), structural.alias("_s"))
+        _with_rows(log.rows)
+        .select(*keys, "ord", AT, CUT, F.coalesce(F.try_element_at(value_array(), F.lit(1)), F.lit("")).alias("block_title"), structural.alias("_s"))
         .where(is_group_heading(F.col("block_title"), F.col("_s")))
-        .select(*keys, "ord", "block_title", parse_reference("block_title").alias("_ref"))
+        .select(*keys, "ord", AT, CUT, "block_title", parse_reference("block_title").alias("_ref"))
     )
     firsts = titled.groupBy(
         *keys, F.col("_ref.code").alias("block_code"), normalize_key(F.col("_ref.name")).alias("_name")
-    ).agg(F.min_by(F.struct("ord", "block_title", F.col("_ref.name").alias("block_name")), "ord").alias("_o"))
-    openings = stage(
-        ordinal(firsts.select(*keys, "block_code", "_o.*"), keys, ["ord"], "block_no").withColumn("_at", F.col("ord")),
-        "openings",
-    )
-    carried = asof_last(
-        units, openings, keys, "ord", ["block_no", "_at", "block_title", "block_code", "block_name"]
-    )
+    ).agg(F.min_by(F.struct(F.col("ord").alias("_from"), AT, CUT, "block_title", F.col("_ref.name").alias("block_name")), AT).alias("_o"))
+    numbered = dense(firsts.select(*keys, "block_code", "_o.*"), keys, [AT], "_no", "openings")
+    openings = stage(numbered.withColumn("block_no", F.col("_no") + 1).drop("_no"), "openings")
+    carried = last_event(log, openings, ["block_no", "_from", "block_title", "block_code", "block_name"])
     return carried.select(
         *units.columns,
-        F.coalesce(F.col("_at") == F.col("ord"), F.lit(False)).alias("opens"),
+        F.coalesce(F.col("_from") == F.col("ord"), F.lit(False)).alias("opens"),
         F.coalesce("block_no", F.lit(0)).alias("block_no"),
         "block_title",
         "block_code",
@@ -128,10 +128,13 @@ def segment_sections(units: DataFrame, keys: list[str]) -> DataFrame:
     columns = units.columns
     style = F.col("style") if "style" in columns else None
     textual = F.size(F.coalesce(F.col("rows"), F.array().cast(_NO_ROWS))) == 0 if "rows" in columns else F.lit(True)
+    log = laid_out(units, keys, ["ord"])
     found = stage(
-        units.where(textual & (clean_text("text") != "") & is_section_heading(F.col("text"), style)).select(
+        log.rows.where(textual & (clean_text("text") != "") & is_section_heading(F.col("text"), style)).select(
             *keys,
             "ord",
+            AT,
+            CUT,
             F.col("text").alias("section_title"),
             classify_heading("text").alias("category"),
             parse_reference("text").alias("_ref"),
@@ -143,23 +146,22 @@ def segment_sections(units: DataFrame, keys: list[str]) -> DataFrame:
     numbered = running(
         found,
         keys,
-        ["ord"],
+        [AT],
         {"section_no": Running("sum", F.lit(1).cast("bigint")), "_group": Running("last", changes)},
+        F.col(CUT),
     )
     headings = stage(
         numbered.select(
-            *keys, "ord", F.col("ord").alias("_at"), "section_no", "section_title", "category",
+            *keys, AT, CUT, F.col("ord").alias("_from"), "section_no", "section_title", "category",
             F.col("_group.code").alias("group_code"),
             F.when(F.col("_group.code").isNotNull(), F.col("_group.name")).alias("group_name"),
         ),
         "sections",
     )
-    carried = asof_last(
-        units, headings, keys, "ord", ["_at", "section_no", "section_title", "category", "group_code", "group_name"]
-    )
+    carried = last_event(log, headings, ["_from", "section_no", "section_title", "category", "group_code", "group_name"])
     return carried.select(
         *columns,
-        F.coalesce(F.col("_at") == F.col("ord"), F.lit(False)).alias("is_heading"),
+        F.coalesce(F.col("_from") == F.col("ord"), F.lit(False)).alias("is_heading"),
         F.coalesce("section_no", F.lit(0)).alias("section_no"),
         F.coalesce("section_title", F.lit("")).alias("section_title"),
         F.coalesce("category", F.lit(rules.OTHER_CATEGORY)).alias("category"),
@@ -198,13 +200,14 @@ def body_regions(units: DataFrame, keys: list[str]) -> DataFrame:
     for heading, name in rules.REGION_HEADINGS.items():
         category = F.when(key == heading, name).otherwise(category)
     boundary = category.isNotNull() | starts_any(key, rules.REGION_BOUNDARIES)
-    edges = units.where(boundary).select(*keys, "ord", F.col("ord").alias("_at"), category.alias("category"))
-    numbered = stage(ordinal(edges, keys, ["ord"], "region_no"), "regions")
-    inside = asof_last(units.select(*keys, "ord", "text"), numbered, keys, "ord", ["_at", "region_no", "category"])
+    log = laid_out(units.select(*keys, "ord", "text"), keys, ["ord"])
+    edges = log.rows.where(boundary).select(*keys, AT, CUT, F.col("ord").alias("_from"), category.alias("category"))
+    numbered = stage(ordinal(edges, keys, [AT], "region_no", F.col(CUT)), "regions")
+    inside = last_event(log, numbered, ["_from", "region_no", "category"])
     body = inside.where(
-        (F.col("ord") != F.col("_at")) & F.col("category").isNotNull() & (clean_text("text") != "")
-    ).select(*keys, "ord", "text", "region_no", "category")
-    return ordinal(body, [*keys, "region_no"], ["ord"], "slot_no")
+        (F.col("ord") != F.col("_from")) & F.col("category").isNotNull() & (clean_text("text") != "")
+    ).select(*keys, "ord", AT, CUT, "text", "region_no", "category")
+    return ordinal(body, [*keys, "region_no"], [AT], "slot_no", F.col(CUT)).drop(AT, CUT)
 
 
 def fill_slots(items: DataFrame, owners: DataFrame, keys: list[str], capacity: int, columns: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-_AT, _PART = "_at", "_part"
+_AT, _PART = "_nth", "_nth_part"
 
 
 def numbered(df: DataFrame, name: str, label: str = "numbered") -> DataFrame:

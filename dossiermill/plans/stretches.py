@@ -105,3 +105,19 @@ def counted(log: Stretched, steps: dict[str, Column], floors: tuple[str, ...] =
     summaries = summaries.select("*", *gifts).select("*", *lows)
     names = [c for c in summaries.columns if c.startswith(("_g_", "_w_"))]
     return log.given(local, summaries.select(*log.keys, CUT, *names)).select(*log.rows.columns, *out)
+
+
+def last_event(log: Stretched, events: DataFrame, columns: list[str]) -> DataFrame:
+    """Every row of the log with the ``columns`` of the last event at or before it.
+
+    ``events`` are rows of the log, with ``_at`` and ``_stretch``; it is read twice and
+    should be a small or stored table.
+    """
+    value = F.struct(*columns)
+    marked = log.rows.join(events.select(F.col(AT).alias("_event_at"), value.alias("_event")), F.col(AT) == F.col("_event_at"), "left")
+    local = marked.withColumn("_here", F.last("_event", ignorenulls=True).over(log.upto)).drop("_event", "_event_at")
+    ends = events.groupBy(*log.keys, CUT).agg(F.max_by(value, AT).alias("_end"))
+    places = log.rows.select(*log.keys, CUT).distinct()
+    given = log.given(places, ends).select(*log.keys, CUT, F.last("_end", ignorenulls=True).over(log.ahead).alias("_before"))
+    joined = log.given(local, given).withColumn("_last", F.coalesce("_here", "_before"))
+    return joined.select(*log.rows.columns, *[F.col(f"_last.{c}").alias(c) for c in columns])

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossiermill.plans import ordered as O
-from dossiermill.plans.containment import containment_pairs
+from dossiermill.plans.containment import containment_pairs, probes
 from dossiermill.plans.near_names import near_name_pairs
 
 
@@ -108,3 +108,12 @@ def test_containment_equals_brute_force(spark):
     h = spark.createDataFrame([("j", x) for x in haystacks], "job_id string, haystack string")
     got = {(r.needle, r.haystack) for r in containment_pairs(n, h, ["job_id"]).collect()}
     assert got == {(a, b) for a in needles if a for b in haystacks if a in b}
+
+
+def test_names_with_a_common_beginning_meet_few(spark):
+    """Thousands of names that begin alike: pairs tested stay within ten times the hits."""
+    rows = [("j", f"departamento regional de operacoes unidade {i * 7919 % 100003:06d}") for i in range(3000)]
+    n = spark.createDataFrame(rows[:1500], "job_id string, needle string")
+    h = spark.createDataFrame([("j", f"setor {t} anexo") for _, t in rows], "job_id string, haystack string")
+    hits, tested = containment_pairs(n, h, ["job_id"]).count(), probes(n, h, ["job_id"]).count()
+    assert hits == 1500 and tested <= 10 * hits
