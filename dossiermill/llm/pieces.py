@@ -8,11 +8,13 @@ outside the vocabulary. Batches are encoded by the library's threads.
 
 Texts are cut before every run of markers that follows another character, and around
 characters that no longer piece contains. That changes nothing as long as no piece
-has a marker behind another character; the model is refused otherwise. ``encode`` compares all ids with the sentencepiece library's (part by part,
-each distinct part once per worker, or text by text where the normaliser does more
-than place markers) and takes those where they differ, for merges of equal rank may
-tie in another order. So its ids are the reference ids for every text, and it says
-where the backend alone would not have given them.
+has a marker behind another character; the model is refused otherwise. The ids are the
+backend's. ``encode`` compares them with the sentencepiece library's, part by part and
+each part when a worker meets it first, or text by text where the normaliser does more
+than place markers; ``parity`` is false where they differ, as merges of equal rank might.
+
+A worker remembers parts, and what stands between two spaces, in two generations of
+``HELD`` entries, so its memory is bounded and it does not matter what came first.
 
 Defined cases: a null text is an empty one and has no ids; an empty list of ids
 decodes to an empty text; rows are encoded one by one, so repeated rows and null ids
@@ -25,19 +27,22 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Memory
+
 MARK = "▁"
 BREAK = "\n"
 THREADS = 2
-#: parts whose ids a worker remembers
+#: parts whose ids a worker remembers, a generation
 HELD = 250_000
 #: parts to the libraries in one text
 JOINED = 64
@@ -169,7 +174,7 @@ _codecs: dict = {}
 class Codec:
     """A model in a worker: the rebuilt backend, and the sentencepiece library for parity."""
 
-    def __init__(self, message: bytes, threads: int = THREADS) -> None:
+    def __init__(self, message: bytes, threads: int = THREADS, held: int = HELD) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from sentencepiece import SentencePieceProcessor
@@ -187,55 +192,85 @@ class Codec:
         self.plain = SentencePieceProcessor(model_proto=message)
         self.lead = len(alone := self.plain.encode(BREAK))
         self.line = alone[-1]
-        self.known: dict[str, tuple[list[int], str, bool]] = {}
-        if self.parts:
-            if self.parts.encode(BREAK, add_special_tokens=False).ids != [self.line]:
-                self.parts = None
-            self.known[BREAK] = [self.line], BREAK, True
+        if self.parts and self.parts.encode(BREAK, add_special_tokens=False).ids != [self.line]:
+            self.parts = None
+        #: of parts, and of what stands between spaces: ids as 32-bit integers, whether they are the library's, and whether they decode
+        self.known, self.chunks = Memory(held), Memory(held)
+        self.strings = [p.replace(MARK, " ") if kind in (NORMAL, USER) else None for p, _, kind in spec.pieces]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
-        """Ids of each text, whether the backend gave them itself, and whether they decode to the text."""
+        """Ids of each text, whether they are the library's, and whether they decode to the text."""
+        return [(np.frombuffer(ids, dtype=np.int32).tolist(), same, back) for ids, same, back in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """As ``encode``, the ids as 32-bit integers."""
         if self.parts:
             return self._by_parts(texts)
         mine = [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.plain.encode(texts, num_threads=1)
-        back = self.decode(theirs)
-        return [(b, a == b, t == u) for a, b, t, u in zip(mine, theirs, texts, back, strict=True)]
-
-    def _by_parts(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
-        """As ``encode``; each distinct part goes to the libraries once, and ``HELD`` of them are remembered."""
-        cut = [self.cut.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        every = set(chain.from_iterable(cut))
-        new = self._learned([p for p in every if p not in self.known])
-        if len(self.known) + len(new) <= HELD:
-            self.known |= new  # the frequent parts come early; later ones are worked out again
-            new = {}
-        here = {p: self.known[p] if p in self.known else new[p] for p in every}
-        ids, shown = {p: x[0] for p, x in here.items()}, {p: x[1] for p, x in here.items()}
-        odd = {p for p, x in here.items() if not x[2]}
+        rows = zip(mine, theirs, texts, self.decode(mine), strict=True)
+        return [(np.array(a, dtype=np.int32).tobytes(), a == b, t == u) for a, b, t, u in rows]
+
+    def _by_parts(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """As ``packed``: between single spaces the parts are the same wherever they stand, so these chunks are looked up first."""
+        even = ["  " not in t and MARK not in t and not t.startswith(" ") for t in texts]
+        cut = [(t.split(" ") if e else self._cut(t)) if t else [] for t, e in zip(texts, even, strict=True)]
+        got = [list(map((self.chunks if e else self.known).young.get, names)) for names, e in zip(cut, even, strict=True)]
+        missing: tuple[dict, dict] = ({}, {})
+        for names, found, e in zip(cut, got, even, strict=True):
+            if None in found:
+                missing[e].update((x, None) for x, g in zip(names, found, strict=True) if g is None)
+        chunks = {c: self.chunks.get(c) or self._cut(c) for c in missing[True]}
+        fresh = {c: g for c, g in chunks.items() if isinstance(g, list)}
+        # a chunk of one part is remembered as a chunk only
+        alone = {g[0]: None for g in fresh.values() if len(g) == 1}
+        want = dict.fromkeys([*missing[False], *(p for g in fresh.values() if len(g) > 1 for p in g)])
+        parts = {p: self.known.get(p) for p in want}
+        learned = self._learned([*(p for p, g in parts.items() if g is None), *(p for p in alone if parts.get(p) is None and p not in parts)])
+        for p, g in parts.items():
+            if g is None:
+                self.known.keep(p, learned[p])
+        parts = learned | {p: g for p, g in parts.items() if g is not None}
+        for c, g in fresh.items():
+            x = [parts[p] for p in g]
+            chunks[c] = x[0] if len(x) == 1 else (b"".join([y[0] for y in x]), all([y[1] for y in x]), all([y[2] for y in x]))
+            self.chunks.keep(c, chunks[c])
         out = []
-        for text, parts in zip(texts, cut, strict=True):
-            back = "".join(map(shown.__getitem__, parts))
-            out.append((list(chain.from_iterable(map(ids.__getitem__, parts))), odd.isdisjoint(parts), back[1:] == text))
-        return out
+        for names, found, e in zip(cut, got, even, strict=True):
+            if None in found:
+                more = chunks if e else parts
+                found = [more[x] if g is None else g for x, g in zip(names, found, strict=True)]
+            out.append((b"".join([g[0] for g in found]), all([g[1] for g in found]), all([g[2] for g in found])))
+        # a marker in a text decodes to a space
+        return [(ids, same, back and MARK not in t) for (ids, same, back), t in zip(out, texts, strict=True)]
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text, or of a chunk, which starts with a marker like one."""
+        return self.cut.findall((MARK + text).replace(" ", MARK))
 
-    def _learned(self, parts: list[str]) -> dict[str, tuple[list[int], str, bool]]:
-        """Ids by the sentencepiece library, the text that they decode to, and whether the backend gives the same ids.
+    def _learned(self, parts: list[str]) -> dict[str, tuple[bytes, bool, bool]]:
+        """Ids by the backend, whether the sentencepiece library gives the same, and whether they decode to the part.
 
         Parts go to the libraries ``JOINED`` at a time with line breaks between them,
         which join with nothing, so that none is given a dummy prefix.
         """
-        out: dict[str, tuple[list[int], str, bool]] = {}
-        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
-        lines = [BREAK.join(g) for g in groups]
-        mine = self.parts.encode_batch_fast(lines, add_special_tokens=False)
-        theirs = [ids[self.lead :] for ids in self.plain.encode([BREAK + x.replace(MARK, " ") for x in lines], num_threads=1)]
-        # decoding drops one leading space, so it is given one more
+        out = {BREAK: (np.array([self.line], dtype=np.int32).tobytes(), True, True)}
+        parts = [p for p in parts if p != BREAK]
         mark = self.fast.token_to_id(MARK)
-        for group, fast, ids, back in zip(groups, mine, theirs, self.decode([[mark, *ids] for ids in theirs]), strict=True):
-            found = self._split(ids)
-            same = repeat(True) if fast.ids == ids else (a == b for a, b in zip(self._split(fast.ids), found, strict=True))
-            out.update(zip(group, zip(found, back.split(BREAK), same), strict=True))
+        for at in range(0, len(parts), JOINED * JOINED):
+            groups = [parts[i : i + JOINED] for i in range(at, min(at + JOINED * JOINED, len(parts)), JOINED)]
+            lines = [BREAK.join(g) for g in groups]
+            mine = self.parts.encode_batch_fast(lines, add_special_tokens=False)
+            theirs = self.plain.encode([BREAK + x.replace(MARK, " ") for x in lines], num_threads=1)
+            for group, fast, ids in zip(groups, mine, theirs, strict=True):
+                ids = ids[self.lead :]
+                found = self._split(fast.ids)
+                other = found if fast.ids == ids else self._split(ids)
+                for part, a, b in zip(group, found, other, strict=True):
+                    back = list(map(self.strings.__getitem__, a))
+                    # bytes are joined by the decoder, which drops one leading space, so it is given one more
+                    shown = "".join(back) if None not in back else self.decode([[mark, *a]])[0]
+                    out[part] = array("i", a).tobytes(), a == b, shown == part.replace(MARK, " ")
         return out
 
     def _split(self, ids: list[int]) -> list[list[int]]:
@@ -293,11 +328,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         codec = codec_of(shared.value, threads)
         for b in batches:
             for at, part in _chunks(b.columns[-1]):
-                got = codec.encode(part)
+                got = codec.packed(part)
+                ids = np.frombuffer(b"".join([g[0] for g in got]), dtype=np.int32)
+                ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[c.slice(at, len(part)) for c in b.columns[:-1]],
-                        pa.array([g[0] for g in got], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                         pa.array([g[1] for g in got], pa.bool_()),
                         pa.array([g[2] for g in got], pa.bool_()),
                     ],
