@@ -233,6 +233,9 @@ def policy_check(artifacts: DataFrame, policy: DataFrame) -> DataFrame:
     fits = F.lit(False)
     for ext, kinds in rules.EXTENSION_KINDS.items():
         fits = fits | ((extension == ext) & kind.isin(kinds))
+    if "available" in artifacts.columns:
+        # nothing is known of a file that cannot be read: presence_check reports it
+        artifacts = artifacts.where(F.coalesce("available", F.lit(True)))
     joined = artifacts.withColumn("extension", norm_ext("extension")).join(policy, "role")
     tests = {
         "extension_not_allowed": ~F.array_contains("extensions", extension),
@@ -248,6 +251,25 @@ def policy_check(artifacts: DataFrame, policy: DataFrame) -> DataFrame:
     return issues.select(JOB, _severity(F.col("code"), True).alias("severity"), "code", F.col("role").alias("source_id"))
 
 
+def presence_check(jobs: DataFrame, artifacts: DataFrame, policy: DataFrame) -> DataFrame:
+    """Required roles without a file, and files that cannot be read: ``job_id, severity, code, source_id``.
+
+    Roles are required by ``policy``, or by the column ``roles`` of ``jobs`` where it has
+    one. ``artifacts`` may carry ``available``; files without it count as readable.
+    """
+    if "roles" in jobs.columns:
+        wanted = jobs.select(JOB, F.explode("roles").alias("role"))
+    else:
+        roles = [r["role"] for r in policy.where("required").select("role").collect()]  # a row a role
+        wanted = jobs.select(JOB, F.explode(F.array(*map(F.lit, roles)).cast("array<string>")).alias("role"))
+    absent = wanted.join(artifacts.select(JOB, "role").distinct(), [JOB, "role"], "left_anti").withColumn("code", F.lit("required_file_missing"))
+    found = absent.select(JOB, "code", "role")
+    if "available" in artifacts.columns:
+        gone = artifacts.where(~F.coalesce("available", F.lit(True))).select(JOB, F.lit("file_unavailable").alias("code"), "role")
+        found = found.unionByName(gone)
+    return found.select(JOB, _severity(F.col("code"), True).alias("severity"), "code", F.col("role").alias("source_id"))
+
+
 def missing_inputs(jobs: DataFrame, artifacts: DataFrame, required: dict = rules.REQUIRED_ROLES) -> DataFrame:
     """Required roles of each job's mode that have no file: ``job_id, role``."""
     wanted = F.array().cast("array<string>")

@@ -9,7 +9,7 @@ from ..operators import analyses as AN
 from ..operators import compiled as C
 from ..operators import quality as D
 from ..operators import reconcile as R
-from ..plans.staging import stage
+from ..plans.staging import new_path, stage
 from ..sinks import reports as SN
 from ..sources.artifacts import alias_table
 from . import sqltext as Q
@@ -189,7 +189,7 @@ _FITS = " OR ".join(f"(ext = '{e}' AND kind IN ({', '.join(repr(k) for k in ks)}
 @query(
     "jn_policy_check",
     f"""{cte('artifacts')}, p(role, extensions, kinds, max_bytes) AS (VALUES {_POLICY}),
-    a AS (SELECT artifacts.*, CASE WHEN starts_with(lower(extension), '.') THEN lower(extension) ELSE '.' || lower(extension) END AS ext, extensions, kinds, max_bytes FROM artifacts JOIN p USING (role)),
+    a AS (SELECT artifacts.*, CASE WHEN starts_with(lower(extension), '.') THEN lower(extension) ELSE '.' || lower(extension) END AS ext, extensions, kinds, max_bytes FROM artifacts JOIN p USING (role) WHERE available),
     i AS (SELECT job_id, role, unnest(list_filter([CASE WHEN NOT list_contains(extensions, ext) THEN 'extension_not_allowed' END, CASE WHEN size_bytes = 0 THEN 'empty_file' END, CASE WHEN size_bytes > max_bytes THEN 'file_too_large' END,
       CASE WHEN NOT list_contains(kinds, kind) THEN 'real_type_not_allowed' END, CASE WHEN kind <> 'unknown' AND NOT ({_FITS}) THEN 'extension_content_mismatch' END, CASE WHEN kind = 'ole_doc' THEN 'legacy_conversion_required' END,
       CASE WHEN kind = 'html_doc' AND active_content THEN 'html_active_content_ignored' END], lambda x: x IS NOT NULL)) AS code FROM a)
@@ -199,6 +199,20 @@ def jn_policy_check(spark, sf):
     return D.policy_check(derive(spark, sf, "artifacts"), D.policy_table(spark))
 
 
+_NEEDED = ", ".join(f"('{r}')" for r, (*_, needed) in rules.UPLOAD_POLICIES.items() if needed)
+
+
+@query(
+    "dq_presence_check",
+    f"""{cte('artifacts')}, r(role) AS (VALUES {_NEEDED})
+    SELECT job_id, 'error' AS severity, 'required_file_missing' AS code, role AS source_id FROM (SELECT DISTINCT job_id FROM artifacts), r WHERE (job_id, role) NOT IN (SELECT (job_id, role) FROM artifacts)
+    UNION ALL SELECT job_id, 'error', 'file_unavailable', role FROM artifacts WHERE NOT available""",
+)
+def dq_presence_check(spark, sf):
+    files = derive(spark, sf, "artifacts")
+    return D.presence_check(files.select("job_id").distinct(), files, D.policy_table(spark))
+
+
 _REQ = ", ".join(f"('{m}', '{r}')" for m, rs in rules.REQUIRED_ROLES.items() for r in rs)
 _ALIASES = ", ".join(f"('{a}', '{name}')" for name, names in rules.UPLOAD_ALIASES.items() for a in names)
 
@@ -364,6 +378,21 @@ def snk_report_rows(spark, sf):
     return rows.groupBy("job_id", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "snk_current_reports",
+    f"""{_issues_sql(False)}, r AS (SELECT job_id, severity, code, count(*) AS n FROM issues GROUP BY ALL) SELECT job_id, severity, code, n FROM r WHERE NOT ends_with(job_id, '1')""",
+)
+def snk_current_reports(spark, sf):
+    """Written in two batches, the second of which replaces the first one's jobs; jobs that end in 1 have no report left."""
+    issues = stage(D.run_rules(tables(spark, sf), strict=False), "issues")
+    rows = issues.groupBy("job_id", "severity", "code").agg(F.count(F.lit(1)).alias("n"))
+    path = new_path(spark, "reports")
+    SN.write_generation(rows.withColumn("n", -F.col("n")), path)
+    gone = rows.where(F.col("job_id").endswith("1"))
+    SN.write_generation(rows.where(~F.col("job_id").endswith("1")), path, jobs=gone)
+    return SN.read_current(spark, path, rows.schema)
+
+
 _TAB = "SELECT s_suppkey AS job_id, CASE s_suppkey % 3 WHEN 0 THEN 'prioritization' ELSE 'action_plan' END AS category FROM supplier"
 
 

@@ -213,11 +213,18 @@ INPUTS: dict[str, str] = {
             min(p_partkey) % 4 <> 0 AS has_card, CASE WHEN min(p_partkey) % 6 = 0 THEN NULL ELSE '2024-05' END AS competence,
             '2024-05-01' AS ergo_base_date, CASE WHEN min(p_partkey) % 7 = 0 THEN ' ' ELSE '2024-05-02' END AS psychosocial_base_date,
             CASE WHEN min(p_partkey) % 3 = 0 THEN 'separate' ELSE 'integrated' END AS analysis_mode
+        FROM part GROUP BY p_brand
+        UNION ALL SELECT p_brand || ' outro' AS job_id, p_brand AS legal_name, min(p_partkey) % 3 <> 0 AS has_card, '2024-06' AS competence,
+            CASE WHEN min(p_partkey) % 5 = 1 THEN '' ELSE '2024-06-01' END AS ergo_base_date, '2024-06-02' AS psychosocial_base_date,
+            CASE WHEN min(p_partkey) % 2 = 0 THEN 'separate' ELSE 'integrated' END AS analysis_mode
         FROM part GROUP BY p_brand""",
     "dq_groups": """
         SELECT p_brand AS job_id, CAST(p_size AS BIGINT) AS ord, 'GHE ' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size AS code,
             min(p_name) AS name, CASE WHEN p_size % 9 = 0 THEN 0 ELSE count(*) END AS population
-        FROM part GROUP BY p_brand, p_size""",
+        FROM part GROUP BY p_brand, p_size
+        UNION ALL SELECT p_brand || ' outro' AS job_id, CAST(p_size AS BIGINT) AS ord, 'GHE ' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size AS code,
+            max(p_name) AS name, count(*) AS population
+        FROM part WHERE p_size % 2 = 1 GROUP BY p_brand, p_size""",
     "dq_blocks": """
         SELECT CASE WHEN p_partkey % 4 <> 1 THEN p_brand ELSE p_brand || ' outro' END AS job_id, CAST(p_partkey AS STRING) AS source_id FROM part""",
     "dq_plan": """
@@ -236,7 +243,9 @@ INPUTS: dict[str, str] = {
     "dq_sources": """
         SELECT p_brand AS job_id, CASE WHEN min(p_partkey) % 2 = 0 THEN 'integrated' ELSE 'psychosocial_agent' END AS source_role
         FROM part GROUP BY p_brand
-        UNION ALL SELECT p_brand AS job_id, 'ergonomic_agent' AS source_role FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 1""",
+        UNION ALL SELECT p_brand AS job_id, 'ergonomic_agent' AS source_role FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 1
+        UNION ALL SELECT p_brand || ' outro' AS job_id, CASE WHEN min(p_partkey) % 3 = 0 THEN 'ergonomic_agent' ELSE 'integrated' END AS source_role
+        FROM part GROUP BY p_brand""",
     "dq_analyses": """
         SELECT CASE WHEN p_size % 5 <> 2 THEN p_brand ELSE p_brand || ' outro' END AS job_id, 'an-' || p_partkey AS analysis_id, p_partkey AS ord,
             CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'GHE ' || p_size END AS group_code,
@@ -260,7 +269,7 @@ INPUTS: dict[str, str] = {
             CASE o_orderkey % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.docx' WHEN 2 THEN 'DOC' WHEN 3 THEN '.png' ELSE '.docx' END AS extension,
             CASE o_orderkey % 7 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'docx' WHEN 2 THEN 'html_doc' WHEN 3 THEN 'ole_doc' WHEN 4 THEN 'png' WHEN 5 THEN 'unknown' ELSE 'docx' END AS kind,
             CAST(floor(CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE o_totalprice * 100 END) AS BIGINT) AS size_bytes,
-            o_orderkey % 3 = 0 AS active_content, md5(CAST(o_orderkey AS STRING)) AS md5
+            o_orderkey % 3 = 0 AS active_content, o_orderkey % 13 > 0 AS available, md5(CAST(o_orderkey AS STRING)) AS md5
         FROM orders""",
     # package members: one package per supplier
     "members": """

@@ -203,7 +203,9 @@ def jn_nominal_decisions(spark, sf):
 
 _MEDIA = f"""{cte('groups', 'media')}, g AS (SELECT job_id, ord, code, name, {Q.group_name('name')} AS nk FROM groups),
   m AS (SELECT *, {Q.code('code_hint')} AS sc, {Q.group_name('name_hint')} AS nk FROM media), h AS (SELECT DISTINCT job_id, sc, nk FROM m),
-  p AS MATERIALIZED (SELECT h.job_id, h.sc, h.nk, g.code, g.ord, {Q.similarity('h.nk', 'g.nk')} AS sim FROM h JOIN g ON g.job_id = h.job_id),
+  pairs AS MATERIALIZED (SELECT DISTINCT h.nk AS a, g.nk AS b FROM (SELECT DISTINCT job_id, nk FROM h) h JOIN (SELECT DISTINCT job_id, nk FROM g) g ON g.job_id = h.job_id),
+  scored AS MATERIALIZED (SELECT a, b, {Q.similarity('a', 'b')} AS sim FROM pairs),
+  p AS MATERIALIZED (SELECT h.job_id, h.sc, h.nk, g.code, g.ord, scored.sim FROM h JOIN g ON g.job_id = h.job_id JOIN scored ON scored.a = h.nk AND scored.b = g.nk),
   t AS (SELECT *, row_number() OVER w AS rn, lead(sim) OVER w AS runner FROM p WINDOW w AS (PARTITION BY job_id, sc, nk ORDER BY sim DESC, ord)),
   best AS (SELECT job_id, sc, nk, CASE WHEN nk <> '' AND sim >= 0.82 AND (runner IS NULL OR sim > runner) THEN code END AS name_code FROM t WHERE rn = 1),
   x AS (SELECT h.job_id, h.sc, h.nk, best.name_code, p.code AS code_match, p.sim AS code_sim FROM h LEFT JOIN best ON best.job_id = h.job_id AND best.sc IS NOT DISTINCT FROM h.sc AND best.nk = h.nk
@@ -278,26 +280,31 @@ def wn_nearest_context(spark, sf):
 
 
 _GEO = f"""{cte('groups', 'media')}, g AS (SELECT job_id, code, row_number() OVER (PARTITION BY job_id ORDER BY ord) + 1 AS seg FROM (SELECT CASE WHEN ord <= 20 THEN job_id ELSE job_id || ' outro' END AS job_id, code, ord FROM groups) AS o),
-  d AS (SELECT *, width / height AS r, width / height BETWEEN 2.5 AND 3.5 AND height BETWEEN 350 AND 700 AS dash FROM media),
+  d AS (SELECT *, width / height AS r, width / height BETWEEN 2.5 AND 3.5 AND height BETWEEN 350 AND 700 AS dash FROM (SELECT * FROM media UNION ALL SELECT * REPLACE (job_id || ' outro' AS job_id) FROM media) AS both_jobs),
   n AS (SELECT *, sum(CASE WHEN dash THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ord)::BIGINT AS seg, count(*) OVER (PARTITION BY job_id) AS nm, count(*) FILTER (WHERE dash) OVER (PARTITION BY job_id) AS nd FROM d),
   k AS (SELECT n.*, g.code FROM n LEFT JOIN g ON g.job_id = n.job_id AND g.seg = n.seg WHERE n.seg >= 1 AND nm >= 2 AND nd >= 2 AND (n.seg = 1 OR g.code IS NOT NULL)),
   q AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY ord) AS place FROM k)"""
 
 
 def _short_registry(spark, sf):
-    """All groups; those behind the twentieth belong to a job without media."""
+    """All groups; those behind the twentieth belong to a second job, which has the same media."""
     return derive(spark, sf, "groups").withColumn(
         "job_id", F.when(F.col("ord") <= 20, F.col("job_id")).otherwise(F.concat("job_id", F.lit(" outro")))
     )
 
 
+def _media_of_both(spark, sf):
+    media = derive(spark, sf, "media").drop("role")
+    return media.union(media.withColumn("job_id", F.concat("job_id", F.lit(" outro"))))
+
+
 @query(
     "wn_segment_by_geometry",
     f"""{_GEO} SELECT job_id, image_id, seg AS segment_no, code, CASE WHEN place = 1 THEN CASE WHEN seg = 1 THEN 'general_panel' ELSE 'ghe_panel' END WHEN place = 2 THEN 'chart' WHEN place = 3 THEN 'domain_summary'
       WHEN place IN (4, 5) AND r >= 3 THEN 'risk_matrix' ELSE 'other' END AS role FROM q""",
 )
 def wn_segment_by_geometry(spark, sf):
-    placed, _ = M.segment_by_geometry(derive(spark, sf, "media").drop("role"), _short_registry(spark, sf))
+    placed, _ = M.segment_by_geometry(_media_of_both(spark, sf), _short_registry(spark, sf))
     return placed.select("job_id", "image_id", "segment_no", "code", "role")
 
 
@@ -306,7 +313,7 @@ def wn_segment_by_geometry(spark, sf):
     f"{_GEO} SELECT job_id, 'segment_without_group' AS warning FROM (SELECT DISTINCT job_id, nd FROM n WHERE nd >= 2 AND nm >= 2) AS z WHERE nd > (SELECT max(seg) FROM g WHERE g.job_id = z.job_id)",
 )
 def wn_surplus_segments(spark, sf):
-    return M.segment_by_geometry(derive(spark, sf, "media").drop("role"), _short_registry(spark, sf))[1]
+    return M.segment_by_geometry(_media_of_both(spark, sf), _short_registry(spark, sf))[1]
 
 
 @query(

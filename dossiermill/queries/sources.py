@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.hashing import content_sha256
 from ..sources import artifacts as A
-from ..sources.chunks import reassemble_chunks
+from ..sources.chunks import chained_digest, reassemble_chunks, reassembled_blocks
 from ..sources.html import html_units
+from ..sources.sheets import dispatch_contracts
 from . import sqltext as Q
 from .inputs import cte, derive, load
 from .registry import query
@@ -110,27 +111,70 @@ def src_sheet_presence(spark, sf):
 _CHUNK = 8192
 
 
-@query(
-    "src_reassemble_chunks",
-    f"""WITH b AS (SELECT doc_id, text, ceil(length(base64(encode(text))) / {_CHUNK}.0)::BIGINT AS n FROM documents)
-    SELECT doc_id, n AS n_parts, CASE WHEN n > {rules.MAX_CHUNKS} THEN 'too_many_parts' ELSE 'ok' END AS status,
-      CASE WHEN n <= {rules.MAX_CHUNKS} THEN sha256(text) END AS sha256 FROM b WHERE n > 0""",
-)
-def src_reassemble_chunks(spark, sf):
+def _parts(spark, sf, size):
+    """The documents' texts in Base64, cut into numbered parts of ``size`` characters."""
     encoded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
-    n = F.ceil(F.length("b64") / F.lit(_CHUNK)).cast("int")
-    parts = (
+    n = F.ceil(F.length("b64") / F.lit(size)).cast("int")
+    return (
         load(spark, sf, "documents").select("doc_id", encoded.alias("b64"))
         .where("b64 <> ''")
         .select("doc_id", "b64", F.explode(F.sequence(F.lit(1), n)).alias("part_no"))
-        .select("doc_id", "part_no", F.substring(F.col("b64"), (F.col("part_no") - 1) * _CHUNK + 1, F.lit(_CHUNK)).alias("chunk"))
+        .select("doc_id", "part_no", F.substring(F.col("b64"), (F.col("part_no") - 1) * size + 1, F.lit(size)).alias("chunk"))
     )
-    whole = reassemble_chunks(parts, ["doc_id"], "part_no", "chunk", max_parts=None, max_part_chars=None, max_total_chars=None)
+
+
+@query(
+    "src_reassemble_chunks",
+    f"""WITH b AS (SELECT doc_id, text, ceil(length(base64(encode(text))) / {_CHUNK}.0)::BIGINT AS n FROM documents)
+    SELECT doc_id, n AS n_parts, 'ok' AS status, sha256(text) AS sha256 FROM b WHERE n > 0""",
+)
+def src_reassemble_chunks(spark, sf):
+    whole = reassemble_chunks(_parts(spark, sf, _CHUNK), ["doc_id"], "part_no", "chunk", max_parts=None, max_part_chars=None, max_total_chars=None)
     return whole.select(
         "doc_id", "n_parts", "status", content_sha256("content").alias("sha256")
     )
 
 
+#: parts that end anywhere in a group of four characters, and blocks in characters and in bytes
+_ODD_CHUNK, _BLOCK, _BLOCK_BYTES = 4099, 4096, 3072
+
+
+@query(
+    "src_reassembled_blocks",
+    f"""WITH b AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
+    k AS (SELECT doc_id, n, unnest(range(CAST(ceil(n / {_BLOCK_BYTES}.0) AS BIGINT))) AS block_no, h FROM b),
+    d AS (SELECT doc_id, n, block_no, sha256(unhex(substr(h, block_no * {2 * _BLOCK_BYTES} + 1, {2 * _BLOCK_BYTES}))) AS d FROM k)
+    SELECT doc_id, count(*) AS n_blocks, max(n) AS n_bytes, sha256(string_agg(d, '' ORDER BY block_no)) AS digest, 'ok' AS status FROM d GROUP BY doc_id""",
+)
+def src_reassembled_blocks(spark, sf):
+    blocks = reassembled_blocks(_parts(spark, sf, _ODD_CHUNK), ["doc_id"], "part_no", "chunk", _BLOCK)
+    return chained_digest(blocks, ["doc_id"])
+
+
+@query(
+    "src_contract_records",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN left(props, 3) WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN '{"v": 9, "k": 1}'
+        WHEN event_id % 3 = 0 THEN '{"v": 2, "key": {"k": ' || regexp_extract(props, '[0-9]+') || '}}' ELSE '{"v": 1, ' || substr(props, 2) END AS body FROM events)
+    SELECT event_id, CASE WHEN body IS NULL THEN 'missing' WHEN event_id % 11 = 0 THEN 'unreadable' WHEN event_id % 5 = 0 THEN 'version' ELSE 'ok' END AS status,
+        CASE WHEN body IS NOT NULL AND event_id % 11 > 0 AND event_id % 5 > 0 THEN CAST(regexp_extract(body, '([0-9]+)[^0-9]*$', 1) AS BIGINT) END AS k FROM e""",
+)
+def src_contract_records(spark, sf):
+    number = F.regexp_extract("props", "[0-9]+", 0)
+    body = (
+        F.when(F.col("event_id") % 11 == 0, F.substring("props", 1, 3))
+        .when(F.col("event_id") % 7 == 0, F.lit(None))
+        .when(F.col("event_id") % 5 == 0, '{"v": 9, "k": 1}')
+        .when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"v": 2, "key": {"k": '), number, F.lit("}}")))
+        .otherwise(F.concat(F.lit('{"v": 1, '), F.substr("props", F.lit(2))))
+    )
+    records = load(spark, sf, "events").select("event_id", body.alias("body"))
+    good, broken = dispatch_contracts(records, "body", {1: "v int, k bigint", 2: "v int, key struct<k: bigint>"}, "v")
+    k = F.coalesce("v1.k", "v2.key.k")
+    return good.select("event_id", F.lit("ok").alias("status"), k.alias("k")).unionByName(
+        broken.select("event_id", "status", F.lit(None).cast("bigint").alias("k"))
+    )
+
+
 @query(
     "src_data_uri",
     """SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN octet_length(encode(text)) END AS n_bytes, CASE WHEN doc_id % 4 < 3 THEN sha256(text) END AS sha256 FROM documents""",

@@ -6,15 +6,18 @@ finished data set visible at once.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.staging import stage
+from ..plans.staging import remove, stage
 
 JOB = "job_id"
-BUCKETS = 64
+#: bytes of a file
+TARGET_BYTES = 128 << 20
 
 # Columns that may leave the system, per table. Runtime paths, file
 # contents and source row numbers are in none of the lists.
@@ -85,40 +88,81 @@ def report_rows(summary: DataFrame, issues: DataFrame, plan: DataFrame, exceptio
     )
 
 
-def replace_jobs(rows: DataFrame, path: str, kind: str = "parquet", files: int = 1, buckets: int = BUCKETS) -> None:
-    """Write the rows of some jobs; what other jobs have at ``path`` stays.
+_GENERATION = "generation"
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path, through Hadoop's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength() if files.exists(place) else 0
+
+
+def write_generation(rows: DataFrame, path: str, kind: str = "parquet", jobs: DataFrame | None = None, target: int = TARGET_BYTES) -> str:
+    """Append the rows of some jobs as one generation; nothing that is at ``path`` is touched.
 
-    Rows lie in buckets of jobs, not in a folder per job, and inside a bucket in
-    ``files`` files by a hash of the row, so a large job is never one task's alone.
-    Only the buckets of the given jobs are written anew, together with what their
-    other jobs had there. One writer at a time.
+    The rows lie in ``data/generation=<name>``, in as many files as their bytes ask for,
+    dealt out by a hash of the row, so a large job is never one task's alone. A row per
+    job in ``manifest`` then says that this is the job's last generation; it is appended
+    when the data is complete, so readers see a generation whole or not at all, and two
+    writers never lose each other's rows. ``jobs`` names jobs that have no rows any more.
+    Names follow the writers' clocks: of two writes of a job the later one counts.
     """
-    spark, columns = rows.sparkSession, rows.columns
-    bucket = F.pmod(F.xxhash64(JOB), F.lit(buckets)).cast("int")
+    spark = rows.sparkSession
+    name = f"{time.time_ns() // 1000:020d}-{uuid.uuid4().hex[:8]}"
     new = stage(rows, "report")
-    jobs = new.select(JOB).distinct()
-    try:
-        there = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("bucket", T.IntegerType())])).format(kind).load(path)
-        touched = jobs.select(bucket.alias("bucket")).distinct()
-        kept = there.join(touched, "bucket", "left_semi").join(jobs, JOB, "left_anti").select(columns)
-        new = stage(new.unionByName(kept), "report")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    spread = F.pmod(F.xxhash64(*columns), F.lit(files))
-    placed = new.withColumn("bucket", bucket).repartition("bucket", spread)
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(kind).save(path)
-
-
-def write_reports(report: DataFrame, path: str, files_per_bucket: int = 1) -> None:
+    files = max(1, -(-_size(spark, _folder(new)) // target))
+    spread = F.pmod(F.xxhash64(*new.columns), F.lit(files))
+    new.repartition(files, spread).write.format(kind).save(f"{path}/data/{_GENERATION}={name}")
+    written = new.select(JOB).union(jobs.select(JOB)) if jobs is not None else new.select(JOB)
+    entries = written.distinct().select(JOB, F.lit(name).alias(_GENERATION))
+    entries.write.mode("append").parquet(f"{path}/manifest")
+    remove(spark, _folder(new))
+    return name
+
+
+def _folder(df: DataFrame) -> str:
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else ""
+
+
+def current_generations(spark: SparkSession, path: str) -> DataFrame:
+    """``job_id, generation``: the last one of every job."""
+    return spark.read.parquet(f"{path}/manifest").groupBy(JOB).agg(F.max(_GENERATION).alias(_GENERATION))
+
+
+def read_current(spark: SparkSession, path: str, schema: T.StructType | str | None = None, kind: str = "parquet") -> DataFrame:
+    """The rows of every job's last generation. ``schema`` spares reading files for it, and is needed where none has rows."""
+    reader = spark.read.format(kind).option("basePath", f"{path}/data")
+    if schema is not None:
+        struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        reader = reader.schema(T.StructType([*struct.fields, T.StructField(_GENERATION, T.StringType())]))
+    rows = reader.load(f"{path}/data").withColumn(_GENERATION, F.col(_GENERATION).cast("string"))
+    last = current_generations(spark, path)
+    return rows.join(last, [JOB, _GENERATION], "left_semi").drop(_GENERATION)
+
+
+def compact(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType | str | None = None, target: int = TARGET_BYTES) -> str:
+    """Write all current rows as one generation and delete the generations before it; nobody may write meanwhile."""
+    old = [r[_GENERATION] for r in spark.read.parquet(f"{path}/manifest").select(_GENERATION).distinct().collect()]
+    rows = stage(read_current(spark, path, schema, kind), "compact")
+    name = write_generation(rows, path, kind, target=target)
+    for generation in old:
+        remove(spark, f"{path}/data/{_GENERATION}={generation}")
+    entries = stage(current_generations(spark, path).where(F.col(_GENERATION) == name), "manifest")
+    entries.write.mode("overwrite").parquet(f"{path}/manifest")
+    return name
+
+
+def write_reports(report: DataFrame, path: str, jobs: DataFrame | None = None) -> None:
     """Report lines as JSON; the reports of other jobs at ``path`` stay."""
-    replace_jobs(report, path, "json", files_per_bucket)
+    write_generation(report, path, "json", jobs)
 
 
-def write_compiled(tables: dict[str, DataFrame], path: str) -> None:
+def write_compiled(tables: dict[str, DataFrame], path: str, jobs: DataFrame | None = None) -> None:
     """Every result table as Parquet below ``path``; the rows of other jobs there stay."""
     for name, table in tables.items():
-        replace_jobs(table, f"{path}/{name}")
+        write_generation(table, f"{path}/{name}", jobs=jobs)
 
 
 def write_comparison(metrics: DataFrame, path: str) -> None:

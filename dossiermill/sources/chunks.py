@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..plans.stretches import AT, counted, laid_out
 
 #: characters of Base64 that fit in one value, with room for its row
 _VALUE = (1 << 31) - (1 << 16)
@@ -61,3 +62,56 @@ def reassemble_chunks(
         F.coalesce(F.col("_status"), F.when(content.isNull(), "invalid").otherwise("ok")).alias("status"),
         content.alias("content"),
     )
+
+
+def reassembled_blocks(parts: DataFrame, keys: list[str], ord_col: str, chunk_col: str, block_chars: int = 1 << 20) -> DataFrame:
+    """``keys, block_no, content, status``: texts of any length as ordered rows of decoded bytes.
+
+    Parts are laid out in order and their running length says where each one begins,
+    so that every part can be cut at the borders of blocks of ``block_chars`` characters
+    by itself, be it shorter than four characters or longer than a block. The pieces of a
+    block are joined and decoded on their own: no value is longer than a block, and a
+    text with most of the parts is spread over its blocks. A text is ``ok`` if all its
+    blocks are; a part whose position repeats makes it ``duplicate_part``.
+    """
+    if block_chars % 4:
+        raise ValueError("blocks are cut between groups of four characters")
+    text = F.regexp_replace(F.col(chunk_col), r"\s+", "")
+    sized = parts.select(*keys, F.col(ord_col).alias("_ord"), text.alias("_chunk"))
+    log = laid_out(sized.withColumn("_size", F.length("_chunk").cast("bigint")), keys, ["_ord"])
+    placed = counted(log, {"_end": F.col("_size")}).where("_size > 0").withColumn("_start", F.col("_end") - F.col("_size"))
+    first, last = F.floor(F.col("_start") / block_chars), F.floor((F.col("_end") - 1) / block_chars)
+    cut = placed.withColumn("block_no", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.lit(0), F.col("block_no") * block_chars - F.col("_start"))
+    end = F.least(F.col("_size"), (F.col("block_no") + 1) * block_chars - F.col("_start"))
+    pieces = cut.select(*keys, "block_no", AT, F.substring(F.col("_chunk"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("_piece"))
+    blocks = pieces.groupBy(*keys, "block_no").agg(F.array_sort(F.collect_list(F.struct(AT, "_piece"))).alias("_pieces")).select(
+        *keys, "block_no", F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "").alias("_text")
+    )
+    ends = sized.groupBy(*keys).agg(F.sum(F.length("_chunk")).alias("_total"))
+    repeated = sized.groupBy(*keys, "_ord").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys).distinct()
+    facts = ends.join(repeated.withColumn("_twice", F.lit(True)), keys, "left")
+    final = F.col("block_no") == F.floor((F.col("_total") - 1) / block_chars)
+    # padding stands at the end of the text only
+    strict = F.col("_text").rlike(r"^[A-Za-z0-9+/]*={0,2}\z") & (F.length("_text") % 4 == 0) & (final | ~F.contains("_text", F.lit("=")))
+    content = F.when(strict & F.col("_twice").isNull(), F.try_to_binary("_text", F.lit("base64")))
+    status = F.when(F.col("_twice"), "duplicate_part").when(content.isNull(), "invalid").otherwise("ok")
+    return blocks.join(facts, keys).select(*keys, "block_no", content.alias("content"), status.alias("status"))
+
+
+def chained_digest(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_blocks, n_bytes, digest, status``: one digest a text, from its blocks' digests in order.
+
+    The digest is that of the blocks' SHA-256 values joined; 32 bytes a block, so a text
+    of terabytes stays a small value. The worst status of a text's blocks is its own.
+    """
+    return blocks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.sum(F.length("content").cast("bigint")).alias("n_bytes"),
+        F.array_sort(F.collect_list(F.struct("block_no", F.sha2("content", 256).alias("d")))).alias("_d"),
+        F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("_bad"),
+    ).select(
+        *keys, "n_blocks", "n_bytes",
+        F.when(F.col("_bad").isNull(), F.sha2(F.array_join(F.transform("_d", lambda x: x["d"]), ""), 256)).alias("digest"),
+        F.coalesce("_bad", F.lit("ok")).alias("status"),
+    )

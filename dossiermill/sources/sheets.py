@@ -69,3 +69,34 @@ def read_contract(spark: SparkSession, path: str, schema: StructType | str, vers
     if version is not None:
         status = status.when(~F.col("schema_version").eqNullSafe(F.lit(version)), "version")
     return rows.withColumn("contract_status", status.otherwise("ok")).drop("_corrupt_record")
+
+
+def dispatch_contracts(records: DataFrame, body: str, schemas: dict[int, str], version: str = "schema_version") -> tuple[DataFrame, DataFrame]:
+    """Semi-structured records by their declared version, and those that cannot be read.
+
+    ``schemas``: DDL by version. The first result has the other columns with ``version``
+    and a struct ``v<version>`` for each, NULL in records of other versions. The second,
+    the quarantine, has the other columns with ``body`` and ``status``: ``missing`` (no
+    text), ``unreadable`` (no JSON object, or not of its version's schema) or ``version``
+    (none that is known). Every record is in one of them.
+    """
+    rest = [c for c in records.columns if c != body]
+    corrupt = "_corrupt_record"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    head = F.from_json(body, f"{version} bigint, {corrupt} string", options)
+    parsed = records.withColumn("_head", head)
+    declared = F.col("_head")[version]
+    for v, ddl in schemas.items():
+        parsed = parsed.withColumn(f"v{v}", F.when(declared == v, F.from_json(body, f"{ddl}, {corrupt} string", options)))
+    known = declared.isin(list(schemas))
+    broken = F.lit(False)
+    for v in schemas:
+        broken = broken | F.coalesce(F.col(f"v{v}")[corrupt].isNotNull(), F.lit(False))
+    status = (
+        F.when(F.col(body).isNull(), "missing")
+        .when(F.col("_head").isNull() | F.col("_head")[corrupt].isNotNull() | broken, "unreadable")
+        .when(~F.coalesce(known, F.lit(False)), "version")
+    )
+    judged = parsed.withColumn("status", status)
+    good = judged.where("status is null").select(*rest, declared.alias("version"), *[F.col(f"v{v}").dropFields(corrupt).alias(f"v{v}") for v in schemas])
+    return good, judged.where("status is not null").select(*rest, body, "status")

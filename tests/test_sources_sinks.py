@@ -2,15 +2,17 @@
 
 import base64
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossiermill.operators.quality import archive_safety
 from dossiermill.sinks import reports as SN
 from dossiermill.sources import artifacts as A
-from dossiermill.sources.chunks import reassemble_chunks
+from dossiermill.sources.chunks import chained_digest, reassemble_chunks, reassembled_blocks
 from dossiermill.sources.html import html_units
-from dossiermill.sources.sheets import read_contract
+from dossiermill.sources.sheets import dispatch_contracts, read_contract
 
 
 def test_inventory_of_files(spark, tmp_path):
@@ -101,24 +103,90 @@ def test_reports_round_trip(spark, tmp_path):
     issues = spark.createDataFrame([("a", "error", "x"), ("a", "warning", "y")], "job_id string, severity string, code string")
     plan = spark.createDataFrame([("a", "s", "auto_matched")], "job_id string, source_id string, status string")
     exc = spark.createDataFrame([], "job_id string, source_id string")
-    SN.write_reports(SN.report_rows(summary, issues, plan, exc), str(tmp_path / "r"), files_per_bucket=2)
-    back = spark.read.json(str(tmp_path / "r"))
+    SN.write_reports(SN.report_rows(summary, issues, plan, exc), str(tmp_path / "r"))
+    back = SN.read_current(spark, str(tmp_path / "r"), kind="json")
     assert {(r.section, r["count"]) for r in back.groupBy("section").count().collect()} == {("summary", 1), ("errors", 1), ("warnings", 1), ("reconciliation", 1)}
     SN.write_compiled({"t": summary}, str(tmp_path / "c"))
-    assert spark.read.parquet(str(tmp_path / "c/t")).count() == 1
+    assert SN.read_current(spark, str(tmp_path / "c/t")).collect() == summary.collect()
+
+
+def _files(path):
+    return {(str(f), f.stat().st_mtime_ns) for f in path.rglob("part-*")}
 
 
 def test_writers_keep_other_jobs(spark, tmp_path):
     path = str(tmp_path / "r")
     lines = lambda job, n: spark.range(n).select(F.lit(job).alias("job_id"), F.lit("errors").alias("section"), F.col("id").cast("string").alias("body"))
+    schema = "job_id string, section string, body string"
+    counts = lambda: {r.job_id: r["count"] for r in SN.read_current(spark, path, schema, "json").groupBy("job_id").count().collect()}
     for job, n in (("a", 3), ("b", 500), ("a", 2), ("c", 1)):
-        SN.write_reports(lines(job, n), path, files_per_bucket=3)
-    counts = lambda p: {r.job_id: r["count"] for r in spark.read.json(p).groupBy("job_id").count().collect()}
-    assert counts(path) == {"a": 2, "b": 500, "c": 1}
-    one = str(tmp_path / "one")
-    for job, n in (("a", 3), ("b", 5), ("a", 1)):
-        SN.replace_jobs(lines(job, n), one, "json", buckets=1)
-    assert counts(one) == {"a": 1, "b": 5}
+        before = _files(tmp_path)
+        SN.write_reports(lines(job, n), path)
+        assert before <= _files(tmp_path)  # a write touches no file that is there
+    assert counts() == {"a": 2, "b": 500, "c": 1}
+    SN.write_reports(lines("c", 0), path, jobs=spark.createDataFrame([("c",)], "job_id string"))
+    assert counts() == {"a": 2, "b": 500}
+    SN.compact(spark, path, "json", schema)
+    assert counts() == {"a": 2, "b": 500} and len(list((tmp_path / "r/data").iterdir())) == 1
+    SN.write_reports(lines("a", 7), path)
+    assert counts() == {"a": 7, "b": 500}
+
+
+def test_files_follow_bytes(spark, tmp_path):
+    rows = spark.range(20_000).select(F.lit("a").alias("job_id"), F.sha2(F.col("id").cast("string"), 512).alias("body"))
+    SN.write_generation(rows, str(tmp_path / "w"), target=300_000)
+    files = [f.stat().st_size for f in (tmp_path / "w/data").rglob("part-*")]
+    assert 4 <= len(files) <= 16 and SN.read_current(spark, str(tmp_path / "w")).count() == 20_000
+
+
+def test_staging_refuses_local_folders():
+    from dossiermill.plans.staging import usable
+
+    assert usable("file:/x/spark-warehouse", "local[8]") and usable("s3a://store/w", "yarn")
+    for warehouse in ("file:/x/spark-warehouse", "/x/spark-warehouse"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            usable(warehouse, "spark://host:7077")
+
+
+@pytest.mark.parametrize("block", [4, 64, 1 << 20])
+def test_blocks_of_any_parts(spark, block):
+    rng = random.Random(9)
+    texts = {"a": b"x", "b": bytes(rng.randrange(256) for _ in range(1000)), "c": b"whole text" * 7, "d": b"", "hot": bytes(rng.randrange(256) for _ in range(3000))}
+    rows = []
+    for key, data in texts.items():
+        code, at, no = base64.b64encode(data).decode(), 0, 0
+        while at < len(code):
+            size = rng.choice([1, 1, 2, 3, 5, 90])
+            rows.append((key, no * 1000, " " + code[at : at + size] + "\n"))
+            at, no = at + size, no + 1
+    rows += [("twice", 1, "eA=="), ("twice", 1, "eA=="), ("bad", 1, "e!=="), ("short", 1, "eA="), ("early", 1, "eA==eA==")]
+    df = spark.createDataFrame(rows, "k string, no int, chunk string").repartition(5)
+    blocks = reassembled_blocks(df, ["k"], "no", "chunk", block)
+    got = {}
+    for r in sorted(blocks.where("status = 'ok'").collect(), key=lambda r: (r.k, r.block_no)):
+        assert len(r.content) <= block * 3 // 4
+        got.setdefault(r.k, b"")
+        got[r.k] += bytes(r.content)
+    assert {k: v for k, v in got.items() if k in texts} == {k: v for k, v in texts.items() if v}
+    status = {r.k: r.status for r in chained_digest(blocks, ["k"]).collect()}
+    assert status == {**{k: "ok" for k, v in texts.items() if v}, "twice": "duplicate_part", "bad": "invalid", "short": "invalid", "early": "invalid"}
+
+
+def test_contracts_by_version(spark):
+    rows = [(1, '{"v": 1, "k": 5}'), (2, '{"v": 2, "key": {"k": 6}}'), (3, None), (4, '{"v": 3}'), (5, "{"), (6, '{"v": 1, "k": "x"}'), (7, "{}"), (8, "[1]"), (9, '{"v": 1}')]
+    df = spark.createDataFrame(rows, "id int, body string")
+    good, bad = dispatch_contracts(df, "body", {1: "v int, k bigint", 2: "v int, key struct<k: bigint>"}, "v")
+    assert {r.id: (r.version, r.v1 and r.v1.k, r.v2 and r.v2.key.k) for r in good.collect()} == {1: (1, 5, None), 2: (2, None, 6), 9: (1, None, None)}
+    assert {r.id: r.status for r in bad.collect()} == {3: "missing", 4: "version", 5: "unreadable", 6: "unreadable", 7: "version", 8: "unreadable"}
+
+
+def test_presence(spark):
+    from dossiermill.operators.quality import policy_table, presence_check
+
+    files = spark.createDataFrame([("a", "ghe", False), ("a", "ergo", None)], "job_id string, role string, available boolean")
+    jobs = spark.createDataFrame([("a", ["ghe", "ergo", "psychosocial"]), ("b", ["ghe"]), ("c", [])], "job_id string, roles array<string>")
+    got = {(r.job_id, r.code, r.source_id) for r in presence_check(jobs, files, policy_table(spark)).collect()}
+    assert got == {("a", "required_file_missing", "psychosocial"), ("a", "file_unavailable", "ghe"), ("b", "required_file_missing", "ghe")}
 
 
 def test_comparison_is_written(spark, tmp_path):
