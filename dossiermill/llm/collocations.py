@@ -52,8 +52,8 @@ HEAD = 400_000
 BITS = 27
 #: leaves a group
 BUDGET = 500_000
-#: words that a task holds before it adds up equal leaves, and distinct words before it hands counts on
-_CHUNK = 1 << 20
+#: words that a task holds before it adds up equal leaves (arrays of 2 MB, which sort fast), and distinct words before it hands counts on
+_CHUNK = 1 << 18
 _HELD = 300_000
 #: what ends a piece becomes a line break, a tab a space
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
