@@ -11,6 +11,11 @@ least ``floor`` only if
   key into ``u + 1`` pieces: one of them occurs whole in the other key, at most
   ``u`` positions away (partition filter).
 
+In the edit mode the third case is an edit ratio of at least ``floor / 0.9``: then at
+most ``k`` edits part the keys, and they share one of the ``2k + 1`` rarest pairs of
+neighbouring characters of each (prefix filter), so a key is looked up by a number of
+grams that grows with its length only.
+
 Each filter is an equi-join, and no pair above the floor is lost. Only the pairs
 that survive are scored.
 """
@@ -33,9 +38,9 @@ def _prefix(tokens: Column, floor: float) -> Column:
     return F.slice(tokens, 1, F.greatest(keep, F.lit(1)).cast("int"))
 
 
-def _rarest_first(names: DataFrame, scope: list[str]) -> DataFrame:
-    """Words of each name, rarest first within the scope; ties by the word itself."""
-    words = names.select(*scope, "side", "key", F.explode(key_tokens(F.col("key"))).alias("word"))
+def _rarest_first(names: DataFrame, scope: list[str], tokens=key_tokens) -> DataFrame:
+    """Words (or other ``tokens``) of each name, rarest first within the scope; ties by the word itself."""
+    words = names.select(*scope, "side", "key", F.explode(tokens(F.col("key"))).alias("word"))
     counts = words.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("n"))
     ranked = (
         words.join(counts, [*scope, "word"])
@@ -121,6 +126,39 @@ def _sequence_pairs(names: DataFrame, scope: list[str], ratio: float) -> DataFra
     return probes.join(index, [*scope, "size", "no", "piece"]).select(*scope, "left_key", "right_key")
 
 
+def _bigrams(key: Column) -> Column:
+    """Distinct pairs of neighbouring characters, with a mark before the first and behind the last."""
+    padded = F.concat(F.lit("^"), key, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda at: F.substring(padded, at, 2)))
+
+
+def _edit_pairs(names: DataFrame, scope: list[str], ratio: float) -> DataFrame:
+    """Pairs whose edit ratio is ``ratio`` or more.
+
+    An edit touches two bigrams, so of two keys that k edits part each has at most 2k
+    distinct bigrams that the other lacks: in any common order, the first one that they
+    share is among the first 2k + 1 of both. A key with too few bigrams for that meets
+    all keys with hardly more, under a mark of their own.
+    """
+    ranked = _rarest_first(names, scope, _bigrams)
+    size = F.length("key")
+    # edits towards the longest partner there can be
+    lost = (2 * F.floor((1.0 - ratio) * size / ratio + _EPS)).cast("int")
+    few = F.when(F.size("words") <= 2 * lost, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    heads = ranked.select(
+        *scope, "side", "key", size.alias("size"), F.explode(F.concat(F.slice("words", F.lit(1), lost + 1), few)).alias("gram")
+    )
+    left, right = (
+        heads.where(F.col("side") == s[0]).select(*scope, "gram", F.col("key").alias(f"{s}_key"), F.col("size").alias(f"{s}_size"))
+        for s in ("left", "right")
+    )
+    longer = F.greatest("left_size", "right_size")
+    edits = F.floor((1.0 - ratio) * longer + _EPS).cast("int")
+    near = F.abs(F.col("left_size") - F.col("right_size")) <= edits
+    met = left.join(right, [*scope, "gram"]).where(near).select(*scope, "left_key", "right_key", edits.alias("edits")).distinct()
+    return met.where(F.levenshtein("left_key", "right_key") <= F.col("edits")).select(*scope, "left_key", "right_key")
+
+
 def near_name_pairs(
     left: DataFrame, right: DataFrame, scope: list[str], floor: float, mode: str = "sequence"
 ) -> DataFrame:
@@ -143,6 +181,10 @@ def near_name_pairs(
         ratio = (floor - _ROUNDING) / rules.SEQUENCE_WEIGHT
         if ratio <= 1.0:
             pairs = pairs.unionByName(_sequence_pairs(names, scope, ratio))
+    if mode == "edit":
+        ratio = (floor - _ROUNDING) / rules.SEQUENCE_WEIGHT
+        if ratio <= 1.0:
+            pairs = pairs.unionByName(_edit_pairs(names, scope, ratio))
     near = (
         pairs.where("left_key <> right_key")
         .distinct()

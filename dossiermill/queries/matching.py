@@ -54,6 +54,18 @@ def jn_candidates(spark, sf):
     return R.candidates(R.distinct_hints(blocks), groups, "jaccard").drop("official_ord")
 
 
+_PREP_EDIT = _PREP.replace(Q.similarity("h.nk", "g.nk"), Q.edit_similarity("h.nk", "g.nk"))
+
+
+@query(
+    "jn_candidates_edit",
+    f"{_PREP_EDIT} SELECT job_id, coalesce(sc, '') AS code_hint, nk AS name_key, code AS official_code, same_code, sim AS similarity, score, reasons FROM c",
+)
+def jn_candidates_edit(spark, sf):
+    blocks, groups = prepared(spark, sf)
+    return R.candidates(R.distinct_hints(blocks), groups, "edit").drop("official_ord")
+
+
 @query("jn_candidates_sequence")
 def jn_candidates_sequence(spark, sf):
     """With the sequence ratio; compared with brute force in the tests."""

@@ -57,6 +57,16 @@ def similarity(a: str, b: str) -> str:
     )
 
 
+def edit_similarity(a: str, b: str) -> str:
+    from .. import rules
+
+    edit = f"{rules.SEQUENCE_WEIGHT}::DOUBLE * (1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}), 1))"
+    return (
+        f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE WHEN {a} = {b} THEN 1.0::DOUBLE "
+        f"ELSE round(greatest({jaccard(a, b)}, {edit}), 4) END"
+    )
+
+
 def category(x: str) -> str:
     from .. import rules
 

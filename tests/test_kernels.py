@@ -117,3 +117,33 @@ def test_names_with_a_common_beginning_meet_few(spark):
     h = spark.createDataFrame([("j", f"setor {t} anexo") for _, t in rows], "job_id string, haystack string")
     hits, tested = containment_pairs(n, h, ["job_id"]).count(), probes(n, h, ["job_id"]).count()
     assert hits == 1500 and tested <= 10 * hits
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edit_similarity(a, b):
+    if a == b:
+        return 1.0
+    ta, tb = set(a.split()), set(b.split())
+    return max(len(ta & tb) / len(ta | tb), 0.9 * (1 - edits(a, b) / max(len(a), len(b))))
+
+
+def test_near_names_by_edits_equal_brute_force(spark):
+    rng = random.Random(12)
+    left, right = names(rng, 120), names(rng, 100)
+    right += [w + "s" for w in left[:40]] + left[40:60] + ["a" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 20)]
+    left += ["a" * n for n in range(1, 40, 2)] + ["ab" * n + "a" for n in range(1, 20)] + ["x", "y z"]
+    ldf = spark.createDataFrame([("j", k) for k in left], "job_id string, key string")
+    rdf = spark.createDataFrame([("j", k) for k in right], "job_id string, key string")
+    for floor in (0.8572, 0.75):
+        got = {(r.left_key, r.right_key): r.similarity for r in near_name_pairs(ldf, rdf, ["job_id"], floor, "edit").collect()}
+        want = {(a, b): s for a in left for b in set(right) if (s := edit_similarity(a, b)) >= floor - 0.00005}
+        assert {p for p in want if want[p] >= floor + 0.00005} <= set(got) <= set(want)
+        assert all(abs(got[p] - want[p]) <= 0.00006 for p in got)
