@@ -2,8 +2,10 @@
 
 The counts come from all labelled texts: words per language, and the n-grams of
 those words weighted by the words' counts. The model keeps the most frequent words
-and n-grams, ``WORDS`` and ``GRAMS`` of them (fewer with very many languages), which
-bounds what is broadcast; texts are scored word by word. A known word adds its log frequency in each language. An
+and n-grams of every language, ``WORDS`` and ``GRAMS`` of them in all (fewer with very
+many languages), which bounds what is broadcast. Each language has an equal part of
+them, and what one does not need goes to the others, so a small language keeps its words
+however large the others grow; texts are scored word by word. A known word adds its log frequency in each language. An
 unseen word falls back to those of its longest n-grams that are known, from
 ``ORDER`` letters down to one. Each vector is centred, so that only what sets the
 languages apart adds up, and the score is the softmax of the sums.
@@ -29,12 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import stage
-from .common import most_frequent
 
-WORDS = 200_000
+WORDS = 240_000
 GRAMS = 60_000
 #: and no more items than this by the number of languages
-CELLS = 2_000_000
+CELLS = 20_000_000
 ORDER = 5
 LONGEST = 32
 #: what ``keep_known`` asks of a text: the share of its words that are known from others, for new words by n-grams of
@@ -224,11 +225,46 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(lambda batches: _counted(batches, add), _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
+def quotas(sizes: list[int], most: int) -> list[int]:
+    """Equal parts of ``most``; what a language has no items for goes to the others."""
+    out, left = [0] * len(sizes), most
+    for done, k in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[k] = min(sizes[k], left // (len(sizes) - done))
+        left -= out[k]
+    return out
+
+
+def heads(items: DataFrame, langs: int, most: int) -> Column:
+    """A condition on ``items`` (item, by: counts by language): among the most frequent of some language, about ``most`` in all.
+
+    Counts are taken in classes of 1/16 of a binary order, a few hundred a language;
+    of the class in which a language's part ends, items are taken by their hash.
+    """
+    level = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    rows = items.select(F.posexplode("by").alias("at", "n")).where("n > 0").groupBy("at", level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    classes: list[dict[int, int]] = [{} for _ in range(langs)]
+    for r in rows:
+        classes[r["at"]][r["level"]] = r["n"]
+    chosen = F.lit(False)
+    for k, part in enumerate(quotas([sum(c.values()) for c in classes], most)):
+        here = F.get("by", F.lit(k))
+        mine = F.floor(F.log2(F.when(here > 0, here)) * 16)
+        edge = None
+        for at in sorted(classes[k], reverse=True):
+            if classes[k][at] > part:
+                share = F.pmod(F.xxhash64("item"), F.lit(1 << 30)) < int((1 << 30) * part / classes[k][at])
+                edge = (mine > at) | ((mine == at) & share)
+                break
+            part -= classes[k][at]
+        chosen = chosen | F.coalesce(here > 0 if edge is None else edge, F.lit(False))
+    return chosen
+
+
 def _top(counts: DataFrame, langs: list[str], most: int, name: str) -> tuple[list[str], np.ndarray]:
-    """The items of the largest totals, and their counts by language."""
+    """The items that the model keeps, and their counts by language."""
     each = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)) for k in langs]
-    items = stage(counts.groupBy("item").agg(F.sum("n").alias("total"), F.array(*each).alias("by")), name)
-    top = most_frequent(items, "total", "item", min(most, CELLS // len(langs))).select("item", "by").toArrow()
+    items = stage(counts.groupBy("item").agg(F.array(*each).alias("by")), name)
+    top = items.where(heads(items, len(langs), min(most, CELLS // len(langs)))).select("item", "by").toArrow()
     by = top.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
     return top.column(0).to_pylist(), by.astype(np.float64)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("dossiermill.llm")
 
-from dossiermill.llm import bpe, collocations, hard_negatives  # noqa: E402
+from dossiermill.llm import bpe, collocations, hard_negatives, language_id  # noqa: E402
 from dossiermill.llm.queries import llm_queries, vocabulary  # noqa: E402
 
 from test_operators import SF_DIR, documents, needs_tables, odd  # noqa: E402, F401
@@ -219,3 +219,75 @@ def test_top_phrases_and_ties(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = collocations.collocations(df, least=5, top=3).collect()
     assert sorted(map(tuple, got)) == brute_phrases([(r[2], r[1]) for r in rows], 5, 3) and len(got) == 3
+
+
+# -- 8: small languages beside large ones -------------------------------------
+
+
+def test_quotas():
+    assert language_id.quotas([5, 100, 100], 60) == [5, 27, 28] and language_id.quotas([1, 2], 10) == [1, 2] and language_id.quotas([], 5) == []
+
+
+@pytest.mark.parametrize("large", [3, 400])
+def test_a_small_language_keeps_its_words(spark, large):
+    """A large language with more words than the model holds takes none of the small one's."""
+    rng = random.Random(large)
+    small = ["".join(rng.choices("αβγδεζηθικλμνξοπρστυφχψω", k=6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(small, k=80)), "el") for i in range(10)]
+    for i in range(large):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)]
+        rows.append((1000 + i, " ".join(words * 5), "en"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language_id.learn(df, most_words=400, most_grams=400)
+    assert set(small) <= set(model.words) and len(model.words) <= 460
+    assert model.predict([" ".join(small)])[0][0] == "el"
+    assert all(model.familiar(r[1], True) == 1.0 for r in rows[:10])
+
+
+def brute_languages(rows):
+    """Log-frequency vectors of all words and n-grams, words first, then ever shorter n-grams; every count kept."""
+    import math
+
+    words, grams, size = {}, {}, Counter()
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words.setdefault(w, Counter())[lang] += 1
+            size[lang] += 1
+    for w, by in words.items():
+        for order in range(1, 6):
+            m = f"_{w}_" if order > 1 else w
+            for i in range(len(m) - order + 1):
+                grams.setdefault(m[i : i + order], Counter()).update(by)
+    langs = sorted(size)
+
+    def vector(table, item):
+        logs = [math.log((table[item][g] + 0.5) / (size[g] + 0.5 * len(table))) for g in langs]
+        return [x - sum(logs) / len(logs) for x in logs]
+
+    def predict(text):
+        total = [0.0] * len(langs)
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            found = [vector(words, w)] if w in words else []
+            for order in range(5, 0, -1):
+                if found:
+                    break
+                m = f"_{w}_" if order > 1 else w
+                found = [vector(grams, m[i : i + order]) for i in range(len(m) - order + 1) if m[i : i + order] in grams]
+            for k in range(len(langs)):
+                total[k] += sum(v[k] for v in found) / max(1, len(found))
+        odds = [math.exp(x - max(total)) for x in total]
+        return langs[odds.index(max(odds))], max(odds) / sum(odds)
+
+    return predict
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(4)
+    pools = {"en": ["the", "house", "of", "wind", "run"], "de": ["der", "haus", "von", "wind", "lauf"], "fr": ["le", "maison", "de", "vent", "cours"]}
+    rows = [(i, " ".join(rng.choices(pools[g], k=30)), g) for i, g in enumerate(rng.choices(list(pools), [5, 2, 1], k=60))]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    predict = brute_languages([(r[2], r[1]) for r in rows])
+    texts = ["the wind", "haus winde laufen", "maisons", "zzz qq", "wind", "venta de la casa", "x", "der house vent"]
+    for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        want = predict(text)
+        assert abs(score - want[1]) < 1e-4 and (lang == want[0] or want[1] < 0.5001), text
