@@ -5,9 +5,13 @@ ratio of target to size, scaled by its propensity. The whole part of them is tak
 for certain. The rest is an inclusion probability p, and documents are ranked by
 random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u drawn from
 the document's id (Rosen's Pareto sampling). The head of this order is taken once
-more, up to the size that the certain copies leave open; sizes are words, so the
-mix hits its target to half a document, and one more document per source, chosen
-to fit, closes what is left.
+more, up to the size that the certain copies leave open; behind all documents stand
+their further copies, up to the most there may be, in the same order. Documents that
+are longer than what is open have no draw. What stands behind the first document that
+does not fit is drawn again towards a gap of more than ``TOLERANCE`` of the target, which
+short documents fill, ``ROUNDS`` times in all; smaller gaps are left, so that inclusion
+keeps its odds (with ``fill`` all are drawn until nothing fits). One more document a
+source, the nearest to the gap, closes it.
 
 Defined cases: a null text has no words; documents without words are never taken;
 null sources are one source, the last; repeated rows are documents of their own
@@ -29,6 +33,8 @@ from .common import count_words, hash_unit, running
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
+ROUNDS = 3
+TOLERANCE = 0.002
 
 
 def length_propensity(size: Column) -> Column:
@@ -64,46 +70,18 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_cop
     )
 
 
-def _filled(taken: DataFrame) -> DataFrame:
-    """``taken`` (with ``_extra``) after the documents behind one that did not fit had their draw as well.
-
-    A round takes, of what is left and fits the gap at all, the head of the order
-    up to the gap; rounds end when nothing left fits. Then the one document is
-    added that comes nearer to the target from above, if there is one.
-    """
-    free = (F.col("_extra") == 0) & (F.col("_size") > 0)
-
-    def gaps(now: DataFrame) -> DataFrame:
-        return stage(now.groupBy("_key").agg((F.first("_rest") - F.sum(F.col("_extra") * F.col("_size"))).alias("_gap")), "mix-gaps")
-
-    while True:
-        gap = gaps(taken)
-        fitting = taken.join(gap, "_key").where(free & (F.col("_size") <= F.col("_gap")))
-        open_ = stage(fitting.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_low"), F.max("_place").alias("_high")), "mix-open")
-        if open_.isEmpty():
-            break
-        spread = F.coalesce((F.col("_place") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0))
-        ahead = running(fitting.join(open_, "_key").withColumn("_at", spread).drop("_before"), "_key", "_rows", "_at", ["doc_id", "size", "_id"], F.col("_size"))
-        more = stage(ahead.where(F.col("_before") + F.col("_size") <= F.col("_gap")).select("_id", F.lit(1).cast("bigint").alias("_more")), "mix-more")
-        taken = stage(taken.join(more, "_id", "left").withColumn("_extra", F.coalesce("_more", "_extra")).drop("_more"), "mix-taken")
-    over = taken.join(gap, "_key").where(free & (F.col("_size") < 2 * F.col("_gap")))
-    last = stage(over.groupBy("_key").agg(F.min_by("_id", F.struct("_size", "_place", "_id")).alias("_last")), "mix-over")
-    return taken.join(last, "_key", "left").withColumn("_extra", F.when(F.col("_id") == F.col("_last"), 1).otherwise(F.col("_extra")))
-
-
 def mix(
-    sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, propensity=length_propensity, fill: bool = False
+    sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, propensity=length_propensity, fill: bool = False, rounds: int = ROUNDS
 ) -> DataFrame:
     """Copies per row of ``sized`` (doc_id, source, size): adds source_size, target, copies.
 
-    The rows of a hot source are dealt out in stretches of their order. The head
-    ends at the first document that does not fit, as the SQL of op4 has it; with
-    ``fill`` the documents behind it are drawn too, until none fits.
+    The rows of a hot source are dealt out in stretches of their order. Tables of one
+    row per source are written, so that their joins leave those rows where they are.
     """
     narrow = stage(
         sized.select(
             F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("_key"),
-            "doc_id", "source", "size", propensity(F.col("size")).cast("bigint").alias("_p"),
+            "doc_id", "source", "size", propensity(F.col("size")).cast("bigint").alias("_p"), F.monotonically_increasing_id().alias("_id"),
         ),
         "mix-sizes",
     )
@@ -130,38 +108,39 @@ def mix(
             "_place",
             F.when(F.col("_incl") > 0, F.col("_odds") / (F.col("_odds") + F.col("_incl") / (1 - F.col("_incl")))).otherwise(F.lit(1.0)),
         )
-        .withColumn("_size", F.when(F.col("_sure") < max_copies, F.col("size")).otherwise(0))
     )
-    ordered = stage(
-        running(drawn, "_key", "_rows", "_place", ["doc_id", "size"], F.col("_size")).select(
-            "_key", "doc_id", "source", "size", "source_size", "target", "_sure", "_size", "_before", "_place"
-        ),
-        "mix-order",
-    )
-    # tables of one row per source are written, so that their joins leave the rows of a hot source where they are
-    certain = stage(
-        ordered.groupBy("_key").agg(F.greatest(F.lit(0.0), F.first("target") - F.sum(F.col("_sure") * F.col("size"))).alias("_rest")),
-        "mix-certain",
-    )
-    open_rows = ordered.join(certain, "_key")
-    fits = (F.col("_size") > 0) & (F.col("_before") + F.col("_size") <= F.col("_rest"))
-    # what the whole head leaves open, and the later document that comes nearest to it
-    gaps = stage(
-        open_rows.groupBy("_key").agg((F.first("_rest") - F.coalesce(F.sum(F.when(fits, F.col("_size"))), F.lit(0))).alias("_gap")),
-        "mix-gaps",
-    )
-    beyond = open_rows.where(~fits & (F.col("_size") > 0)).join(gaps, "_key")
-    off = F.abs(F.col("_size") - F.col("_gap"))
-    closing = beyond.where(off < F.col("_gap")).groupBy("_key").agg(F.min(F.struct(off.alias("off"), F.col("_before").alias("at"))).alias("_close"))
-    last = stage(certain.join(closing, "_key", "left").select("_key", "_rest", F.col("_close.at").alias("_at")), "mix-last")
-    extra = (fits | ((F.col("_size") > 0) & (F.col("_before") == F.col("_at")))).cast("bigint")
-    if fill:
-        numbered = ordered.join(last, "_key").withColumn("_extra", F.coalesce(extra, F.lit(0)).cast("bigint")).withColumn("_id", F.monotonically_increasing_id())
-        return _filled(stage(numbered.drop("_at"), "mix-taken")).select(
-            "doc_id", "source", "size", "source_size", "target", (F.col("_sure") + F.col("_extra")).alias("copies")
-        )
-    return ordered.join(last, "_key").select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_sure") + F.coalesce(extra, F.lit(0))).alias("copies")
+    rest = F.greatest(F.lit(0.0), F.first("target") - F.sum(F.col("_sure") * F.col("size")))
+    gap = stage(drawn.groupBy("_key").agg(rest.alias("_gap"), (F.lit(TOLERANCE) * F.first("target")).alias("_tolerance")), "mix-gaps")
+    # a row for every further copy there may be; what is longer than the open rest stays out
+    layers = F.explode(F.sequence(F.lit(1).cast("bigint"), max_copies - F.col("_sure")))
+    could = drawn.where((F.col("_sure") < max_copies) & (F.col("size") > 0)).join(gap, "_key").where(F.col("size") <= 2 * F.col("_gap"))
+    left = stage(could.select("_key", "_id", "doc_id", "size", "_place", layers.alias("_layer")), "mix-order")
+    taken: list[DataFrame] = []
+    order = ["_layer", "_place", "doc_id", "size", "_id"]
+    while fill or len(taken) < rounds:
+        wide = F.lit(True) if fill or not taken else F.col("_gap") > F.col("_tolerance")
+        fitting = left.join(gap, "_key").where((F.col("size") <= F.col("_gap")) & wide)
+        rows = stage(fitting.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")), "mix-rows")
+        if rows.isEmpty():
+            break
+        at = (F.col("_layer") - 1 + F.col("_place")) / max_copies
+        ahead = running(fitting.join(rows, "_key").withColumn("_at", at), "_key", "_rows", "_at", order, F.col("size"))
+        more = stage(ahead.where(F.col("_before") + F.col("size") <= F.col("_gap")).select("_key", "_id", "_layer", "size"), "mix-more")
+        taken.append(more)
+        sums = more.groupBy("_key").agg(F.sum("size").alias("_sum"))
+        gap = stage(gap.join(sums, "_key", "left").select("_key", (F.col("_gap") - F.coalesce("_sum", F.lit(0))).alias("_gap"), "_tolerance"), "mix-gaps")
+        left = left.join(more.select("_id", "_layer"), ["_id", "_layer"], "left_anti")
+        if fill:
+            left = stage(left, "mix-left")
+    off = F.abs(F.col("size") - F.col("_gap"))
+    near = left.join(gap, "_key").where(off < F.col("_gap"))
+    last = near.groupBy("_key").agg(F.min(F.struct(off.alias("_off"), *order)).alias("_last")).select("_last._id")
+    extra = last
+    for more in taken:
+        extra = extra.unionAll(more.select("_id"))
+    extra = stage(extra.groupBy("_id").agg(F.count(F.lit(1)).alias("_extra")), "mix-taken")
+    return drawn.join(extra, "_id", "left").select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("_sure") + F.coalesce("_extra", F.lit(0))).alias("copies")
     )
 
 

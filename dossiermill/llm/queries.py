@@ -58,6 +58,17 @@ def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+#: each round draws, in order, towards the gap that the one before it has left
+_ROUNDS_SQL = " ".join(
+    f"""open{k} AS (SELECT *, NOT taken AND size <= gap{f' AND gap > {mixing.TOLERANCE} * target' if k else ''} AS may FROM round{k}),
+    head{k} AS (SELECT *, may AND coalesce(sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY layer, place, doc_id, size, id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) <= gap AS fits FROM open{k}),
+    round{k + 1} AS (SELECT id, source, doc_id, size, place, target, layer, taken OR fits AS taken,
+        gap - coalesce(sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source), 0) AS gap FROM head{k}),"""
+    for k in range(mixing.ROUNDS)
+)
+
+
 @query(
     "op4_mix_sources",
     f"""
@@ -91,20 +102,17 @@ def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM propensity d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
     drawn AS (
         SELECT *, least(3, floor(e))::BIGINT AS sure, greatest(0.01, least(0.99, ratio - floor(ratio))) AS mean FROM expected),
-    incl AS (SELECT *, CASE WHEN sure < 3 THEN e - sure ELSE 0.0 END AS pi, CASE WHEN sure < 3 THEN size ELSE 0 END AS free FROM drawn),
+    incl AS (SELECT *, row_number() OVER () AS id, CASE WHEN sure < 3 THEN e - sure ELSE 0.0 END AS pi FROM drawn),
     placed AS (
-        SELECT *, CASE WHEN pi > 0 THEN ((u / (1 - u)) * (mean / (1 - mean))) / ((u / (1 - u)) * (mean / (1 - mean)) + pi / (1 - pi)) ELSE 1.0 END AS place
-        FROM incl),
-    ordered AS (
-        SELECT *, CAST(coalesce(sum(free) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
-            greatest(0.0, target - sum(sure * size) OVER (PARTITION BY source)) AS rest FROM placed),
-    headed AS (SELECT *, free > 0 AND before + free <= rest AS fits FROM ordered),
-    gaps AS (SELECT *, rest - sum(CASE WHEN fits THEN free ELSE 0 END) OVER (PARTITION BY source) AS gap FROM headed),
+        SELECT *, CASE WHEN pi > 0 THEN ((u / (1 - u)) * (mean / (1 - mean))) / ((u / (1 - u)) * (mean / (1 - mean)) + pi / (1 - pi)) ELSE 1.0 END AS place,
+            greatest(0.0, target - sum(sure * size) OVER (PARTITION BY source)) AS rest FROM incl),
+    round0 AS (SELECT id, source, doc_id, size, place, target, rest AS gap, false AS taken, unnest(range(1, 4 - sure)) AS layer FROM placed WHERE size > 0),
+    {_ROUNDS_SQL}
     closing AS (
-        SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT fits AND free > 0 AND abs(free - gap) < gap THEN abs(free - gap) ELSE 1e300 END, before) AS nearest
-        FROM gaps)
-    SELECT doc_id, size, source_size, target, CAST(size * (sure + CASE WHEN fits
-        OR (nearest = 1 AND NOT fits AND free > 0 AND abs(free - gap) < gap) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM closing""",
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT taken AND abs(size - gap) < gap THEN abs(size - gap) ELSE 1e300 END, layer, place, doc_id, id) AS nearest
+        FROM round{mixing.ROUNDS}),
+    extra AS (SELECT id, count(*) AS n FROM closing WHERE taken OR (nearest = 1 AND abs(size - gap) < gap) GROUP BY id)
+    SELECT doc_id, size, source_size, target, CAST(size * (sure + coalesce(n, 0)) AS BIGINT) AS taken FROM placed LEFT JOIN extra USING (id)""",
 )
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sized_documents(table(spark, sf_dir, "documents")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("dossiermill.llm")
 
-from dossiermill.llm import bpe, collocations, hard_negatives, language_id  # noqa: E402
+from dossiermill.llm import bpe, collocations, hard_negatives, language_id, mixing  # noqa: E402
 from dossiermill.llm.queries import llm_queries, vocabulary  # noqa: E402
 
 from test_operators import SF_DIR, documents, needs_tables, odd  # noqa: E402, F401
@@ -291,3 +291,22 @@ def test_languages_equal_brute_force(spark):
     for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
         want = predict(text)
         assert abs(score - want[1]) < 1e-4 and (lang == want[0] or want[1] < 0.5001), text
+
+
+# -- 4: targets beside giants --------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", [0, 1000, 50_000, 777_777])
+@pytest.mark.parametrize("giant", [60_000, 150_000])
+def test_mix_comes_near_beside_a_giant(spark, ids, giant):
+    """Within half a short document, where certain copies allow it: giants do not end the draw, and a document gives up to three copies."""
+    small = giant + 100_000
+    rows = [(ids + i, "a", 1000) for i in range(100)] + [(ids + 100, "a", giant)] + [(ids + 1000 + i, "b", 100) for i in range(small * 37 // 1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    out = mixing.mix(df, weights=(1, 1)).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        assert 0 <= r.copies <= 3
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
+    assert abs(taken["a"] - target["a"]) <= 500 and abs(taken["b"] - target["b"]) <= 50
