@@ -62,6 +62,41 @@ def digest_of(texts: Column) -> Column:
     return F.sha2(json_array(F.array_sort(texts)), 256)
 
 
+_LANES, _MODULUS = 4, 1 << 64
+
+
+def _lanes(value: Column, times: Column) -> list[Column]:
+    """The four 64-bit words of a value's SHA-256, each multiplied by how often it counts; a NULL value differs from all texts."""
+    tagged = F.when(value.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), value.cast("string")))
+    digest = F.sha2(tagged, 256)
+    word = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(_LANES)]
+    return [w * times.cast("decimal(17,0)") for w in word]
+
+
+def multiset_digest(df: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    """``keys, n, lane0 … lane3``: a digest of the multiset of values of each key, in whatever order they come.
+
+    Each value's SHA-256 is taken as four numbers, which are added up modulo 2^64. The
+    sum is combined before the shuffle, nothing is sorted or gathered, and a key with
+    10^9 values needs four numbers. Equal multisets have equal digests; ``merge_digests``
+    adds digests of parts, and takes parts away with ``times`` of -1.
+    """
+    n = F.lit(1) if times is None else F.col(times)
+    sums = [F.sum(lane).alias(f"lane{k}") for k, lane in enumerate(_lanes(F.col(value), n))]
+    return _reduced(df.groupBy(*keys).agg(F.sum(n).cast("bigint").alias("n"), *sums), keys)
+
+
+def merge_digests(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The digest of all parts of a key together."""
+    sums = [F.sum(f"lane{k}").alias(f"lane{k}") for k in range(_LANES)]
+    return _reduced(parts.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n"), *sums), keys)
+
+
+def _reduced(sums: DataFrame, keys: list[str]) -> DataFrame:
+    modulus = F.lit(str(_MODULUS)).cast("decimal(20,0)")
+    return sums.select(*keys, "n", *[F.pmod(F.col(f"lane{k}"), modulus).cast("decimal(20,0)").alias(f"lane{k}") for k in range(_LANES)])
+
+
 def inventory_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Multiset of values per key, as counts."""
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))

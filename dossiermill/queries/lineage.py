@@ -70,6 +70,26 @@ def hx_inventory_digest(spark, sf):
     )
 
 
+_LANES_SQL = ", ".join(
+    f"CAST(CAST(sum(CAST('0x' || substr(sha256('s' || m), {16 * k + 1}, 16) AS UBIGINT)::HUGEINT) AS HUGEINT) % 18446744073709551616 AS DECIMAL(20, 0)) AS lane{k}"
+    for k in range(4)
+)
+
+
+@query(
+    "hx_multiset_digest",
+    f"""WITH d AS (SELECT l_suppkey AS artifact_id, CAST(l_partkey AS VARCHAR) || '-' || CAST(l_shipdate AS VARCHAR)[:10] AS m FROM lineitem)
+    SELECT artifact_id, count(*) AS n, {_LANES_SQL} FROM d GROUP BY artifact_id""",
+)
+def hx_multiset_digest(spark, sf):
+    """By month of shipment first: digests of the parts are added up."""
+    marks = load(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("artifact_id"), F.month("l_shipdate").alias("month"),
+        F.concat_ws("-", F.col("l_partkey").cast("string"), F.substring(F.col("l_shipdate").cast("string"), 1, 10)).alias("m"),
+    )
+    return LN.merge_digests(LN.multiset_digest(marks, ["artifact_id", "month"], "m"), ["artifact_id"])
+
+
 @query("hx_json_text", "SELECT event_id, to_json(event_type || chr(10) || '\"' || props) AS body FROM events")
 def hx_json_text(spark, sf):
     raw = F.concat("event_type", F.lit('\n"'), "props")

@@ -114,3 +114,24 @@ def test_dense_numbers(spark):
         assert [at for _, at in sorted(pairs)] == sorted(a for q, a in rows if q == k)
     assert sorted(r.n for r in numbered(df, "n").collect()) == list(range(400))
     assert numbered(df.limit(0), "n").collect() == [] and dense(df.limit(0), ["k"], ["at"], "n").collect() == []
+
+
+def test_multiset_digests(spark):
+    import hashlib
+
+    from dossiermill.operators.lineage import merge_digests, multiset_digest
+
+    rows = [(k, v) for k in ("a", "b") for v in ("x", "y", "y", "", None, "s")] + [("b", "y")]
+    df = spark.createDataFrame(rows, "k string, v string").repartition(5)
+    got = {r.k: (r.n, [int(r[f"lane{i}"]) for i in range(4)]) for r in multiset_digest(df, ["k"], "v").collect()}
+
+    def brute(values):
+        digests = [hashlib.sha256(b"n" if v is None else b"s" + v.encode()).hexdigest() for v in values]
+        return len(digests), [sum(int(d[16 * i : 16 * i + 16], 16) for d in digests) % 2**64 for i in range(4)]
+
+    assert got == {k: brute([v for q, v in rows if q == k]) for k in ("a", "b")} and got["a"] != got["b"]
+    # one more y taken away again: b is a
+    parts = multiset_digest(df, ["k"], "v").where("k = 'b'").unionByName(
+        multiset_digest(spark.createDataFrame([("b", "y", -1)], "k string, v string, t int"), ["k"], "v", "t")
+    )
+    assert [(r.n, [int(r[f"lane{i}"]) for i in range(4)]) for r in merge_digests(parts, ["k"]).collect()] == [got["a"]]
