@@ -463,6 +463,15 @@ def plan_invariants(plan: DataFrame) -> DataFrame:
     return plan.select(JOB, "source_id", rule.alias("code")).where("code is not null")
 
 
+def candidate_invariants(candidates: DataFrame) -> DataFrame:
+    """Candidates without a target, or with a score that is none or outside 0 to 1: ``job_id, source_id, official_code, code``."""
+    score = F.col("score").cast("double")
+    rule = F.when(F.col("official_code").isNull(), "candidate_without_target").when(
+        score.isNull() | F.isnan(score) | ~score.between(0.0, 1.0), "score_out_of_range"
+    )
+    return candidates.select(JOB, "source_id", "official_code", rule.alias("code")).where("code is not null")
+
+
 def exception_invariants(exceptions: DataFrame) -> DataFrame:
     """Blocks that one exception both includes and omits."""
     return (

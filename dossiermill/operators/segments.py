@@ -214,7 +214,8 @@ def fill_slots(items: DataFrame, owners: DataFrame, keys: list[str], capacity: i
     """Slot k of each owner holds its k-th item (by ``slot_no``); other slots are blank.
 
     ``capacity`` is a fixed number of slots, so this multiplies the owners by a
-    constant. Items beyond it are not dropped silently: see ``capacity_check``.
+    constant. Items beyond it are rows of ``slot_overflow``; ``capacity_check`` names
+    their owners.
     """
     slots = owners.select(*keys).distinct().withColumn("slot_no", F.explode(F.sequence(F.lit(1), F.lit(capacity))))
     return slots.withColumn("slot_no", F.col("slot_no").cast("bigint")).join(
@@ -222,6 +223,12 @@ def fill_slots(items: DataFrame, owners: DataFrame, keys: list[str], capacity: i
     )
 
 
+def slot_overflow(items: DataFrame, keys: list[str], capacity: int, columns: list[str]) -> DataFrame:
+    """The items that ``fill_slots`` has no slot for, with how far behind the last slot they stand."""
+    beyond = F.col("slot_no") > capacity
+    return items.where(beyond).select(*keys, "slot_no", (F.col("slot_no") - capacity).alias("over"), *columns)
+
+
 def dedupe_cells(cells: DataFrame, keys: list[str], cell_id: str, order: list[str], columns: list[str]) -> DataFrame:
     """Each physical cell once, at its first position."""
     return first_rows(cells, [*keys, cell_id], order, *order, *columns)

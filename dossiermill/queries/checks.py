@@ -153,6 +153,21 @@ def dq_plan_invariants(spark, sf):
     return D.plan_invariants(derive(spark, sf, "dq_plan"))
 
 
+@query(
+    "dq_candidate_invariants",
+    """WITH c AS (SELECT p_brand AS job_id, CAST(p_partkey AS VARCHAR) AS source_id, CASE WHEN p_size % 10 > 0 THEN 'GHE ' || p_size END AS official_code, (p_size - 5) / 40.0 AS score FROM part)
+    SELECT job_id, source_id, official_code, CASE WHEN official_code IS NULL THEN 'candidate_without_target' ELSE 'score_out_of_range' END AS code FROM c
+    WHERE official_code IS NULL OR NOT (score BETWEEN 0 AND 1)""",
+)
+def dq_candidate_invariants(spark, sf):
+    found = load(spark, sf, "part").select(
+        F.col("p_brand").alias("job_id"), F.col("p_partkey").cast("string").alias("source_id"),
+        F.when(F.col("p_size") % 10 > 0, F.concat(F.lit("GHE "), F.col("p_size").cast("string"))).alias("official_code"),
+        ((F.col("p_size") - 5) / 40.0).alias("score"),
+    )
+    return D.candidate_invariants(found)
+
+
 @query(
     "dq_unit_invariants",
     """SELECT conv_id AS job_id, turn AS ord, CASE CAST(turn AS BIGINT) % 4 WHEN 0 THEN 'table_without_rows' WHEN 1 THEN 'image_without_metadata' ELSE 'text_missing' END AS code FROM conversations WHERE (conv_id % 3 = 0 AND turn % 4 < 2) OR (turn % 4 = 2 AND conv_id % 5 = 0)""",

@@ -148,12 +148,24 @@ _SLOTS = 3
     LEFT JOIN (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) AS x ON x.s_nationkey = n_nationkey AND x.rn = slot_no""",
 )
 def wn_fill_slots(spark, sf):
+    owners = load(spark, sf, "nation").select(F.col("n_nationkey").alias("owner"))
+    return G.fill_slots(_numbered_items(spark, sf), owners, ["owner"], _SLOTS, ["item"])
+
+
+def _numbered_items(spark, sf):
     from ..plans.ordered import ordinal
 
     items = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("owner"), "s_suppkey", F.col("s_name").alias("item"))
-    numbered = ordinal(items, ["owner"], ["s_suppkey"], "slot_no")
-    owners = load(spark, sf, "nation").select(F.col("n_nationkey").alias("owner"))
-    return G.fill_slots(numbered, owners, ["owner"], _SLOTS, ["item"])
+    return ordinal(items, ["owner"], ["s_suppkey"], "slot_no")
+
+
+@query(
+    "wn_slot_overflow",
+    f"""SELECT s_nationkey AS owner, rn AS slot_no, rn - {_SLOTS} AS over, s_name AS item
+    FROM (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) AS x WHERE rn > {_SLOTS}""",
+)
+def wn_slot_overflow(spark, sf):
+    return G.slot_overflow(_numbered_items(spark, sf), ["owner"], _SLOTS, ["item"])
 
 
 @query(
