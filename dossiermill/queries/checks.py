@@ -137,7 +137,7 @@ def ag_run_summary(spark, sf):
     "ag_diagnostic_summary",
     f"""{_DQ}, g AS (SELECT job_id, sum(population) AS p FROM dq_groups GROUP BY 1)
     SELECT job_id, line, 1::BIGINT AS part, value FROM (SELECT j.job_id, unnest([1, 2, 3]) AS line, unnest(['Formulário ERGO – levantamento de ' || coalesce(ergo_base_date, ''), 'Formulário HSE – relatório emitido em ' || coalesce(psychosocial_base_date, ''),
-      CAST(p AS BIGINT) || ' colaboradores']) AS value FROM dq_jobs j JOIN g ON g.job_id = j.job_id) AS x
+      CAST(coalesce(p, 0) AS BIGINT) || ' colaboradores']) AS value FROM dq_jobs j LEFT JOIN g ON g.job_id = j.job_id) AS x
     UNION ALL SELECT job_id, 4, row_number() OVER (PARTITION BY job_id ORDER BY ord), code FROM dq_groups""",
 )
 def ag_diagnostic_summary(spark, sf):
