@@ -19,7 +19,7 @@ from .folding import digit_tables, folding_tables
 WHITESPACE = (
     r"[[^\x21-\x7e]&&[\t\n\x0B\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]+"
 )
-# The reference pattern, with group 1 the number, group 2 the name.
+# How a text refers to a group; group 1 is the number, group 2 the name.
 _CODE = r"\b%s\s*(?:N[º°o.]?\s*)?[-_:./]?\s*0*(\d{1,4})\b"
 _CODE_AND_NAME = _CODE + r"(?:\s*[-–—:|]\s*([^\r\n]+))?"
 _LOOSE_CODE = r"\b%s\s*[-_:.]?\s*0*(\d+)\b"
