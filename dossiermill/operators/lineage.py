@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_sha256, json_array, json_text
 from ..functions.text import clean_text, marker_pattern
+from ..plans.literals import replace_all
 from ..plans.ordered import ordinal
 from .segments import residual_markers
 
@@ -148,6 +149,26 @@ def redact_literals(df: DataFrame, text: str, literals: dict[str, str], prefix:
     ).withColumn(text, redacted)
 
 
+def redact_dictionary(df: DataFrame, text: str, literals: DataFrame, prefix: str, rule: str = "longest") -> DataFrame:
+    """As ``redact_literals`` for a table ``literal, replacement, ord`` of any size, in one pass.
+
+    ``rule`` says which of overlapping occurrences count (``plans.literals``); adds
+    ``removed_sha256`` and ``n_replaced``.
+    """
+    kept = df.withColumn("_original", F.col(text))
+    redacted = replace_all(kept, text, literals, rule, marker_pattern(prefix))
+    collapsed = clean_text("_original")
+    return redacted.withColumn(
+        "removed_sha256", F.when((F.col("n_replaced") > 0) & (collapsed != ""), content_sha256(collapsed))
+    ).drop("_original")
+
+
+def literals_left(redacted: DataFrame, keys: list[str], text: str, literals: DataFrame, prefix: str) -> DataFrame:
+    """``keys, n_left``: documents in which literals of the dictionary can still be found."""
+    found = replace_all(redacted.select(*keys, text), text, literals, "longest", marker_pattern(prefix))
+    return found.where("n_replaced > 0").groupBy(*keys).agg(F.sum("n_replaced").alias("n_left"))
+
+
 def redact_slots(df: DataFrame, keys: list[str], name: str, order: list[str], text: str, prefix: str) -> DataFrame:
     """Every text becomes the marker of its numbered slot; originals survive as hashes only.
 
@@ -185,5 +206,5 @@ def verify_redaction(redacted: DataFrame, keys: list[str], text: str, removed: D
 
 __all__ = [
     "content_sha256", "json_text", "job_fingerprint", "fingerprint_gate", "markers_of", "digest_of",
-    "inventory_equal", "integrity_check", "redact_literals", "redact_slots", "residual_hashes", "verify_redaction",
+    "inventory_equal", "integrity_check", "redact_literals", "redact_dictionary", "literals_left", "redact_slots", "residual_hashes", "verify_redaction",
 ]

@@ -137,6 +137,35 @@ def rd_redact_literals(spark, sf):
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "removed_sha256")
 
 
+# a dictionary of the words of benchmark passages and of their first four letters, each behind a blank
+_NAMES = """b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS word FROM benchmark), names AS (SELECT word FROM b UNION SELECT left(word, 4) FROM b),
+    pieces AS (SELECT doc_id, unnest(string_split(text, ' ')) AS piece, unnest(range(len(string_split(text, ' ')))) AS place FROM documents),
+    best AS (SELECT piece, max_by(word, length(word)) AS word FROM (SELECT DISTINCT piece, left(piece, n) AS start FROM pieces, (SELECT DISTINCT length(word) AS n FROM names)) AS s JOIN names ON word = start GROUP BY piece),
+    redacted AS (SELECT doc_id, string_agg(CASE WHEN place > 0 AND word IS NOT NULL THEN '{{FIELD_' || upper(left(md5(word), 6)) || '}}' || substr(pieces.piece, length(word) + 1) ELSE pieces.piece END, ' ' ORDER BY place) AS out,
+      count(word) FILTER (WHERE place > 0) AS n_replaced FROM pieces LEFT JOIN best ON best.piece = pieces.piece GROUP BY doc_id)"""
+
+
+def _names(spark, sf):
+    words = load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"))).alias("word"))
+    names = words.union(words.select(F.substring("word", 1, 4))).distinct()
+    marker = F.concat(F.lit(" {{FIELD_"), F.upper(F.substring(F.md5(F.col("word").cast("binary")), 1, 6)), F.lit("}}"))
+    return names.select(F.concat(F.lit(" "), "word").alias("literal"), marker.alias("replacement"), F.lit(0).alias("ord"))
+
+
+@query(
+    "rd_redact_dictionary",
+    f"""WITH {_NAMES} SELECT doc_id, md5(out) AS digest, n_replaced, CASE WHEN n_replaced > 0 THEN sha256({Q.clean('text')}) END AS removed_sha256 FROM documents JOIN redacted USING (doc_id)""",
+)
+def rd_redact_dictionary(spark, sf):
+    out = LN.redact_dictionary(load(spark, sf, "documents").select("doc_id", "text"), "text", _names(spark, sf), "FIELD")
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "n_replaced", "removed_sha256")
+
+
+@query("rd_literals_left", f"WITH {_NAMES} SELECT doc_id, n_replaced AS n_left FROM redacted WHERE n_replaced > 0")
+def rd_literals_left(spark, sf):
+    return LN.literals_left(load(spark, sf, "documents"), ["doc_id"], "text", _names(spark, sf), "FIELD")
+
+
 @query(
     "rd_redact_slots",
     f"""SELECT conv_id, turn, '{{{{FIELD_' || upper(role) || '_' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) || '}}}}' AS text, CASE WHEN {Q.clean('text')} <> '' THEN sha256({Q.clean('text')}) END AS removed_sha256 FROM conversations""",
