@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analyses as AN
 from ..operators import compiled as C
+from ..operators import evidence as EV
 from ..operators import media as M
 from ..operators import quality as Q
 from ..operators import reconcile as RC
@@ -31,7 +32,7 @@ class Inputs:
     ``jobs``: job_id, legal_name, has_card, competence, ergo_base_date,
     psychosocial_base_date, analysis_mode.
     ``sheet_rows``: job_id, sheet, sheet_ord, row_no, cells.
-    ``block_units``: job_id, ord, text, rows[, structural].
+    ``block_units``: job_id, ord, text, rows[, structural][, image_ref].
     ``media_units``: job_id, ord, kind, text, width, height.
     ``report_units``: job_id, source_role, source_ord, ord, text, rows[, style].
     ``exceptions``: job_id, source_id, action, ordinal, acknowledged.
@@ -147,12 +148,15 @@ def validate(inputs: Inputs, mode: str = "sequence") -> dict[str, DataFrame]:
     tech = technical(inputs.report_units)
     warnings = (
         media_warnings.withColumn("origin", F.lit("psychosocial_extraction"))
+        .unionByName(EV.media_warnings(inputs.jobs, media).withColumn("origin", F.lit("psychosocial_extraction")))
+        .unionByName(EV.block_warnings(inputs.jobs, blocks, inputs.block_units).withColumn("origin", F.lit("ergo_extraction")))
+        .unionByName(EV.technical_warnings(inputs.jobs, tech["sections"]).withColumn("origin", F.lit("technical_extraction")))
         .unionByName(Q.reconciliation_warnings(plan).withColumn("origin", F.lit("reconciliation")))
         .withColumn("_at", F.xxhash64("source_id", "code"))
     )
     numbered = ordinal(
         warnings, [JOB, "origin"], ["_at", "source_id", "code"], "_no", F.floor(F.col("_at") / (1 << 48))
-    ).withColumn("ord", F.col("_no") - 1)
+    ).withColumn("ord", F.col("_no") - 1).withColumn("message", F.concat_ws(" ", "code", "source_id"))
     tables = {
         "jobs": inputs.jobs,
         "groups": groups,
@@ -168,9 +172,10 @@ def validate(inputs: Inputs, mode: str = "sequence") -> dict[str, DataFrame]:
         "exceptions": inputs.exceptions,
         "warnings": numbered,
     }
-    issues = stage(Q.all_issues(tables, strict=False), "issues")
+    issues = stage(EV.with_fields(Q.all_issues(tables, strict=False)), "issues")
     return {
         **tables,
+        "evidence": EV.evidence(tables, issues),
         "official": official,
         "segmented": segmented,
         "items": tech["items"],

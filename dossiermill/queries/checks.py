@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import analyses as AN
 from ..operators import compiled as C
+from ..operators import evidence as E
 from ..operators import quality as D
 from ..operators import reconcile as R
 from ..plans.staging import new_path, stage
@@ -144,6 +145,58 @@ def ag_diagnostic_summary(spark, sf):
     return C.diagnostic_summary(derive(spark, sf, "dq_jobs"), derive(spark, sf, "dq_groups"))
 
 
+_FIELDS_SQL = " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{field}'" for field, codes in rules.ISSUE_FIELDS.items())
+_ISSUE_ID = "md5(job_id || chr(31) || code || chr(31) || coalesce(source_id, ''))"
+
+
+@query("dq_issue_fields", f"{_issues_sql(True)} SELECT {_ISSUE_ID} AS issue_id, job_id, code, source_id, CASE {_FIELDS_SQL} END AS field FROM issues")
+def dq_issue_fields(spark, sf):
+    return E.with_fields(D.run_rules(tables(spark, sf), strict=True)).select("issue_id", "job_id", "code", "source_id", "field")
+
+
+@query(
+    "dq_evidence",
+    f"""{_issues_sql(False)}, bad AS (SELECT job_id, analysis_mode FROM fj WHERE EXISTS (FROM issues i WHERE i.job_id = fj.job_id AND i.code = 'technical_mode_sources_invalid')),
+    e AS (SELECT job_id, 'duplicate_official_ghe' AS code, NULL::VARCHAR AS source_id, 'official_code' AS name, code AS value FROM dq_groups GROUP BY job_id, dq_groups.code HAVING count(*) > 1
+      UNION ALL SELECT job_id, 'reconciliation_scope_mismatch', NULL, 'only_in_blocks', source_id FROM (SELECT job_id, source_id FROM dq_blocks EXCEPT SELECT job_id, source_id FROM dq_plan) AS x
+      UNION ALL SELECT job_id, 'reconciliation_scope_mismatch', NULL, 'only_in_plan', source_id FROM (SELECT job_id, source_id FROM dq_plan EXCEPT SELECT job_id, source_id FROM dq_blocks) AS x
+      UNION ALL SELECT job_id, 'technical_mode_sources_invalid', NULL, 'analysis_mode', analysis_mode FROM bad
+      UNION ALL SELECT job_id, 'technical_mode_sources_invalid', NULL, 'source_role', source_role FROM dq_sources WHERE job_id IN (SELECT job_id FROM bad)
+      UNION ALL SELECT job_id, 'private_compatibility_mode', NULL, CASE WHEN action = 'include' THEN 'included_source_id' ELSE 'omitted_source_id' END, source_id FROM dq_exceptions
+      UNION ALL SELECT job_id, 'compatibility_not_acknowledged', NULL, 'source_id', source_id FROM dq_exceptions WHERE acknowledged IS NOT TRUE
+      UNION ALL SELECT job_id, 'compatibility_unknown_ergo_block', NULL, 'source_id', source_id FROM dq_exceptions WHERE (job_id, source_id) NOT IN (SELECT (job_id, source_id) FROM dq_blocks)
+      UNION ALL SELECT job_id, 'reconciliation_target_unknown', source_id, 'official_code', official_code FROM dq_plan WHERE official_code IS NOT NULL AND (job_id, official_code) NOT IN (SELECT (job_id, code) FROM dq_groups)
+      UNION ALL SELECT job_id, origin || '_warning', origin || '_warning-' || (ord + 1), 'message', message FROM dq_warnings),
+    k AS (SELECT {_ISSUE_ID} AS issue_id, * FROM e), c AS (SELECT issue_id, job_id, code, source_id, name, value, count(*) AS n FROM k WHERE issue_id IN (SELECT {_ISSUE_ID} FROM issues) GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY name, value NULLS FIRST) - 1 AS no FROM c""",
+)
+def dq_evidence(spark, sf):
+    t = tables(spark, sf)
+    return E.evidence(t, D.run_rules(t, strict=False))
+
+
+@query(
+    "dq_report_warnings",
+    f"""{_DQ}, u AS (SELECT p_brand AS job_id, p_partkey AS ord, CASE WHEN length(p_name) % 3 > 0 THEN p_retailprice END AS width FROM part)
+    SELECT DISTINCT job_id, NULL::VARCHAR AS source_id, 'no_group_title' AS code FROM dq_jobs WHERE job_id NOT IN (SELECT job_id FROM dq_blocks)
+    UNION ALL SELECT DISTINCT job_id, NULL, 'no_image' FROM dq_jobs WHERE job_id NOT IN (SELECT job_id FROM u)
+    UNION ALL SELECT job_id, 'img-' || ord, 'image_format_unknown' FROM u WHERE width IS NULL
+    UNION ALL SELECT job_id, category, 'category_missing' FROM (SELECT DISTINCT job_id, unnest([{', '.join(repr(c) for c in rules.REQUIRED_CATEGORIES)}]) AS category FROM dq_jobs) AS n WHERE (job_id, category) NOT IN (SELECT (job_id, category) FROM dq_sections)
+    UNION ALL SELECT page_id::VARCHAR, page_id::VARCHAR, 'image_unresolved' FROM (SELECT page_id, url AS ref FROM pages UNION ALL SELECT page_id, regexp_replace(url, '^[a-z]+://', '') FROM pages) AS p WHERE regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_extract(ref, '^[^?#]*') = ''""",
+)
+def dq_report_warnings(spark, sf):
+    """Images of the parts, and references of the pages, with and without a scheme."""
+    t = tables(spark, sf)
+    pictures = load(spark, sf, "part").select(
+        F.col("p_brand").alias("job_id"), F.concat(F.lit("img-"), F.col("p_partkey").cast("string")).alias("image_id"),
+        F.when(F.length("p_name") % 3 > 0, F.col("p_retailprice")).alias("width"),
+    )
+    refs = F.explode(F.array("url", F.regexp_replace("url", "^[a-z]+://", "")))
+    pages = load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("job_id"), F.col("page_id").alias("ord"), refs.alias("image_ref"))
+    found = E.block_warnings(t["jobs"], t["blocks"], pages)
+    return found.unionByName(E.media_warnings(t["jobs"], pictures)).unionByName(E.technical_warnings(t["jobs"], t["sections"]))
+
+
 @query(
     "dq_plan_invariants",
     f"""{_DQ} SELECT job_id, source_id, code FROM (SELECT job_id, source_id, CASE WHEN status IN ('auto_matched', 'confirmed') AND official_code IS NULL THEN 'match_without_target' WHEN status = 'not_applicable' AND official_code IS NOT NULL THEN 'target_of_not_applicable'

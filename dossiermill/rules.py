@@ -271,3 +271,29 @@ COVERAGE_CODES = [
     "psychosocial_ghe_image_missing", "technical_ghe_analysis_missing",
     "action_plan_rows_missing", "prioritization_rows_missing", "conclusion_text_missing",
 ]
+
+# The field that an issue names, and the codes that its rules raise.
+ISSUE_FIELDS = {
+    "company.legal_name": ["legal_name_missing"],
+    "company.registration_card": ["registration_card_missing"],
+    "document.competence": ["competence_missing"],
+    "document.ergo_base_date": ["ergo_base_date_missing"],
+    "document.psychosocial_base_date": ["psychosocial_base_date_missing"],
+    "official_ghes": ["official_ghes_missing", "duplicate_official_ghe", "population_missing"],
+    "ergo.blocks": ["ergo_blocks_missing"],
+    "reconciliation": ["reconciliation_scope_mismatch"],
+    "psychosocial.images": ["psychosocial_images_missing", "general_panel_not_identified"],
+    "technical.source_roles": ["technical_mode_sources_invalid"],
+    "technical.sections": ["technical_sections_missing", "prioritization_missing", "action_plan_missing", "technical_conclusion_missing"],
+    "technical.analyses": ["technical_ghe_analysis_missing"],
+    "technical.action_plan": ["action_plan_rows_missing"],
+    "technical.priorities": ["prioritization_rows_missing"],
+    "technical.conclusion": ["conclusion_text_missing"],
+    "document.compatibility": ["private_compatibility_mode", "compatibility_unknown_ergo_block"],
+    "document.compatibility.acknowledged": ["compatibility_not_acknowledged"],
+}
+# Codes of single files: the field is the file's role.
+FILE_CODES = [
+    "required_file_missing", "file_unavailable", "extension_not_allowed", "empty_file", "file_too_large",
+    "real_type_not_allowed", "extension_content_mismatch", "legacy_conversion_required", "html_active_content_ignored",
+]
