@@ -257,14 +257,15 @@ _FITS = " OR ".join(f"(ext = '{e}' AND kind IN ({', '.join(repr(k) for k in ks)}
 @query(
     "jn_policy_check",
     f"""{cte('artifacts')}, p(role, extensions, kinds, max_bytes) AS (VALUES {_POLICY}),
-    a AS (SELECT artifacts.*, CASE WHEN starts_with(lower(extension), '.') THEN lower(extension) ELSE '.' || lower(extension) END AS ext, extensions, kinds, max_bytes FROM artifacts JOIN p USING (role) WHERE available),
+    a AS (SELECT artifacts.*, CASE WHEN starts_with(lower(extension), '.') THEN lower(extension) ELSE '.' || lower(extension) END AS ext, extensions, kinds, max_bytes FROM artifacts JOIN p USING (role)),
     i AS (SELECT job_id, role, unnest(list_filter([CASE WHEN NOT list_contains(extensions, ext) THEN 'extension_not_allowed' END, CASE WHEN size_bytes = 0 THEN 'empty_file' END, CASE WHEN size_bytes > max_bytes THEN 'file_too_large' END,
       CASE WHEN NOT list_contains(kinds, kind) THEN 'real_type_not_allowed' END, CASE WHEN kind <> 'unknown' AND NOT ({_FITS}) THEN 'extension_content_mismatch' END, CASE WHEN kind = 'ole_doc' THEN 'legacy_conversion_required' END,
       CASE WHEN kind = 'html_doc' AND active_content THEN 'html_active_content_ignored' END], lambda x: x IS NOT NULL)) AS code FROM a)
     SELECT job_id, CASE WHEN code IN ('legacy_conversion_required', 'html_active_content_ignored') THEN 'warning' ELSE 'error' END AS severity, code, role AS source_id FROM i""",
 )
 def jn_policy_check(spark, sf):
-    return D.policy_check(derive(spark, sf, "artifacts"), D.policy_table(spark))
+    # every stored file with its metadata; whether it can still be read is dq_presence_check's
+    return D.policy_check(derive(spark, sf, "artifacts").drop("available"), D.policy_table(spark))
 
 
 _NEEDED = ", ".join(f"('{r}')" for r, (*_, needed) in rules.UPLOAD_POLICIES.items() if needed)

@@ -83,3 +83,12 @@ def test_sequence_candidates_equal_brute_force(spark):
     }
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_policy_check_looks_at_every_file(spark):
+    from dossiermill import rules
+    from dossiermill.queries.inputs import derive
+
+    files = derive(spark, SF_DIR, "artifacts").where("kind = 'ole_doc'").collect()
+    found = QUERIES["jn_policy_check"](spark, SF_DIR).where("code = 'legacy_conversion_required'").count()
+    assert found == sum(r.role in rules.UPLOAD_POLICIES for r in files) and not all(r.available for r in files)
