@@ -50,6 +50,8 @@ ROWS = 4
 AGREEING = 50
 #: pivots of a cell's signatures, and bits of the table of texts whose shingles are wanted, as a power of two
 CELL_PIVOTS = 8
+#: shingles of one part of a place whose texts meet in cells, in bytes
+CELL_BYTES = 16 << 20
 BITS = 27
 _PAIRS = 1 << 20
 _VOTES = 1 << 15
@@ -68,12 +70,16 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     starts = ends - lengths
     n = max(1, len(found) - shingle + 1)
     first, last = starts[:n].tolist(), ends[min(shingle, len(found)) - 1 :].tolist()
-    hashes = np.fromiter((xxh64(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype="<u8", count=n)
+    return _majority(np.fromiter((xxh64(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype="<u8", count=n))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The 64 majority votes over hashes."""
     votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _VOTES):
+    for at in range(0, len(hashes), _VOTES):
         part = hashes[at : at + _VOTES]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -237,8 +243,8 @@ def _shingles(data: bytes, shingle: int) -> tuple[str, np.ndarray]:
     return xxh3_128_hexdigest(joined), hashes
 
 
-def _marks(data: bytes, shingle: int) -> tuple[str, bytes, list[int]]:
-    """Digest of the words, signature (16 bits of each least hash) and band values of one text."""
+def _marks(data: bytes, shingle: int) -> tuple[str, int, bytes, list[int]]:
+    """Digest of the words, fingerprint of the distinct shingles, signature (16 bits of each least hash) and band values of one text."""
     from xxhash import xxh64_intdigest as xxh64
 
     body, hashes = _shingles(data, shingle)
@@ -247,7 +253,8 @@ def _marks(data: bytes, shingle: int) -> tuple[str, bytes, list[int]]:
     for i in range(0, len(hashes), 4096):
         np.minimum(least, ((hashes[None, i : i + 4096] ^ turn) * by).min(axis=1), out=least)
     values = [xxh64(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return body, (least >> np.uint64(48)).astype("<u2").tobytes(), values
+    fp = _majority(hashes)
+    return body, fp - ((fp >> 63) << 64), (least >> np.uint64(48)).astype("<u2").tobytes(), values
 
 
 def _marked(texts: DataFrame, shingle: int) -> DataFrame:
@@ -256,11 +263,11 @@ def _marked(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [_marks(x.as_buffer().to_pybytes(), shingle) for x in b.column(1)]
-            types = (pa.string(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["own", "body", "sig", "bands"])
+            types = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["own", "body", "fp", "sig", "bands"])
 
     narrow = texts.select("own", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("t"))
-    return narrow.mapInArrow(run, "own string, body string, sig binary, bands array<bigint>")
+    return narrow.mapInArrow(run, "own string, body string, fp bigint, sig binary, bands array<bigint>")
 
 
 def _grams(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -326,50 +333,90 @@ def _similar(pairs: DataFrame, grams: DataFrame, similarity: float, chunk: int =
     return heads.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(run, "a string, b string")
 
 
-def _unlinked(rest: DataFrame, cell: int) -> DataFrame:
-    """Pairs ``a, b`` of rows (place, body, sig, label) that meet, have different labels and agree in enough of ``sig``.
-
-    The number of places in which two signatures differ is a distance, so a cell gets
-    a table of distances to pivots, some of its own signatures; pairs are discarded by
-    their largest coordinate difference, and those that are left are verified.
+def _by_fingerprint(bodies: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of texts that join what the fingerprints link: those of one fingerprint, and one of each of two that are linked."""
+    least = stage(bodies.groupBy("fp").agg(F.min("body").alias("least")), "near-fingerprints")
+    same = bodies.join(least, "fp").where("body <> least").select(F.col("least").alias("a"), F.col("body").alias("b"))
+    u, v = (least.select(F.col("fp").alias(n), F.col("least").alias(f"least_{n}")) for n in ("u", "v"))
+    linked = stage(links(least.select("fp")).distinct(), "near-links").join(u, "u").join(v, "v")
+    return same.union(linked.select(F.least("least_u", "least_v").alias("a"), F.greatest("least_u", "least_v").alias("b"))).distinct()
+
+
+def _joined(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between the parts of one cell, as places in ``rows``: a forest over the parts, each link verified by its shingles."""
+    side = rows.column("side").to_numpy()
+    part = np.unique(rows.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+    sig = _signatures(rows.column("sig").combine_chunks())
+    sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in rows.column("grams")]
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    start = np.cumsum(size) - size
+    gram = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(int(gram.max()) + 1, dtype=bool)
+    seen = np.linspace(0, len(sig) - 1, CELL_PIVOTS).astype(int)
+    table = np.stack([(sig != sig[at]).sum(axis=1) for at in seen], axis=1).astype(np.int16)
+    found = []
+    for i in range(len(sig)):
+        j = np.arange(i + 1, len(sig))
+        j = j[(part[j] != part[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+        j = j[np.abs(table[j] - table[i]).max(axis=1) <= BANDS * ROWS - AGREEING] if len(j) else j
+        j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREEING] if len(j) else j
+        if not len(j):
+            continue
+        own = gram[start[i] : start[i] + size[i]]
+        marked[own] = True
+        ends = np.cumsum(size[j])
+        of = np.repeat(start[j] - ends + size[j], size[j]) + np.arange(ends[-1])
+        both = np.add.reduceat(marked[gram[of]], ends - size[j], dtype=np.int64)
+        marked[own] = False
+        j = j[both >= similarity * (size[i] + size[j] - both) - 1e-9]
+        for at in j[np.unique(part[j], return_index=True)[1]]:
+            found.append((i, int(at)))
+        part[np.isin(part, part[j])] = part[i]
+    return found
+
+
+def _unlinked(rest: DataFrame, cell: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join the parts of every place of ``rest`` (place, body, label, sig, grams).
+
+    Every two rows of a place with different labels are held against each other in
+    some cell. The number of places in which two signatures differ is a distance, so a
+    cell gets a table of distances to pivots, some of its own signatures; pairs are
+    discarded by their largest coordinate difference, those that are left by their
+    signatures, and then verified by their shingles. Pairs never leave their cell: it
+    returns a forest of its links, fewer than its labels.
     """
-    reach = BANDS * ROWS - AGREEING
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        body = rows.column("body").combine_chunks()
-        place, side = (rows.column(c).to_numpy() for c in ("cell", "side"))
-        label = np.unique(rows.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
-        sig = _signatures(rows.column("sig").combine_chunks())
-        stop = np.searchsorted(place, place, side="right")
-        start = np.searchsorted(place, place, side="left")
-        table = np.zeros((len(place), CELL_PIVOTS), dtype=np.int16)
-        for first in np.unique(start):
-            last = stop[first]
-            for k, at in enumerate(np.linspace(first, last - 1, CELL_PIVOTS).astype(int)):
-                table[first:last, k] = (sig[first:last] != sig[at]).sum(axis=1)
-        for i in range(len(place)):
-            j = np.arange(i + 1, stop[i])
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 0))]
-            j = j[np.abs(table[j] - table[i]).max(axis=1) <= reach] if len(j) else j
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREEING] if len(j) else j
-            if len(j):
-                one, two = body.take(pa.array(np.full(len(j), i))).to_pylist(), body.take(pa.array(j)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two))), pa.array(list(map(max, one, two)))], names=["a", "b"])
+        place = rows.column("cell").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        for at, end in zip(first, [*first[1:], len(place)], strict=True):
+            one = rows.slice(at, end - at)
+            names = one.column("body").to_pylist()
+            found = [sorted((names[i], names[j])) for i, j in _joined(one, similarity)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
         for b in batches:
-            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            rows = pa.Table.from_batches([b])
             place = rows.column("cell").to_numpy()
-            # a cell may go on in the next batch: it waits; it has about 2 x cell rows at most
-            cut = int(np.searchsorted(place, place[-1], side="left")) if len(place) else 0
-            held = rows.slice(cut)
+            if not len(place):
+                continue
+            # a cell may go on in the next batch: it waits; its rows and bytes are bounded
+            if held and held[-1].column("cell")[-1].as_py() != place[0]:
+                yield from pairs(pa.concat_tables(held))
+                held = []
+            cut = int(np.searchsorted(place, place[-1], side="left"))
             if cut:
-                yield from pairs(rows.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from pairs(held)
-
-    sizes = stage(rest.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("chunks")), "near-sizes")
+                yield from pairs(pa.concat_tables([*held, rows.slice(0, cut)]))
+                held = []
+            held.append(rows.slice(cut))
+        if held:
+            yield from pairs(pa.concat_tables(held))
+
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum(F.length("grams")) / CELL_BYTES)).cast("int")
+    sizes = stage(rest.groupBy("place").agg(parts.alias("chunks")), "near-sizes")
     spread = (
         rest.join(sizes, "place")
         .withColumn("chunk", F.pmod(F.xxhash64("body", F.lit(SEED)), F.col("chunks")).cast("int"))
@@ -379,7 +426,7 @@ def _unlinked(rest: DataFrame, cell: int) -> DataFrame:
     dealt = spread.select(
         F.xxhash64("place", low, high).alias("cell"),
         F.when(low == high, 0).when(F.col("chunk") == low, 1).otherwise(2).alias("side"),
-        "body", "label", "sig",
+        "body", "label", "sig", "grams",
     )
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a string, b string").distinct()
 
@@ -387,13 +434,15 @@ def _unlinked(rest: DataFrame, cell: int) -> DataFrame:
 def similar(marked: DataFrame, texts: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Links ``a, b`` between digests of words that join what is linked at ``similarity`` or more.
 
-    Texts meet where a band agrees. First every text is held against the least of
-    its place; only places that this leaves in several parts have the pairs
-    between the parts formed, in cells. Every link is verified by its shingles,
-    which are made anew from ``texts`` (own, text) for those that are needed.
+    Texts meet where their SimHash fingerprints are linked (``links``: blocks of bits and
+    distances to pivots), and, because these reach about 0.95 only, where a band
+    agrees. First every text is held against the least of its place; only places
+    that this leaves in several parts have their parts joined, in cells. Every link
+    is verified by its shingles, which are made anew from ``texts`` (own, text) for
+    those that are needed.
     """
     bodies = stage(
-        marked.groupBy("body").agg(F.min(F.struct("own", "sig", "bands")).alias("m")).select("body", "m.own", "m.sig", "m.bands"), "near-bodies"
+        marked.groupBy("body").agg(F.min(F.struct("own", "fp", "sig", "bands")).alias("m")).select("body", "m.own", "m.fp", "m.sig", "m.bands"), "near-bodies"
     )
     met = bodies.select("body", F.posexplode("bands").alias("no", "value")).select(F.xxhash64("no", "value").alias("place"), "body")
     shared = met.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("hub"), F.sum(F.xxhash64("body").cast("decimal(20,0)")).alias("all")).where("n > 1")
@@ -401,35 +450,38 @@ def similar(marked: DataFrame, texts: DataFrame, shingle: int = WORDS, similarit
     places = stage(shared.groupBy("all", "n", "hub").agg(F.min("place").alias("place")).select("place", "hub"), "near-places")
     crowded = stage(met.join(places, "place"), "near-met")
     star = crowded.where("body <> hub").select(F.col("hub").alias("a"), F.col("body").alias("b")).distinct()
-    close = stage(_agreeing(star, bodies), "near-star")
+    close = stage(_by_fingerprint(bodies.select("body", "fp")).union(_agreeing(star, bodies)).distinct(), "near-star")
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("body")).union(pairs.select("b")).distinct().join(bodies.select("body", "own"), "body")
-        grams = stage(_grams(texts, wanted, shingle), f"{name}-grams")
-        out = stage(_similar(pairs, grams, similarity), name)
-        _drop(grams)
-        return out
+    def with_grams(wanted: DataFrame, name: str) -> DataFrame:
+        return stage(_grams(texts, wanted.distinct().join(bodies.select("body", "own"), "body"), shingle), name)
 
-    found = checked(close, "near-found")
+    grams = with_grams(close.select(F.col("a").alias("body")).union(close.select("b")), "near-grams")
+    found = stage(_similar(close, grams, similarity), "near-found")
+    _drop(grams)
     labels = stage(components(found).select(F.col("node").alias("body"), "root"), "near-labels")
     named = stage(crowded.join(labels, "body", "left").select("place", "body", F.coalesce("root", "body").alias("label")), "near-named")
     _drop(crowded, places)
     parted = stage(named.groupBy("place").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("place"), "near-parted")
-    rest = stage(named.join(parted, "place").join(bodies.select("body", "sig"), "body").select("place", "body", "label", "sig"), "near-rest")
-    more = stage(_unlinked(rest, cell).join(close, ["a", "b"], "left_anti"), "near-more")
-    _drop(named, parted, rest)
-    return found if more.isEmpty() else found.union(checked(more, "near-found-more"))
+    left = stage(named.join(parted, "place"), "near-left")
+    _drop(named, parted)
+    if left.isEmpty():
+        return found
+    grams = with_grams(left.select("body"), "near-left-grams")
+    rest = stage(left.join(bodies.select("body", "sig"), "body").join(grams.dropDuplicates(["body"]), "body").select("place", "body", "label", "sig", "grams"), "near-rest")
+    more = stage(_unlinked(rest, cell, similarity), "near-found-more")
+    _drop(left, grams, rest)
+    return found.union(more)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group linked by a shingle Jaccard of ``similarity`` or more, with all its columns.
 
-    A document is its id and its text: rows that repeat both count as one. The
-    fingerprints of ``near_duplicates`` reach about 0.95 only, so texts meet by
-    bands of least hashes instead, fall by the pivot tables of their signatures,
-    and what is left is verified by its shingles. Of pairs at 0.8, which agree in
-    some band but for 3 in 100,000, 5 in 100,000 have signatures too far apart;
-    closer pairs are surely found.
+    A document is its id and its text: rows that repeat both count as one. Texts meet
+    by their SimHash fingerprints and the tables of distances to pivots; fingerprints
+    reach about 0.95 only, so texts further apart also meet by bands of least hashes
+    and fall by the pivot tables of their signatures. What is left is verified by its
+    shingles. Of pairs at 0.8, which agree in some band but for 3 in 100,000, 5 in
+    100,000 have signatures too far apart; closer pairs are surely found.
     """
     own = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
     bounded_batches(docs.sparkSession)

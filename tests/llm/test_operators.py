@@ -621,3 +621,24 @@ def test_keep_one_finds_copies_at_its_similarity(spark, cell):
     assert groups(got) == groups(want)
     kept = simhash.keep_one(df).collect()
     assert sorted(groups(want)[r.doc_id] for r in kept) == sorted(set(groups(want)))
+
+
+def test_texts_of_one_fingerprint_meet_without_a_band(spark):
+    """SimHash finds its own pairs: bands that agree nowhere keep no near copy apart."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(f"v{i}" for i in range(400))]
+    own = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "own string, text string")
+    marked = simhash._marked(own, simhash.WORDS).withColumn("bands", F.array(F.xxhash64("body")))
+    at = {r.body: r.own for r in marked.collect()}
+    assert [sorted((at[r.a], at[r.b])) for r in simhash.similar(marked, own).collect()] == [["0", "1"]]
+
+
+def test_cells_return_no_more_links_than_parts():
+    """Near copies of which each is alike to each: a cell gives a forest, not the pairs."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(300)]
+    marks = [simhash._marks(" ".join([*words[:k], "x", *words[k + 1 :]]).encode(), simhash.WORDS) for k in range(0, 300, 5)]
+    grams = [simhash._shingles(" ".join([*words[:k], "x", *words[k + 1 :]]).encode(), simhash.WORDS)[1].tobytes() for k in range(0, 300, 5)]
+    rows = pa.table({"side": [0] * len(marks), "label": [m[0] for m in marks], "sig": pa.array([m[2] for m in marks], pa.binary()), "grams": pa.array(grams, pa.binary())})
+    assert len(simhash._joined(rows, simhash.SIMILARITY)) == len(marks) - 1
