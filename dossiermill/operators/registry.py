@@ -61,29 +61,58 @@ def header_score(columns: Column) -> Column:
 def may_be_header(cells: Column) -> Column:
     """Cheap test that every row with a usable row's score passes.
 
-    One key is made per row instead of one per cell, and the words of each column
-    kind are looked for anywhere in it: their weights together are never below the
-    row's score, and a row below ``HEADER_USABLE`` cannot keep a usable row from
-    winning.
+    The cells are joined by NUL, which keys drop, and the words of each column kind are
+    looked for cell by cell in that one text: their weights together are never below
+    the row's score, and a row below ``HEADER_USABLE`` cannot keep a usable row from
+    winning. Only texts beyond ASCII are folded. Without a code's prefix a row needs all
+    the other kinds, so most rows take one look.
     """
+    gap, edge = "[^a-z0-9\\x00]+", "[^a-z0-9\\x00]*"
 
-    def most(key: Column) -> Column:
-        ghe = key.contains("ghe")
-        found = {
-            "combined": ghe | any_of(key, [h for h in rules.COMBINED_HEADERS if "ghe" not in h]),
-            "code": ghe & any_of(key, rules.CODE_WORDS),
-            "name": ghe & any_of(key, rules.NAME_WORDS),
-            "sector": any_of(key, rules.SECTOR_WORDS),
-            "role": any_of(key, rules.ROLE_WORDS),
-            "population": any_of(key, [*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
+    def words(found: list[str]) -> str:
+        return "(?:" + "|".join(w.replace(" ", gap) for w in found) + ")"
+
+    def beside(found: list[str]) -> str:
+        return f"ghe[^\\x00]*{words(found)}|{words(found)}[^\\x00]*ghe"
+
+    whole = f"(?:^|\\x00){edge}{words(rules.COMBINED_HEADERS)}{edge}(?:\\x00|$)"
+
+    def enough(text: Column) -> Column:
+        rest = {
+            "population": words([*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
+            "sector": words(rules.SECTOR_WORDS),
+            "role": words(rules.ROLE_WORDS),
         }
-        score = any_of(key, rules.PERSON_HEADERS).cast("int")
-        for kind, words in found.items():
-            score = score + words.cast("int") * rules.HEADER_WEIGHTS[kind]
-        return score
+        coded = {
+            "combined": f"{whole}|{beside(rules.COMBINED_WORDS)}",
+            "code": beside(rules.CODE_WORDS),
+            "name": beside(rules.NAME_WORDS),
+        }
+        person = text.rlike(words(rules.PERSON_HEADERS))
+
+        def score(kinds: dict[str, str], start: Column) -> Column:
+            for kind, pattern in kinds.items():
+                start = start + text.rlike(pattern).cast("int") * rules.HEADER_WEIGHTS[kind]
+            return start
+
+        heads = [h for h in rules.COMBINED_HEADERS if "ghe" not in h]
+        may_be_coded = text.contains("ghe") | (text.rlike(words(heads)) if heads else F.lit(False))
+        most = sum(rules.HEADER_WEIGHTS[k] for k in rest)
+        plain = score(rest, F.when(person, 1).otherwise(0)) >= rules.HEADER_USABLE
+        if most < rules.HEADER_USABLE:  # a person column must be there as well
+            plain = person & plain
+        full = F.exists(
+            F.array(score(coded, F.lit(0))),
+            lambda x: (x >= rules.HEADER_USABLE) | (score(rest, x + F.when(person, 1).otherwise(0)) >= rules.HEADER_USABLE),
+        )
+        return F.when(may_be_coded, full).otherwise(plain)
 
-    key = normalize_key(F.array_join(cells, " zqz ", ""))
-    return F.exists(F.array(key), lambda k: most(k) >= rules.HEADER_USABLE)
+    joined = F.array_join(cells, "\0", "")
+    folded = F.when(F.octet_length(joined) == F.length(joined), F.lower(joined)).otherwise(
+        F.array_join(F.transform(cells, normalize_key), "\0", "")
+    )
+    odd = F.exists(cells, lambda c: c.contains("\0"))
+    return odd | F.exists(F.array(folded), enough)
 
 
 def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
@@ -162,11 +191,17 @@ def _visible() -> Column:
 
 def drop_blank_rows(rows: DataFrame) -> DataFrame:
     """Without rows that show nothing and have no person either."""
-    return rows.where(F.exists(_visible(), lambda x: x != "") | F.col("person_present"))
+    shown = F.col("person_present")
+    for kind in reversed(rules.COLUMN_KINDS):
+        shown = (clean_text(kind) != "") | shown  # the first cell that shows something ends the test
+    return rows.where(shown)
 
 
 def is_total_row() -> Column:
-    return starts_any(cells_key(_visible()), rules.TOTAL_ROW_PREFIXES)
+    # ASCII text without a prefix's letters has none in its key; only the others are cleaned and folded
+    raw = F.replace(F.concat_ws(" ", *rules.COLUMN_KINDS), F.lit("\0"), F.lit(""))
+    plain = (F.octet_length(raw) == F.length(raw)) & ~F.lower(raw).rlike("|".join(sorted({p.split()[0] for p in rules.TOTAL_ROW_PREFIXES})))
+    return F.when(plain, F.lit(False)).otherwise(starts_any(cells_key(_visible()), rules.TOTAL_ROW_PREFIXES))
 
 
 def split_total_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,8 +227,8 @@ def forward_fill(df: DataFrame, keys: list[str], ord_col: str, column: str, stre
 
 def group_rows(rows: DataFrame) -> DataFrame:
     """Data rows under the group code that is in force; rows before the first code are out."""
-    read = _once(rows, "_ref", parse_reference("combined"))
-    coded = _once(read, "own_code", F.coalesce(F.col("_ref.code"), coerce_code("code")))
+    read = _once(rows, "_ref", F.when(F.col("combined") != "", parse_reference("combined")))
+    coded = _once(read, "own_code", F.coalesce(F.col("_ref.code"), F.when(F.col("code") != "", coerce_code("code"))))
     named = coded.select(
         JOB,
         "row_no",

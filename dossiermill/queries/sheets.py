@@ -6,10 +6,11 @@ layouts, its lines, and a total row that is wrong for every tenth order.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
-from ..plans.ordered import ordinal
+from ..plans.ordered import STRETCH, ordinal
 from ..plans.staging import stage
 from .inputs import load
 from .registry import query
@@ -49,11 +50,22 @@ _CELLS = [
 def sheet(spark, sf):
     """``job_id, sheet, sheet_ord, row_no, cells``."""
     lines = spark.sql(_LINE + "{lineitem}", lineitem=load(spark, sf, "lineitem"))
-    numbered = ordinal(lines, ["job_id"], _ORDER, "rn", F.col("ln") * 1_000_000_000 + F.floor(F.col("pk") / 1000))
-    body = numbered.select("job_id", (F.col("rn") + 2).alias("row_no"), F.array(*[F.expr(c) for c in _CELLS]).alias("cells"))
-    facts = lines.groupBy("job_id").agg(
-        F.sum(F.when(F.col("pk") % 10 != 0, F.col("q").cast("int"))).alias("total"), (F.count(F.lit(1)) + 3).alias("last")
+    facts = stage(
+        lines.groupBy("job_id").agg(
+            F.sum(F.when(F.col("pk") % 10 != 0, F.col("q").cast("int"))).alias("total"), (F.count(F.lit(1)) + 3).alias("last")
+        ),
+        "sheet-facts",
     )
+    # an order's lines are few: they are numbered in one sort; only those of larger jobs are cut into stretches
+    large = facts.where(F.col("last") > STRETCH + 3).select("job_id")
+    in_order = F.row_number().over(Window.partitionBy("job_id").orderBy(*_ORDER)).cast("bigint")
+    if large.isEmpty():
+        numbered = lines.withColumn("rn", in_order)
+    else:
+        small = lines.join(large, "job_id", "left_anti").withColumn("rn", in_order)
+        cut = ordinal(lines.join(large, "job_id", "left_semi"), ["job_id"], _ORDER, "rn", F.col("ln") * 1_000_000_000 + F.floor(F.col("pk") / 1000))
+        numbered = small.unionByName(cut)
+    body = numbered.select("job_id", (F.col("rn") + 2).alias("row_no"), F.array(*[F.expr(c) for c in _CELLS]).alias("cells"))
     wrong = F.when(F.col("job_id") % 10 == 0, 1).otherwise(0)
     total = F.array(
         F.lit("Total geral"), F.lit(""), F.lit(""), F.lit(""), (F.coalesce("total", F.lit(0)) + wrong).cast("string"), F.lit("")

@@ -228,6 +228,22 @@ def test_headers_are_found_in_any_row(spark):
     assert "late" not in {r.job_id for r in detect_header(df, scan_rows=60).collect()}
 
 
+def test_cheap_header_test_is_a_bound(spark):
+    """No row that can win is lost, and rows whose words stand in different cells do not pass."""
+    import itertools
+
+    from dossiermill import rules
+    from dossiermill.operators.registry import header_score, may_be_header, with_header_columns
+
+    texts = ["", "GHE", " ghe. ", "GHE 12", "Código-GHE", "nome  GHE", "GHE 1 - grupo 1", "grupo 1", "Setor", "Função", "QTD.", "CPF", "g\0he id", "Total (pessoas)", None]
+    rows = [(i, list(c)) for i, c in enumerate(itertools.combinations(texts, 5))] + [(-1, ["GHE 12", "grupo 12", "Setor 1", "Cargo 2", "3", ""])]
+    df = spark.createDataFrame(rows, "row_no bigint, cells array<string>")
+    scored = with_header_columns(df).withColumn("score", header_score(F.col("columns"))).withColumn("may", may_be_header(F.col("cells"))).collect()
+    assert not [r for r in scored if r.score >= rules.HEADER_USABLE and not r.may]
+    assert sum(r.score >= rules.HEADER_USABLE for r in scored) > 100
+    assert not [r for r in scored if r.row_no == -1 and r.may]
+
+
 def test_html_head_left_open(spark):
     pages = {
         1: "<html><head><title>t</title><meta charset=utf-8><body><p>text</p></body></html>",
