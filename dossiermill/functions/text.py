@@ -7,7 +7,7 @@ scan, these projections and a partial aggregate stay in one stage.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,12 +27,19 @@ _PERCENT = r"(?U)(?<!\d)(\d{1,3}(?:[.,]\d{1,2})?)\s*%"
 _HEADCOUNT = r"(?U)(?<![\d.,])(-?\d+(?:[.,]\d+)?)"
 _NUMBERED = r"(?U)^\d+\.\s+\S"
 _NAME_EDGE = " -–—:;"
+# a character that cleaning leaves
+_SHOWN = r"[^\x00\t\n\x0B\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out a single time, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_of(key: Column, words: Iterable[str]) -> Column:
     """True when ``key`` contains one of ``words``.
 
@@ -42,6 +49,18 @@ def any_of(key: Column, words: Iterable[str]) -> Column:
     return key.rlike("|".join(re.escape(w) for w in words))
 
 
+def holds_any(key: Column, words: Iterable[str]) -> Column:
+    """``any_of`` for a key that is at hand: plain searches, cheaper than one pattern."""
+    shortest: list[str] = []
+    for word in sorted(words, key=len):
+        if not any(s in word for s in shortest):
+            shortest.append(word)
+    found = key.contains(shortest[0])
+    for word in shortest[1:]:
+        found = found | key.contains(word)
+    return found
+
+
 def starts_any(key: Column, prefixes: Iterable[str]) -> Column:
     """True when ``key`` starts with one of ``prefixes``."""
     return key.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
@@ -53,6 +72,11 @@ def clean_text(c) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
+def shows_text(c) -> Column:
+    """True when ``clean_text`` leaves something."""
+    return F.coalesce(_col(c).cast("string").rlike(_SHOWN), F.lit(False))
+
+
 def _ranges(chars: Iterable[str]) -> list[str]:
     """Character-class ranges of a set of code points."""
     spans: list[list[int]] = []
@@ -95,12 +119,12 @@ def _digits(c: Column) -> Column:
 def format_code(number: Column, prefix: str = rules.CODE_PREFIX) -> Column:
     """``PREFIX NN`` from a text of ASCII digits, two digits at least."""
     bare = F.regexp_replace(number, "^0+(?=\\d)", "")
-    return F.concat(F.lit(prefix + " "), F.when(F.length(bare) < 2, F.lpad(bare, 2, "0")).otherwise(bare))
+    return once(bare, lambda n: F.concat(F.lit(prefix + " "), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)))
 
 
 def _code_of_clean(text: Column, prefix: str) -> Column:
     number = F.regexp_extract(text, "(?iU)" + _CODE % prefix, 1)
-    return F.when(number != "", format_code(_digits(number), prefix))
+    return once(number, lambda n: F.when(n != "", format_code(_digits(n), prefix)))
 
 
 def canonical_code(c, prefix: str = rules.CODE_PREFIX) -> Column:
@@ -117,15 +141,21 @@ def canonical_code_or_raw(c, prefix: str = rules.CODE_PREFIX) -> Column:
 
 def parse_reference(c, prefix: str = rules.CODE_PREFIX) -> Column:
     """``struct(code, name)``: a code and the name written next to it."""
-    text = clean_text(c)
     pattern = "(?iU)" + _CODE_AND_NAME % prefix
-    number = F.regexp_extract(text, pattern, 1)
-    raw = F.trim(F.regexp_extract(text, pattern, 2))
-    name = F.btrim(F.element_at(F.split(raw, r"\s+[|]\s+"), 1), F.lit(_NAME_EDGE))
-    return F.struct(
-        F.when(number != "", format_code(_digits(number), prefix)).alias("code"),
-        F.when((number != "") & (name != ""), name).alias("name"),
-    )
+
+    def reference(text: Column) -> Column:
+        raw = F.trim(F.regexp_extract(text, pattern, 2))
+        name = F.btrim(F.element_at(F.split(raw, r"\s+[|]\s+"), 1), F.lit(_NAME_EDGE))
+        number = F.regexp_extract(text, pattern, 1)
+        return once(
+            number,
+            lambda n: F.struct(
+                F.when(n != "", format_code(_digits(n), prefix)).alias("code"),
+                F.when(n != "", F.nullif(name, F.lit(""))).alias("name"),
+            ),
+        )
+
+    return once(clean_text(c), reference)
 
 
 def group_name_of_key(key: Column) -> Column:
@@ -144,11 +174,21 @@ def normalize_group_name(c) -> Column:
 
 def parse_population(c) -> Column:
     """Head-count written in a cell, NULL when it is absent, negative or fractional."""
-    text = clean_text(c)
-    number = _digits(F.replace(F.regexp_extract(text, _HEADCOUNT, 1), F.lit(","), F.lit(".")))
-    value = number.try_cast("decimal(38,10)")
-    blank = normalize_key(text).isin(rules.POPULATION_BLANKS)
-    return F.when(~blank & (value >= 0) & (value == F.floor(value)), value.cast("bigint"))
+    raw = _col(c).cast("string")
+
+    def written(text: Column) -> Column:
+        number = _digits(F.replace(F.regexp_extract(text, _HEADCOUNT, 1), F.lit(","), F.lit(".")))
+        blank = normalize_key(text).isin(rules.POPULATION_BLANKS)
+        return once(
+            number.try_cast("decimal(38,10)"),
+            lambda value: F.when((value >= 0) & (value == F.floor(value)) & ~blank, value.cast("bigint")),
+        )
+
+    # plain digits are the number itself, and ASCII text without a digit has none
+    return (
+        F.when(raw.rlike(r"^[0-9]{1,18}\z"), raw.try_cast("bigint"))
+        .when(raw.rlike(r"[0-9]|[^\x00-\x7f]"), once(clean_text(raw), written))
+    )
 
 
 def population_of_number(c) -> Column:
@@ -222,10 +262,11 @@ def is_section_heading(text, style=None) -> Column:
 
 def column_kind(header) -> Column:
     """Kind of a spreadsheet column by its header, NULL when unknown."""
-    return column_kind_of_key(normalize_key(header))
+    return once(normalize_key(header), column_kind_of_key)
 
 
 def column_kind_of_key(key: Column) -> Column:
+    any_of = holds_any
     has_code = key.contains("ghe")
     return (
         F.when(key == "", None)
@@ -241,19 +282,36 @@ def column_kind_of_key(key: Column) -> Column:
 
 def coerce_code(c, prefix: str = rules.CODE_PREFIX) -> Column:
     """Code of a separate code cell: canonical, all digits, or an integral number."""
-    text = clean_text(c)
-    integral = F.regexp_extract(text, r"^(\d+)\.0+$", 1)
-    return F.coalesce(
-        _code_of_clean(text, prefix),
-        F.when(text.rlike(r"(?U)^\d+$"), format_code(_digits(text), prefix)),
-        F.when(integral != "", format_code(integral, prefix)),
+    raw = _col(c).cast("string")
+
+    def coerced(text: Column) -> Column:
+        integral = F.regexp_extract(text, r"^(\d+)\.0+$", 1)
+        return F.coalesce(
+            _code_of_clean(text, prefix),
+            F.when(text.rlike(r"(?U)^\d+$"), format_code(_digits(text), prefix)),
+            F.when(integral != "", format_code(integral, prefix)),
+        )
+
+    full = once(clean_text(raw), coerced)
+    if not (prefix.isascii() and prefix.isalpha()):
+        return full
+    # plain digits hold no prefix and are no other form; a plain reference needs no search
+    written = F.substring(raw, len(prefix) + 2, 4)
+    return (
+        F.when(raw.rlike(r"^[0-9]+\z"), format_code(raw, prefix))
+        .when(raw.rlike(rf"^{prefix} [1-9][0-9]{{0,3}}\z"), F.concat(F.lit(prefix + " "), F.when(F.length(written) < 2, F.lpad(written, 2, "0")).otherwise(written)))
+        .otherwise(full)
     )
 
 
 def split_values(c) -> Column:
     """Values of a multi-value cell."""
-    parts = F.split(clean_text(c), "[;|]+")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    def values(text: Column) -> Column:
+        # a split makes its pattern anew for every row, and most cells have one value
+        parts = F.when(text.rlike("[;|]"), F.split(text, "[;|]+")).otherwise(F.array(text))
+        return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+    return once(clean_text(c), values)
 
 
 def after_separator(c) -> Column:

@@ -6,20 +6,23 @@ texts. Sheets may be of any length; no operator here keeps one in a single task.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import (
-    any_of,
     canonical_code,
-    cells_key,
     clean_text,
     coerce_code,
     column_kind_of_key,
+    holds_any,
     normalize_key,
     parse_population,
     parse_reference,
+    shows_text,
     split_values,
     starts_any,
 )
@@ -61,58 +64,67 @@ def header_score(columns: Column) -> Column:
 def may_be_header(cells: Column) -> Column:
     """Cheap test that every row with a usable row's score passes.
 
-    The cells are joined by NUL, which keys drop, and the words of each column kind are
-    looked for cell by cell in that one text: their weights together are never below
+    The cells are joined by NUL, which keys drop, and the longest word of each column
+    kind's phrases is looked for in that one text; where the code's prefix occurs, the
+    kinds that need it are looked for cell by cell. Their weights together are never below
     the row's score, and a row below ``HEADER_USABLE`` cannot keep a usable row from
     winning. Only texts beyond ASCII are folded. Without a code's prefix a row needs all
     the other kinds, so most rows take one look.
     """
-    gap, edge = "[^a-z0-9\\x00]+", "[^a-z0-9\\x00]*"
-
-    def words(found: list[str]) -> str:
-        return "(?:" + "|".join(w.replace(" ", gap) for w in found) + ")"
+    def has(text: Column, phrases: list[str]) -> Column:
+        return holds_any(text, [max(p.split(), key=len) for p in phrases])
 
-    def beside(found: list[str]) -> str:
-        return f"ghe[^\\x00]*{words(found)}|{words(found)}[^\\x00]*ghe"
+    def beside(text: Column, found: list[str]) -> Column:
+        each = [text.contains(w) & (text.rlike(f"ghe[^\\x00]*{w}") | text.rlike(f"{w}[^\\x00]*ghe")) for w in found]
+        return functools.reduce(operator.or_, each)
 
-    whole = f"(?:^|\\x00){edge}{words(rules.COMBINED_HEADERS)}{edge}(?:\\x00|$)"
+    def whole(text: Column) -> Column:  # a cell that ends as one of the headers does
+        ends = sorted({h.split()[-1] for h in rules.COMBINED_HEADERS})
+        return functools.reduce(operator.or_, [text.contains(w) & text.rlike(f"{w}[^a-z0-9\\x00]*(?:\\x00|$)") for w in ends])
 
     def enough(text: Column) -> Column:
+        person = has(text, rules.PERSON_HEADERS)
         rest = {
-            "population": words([*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
-            "sector": words(rules.SECTOR_WORDS),
-            "role": words(rules.ROLE_WORDS),
+            "population": has(text, [*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
+            "sector": has(text, rules.SECTOR_WORDS),
+            "role": has(text, rules.ROLE_WORDS),
         }
         coded = {
-            "combined": f"{whole}|{beside(rules.COMBINED_WORDS)}",
-            "code": beside(rules.CODE_WORDS),
-            "name": beside(rules.NAME_WORDS),
+            "combined": beside(text, rules.COMBINED_WORDS) | whole(text),
+            "code": beside(text, rules.CODE_WORDS),
+            "name": beside(text, rules.NAME_WORDS),
         }
-        person = text.rlike(words(rules.PERSON_HEADERS))
-
-        def score(kinds: dict[str, str], start: Column) -> Column:
-            for kind, pattern in kinds.items():
-                start = start + text.rlike(pattern).cast("int") * rules.HEADER_WEIGHTS[kind]
-            return start
-
-        heads = [h for h in rules.COMBINED_HEADERS if "ghe" not in h]
-        may_be_coded = text.contains("ghe") | (text.rlike(words(heads)) if heads else F.lit(False))
-        most = sum(rules.HEADER_WEIGHTS[k] for k in rest)
-        plain = score(rest, F.when(person, 1).otherwise(0)) >= rules.HEADER_USABLE
-        if most < rules.HEADER_USABLE:  # a person column must be there as well
+
+        def score(kinds: dict[str, Column], start: Column) -> Column:
+            return functools.reduce(operator.add, [F.when(there, rules.HEADER_WEIGHTS[k]).otherwise(0) for k, there in kinds.items()], start)
+
+        may_be_coded = text.contains("ghe") | has(text, [h for h in rules.COMBINED_HEADERS if "ghe" not in h] or ["ghe"])
+        one = F.when(person, 1).otherwise(0)
+        plain = score(rest, one) >= rules.HEADER_USABLE
+        if sum(rules.HEADER_WEIGHTS[k] for k in rest) < rules.HEADER_USABLE:  # a person column must be there as well
             plain = person & plain
-        full = F.exists(
-            F.array(score(coded, F.lit(0))),
-            lambda x: (x >= rules.HEADER_USABLE) | (score(rest, x + F.when(person, 1).otherwise(0)) >= rules.HEADER_USABLE),
-        )
-        return F.when(may_be_coded, full).otherwise(plain)
+
+        def with_rest(x: Column) -> Column:
+            """Is a score of ``x`` enough with the other kinds? Most rows need none or all of them."""
+            return (
+                F.when(x == 0, plain)
+                .when(x >= rules.HEADER_USABLE, F.lit(True))
+                .when(x == rules.HEADER_USABLE - 1, functools.reduce(operator.or_, [rest["sector"], rest["role"], rest["population"], person]))
+                .otherwise(score(rest, x + one) >= rules.HEADER_USABLE)
+            )
+
+        return F.when(may_be_coded, F.exists(F.array(score(coded, F.lit(0))), with_rest)).otherwise(plain)
 
     joined = F.array_join(cells, "\0", "")
-    folded = F.when(F.octet_length(joined) == F.length(joined), F.lower(joined)).otherwise(
-        F.array_join(F.transform(cells, normalize_key), "\0", "")
-    )
+
+    def test(text: Column) -> Column:
+        folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+            F.array_join(F.transform(cells, normalize_key), "\0", "")
+        )
+        return F.exists(F.array(folded), enough)
+
     odd = F.exists(cells, lambda c: c.contains("\0"))
-    return odd | F.exists(F.array(folded), enough)
+    return odd | F.exists(F.array(joined), test)
 
 
 def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
@@ -125,9 +137,9 @@ def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """
     near = rows if scan_rows is None else rows.where(F.col("row_no") <= scan_rows)
     possible = near.where(may_be_header(F.col("cells")))
+    # scores and ranks are read many times below
     scored = (
-        with_header_columns(possible)
-        .withColumn("score", header_score(F.col("columns")))
+        _once(with_header_columns(possible), "score", header_score(F.col("columns")))
         .withColumn(
             "usable",
             (F.col("columns.combined").isNotNull() | F.col("columns.code").isNotNull())
@@ -142,8 +154,8 @@ def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
         F.col("row_no"),
     )
     return (
-        scored.groupBy(JOB)
-        .agg(F.min_by(F.struct("sheet", "sheet_ord", "row_no", "score", "usable", "columns", "cells"), rank).alias("h"))
+        _once(scored, "_rank", rank).groupBy(JOB)
+        .agg(F.min_by(F.struct("sheet", "sheet_ord", "row_no", "score", "usable", "columns", "cells"), F.col("_rank")).alias("h"))
         .select(JOB, "h.*")
         .where("usable")
         .drop("usable")
@@ -174,7 +186,7 @@ def data_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     def cell(kind: str) -> Column:
         return F.when(F.col(f"_c.{kind}").isNotNull(), F.try_element_at("cells", F.col(f"_c.{kind}")))
 
-    present = F.exists(F.col("_c.person"), lambda i: clean_text(F.try_element_at(F.col("cells"), i)) != "")
+    present = F.exists(F.col("_c.person"), lambda i: shows_text(F.try_element_at(F.col("cells"), i)))
     fields = below.select(
         JOB,
         "row_no",
@@ -193,15 +205,18 @@ def drop_blank_rows(rows: DataFrame) -> DataFrame:
     """Without rows that show nothing and have no person either."""
     shown = F.col("person_present")
     for kind in reversed(rules.COLUMN_KINDS):
-        shown = (clean_text(kind) != "") | shown  # the first cell that shows something ends the test
+        shown = shows_text(kind) | shown  # the first cell that shows something ends the test
     return rows.where(shown)
 
 
 def is_total_row() -> Column:
+    # both ways are behind lambdas: a projection would work out what a second operand repeats for every row
     # ASCII text without a prefix's letters has none in its key; only the others are cleaned and folded
+    words = sorted({p.split()[0] for p in rules.TOTAL_ROW_PREFIXES})
     raw = F.replace(F.concat_ws(" ", *rules.COLUMN_KINDS), F.lit("\0"), F.lit(""))
-    plain = (F.octet_length(raw) == F.length(raw)) & ~F.lower(raw).rlike("|".join(sorted({p.split()[0] for p in rules.TOTAL_ROW_PREFIXES})))
-    return F.when(plain, F.lit(False)).otherwise(starts_any(cells_key(_visible()), rules.TOTAL_ROW_PREFIXES))
+    plain = F.exists(F.array(raw), lambda t: (F.octet_length(t) == F.length(t)) & ~F.exists(F.array(F.lower(t)), lambda low: holds_any(low, words)))
+    full = F.exists(F.array(F.array_join(_visible(), " ")), lambda t: starts_any(normalize_key(t), rules.TOTAL_ROW_PREFIXES))
+    return F.when(plain, F.lit(False)).otherwise(full)
 
 
 def split_total_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
