@@ -28,7 +28,7 @@ _HEADCOUNT = r"(?U)(?<![\d.,])(-?\d+(?:[.,]\d+)?)"
 _NUMBERED = r"(?U)^\d+\.\s+\S"
 _NAME_EDGE = " -–—:;"
 # a character that cleaning leaves
-_SHOWN = r"[^\x00\t\n\x0B\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SHOWN = r"[^\x00\t\n\x0B\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _col(c) -> Column:
@@ -74,7 +74,7 @@ def clean_text(c) -> Column:
 
 def shows_text(c) -> Column:
     """True when ``clean_text`` leaves something."""
-    return F.coalesce(_col(c).cast("string").rlike(_SHOWN), F.lit(False))
+    return F.coalesce(_col(c).cast("string").rlike(SHOWN), F.lit(False))
 
 
 def _ranges(chars: Iterable[str]) -> list[str]:
@@ -100,15 +100,18 @@ def _fold_multi(c: Column, multi: dict[str, str]) -> Column:
     return F.when(c.rlike(char_class), expanded).otherwise(c)
 
 
-def normalize_key(c) -> Column:
-    """Accent-, case- and punctuation-insensitive comparison key."""
+def fold_marks(text: Column) -> Column:
+    """Case and accents folded away, code point by code point; what separates words stays."""
     source, target, multi = folding_tables()
     rest = {ch: text for ch, text in multi.items() if ch != "ß"}
+    return F.translate(_fold_multi(F.replace(text, F.lit("ß"), F.lit("ss")), rest), source, target)
+
+
+def normalize_key(c) -> Column:
+    """Accent-, case- and punctuation-insensitive comparison key."""
     text = F.replace(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit("\0"), F.lit(""))
     # as many bytes as characters: plain ASCII, where lower case is all there is to fold
-    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-        F.translate(_fold_multi(F.replace(text, F.lit("ß"), F.lit("ss")), rest), source, target)
-    )
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(fold_marks(text))
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
@@ -155,7 +158,21 @@ def parse_reference(c, prefix: str = rules.CODE_PREFIX) -> Column:
             ),
         )
 
-    return once(clean_text(c), reference)
+    full = once(clean_text(c), reference)
+    if not (prefix.isascii() and prefix.isalpha()):
+        return full
+    # a plain code with plain words behind a dash, or none, is read as it stands
+    raw = _col(c).cast("string")
+    plain = rf"^{prefix} ([1-9][0-9]{{0,3}})(?: - ([A-Za-z0-9]+(?: [A-Za-z0-9]+)*))?\z"
+    name = F.nullif(F.regexp_extract(raw, plain, 2), F.lit(""))
+    return F.when(
+        raw.rlike(plain), F.struct(_plain_code(F.regexp_extract(raw, plain, 1), prefix).alias("code"), name.alias("name"))
+    ).otherwise(full)
+
+
+def _plain_code(number: Column, prefix: str) -> Column:
+    """``format_code`` of digits that do not begin with 0, or of 0 itself."""
+    return F.concat(F.when(F.length(number) < 2, f"{prefix} 0").otherwise(f"{prefix} "), number)
 
 
 def group_name_of_key(key: Column) -> Column:
@@ -296,10 +313,10 @@ def coerce_code(c, prefix: str = rules.CODE_PREFIX) -> Column:
     if not (prefix.isascii() and prefix.isalpha()):
         return full
     # plain digits hold no prefix and are no other form; a plain reference needs no search
-    written = F.substring(raw, len(prefix) + 2, 4)
     return (
-        F.when(raw.rlike(r"^[0-9]+\z"), format_code(raw, prefix))
-        .when(raw.rlike(rf"^{prefix} [1-9][0-9]{{0,3}}\z"), F.concat(F.lit(prefix + " "), F.when(F.length(written) < 2, F.lpad(written, 2, "0")).otherwise(written)))
+        F.when(raw.rlike(r"^(?:0|[1-9][0-9]*)\z"), _plain_code(raw, prefix))
+        .when(raw.rlike(rf"^{prefix} [1-9][0-9]{{0,3}}\z"), _plain_code(F.substring(raw, len(prefix) + 2, 4), prefix))
+        .when(raw.rlike(r"^[0-9]+\z"), format_code(raw, prefix))
         .otherwise(full)
     )
 

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import (
+    SHOWN,
     canonical_code,
     clean_text,
     coerce_code,
     column_kind_of_key,
+    fold_marks,
     holds_any,
     normalize_key,
     parse_population,
@@ -26,7 +29,7 @@ from ..functions.text import (
     split_values,
     starts_any,
 )
-from ..plans.ordered import Running, running, stretch_of
+from ..plans.ordered import STRETCH, Running, running, stretch_of
 from ..plans.staging import stage
 
 JOB = "job_id"
@@ -36,9 +39,11 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later expressions read many times.
 
     Projections are merged, which would copy the expression into each of its
-    readers; a generator of one row is a border they do not cross.
+    readers; a generator of one row is a border they do not cross. The value is made
+    by a projection below it, which is compiled even where a part of it is not.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    made = df.select("*", value.alias("_made"))
+    return made.select(*[F.col(c) for c in df.columns], F.explode(F.array("_made")).alias(name))
 
 
 def with_header_columns(rows: DataFrame) -> DataFrame:
@@ -61,70 +66,90 @@ def header_score(columns: Column) -> Column:
     return score
 
 
+#: between cells in one text; folding leaves it and no word holds it
+_BORDER = "\x01"
+_WEIGHT = {**rules.HEADER_WEIGHTS, "person": 1}
+#: a last word of every header that is known without the code's prefix
+_UNCODED = sorted({h.split()[-1] for h in rules.COMBINED_HEADERS if "ghe" not in h})
+
+
+def _joined(cells: Column) -> Column:
+    return F.array_join(cells, _BORDER, "")
+
+
+def _is_odd(cells: Column) -> Column:
+    """A cell holds the border, or a NUL, which keys drop: words may hide, any score is possible."""
+    bare = F.array_join(cells, "", "")
+    return bare.contains("\0") | bare.contains(_BORDER)
+
+
+def _folded(text: Column) -> Column:
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(fold_marks(text))
+
+
+def _kinds_in(text: Column) -> dict[str, Column]:
+    """By kind: may a cell of the folded, joined ``text`` be of it? Never false where one is.
+
+    The longest word of each kind's phrases is looked for in the text, and words that
+    need the code's prefix in the same cell.
+    """
+    def has(phrases: list[str]) -> Column:
+        return holds_any(text, [max(p.split(), key=len) for p in phrases])
+
+    def beside(words: list[str]) -> Column:
+        either = "|".join(re.escape(w) for w in words)
+        inside = f"[^{_BORDER}]*"
+        return coded & has(words) & text.rlike(f"ghe{inside}(?:{either})|(?:{either}){inside}ghe")
+
+    coded = text.contains("ghe")
+    apart = f"[^a-z0-9{_BORDER}]"
+    headers = "|".join(f"{apart}+".join(h.split()) for h in rules.COMBINED_HEADERS)
+    whole = text.rlike(f"(?:^|{_BORDER}){apart}*(?:{headers}){apart}*(?:{_BORDER}|\\z)")  # a cell that is one of the headers
+    return {
+        "combined": beside(rules.COMBINED_WORDS) | (_may_be_coded(text) & whole),
+        "code": beside(rules.CODE_WORDS),
+        "name": beside(rules.NAME_WORDS),
+        "sector": has(rules.SECTOR_WORDS),
+        "role": has(rules.ROLE_WORDS),
+        "population": has([*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
+        "person": has(rules.PERSON_HEADERS),
+    }
+
+
+def _may_be_coded(text: Column) -> Column:
+    return functools.reduce(operator.or_, [text.contains(w) for w in _UNCODED], text.contains("ghe"))
+
+
+def _most_score(text: Column) -> Column:
+    """No less than the score of a row with this folded, joined text."""
+    return functools.reduce(operator.add, [F.when(there, _WEIGHT[k]).otherwise(0) for k, there in _kinds_in(text).items()])
+
+
 def may_be_header(cells: Column) -> Column:
     """Cheap test that every row with a usable row's score passes.
 
-    The cells are joined by NUL, which keys drop, and the longest word of each column
-    kind's phrases is looked for in that one text; where the code's prefix occurs, the
-    kinds that need it are looked for cell by cell. Their weights together are never below
-    the row's score, and a row below ``HEADER_USABLE`` cannot keep a usable row from
-    winning. Only texts beyond ASCII are folded. Without a code's prefix a row needs all
-    the other kinds, so most rows take one look.
+    A row below ``HEADER_USABLE`` cannot keep a usable row from winning.
     """
-    def has(text: Column, phrases: list[str]) -> Column:
-        return holds_any(text, [max(p.split(), key=len) for p in phrases])
+    return _is_odd(cells) | F.exists(F.array(_folded(_joined(cells))), lambda t: _most_score(t) >= rules.HEADER_USABLE)
 
-    def beside(text: Column, found: list[str]) -> Column:
-        each = [text.contains(w) & (text.rlike(f"ghe[^\\x00]*{w}") | text.rlike(f"{w}[^\\x00]*ghe")) for w in found]
-        return functools.reduce(operator.or_, each)
-
-    def whole(text: Column) -> Column:  # a cell that ends as one of the headers does
-        ends = sorted({h.split()[-1] for h in rules.COMBINED_HEADERS})
-        return functools.reduce(operator.or_, [text.contains(w) & text.rlike(f"{w}[^a-z0-9\\x00]*(?:\\x00|$)") for w in ends])
-
-    def enough(text: Column) -> Column:
-        person = has(text, rules.PERSON_HEADERS)
-        rest = {
-            "population": has(text, [*rules.POPULATION_HEADERS, *rules.POPULATION_PHRASES]),
-            "sector": has(text, rules.SECTOR_WORDS),
-            "role": has(text, rules.ROLE_WORDS),
-        }
-        coded = {
-            "combined": beside(text, rules.COMBINED_WORDS) | whole(text),
-            "code": beside(text, rules.CODE_WORDS),
-            "name": beside(text, rules.NAME_WORDS),
-        }
-
-        def score(kinds: dict[str, Column], start: Column) -> Column:
-            return functools.reduce(operator.add, [F.when(there, rules.HEADER_WEIGHTS[k]).otherwise(0) for k, there in kinds.items()], start)
-
-        may_be_coded = text.contains("ghe") | has(text, [h for h in rules.COMBINED_HEADERS if "ghe" not in h] or ["ghe"])
-        one = F.when(person, 1).otherwise(0)
-        plain = score(rest, one) >= rules.HEADER_USABLE
-        if sum(rules.HEADER_WEIGHTS[k] for k in rest) < rules.HEADER_USABLE:  # a person column must be there as well
-            plain = person & plain
-
-        def with_rest(x: Column) -> Column:
-            """Is a score of ``x`` enough with the other kinds? Most rows need none or all of them."""
-            return (
-                F.when(x == 0, plain)
-                .when(x >= rules.HEADER_USABLE, F.lit(True))
-                .when(x == rules.HEADER_USABLE - 1, functools.reduce(operator.or_, [rest["sector"], rest["role"], rest["population"], person]))
-                .otherwise(score(rest, x + one) >= rules.HEADER_USABLE)
-            )
-
-        return F.when(may_be_coded, F.exists(F.array(score(coded, F.lit(0))), with_rest)).otherwise(plain)
-
-    joined = F.array_join(cells, "\0", "")
-
-    def test(text: Column) -> Column:
-        folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-            F.array_join(F.transform(cells, normalize_key), "\0", "")
-        )
-        return F.exists(F.array(folded), enough)
 
-    odd = F.exists(cells, lambda c: c.contains("\0"))
-    return odd | F.exists(F.array(joined), test)
+def _possible_headers(rows: DataFrame) -> DataFrame:
+    """The rows that ``may_be_header`` lets pass, with ``_most``: no less than their score.
+
+    The same test as plain columns, which are compiled, in steps: most rows end at the
+    code's prefix.
+    """
+    names = [JOB, "sheet", "sheet_ord", "row_no", "cells"]
+    text = F.col("_text")
+    read = _once(rows.select(*names), "_joined", _joined(F.col("cells")))
+    read = _once(read, "_text", _folded(F.col("_joined")))
+    kinds = _kinds_in(text)
+    plain = [k for k in rules.HEADER_WEIGHTS if k not in ("combined", "code", "name")]
+    # without the prefix a row has the other kinds only, and needs a person column if these are too few
+    uncoded = kinds["person"] if sum(_WEIGHT[k] for k in plain) < rules.HEADER_USABLE else F.lit(True)
+    likely = read.where(F.col("_joined").contains("\0") | _may_be_coded(text) | uncoded)
+    most = F.when(_is_odd(F.col("cells")), sum(_WEIGHT.values())).otherwise(_most_score(text))
+    return _once(likely, "_most", most).where(F.col("_most") >= rules.HEADER_USABLE).select(*names, "_most")
 
 
 def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
@@ -133,18 +158,29 @@ def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
     The first perfect row wins, else the best score, earliest on ties. Jobs whose
     best row is not usable give no row. All rows of every sheet are looked at;
     ``scan_rows`` limits that to the first ones where a caller wants it. Rows that
-    cannot reach a usable row's score are left out by one cheap test first.
+    cannot reach a usable row's score are left out by one cheap test first; where a
+    job has a perfect row, its rows that cannot be perfect are not tested further.
     """
     near = rows if scan_rows is None else rows.where(F.col("row_no") <= scan_rows)
-    possible = near.where(may_be_header(F.col("cells")))
-    # scores and ranks are read many times below
+    found = stage(_possible_headers(near), "possible-headers")  # read three times below, and few
+    sure = _best_headers(found.where(F.col("_most") >= rules.HEADER_PERFECT)).where(F.col("score") >= rules.HEADER_PERFECT)
+    sure = stage(sure, "perfect-headers")
+    # what is no perfect header counts only in jobs that have none
+    known = sure.select(F.col(JOB).alias("_known"))
+    rest = _best_headers(stage(found.join(known, F.col(JOB).eqNullSafe(F.col("_known")), "left_anti"), "open-headers"))
+    return sure.unionByName(rest)
+
+
+def _best_headers(rows: DataFrame) -> DataFrame:
+    """The best row of each job, where it is usable. Equal rows are scored once; ``rows`` is read twice."""
     scored = (
-        _once(with_header_columns(possible), "score", header_score(F.col("columns")))
+        _once(with_header_columns(rows.select("cells").distinct()), "score", header_score(F.col("columns")))
         .withColumn(
             "usable",
             (F.col("columns.combined").isNotNull() | F.col("columns.code").isNotNull())
             & (F.col("score") >= rules.HEADER_USABLE),
         )
+        .withColumnRenamed("cells", "_cells")
     )
     perfect = F.col("usable") & (F.col("score") >= rules.HEADER_PERFECT)
     rank = F.struct(
@@ -153,9 +189,10 @@ def detect_header(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
         F.col("sheet_ord"),
         F.col("row_no"),
     )
+    placed = rows.join(stage(scored, "header-kinds"), F.col("cells") == F.col("_cells"))
     return (
-        _once(scored, "_rank", rank).groupBy(JOB)
-        .agg(F.min_by(F.struct("sheet", "sheet_ord", "row_no", "score", "usable", "columns", "cells"), F.col("_rank")).alias("h"))
+        placed.groupBy(JOB)
+        .agg(F.min_by(F.struct("sheet", "sheet_ord", "row_no", "score", "usable", "columns", "cells"), rank).alias("h"))
         .select(JOB, "h.*")
         .where("usable")
         .drop("usable")
@@ -186,7 +223,12 @@ def data_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     def cell(kind: str) -> Column:
         return F.when(F.col(f"_c.{kind}").isNotNull(), F.try_element_at("cells", F.col(f"_c.{kind}")))
 
-    present = F.exists(F.col("_c.person"), lambda i: shows_text(F.try_element_at(F.col("cells"), i)))
+    def shows(i: Column) -> Column:
+        return shows_text(F.try_element_at(F.col("cells"), i))
+
+    # one person column or none is the rule, and needs no lambda, which is not compiled
+    persons = F.col("_c.person")
+    present = F.when(F.size(persons) == 0, F.lit(False)).when(F.size(persons) == 1, shows(F.get(persons, F.lit(0)))).otherwise(F.exists(persons, shows))
     fields = below.select(
         JOB,
         "row_no",
@@ -194,7 +236,20 @@ def data_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
         present.alias("person_present"),
         F.col("_c.population").isNotNull().alias("has_population"),
     )
-    return drop_blank_rows(fields).withColumn("is_total", is_total_row())
+    # blank rows and totals are told by one text of all kinds; the generator keeps its cells from being read again
+    read = _once(fields, "_all", _all_kinds())
+    shown = read.where(F.col("_all").rlike(SHOWN) | F.col("person_present"))
+    return shown.withColumn("is_total", _may_be_total(F.col("_all")) & is_total_row()).drop("_all")
+
+
+def _all_kinds() -> Column:
+    return F.replace(F.concat_ws(" ", *rules.COLUMN_KINDS), F.lit("\0"), F.lit(""))
+
+
+def _may_be_total(text: Column) -> Column:
+    """False only where ``is_total_row`` is false: ASCII text without a prefix's letters has none in its key."""
+    words = sorted({p.split()[0] for p in rules.TOTAL_ROW_PREFIXES})
+    return (F.octet_length(text) != F.length(text)) | holds_any(F.lower(text), words)
 
 
 def _visible() -> Column:
@@ -240,15 +295,36 @@ def forward_fill(df: DataFrame, keys: list[str], ord_col: str, column: str, stre
     return filled.withColumn(column, F.col("_filled")).drop("_filled")
 
 
-def group_rows(rows: DataFrame) -> DataFrame:
-    """Data rows under the group code that is in force; rows before the first code are out."""
-    read = _once(rows, "_ref", F.when(F.col("combined") != "", parse_reference("combined")))
-    coded = _once(read, "own_code", F.coalesce(F.col("_ref.code"), F.when(F.col("code") != "", coerce_code("code"))))
-    named = coded.select(
+def last_row(rows: DataFrame) -> int:
+    """The greatest ``row_no`` of a stored table; one column is read."""
+    return rows.agg(F.coalesce(F.max("row_no"), F.lit(0)).alias("n")).first()["n"]
+
+
+def group_rows(rows: DataFrame, longest: int | None = None) -> DataFrame:
+    """Data rows under the group code that is in force; rows before the first code are out.
+
+    Where ``longest``, the greatest ``row_no`` of the sheets, is known and within the first
+    stretch, no row inherits from another stretch: one window fills in the codes, and only
+    the columns that are asked for are worked out.
+    """
+    read = rows.withColumn("_ref", F.when(F.col("combined") != "", parse_reference("combined")))
+    coded = read.withColumn("own_code", F.coalesce(F.col("_ref.code"), F.when(F.col("code") != "", coerce_code("code"))))
+    if longest is not None and longest < STRETCH:
+        upto = Window.partitionBy(JOB, stretch_of("row_no")).orderBy("row_no")
+        upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = _named_rows(coded.withColumn("group_code", F.last("own_code", ignorenulls=True).over(upto)))
+    else:
+        named = stage(_named_rows(coded.withColumn("group_code", F.col("own_code"))), "group-rows")  # read twice below, and narrow
+        filled = forward_fill(named, [JOB], "row_no", "group_code")
+    return filled.where("group_code is not null")
+
+
+def _named_rows(coded: DataFrame) -> DataFrame:
+    return coded.select(
         JOB,
         "row_no",
         "own_code",
-        F.col("own_code").alias("group_code"),
+        "group_code",
         F.when(
             F.col("own_code").isNotNull(),
             F.coalesce(F.nullif(clean_text("name"), F.lit("")), F.col("_ref.name"), F.lit("")),
@@ -259,8 +335,6 @@ def group_rows(rows: DataFrame) -> DataFrame:
         F.col("person_present"),
         F.col("has_population"),
     )
-    named = stage(named, "group-rows")  # read twice below, and narrow
-    return forward_fill(named, [JOB], "row_no", "group_code").where("group_code is not null")
 
 
 def group_population(rows: DataFrame) -> DataFrame:

@@ -110,14 +110,26 @@ def wn_detect_header(spark, sf):
 
 
 def _rows(spark, sf):
+    """Data rows, and the last row number of the sheets."""
     rows = sheet(spark, sf)
-    return stage(R.data_rows(rows, R.detect_header(rows)), "sheet-rows")
+    return R.data_rows(rows, R.detect_header(rows)), R.last_row(rows)
+
+
+def _split(spark, sf):
+    """Data rows, declared totals (both are read: the rows are stored), and the last row number."""
+    rows, last = _rows(spark, sf)
+    return *R.split_total_rows(stage(rows, "sheet-rows")), last
+
+
+def _grouped(spark, sf):
+    """Data rows under their group's code, where nothing else of the sheet is read."""
+    rows, last = _rows(spark, sf)
+    return R.group_rows(R.split_total_rows(rows)[0], last)
 
 
 @query("wn_forward_fill", f"{_ROWS_SQL} SELECT job_id, row_no, own AS own_code, code AS group_code FROM w WHERE code IS NOT NULL")
 def wn_forward_fill(spark, sf):
-    data, _ = R.split_total_rows(_rows(spark, sf))
-    return R.group_rows(data).select("job_id", "row_no", "own_code", "group_code")
+    return _grouped(spark, sf).select("job_id", "row_no", "own_code", "group_code")
 
 
 @query(
@@ -126,14 +138,13 @@ def wn_forward_fill(spark, sf):
     FROM lineitem WHERE l_orderkey % 3 < 2 GROUP BY l_orderkey""",
 )
 def fl_split_total_rows(spark, sf):
-    data, declared = R.split_total_rows(_rows(spark, sf))
+    data, declared, _ = _split(spark, sf)
     return data.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_data")).join(declared, "job_id")
 
 
 @query("ag_group_population", f"{_GROUPS_SQL} SELECT job_id, ord_at, code, name, population, counted, named FROM g")
 def ag_group_population(spark, sf):
-    data, _ = R.split_total_rows(_rows(spark, sf))
-    return R.group_population(R.group_rows(data))
+    return R.group_population(_grouped(spark, sf))
 
 
 _DECLARED = "(SELECT l_orderkey AS job_id, sum(CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_quantity AS INT) END) AS s FROM lineitem GROUP BY 1)"
@@ -145,8 +156,8 @@ _DECLARED = "(SELECT l_orderkey AS job_id, sum(CASE WHEN l_partkey % 10 <> 0 THE
       g.job_id % 3 < 2 AND sum(population) <> coalesce(any_value(s), 0) + CASE WHEN g.job_id % 10 = 0 THEN 1 ELSE 0 END AS diverges FROM g JOIN {_DECLARED} AS x ON x.job_id = g.job_id GROUP BY g.job_id""",
 )
 def ag_total_check(spark, sf):
-    data, declared = R.split_total_rows(_rows(spark, sf))
-    return R.total_check(R.group_population(R.group_rows(data)), declared)
+    data, declared, last = _split(spark, sf)
+    return R.total_check(R.group_population(R.group_rows(data, last)), declared)
 
 
 @query(
@@ -154,8 +165,7 @@ def ag_total_check(spark, sf):
     f"{_GROUPS_SQL} SELECT job_id, code || ' - ' || name AS label, population, false AS is_total FROM g UNION ALL SELECT job_id, 'TOTAL', sum(population)::BIGINT, true FROM g GROUP BY job_id",
 )
 def ag_with_total(spark, sf):
-    data, _ = R.split_total_rows(_rows(spark, sf))
-    return R.with_total(R.group_population(R.group_rows(data))).drop("ord_at")
+    return R.with_total(R.group_population(_grouped(spark, sf))).drop("ord_at")
 
 
 _VALUES_SQL = f"""{_ROWS_SQL}, v AS (SELECT job_id, code, row_no, 'sector' AS kind, unnest(string_split(sector, '; ')) AS value, generate_subscripts(string_split(sector, '; '), 1) AS pos FROM w WHERE code IS NOT NULL
@@ -165,8 +175,7 @@ _VALUES_SQL = f"""{_ROWS_SQL}, v AS (SELECT job_id, code, row_no, 'sector' AS ki
 
 @query("ag_group_values", f"{_VALUES_SQL} SELECT job_id, code, kind, value, row_no FROM d WHERE k = 1")
 def ag_group_values(spark, sf):
-    data, _ = R.split_total_rows(_rows(spark, sf))
-    values = R.distinct_values(R.group_values(R.group_rows(data)))
+    values = R.distinct_values(R.group_values(_grouped(spark, sf)))
     return values.select("job_id", "code", "kind", "value", F.col("at.row_no").alias("row_no"))
 
 
@@ -197,8 +206,8 @@ def rd_ignored_headers(spark, sf):
     UNION ALL SELECT DISTINCT job_id, NULL, 'population_counted' FROM g WHERE counted UNION ALL SELECT job_id, NULL, 'total_diverges' FROM t WHERE diverges""",
 )
 def dq_extraction_warnings(spark, sf):
-    data, declared = R.split_total_rows(_rows(spark, sf))
-    groups = R.group_population(R.group_rows(data))
+    data, declared, last = _split(spark, sf)
+    groups = stage(R.group_population(R.group_rows(data, last)), "groups")  # read five times
     return R.extraction_warnings(groups, R.total_check(groups, declared))
 
 

@@ -63,3 +63,41 @@ def test_no_row_that_counts_is_left_out_by_the_cheap_test(spark):
     scored = R.with_header_columns(df).withColumn("score", R.header_score(F.col("columns"))).where(F.col("score") >= rules.HEADER_USABLE)
     lost = scored.where(~F.coalesce(R.may_be_header(F.col("cells")), F.lit(False)))
     assert scored.count() > 100 and lost.count() == 0
+
+
+def test_rows_behind_a_perfect_header_are_not_scored_and_equal_rows_once(spark, monkeypatch):
+    scored = []
+    full = R.with_header_columns
+    monkeypatch.setattr(R, "with_header_columns", lambda rows: scored.append(sorted(r["cells"] for r in rows.collect())) or full(rows))
+    perfect, good = ["Código GHE", "Nome GHE", "Setor", "Cargo", "Quantidade", "CPF"], ["Código GHE", "Setor", "Cargo", "CPF"]
+    body = ["GHE 1 - grupo 1", "Setor", "Cargo"]  # a score of 5, as far as a row alone tells
+    rows = [(j, "s", 1, n, cells) for j in (1, 2) for n, cells in enumerate([["x"], perfect, body, body, perfect])]
+    rows += [(j, "s", 1, n, cells) for j in (3, None) for n, cells in enumerate([["x"], good, ["GHE 1", "Setor 1", "Cargo 1"]])]
+    rows += [(4, "s", 1, 0, ["ghe\x01codigo", "Setor", "Cargo", "CPF", "x"]), (5, "s", 1, 0, ["GHE", "c\0pf", "Setor", "Cargo", "QTD"]), (None, "s", 1, 7, perfect)]
+    df = spark.createDataFrame(rows, "job_id bigint, sheet string, sheet_ord int, row_no bigint, cells array<string>")
+    got = {r.job_id: (r.row_no, r.score) for r in R.detect_header(df).collect()}
+    assert got == {1: (1, 7), 2: (1, 7), 3: (1, 5), None: (7, 7), 4: (0, 5), 5: (0, 7)}
+    assert [len(s) for s in scored] == [3, 2] and body not in scored[0] + scored[1] and scored[1][0] == good
+
+
+def test_sheets_within_a_stretch_are_filled_in_place(spark, monkeypatch):
+    """The same rows as by stretches, without a stored table between, and names only where they are asked for."""
+    kinds = {"code": None, "name": None, "combined": None, "sector": "s", "role": "r", "population": "1"}
+    texts = [(1, 3, "GHE 1 - grupo  1"), (1, 4, ""), (1, 9000, "GHE 02"), (2, 5, None), (2, 6, "GHE 3 - alfa beta"), (2, 7, "x GHE 4 – b")]
+    rows = [(j, n, *{**kinds, "combined": t}.values(), True, True) for j, n, t in texts]
+    df = spark.createDataFrame(rows, "job_id bigint, row_no bigint, " + ", ".join(f"{k} string" for k in kinds) + ", person_present boolean, has_population boolean")
+    whole = sorted(R.group_rows(df).collect())
+    assert [r.group_code for r in whole] == ["GHE 01", "GHE 01", "GHE 02", "GHE 03", "GHE 04"]
+    assert sorted(R.group_rows(df, 9000).collect()) == whole  # over a stretch: carried
+    monkeypatch.setattr(R, "stage", lambda *_: 1 / 0)
+    short = df.where("row_no < 9000")
+    assert sorted(R.group_rows(short, R.last_row(short)).collect()) == [r for r in whole if r.row_no < 9000]
+    assert "beta" not in _plan(R.group_rows(short, 7).select("group_code")) and R.last_row(df.where("false")) == 0
+
+
+def test_plain_references_are_read_as_the_full_way_reads_them(spark):
+    texts = ["GHE 7", "GHE 7 - grupo 3", "GHE 12345", "GHE 7 - a - b", "GHE 7 -a", "GHE 0 - x", "GHE 07 - x", "GHE 7 - x ", "GHE 7 - x  y", "GHE 7 - x\n", "ghe 7 - x", "GHE 7 - - x", None, ""]
+    df = spark.createDataFrame([(t, None if t is None else "\t" + t) for t in texts], "t string, u string")  # white space ahead: the full way
+    got = df.select(T.parse_reference("t").alias("a"), T.parse_reference("u").alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    assert tuple(got[0].a) == ("GHE 07", None) and tuple(got[1].a) == ("GHE 07", "grupo 3")
