@@ -30,6 +30,10 @@ from .staging import stage
 MOST_CHARACTERS = 2_000_000
 #: characters by which literals and places in texts meet beyond that
 GRAM = 8
+#: bytes of the texts that a worker is handed at once: texts of 10,000 rows, Spark's own bound, grow with their length
+BATCH_BYTES = 8 << 20
+#: characters of texts that are replaced before their results are handed on
+RESULT_CHARACTERS = 1 << 20
 RULES = ("longest", "listed")
 
 
@@ -76,6 +80,7 @@ def replace_all(
         raise ValueError(f"no such rule: {rule}")
     used = stage(dictionary(literals, marker), "literals")
     size = used.agg(F.coalesce(F.sum(F.length("literal")), F.lit(0)).alias("n")).first()["n"]
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     way = _by_automaton if size <= most_characters else _by_grams
     return way(df, text, used, rule)
 
@@ -100,13 +105,19 @@ def _by_automaton(df: DataFrame, text: str, used: DataFrame, rule: str) -> DataF
         made = automaton()
         for texts in batches:
             out: list[tuple[str | None, int]] = []
+            size = 0
             for t in texts:
                 if not t or not shared.value:
                     out.append((t, 0))
                     continue
                 hits = chosen(((end + 1 - n, end + 1, k) for end, (n, k) in made.iter(t)), rule)
                 out.append((replaced(t, [(a, b, shared.value[k][1]) for a, b, k in hits]), len(hits)))
-            yield pd.DataFrame(out, columns=["text", "n"])
+                size += len(t)
+                if size >= RESULT_CHARACTERS:
+                    yield pd.DataFrame(out, columns=["text", "n"])
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["text", "n"])
 
     return df.withColumn("_redacted", redact(text)).withColumn(text, F.col("_redacted.text")).withColumn("n_replaced", F.col("_redacted.n")).drop("_redacted")
 

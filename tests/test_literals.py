@@ -85,3 +85,15 @@ def test_nothing_is_left(spark):
     assert rows[1]["text"] == "{{FIELD_B}} e {{FIELD_A}}" and rows[1]["removed_sha256"] and rows[2]["removed_sha256"] is None
     assert literals_left(out, ["id"], "text", listed, "FIELD").collect() == []
     assert [tuple(r) for r in literals_left(df, ["id"], "text", listed, "FIELD").collect()] == [(1, 2)]
+
+
+def test_workers_are_handed_and_hand_on_few_bytes(spark, monkeypatch):
+    """Long texts come in batches bounded by their bytes, and results leave in pieces: every row has its own."""
+    monkeypatch.setattr(L, "RESULT_CHARACTERS", 50)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = {i: None if i % 7 == 0 else "ab " * i for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "i int, t string").coalesce(1)
+    literals = spark.createDataFrame([("ab", "x", 0)], SCHEMA)
+    got = {r.i: (r.t, r.n_replaced) for r in L.replace_all(df, "t", literals).collect()}
+    assert got == {i: (t, 0) if t is None else ("x " * i, i) for i, t in texts.items()}
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
