@@ -218,7 +218,8 @@ def data_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     at = headers.select(
         JOB, F.col("sheet_ord").alias("_sheet"), F.col("row_no").alias("_header"), F.col("columns").alias("_c")
     )
-    below = rows.join(at, JOB).where("sheet_ord = _sheet and row_no > _header")
+    # joined by job alone, as windows and groups that follow want it: an equality would become a key, and they would shuffle anew
+    below = rows.join(at, JOB).where("sheet_ord between _sheet and _sheet and row_no > _header")
 
     def cell(kind: str) -> Column:
         return F.when(F.col(f"_c.{kind}").isNotNull(), F.try_element_at("cells", F.col(f"_c.{kind}")))
@@ -239,17 +240,20 @@ def data_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     # blank rows and totals are told by one text of all kinds; the generator keeps its cells from being read again
     read = _once(fields, "_all", _all_kinds())
     shown = read.where(F.col("_all").rlike(SHOWN) | F.col("person_present"))
-    return shown.withColumn("is_total", _may_be_total(F.col("_all")) & is_total_row()).drop("_all")
+    return shown.withColumn("is_total", _is_total(F.col("_all"))).drop("_all")
 
 
 def _all_kinds() -> Column:
     return F.replace(F.concat_ws(" ", *rules.COLUMN_KINDS), F.lit("\0"), F.lit(""))
 
 
-def _may_be_total(text: Column) -> Column:
-    """False only where ``is_total_row`` is false: ASCII text without a prefix's letters has none in its key."""
-    words = sorted({p.split()[0] for p in rules.TOTAL_ROW_PREFIXES})
-    return (F.octet_length(text) != F.length(text)) | holds_any(F.lower(text), words)
+def _is_total(text: Column) -> Column:
+    """``is_total_row`` by the one text of all kinds: that of ASCII has its key's words as they stand."""
+    apart = "[^a-z0-9]"
+    # a prefix that ends in a space asks for another word
+    openings = [f"{apart}+".join(p.split()) + (f"{apart}+[a-z0-9]" if p.endswith(" ") else "") for p in rules.TOTAL_ROW_PREFIXES]
+    plain = text.rlike(rf"(?i)\A{apart}*(?:{'|'.join(openings)})")
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(is_total_row())
 
 
 def _visible() -> Column:
@@ -310,7 +314,7 @@ def group_rows(rows: DataFrame, longest: int | None = None) -> DataFrame:
     read = rows.withColumn("_ref", F.when(F.col("combined") != "", parse_reference("combined")))
     coded = read.withColumn("own_code", F.coalesce(F.col("_ref.code"), F.when(F.col("code") != "", coerce_code("code"))))
     if longest is not None and longest < STRETCH:
-        upto = Window.partitionBy(JOB, stretch_of("row_no")).orderBy("row_no")
+        upto = Window.partitionBy(JOB).orderBy("row_no")  # by job alone: groups and totals need no other shuffle
         upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         filled = _named_rows(coded.withColumn("group_code", F.last("own_code", ignorenulls=True).over(upto)))
     else:

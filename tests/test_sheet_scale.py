@@ -101,3 +101,31 @@ def test_plain_references_are_read_as_the_full_way_reads_them(spark):
     got = df.select(T.parse_reference("t").alias("a"), T.parse_reference("u").alias("b")).collect()
     assert all(r.a == r.b for r in got)
     assert tuple(got[0].a) == ("GHE 07", None) and tuple(got[1].a) == ("GHE 07", "grupo 3")
+
+
+def test_totals_of_ascii_text_are_told_as_the_full_way_tells_them(spark):
+    heads = ["Total", "TOTAL 3", "total geral", "Total\tgeralx", " - Total: x", "subtotal", "Subtotal 1", "totalx 1", "x total 1", "tot al 1", "\0to\0tal 5", "Total é", "Tótal 3", "", None, "total -", "\u00a0total 9"]
+    rows = [(h, None, rest, "", "", last) for h in heads for rest in (None, "", "geral", " 7") for last in (None, "", "12")]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in rules.COLUMN_KINDS))
+    got = df.select(R._is_total(R._all_kinds()).alias("short"), R.is_total_row().alias("full")).collect()
+    assert all(r.short == r.full for r in got) and {r.full for r in got} == {True, False}
+
+
+def test_rows_are_brought_together_once_from_header_to_groups(spark):
+    """Join, fill and groups all go by job: one exchange for the rows and one for the headers."""
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    cells = ["Código GHE", "Nome GHE", "Setor", "Cargo", "Quantidade", "CPF"]
+    body = [(1, "a", 1, 2, cells), (1, "a", 1, 3, ["1", "x", "s", "c", "4", ""]), (1, "a", 1, 4, ["", "", "s", "c", "2", ""])]
+    other = [(1, "b", 2, 7, ["5", "x", "s", "c", "4", ""]), (1, "a", 0, 9, ["6", "x", "s", "c", "4", ""]), (1, "a", 1, 1, ["7", "", "", "", "", ""])]
+    rows = spark.createDataFrame(body + other, "job_id bigint, sheet string, sheet_ord int, row_no bigint, cells array<string>")
+    try:
+        for name, value in zip(kept, ("false", "-1")):
+            spark.conf.set(name, value)
+        data, _ = R.split_total_rows(R.data_rows(rows, R.stage(R.detect_header(rows), "headers")))
+        groups = R.group_population(R.group_rows(data, 9))
+        assert groups._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = [tuple(r)[:5] for r in groups.collect()]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert got == [(1, 3, "GHE 01", "x", 6)]
