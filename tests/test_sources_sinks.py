@@ -172,6 +172,21 @@ def test_blocks_of_any_parts(spark, block):
     assert status == {**{k: "ok" for k, v in texts.items() if v}, "twice": "duplicate_part", "bad": "invalid", "short": "invalid", "early": "invalid"}
 
 
+def test_no_text_of_parts_is_laid_out(spark, monkeypatch):
+    """Only lengths are put in order and stored; the parts themselves are shuffled to their place and to their block."""
+    from dossiermill.plans import stretches
+    from dossiermill.sources import chunks
+
+    stored, stage = [], stretches.stage
+    for module in (stretches, chunks):
+        monkeypatch.setattr(module, "stage", lambda df, name: stored.append(df.columns) or stage(df, name), raising=False)
+    parts = [("a", 2, "eHh4"), ("a", None, "eHl6"), ("b", 1, None), (None, 1, "eHh4"), ("c", 5, "eHh4" * 3), ("c", 5, ""), ("d", 1, " ")]
+    df = spark.createDataFrame(parts, "k string, no int, chunk string")
+    got = sorted((r.k, r.block_no, r.content and bytes(r.content), r.status) for r in reassembled_blocks(df, ["k"], "no", "chunk", 8).collect())
+    assert got == [("a", 0, b"xyzxxx", "ok"), ("c", 0, None, "duplicate_part"), ("c", 1, None, "duplicate_part")]
+    assert stored and not any("_chunk" in columns for columns in stored)
+
+
 def test_contracts_by_version(spark):
     rows = [(1, '{"v": 1, "k": 5}'), (2, '{"v": 2, "key": {"k": 6}}'), (3, None), (4, '{"v": 3}'), (5, "{"), (6, '{"v": 1, "k": "x"}'), (7, "{}"), (8, "[1]"), (9, '{"v": 1}')]
     df = spark.createDataFrame(rows, "id int, body string")
